@@ -12,11 +12,13 @@ before the shuffle.  The fuzzy path lives in :mod:`scrubjay.plans.candidates` an
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DedupConfig, Weights
 from ..functions.text import normalize_text
 from ..plans.ordering import dense_index, scan_key
+from ..session import spread
 from ..sources.observations import filter_entity
 
 GROUP_COLUMNS = ["group_id", "seed_id", "member_id", "rank_in_group", "is_seed", "created_at",
@@ -31,7 +33,7 @@ def norm_key(norm) -> F.Column:
 
 def prepare(obs: DataFrame, entity: str | None = None, content_col: str = "content") -> DataFrame:
     """Scan (with the optional entity filter), scan key and normalized text, once per row."""
-    obs = filter_entity(obs, entity)
+    obs = spread(filter_entity(obs, entity).select("id", content_col, "created_at"))
     return obs.select(
         "id", F.col(content_col).alias("content"), "created_at",
         scan_key().alias("sk"),
@@ -71,8 +73,11 @@ def with_scores(groups: DataFrame, scores: dict) -> DataFrame:
 
 def exact_groups(prep: DataFrame, weights: Weights = Weights()) -> DataFrame:
     """Groups of equal normalized text with more than one member."""
+    # slim rows (ids, times, 16-byte key) are read twice: by the class aggregate and
+    # by the join back, so the text is normalized once and never shuffled
     p = (prep.filter(F.col("norm").isNotNull())
-             .select("id", "created_at", "sk", norm_key(F.col("norm")).alias("key")))
+             .select("id", "created_at", "sk", norm_key(F.col("norm")).alias("key"))
+             .persist(StorageLevel.MEMORY_AND_DISK))
     classes = (p.groupBy("key")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("sk").alias("seed_sk"))
                 .filter(F.col("n") > 1)

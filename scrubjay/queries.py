@@ -98,3 +98,121 @@ def dedup_totals_conversations(spark, sf):
 def entity_filter(spark, sf):
     obs = obs_documents(spark, sf)
     return D.dedup_totals(obs, D.find_groups(obs, entity="src3"), entity="src3")
+
+
+# ---------------------------------------------------------------- checkpoints
+
+from .config import CheckpointConfig  # noqa: E402
+from .operators import checkpoints as C  # noqa: E402
+
+CK_ANN = f"""SELECT *, {Q.is_checkpoint('content')} AS is_checkpoint,
+  CASE WHEN {Q.is_checkpoint('content')} THEN {Q.signature('content')} END AS signature
+  FROM ({Q.OBS_CHECKPOINTS})"""
+
+
+def _ck_ann(spark, sf, cfg=CheckpointConfig()):
+    return C.annotate(obs_checkpoints(spark, sf), cfg)
+
+
+@register("checkpoint_flag", f"SELECT id, is_checkpoint FROM ({CK_ANN})")
+def checkpoint_flag(spark, sf):
+    return _ck_ann(spark, sf).select("id", "is_checkpoint")
+
+
+@register("checkpoint_signature", f"SELECT id, signature FROM ({CK_ANN})")
+def q_checkpoint_signature(spark, sf):
+    return _ck_ann(spark, sf).select("id", "signature")
+
+
+CK_TOTALS = f"""WITH a AS ({CK_ANN}), s AS (SELECT signature, count(*) AS n FROM a WHERE is_checkpoint GROUP BY signature)
+SELECT (SELECT count(*) FROM a) AS total_observations,
+       (SELECT count(*) FROM a WHERE is_checkpoint) AS checkpoint_observations,
+       (SELECT count(*) FROM a WHERE NOT is_checkpoint) AS regular_observations,
+       (SELECT count(*) FROM s) AS checkpoint_groups,
+       (SELECT coalesce(sum(n - 1), 0) FROM s WHERE n > 1) AS redundant_checkpoints"""
+
+
+@register("checkpoint_totals", CK_TOTALS)
+def q_checkpoint_totals(spark, sf):
+    return C.checkpoint_totals(_ck_ann(spark, sf))
+
+
+@register("checkpoint_rates", f"""WITH t AS ({CK_TOTALS})
+SELECT total_observations,
+  CASE WHEN total_observations > 0 THEN checkpoint_observations / total_observations * 100 ELSE 0.0 END AS checkpoint_percentage,
+  CASE WHEN checkpoint_observations > 0 THEN redundant_checkpoints / checkpoint_observations * 100 ELSE 0.0 END AS redundancy_rate
+FROM t""")
+def q_checkpoint_rates(spark, sf):
+    return C.checkpoint_rates(C.checkpoint_totals(_ck_ann(spark, sf)))
+
+
+CK_STATS = f"""SELECT signature, count(*) AS count, min(created_at) AS first_occurrence,
+  max(created_at) AS last_occurrence,
+  first(content ORDER BY {Q.SCAN_ORDER}) AS newest_content, first(id ORDER BY {Q.SCAN_ORDER}) AS newest_id,
+  sum(length(content)) AS total_chars,
+  (epoch_us(max(created_at)) - epoch_us(min(created_at))) / 60000000.0 / (count(*) - 1) AS avg_interval_min
+FROM ({CK_ANN}) WHERE is_checkpoint GROUP BY signature HAVING count(*) > 1"""
+
+
+@register("checkpoint_groups", f"""SELECT signature, count, first_occurrence, last_occurrence,
+  substring(newest_content, 1, 100) || '...' AS sample_content, avg_interval_min,
+  '~' || {Q.py_fixed('avg_interval_min', 1)} || ' min' AS frequency FROM ({CK_STATS})""")
+def q_checkpoint_groups(spark, sf):
+    return C.checkpoint_groups(_ck_ann(spark, sf)).drop("first_sk", "total_chars")
+
+
+@register("checkpoint_frequency", f"SELECT signature, avg_interval_min FROM ({CK_STATS})")
+def q_checkpoint_frequency(spark, sf):
+    return C.checkpoint_groups(_ck_ann(spark, sf)).select("signature", "avg_interval_min")
+
+
+@register("refetch_signature", f"SELECT signature, id FROM ({CK_ANN}) WHERE signature IN (SELECT signature FROM ({CK_STATS}))")
+def q_refetch_signature(spark, sf):
+    ann = _ck_ann(spark, sf)
+    groups = C.checkpoint_groups(ann)
+    return ann.join(groups.select("signature"), "signature", "left_semi").select("signature", "id")
+
+
+@register("refetch_prefix", f"""WITH g AS (SELECT signature, '%' || substring(substring(newest_content, 1, 100) || '...', 1, 50) || '%' AS pattern FROM ({CK_STATS}))
+SELECT g.signature, o.id FROM ({Q.OBS_CHECKPOINTS}) o JOIN g ON o.content LIKE g.pattern ESCAPE '\\'""")
+def q_refetch_prefix(spark, sf):
+    ann = _ck_ann(spark, sf)
+    cfg = CheckpointConfig(refetch_mode="prefix")
+    return C.refetch_prefix(ann, C.checkpoint_groups(ann), cfg).select("signature", "id")
+
+
+def _summary_sql(n, first, last, avg):
+    return (f"'SUMMARY: ' || CAST({n} AS VARCHAR) || ' automatic checkpoints from ' || strftime({first}, '%Y-%m-%d %H:%M')"
+            f" || ' to ' || strftime({last}, '%Y-%m-%d %H:%M') || ' - ~' || {Q.py_fixed(avg, 1)} || ' min'")
+
+
+CK_PLAN = f"""WITH s AS ({CK_STATS}), t AS ({CK_TOTALS}),
+p AS (SELECT signature, count, total_chars, {_summary_sql('count', 'first_occurrence', 'last_occurrence', 'avg_interval_min')} AS summary,
+             first_occurrence, last_occurrence FROM s)
+SELECT 'consolidate_group' AS action, signature AS group_signature, count AS records_affected,
+       total_chars - length(summary) AS space_saved_chars, summary AS consolidated_content,
+       first_occurrence, last_occurrence
+FROM p WHERE (SELECT redundant_checkpoints FROM t) >= 5"""
+
+
+@register("consolidation_plan", CK_PLAN)
+def q_consolidation_plan(spark, sf):
+    return C.consolidation_plan(_ck_ann(spark, sf)).drop("first_sk")
+
+
+@register("checkpoint_summaries", f"SELECT group_signature, consolidated_content, first_occurrence, last_occurrence FROM ({CK_PLAN})")
+def q_checkpoint_summaries(spark, sf):
+    return C.consolidation_plan(_ck_ann(spark, sf)).select(
+        "group_signature", "consolidated_content", "first_occurrence", "last_occurrence")
+
+
+@register("consolidate_apply", f"""WITH a AS ({CK_ANN}), p AS ({CK_PLAN}), s AS ({CK_STATS}),
+np AS (SELECT p.*, (SELECT max(id) FROM a) + row_number() OVER (ORDER BY s.last_occurrence DESC NULLS LAST, s.newest_id DESC) AS new_id
+       FROM p JOIN s ON s.signature = p.group_signature)
+SELECT a.id, CASE WHEN a.signature IN (SELECT group_signature FROM p) THEN a.content || ' [CONSOLIDATED]' ELSE a.content END AS content,
+       a.created_at
+FROM a
+UNION ALL
+SELECT new_id AS id, consolidated_content AS content, last_occurrence AS created_at FROM np""")
+def q_consolidate_apply(spark, sf):
+    return C.consolidate_apply(obs_checkpoints(spark, sf)).select("id", "content", "created_at")

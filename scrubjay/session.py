@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  AQE re-plans joins at runtime and splits skewed
@@ -66,7 +67,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     partition offsets, so a lost executor recomputes from the written files rather
     than replaying (possibly non-deterministic) upstream stages."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persisted first: a reliable checkpoint otherwise runs its input twice
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin an input that arrives in fewer partitions than the cluster has
+    cores (a single large file, a tiny table) before CPU-heavy text expressions.
+    On a real table with thousands of splits this is a no-op: no shuffle is added."""
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
