@@ -203,3 +203,25 @@ def consolidate_apply(obs: DataFrame, cfg: CheckpointConfig = CheckpointConfig()
         if c not in new_rows.columns:
             new_rows = new_rows.withColumn(c, F.lit(None).cast(obs.schema[c].dataType))
     return marked.unionByName(new_rows.select(*obs.columns))
+
+
+def filter_summary(ann: DataFrame, cfg: CheckpointConfig = CheckpointConfig(),
+                   content_col: str = "content") -> DataFrame:
+    """One row for the filtering report: totals, rates, groups with duplicates and the
+    (gated) space the consolidation would save."""
+    totals = checkpoint_totals(ann)
+    plan = consolidation_plan(ann, cfg, content_col)
+    groups = checkpoint_groups(ann, content_col).agg(F.count(F.lit(1))).scalar()
+    saved = plan.agg(F.coalesce(F.sum("space_saved_chars"), F.lit(0))).scalar()
+    acted = plan.agg(F.count(F.lit(1))).scalar()
+    t, c, r = F.col("total_observations"), F.col("checkpoint_observations"), F.col("redundant_checkpoints")
+    return totals.select(
+        "*",
+        F.when(t > 0, c / t * 100).otherwise(F.lit(0.0)).alias("checkpoint_percentage"),
+        F.when(c > 0, r / c * 100).otherwise(F.lit(0.0)).alias("redundancy_rate"),
+        groups.alias("groups_with_duplicates"),
+        saved.cast("long").alias("space_saved_chars"),
+        acted.alias("groups_consolidated"),
+        F.when(r < cfg.consolidation_threshold, F.lit("no_action_needed"))
+         .otherwise(F.lit("dry_run_completed")).alias("action"),
+    )

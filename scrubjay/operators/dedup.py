@@ -21,7 +21,7 @@ from ..plans.ordering import dense_index, scan_key
 from ..session import spread
 from ..sources.observations import filter_entity
 
-GROUP_COLUMNS = ["group_id", "seed_id", "member_id", "rank_in_group", "is_seed", "created_at",
+GROUP_COLUMNS = ["group_id", "seed_id", "member_id", "rank_in_group", "is_seed", "group_size", "created_at",
                  "exact_match", "sequence_similarity", "levenshtein_similarity",
                  "jaccard_similarity", "composite_similarity"]
 
@@ -50,7 +50,8 @@ def number_groups(members: DataFrame) -> DataFrame:
     seeds = ranked.filter(F.col("sk") == F.col("seed_sk")).select(
         "seed_sk", F.col("id").alias("seed_id"), F.col("_gidx").alias("_start"))
     seeds = dense_index(seeds, [F.col("_start")], "group_id")
-    out = ranked.join(seeds, "seed_sk")
+    sizes = ranked.groupBy("seed_sk").agg(F.count(F.lit(1)).alias("group_size"))
+    out = ranked.join(seeds.join(sizes, "seed_sk"), "seed_sk")
     return (out.withColumn("rank_in_group", (F.col("_gidx") - F.col("_start")).cast("int"))
                .withColumn("is_seed", F.col("rank_in_group") == 0)
                .withColumnRenamed("id", "member_id")

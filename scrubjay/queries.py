@@ -216,3 +216,301 @@ UNION ALL
 SELECT new_id AS id, consolidated_content AS content, last_occurrence AS created_at FROM np""")
 def q_consolidate_apply(spark, sf):
     return C.consolidate_apply(obs_checkpoints(spark, sf)).select("id", "content", "created_at")
+
+
+# ---------------------------------------------------------------- monitor
+
+from .operators import history as H  # noqa: E402
+from .operators import metrics as M  # noqa: E402
+from .operators import recommend as R  # noqa: E402
+from .operators import resolve as RS  # noqa: E402
+
+AS_OF = "2024-01-31 00:00:00"
+
+
+def _snapshot_sql(obs_sql: str, as_of: str = AS_OF) -> str:
+    t = f"TIMESTAMP '{as_of}'"
+    return f"""WITH o AS ({obs_sql}),
+d AS (SELECT content, count(*) AS n FROM o GROUP BY content HAVING count(*) > 1),
+a AS (SELECT CAST(created_at AS DATE) AS date, count(*) AS c FROM o WHERE created_at >= {t} - INTERVAL 7 DAYS GROUP BY 1),
+b AS (SELECT count(*) AS total_records, avg(length(content)) AS avg_text_length, min(created_at) AS oldest_record,
+             max(created_at) AS newest_record,
+             count(*) FILTER (WHERE {Q.monitor_checkpoint_like('content')}) AS total_checkpoints,
+             count(*) FILTER (WHERE {Q.is_processed('content')}) AS processed_records FROM o)
+SELECT {t} AS run_ts, total_records, avg_text_length, oldest_record, newest_record, total_checkpoints,
+  CASE WHEN total_records > 0 THEN total_checkpoints / total_records * 100 ELSE 0.0 END AS checkpoint_percentage,
+  (SELECT count(*) FROM d) AS duplicate_groups, (SELECT coalesce(sum(n - 1), 0) FROM d) AS total_duplicates,
+  CASE WHEN total_records > 0 THEN (SELECT coalesce(sum(n - 1), 0) FROM d) / total_records * 100 ELSE 0.0 END AS duplicate_rate,
+  processed_records,
+  CASE WHEN total_records > 0 THEN processed_records / total_records * 100 ELSE 0.0 END AS processing_rate,
+  (SELECT count(*) FROM a) AS active_days,
+  CASE WHEN (SELECT count(*) FROM a) > 0 THEN (SELECT sum(c) FROM a) / (SELECT count(*) FROM a) ELSE 0.0 END AS avg_daily_activity
+FROM b"""
+
+
+@register("monitor_snapshot", _snapshot_sql(Q.OBS_CHECKPOINTS))
+def monitor_snapshot(spark, sf):
+    return M.snapshot(obs_checkpoints(spark, sf), AS_OF)
+
+
+@register("monitor_snapshot_documents", _snapshot_sql(Q.OBS_DOCUMENTS, "2024-01-08 00:00:00"))
+def monitor_snapshot_documents(spark, sf):
+    return M.snapshot(obs_documents(spark, sf), "2024-01-08 00:00:00")
+
+
+@register("monitor_general", f"SELECT total_records, avg_text_length, oldest_record, newest_record FROM ({_snapshot_sql(Q.OBS_CHECKPOINTS)})")
+def monitor_general(spark, sf):
+    return M.snapshot(obs_checkpoints(spark, sf), AS_OF).select(
+        "total_records", "avg_text_length", "oldest_record", "newest_record")
+
+
+@register("monitor_checkpoint_count", f"SELECT total_checkpoints, checkpoint_percentage FROM ({_snapshot_sql(Q.OBS_CHECKPOINTS)})")
+def monitor_checkpoint_count(spark, sf):
+    return M.snapshot(obs_checkpoints(spark, sf), AS_OF).select("total_checkpoints", "checkpoint_percentage")
+
+
+@register("monitor_duplicates", f"SELECT duplicate_groups, total_duplicates, duplicate_rate FROM ({_snapshot_sql(Q.OBS_DOCUMENTS)})")
+def monitor_duplicates(spark, sf):
+    return M.snapshot(obs_documents(spark, sf), AS_OF).select("duplicate_groups", "total_duplicates", "duplicate_rate")
+
+
+@register("exact_duplicate_groups", f"""SELECT md5(content) AS content_md5, count(*) AS occurrences
+FROM ({Q.OBS_DOCUMENTS}) GROUP BY content HAVING count(*) > 1""")
+def exact_duplicate_groups(spark, sf):
+    obs = obs_documents(spark, sf)
+    return (obs.groupBy(M.content_key("content").alias("k"))
+               .agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") > 1)
+               .select(F.lower(F.hex("k")).alias("content_md5"), "occurrences"))
+
+
+@register("daily_activity", f"""SELECT CAST(created_at AS DATE) AS date, count(*) AS daily_count FROM ({Q.OBS_CHECKPOINTS})
+WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS GROUP BY 1""")
+def q_daily_activity(spark, sf):
+    return M.daily_activity(obs_checkpoints(spark, sf), AS_OF)
+
+
+@register("avg_daily_activity", f"SELECT active_days, avg_daily_activity FROM ({_snapshot_sql(Q.OBS_CHECKPOINTS)})")
+def avg_daily_activity(spark, sf):
+    return M.snapshot(obs_checkpoints(spark, sf), AS_OF).select("active_days", "avg_daily_activity")
+
+
+@register("monitor_processed")
+def monitor_processed(spark, sf):
+    """Processed-marker counts on the table after checkpoint consolidation."""
+    after = C.consolidate_apply(obs_checkpoints(spark, sf))
+    return M.snapshot(after, AS_OF).select("total_records", "processed_records", "processing_rate",
+                                           "total_checkpoints")
+
+
+def _backfill_sql(obs_sql: str) -> str:
+    return f"""WITH o AS (SELECT * FROM ({obs_sql}) WHERE created_at IS NOT NULL),
+r AS (SELECT CAST(d AS TIMESTAMP) AS run_ts FROM (SELECT unnest(generate_series(CAST(min(created_at) AS DATE) + 1,
+        CAST(max(created_at) AS DATE) + 1, INTERVAL 1 DAY)) AS d FROM o)),
+x AS (SELECT r.run_ts, o.* FROM r JOIN o ON o.created_at < r.run_ts),
+g AS (SELECT run_ts, count(*) AS total_records, sum(length(content)) / count(length(content)) AS avg_text_length,
+        min(created_at) AS oldest_record, max(created_at) AS newest_record,
+        count(*) FILTER (WHERE {Q.monitor_checkpoint_like('content')}) AS total_checkpoints,
+        count(*) FILTER (WHERE {Q.is_processed('content')}) AS processed_records FROM x GROUP BY run_ts),
+dc AS (SELECT run_ts, content, count(*) AS n FROM x GROUP BY run_ts, content),
+dd AS (SELECT run_ts, count(*) FILTER (WHERE n > 1) AS duplicate_groups, sum(n - 1) AS total_duplicates FROM dc GROUP BY run_ts),
+act AS (SELECT run_ts, CAST(created_at AS DATE) AS day, count(*) AS c FROM x WHERE created_at >= run_ts - INTERVAL 7 DAYS GROUP BY 1, 2),
+aa AS (SELECT run_ts, sum(c) / count(*) AS avg_daily_activity FROM act GROUP BY run_ts)
+SELECT g.run_ts, total_records, avg_text_length, oldest_record, newest_record, total_checkpoints,
+  total_checkpoints / total_records * 100 AS checkpoint_percentage, duplicate_groups, total_duplicates,
+  total_duplicates / total_records * 100 AS duplicate_rate, processed_records,
+  processed_records / total_records * 100 AS processing_rate, coalesce(avg_daily_activity, 0.0) AS avg_daily_activity
+FROM g JOIN dd USING (run_ts) LEFT JOIN aa USING (run_ts)"""
+
+
+@register("history_backfill", _backfill_sql(Q.OBS_CHECKPOINTS))
+def history_backfill(spark, sf):
+    return H.backfill_history(obs_checkpoints(spark, sf))
+
+
+def _rounded_history_sql(obs_sql: str) -> str:
+    cols = ", ".join(f"{Q.py_round(c, 2)} AS {c}" if c in H.ROUNDED else c
+                     for c in [f.name for f in H.HISTORY_SCHEMA.fields])
+    return f"SELECT {cols} FROM ({_backfill_sql(obs_sql)})"
+
+
+def _effectiveness_sql(obs_sql: str, limit: int = 30) -> str:
+    imp = lambda p, c: f"CASE WHEN {p} > 0 THEN {Q.py_round(f'({p} - {c}) / {p} * 100', 2)} ELSE 0.0 END"
+    return f"""WITH h AS ({_rounded_history_sql(obs_sql)}),
+l AS (SELECT run_ts, duplicate_rate, checkpoint_percentage, processing_rate,
+        lag(run_ts) OVER (ORDER BY run_ts) AS previous_ts,
+        first_value(run_ts) OVER (ORDER BY run_ts ROWS BETWEEN {limit - 1} PRECEDING AND CURRENT ROW) AS baseline_ts,
+        lag(duplicate_rate) OVER (ORDER BY run_ts) AS p_dup,
+        lag(checkpoint_percentage) OVER (ORDER BY run_ts) AS p_ck,
+        lag(processing_rate) OVER (ORDER BY run_ts) AS p_pr FROM h),
+t AS (SELECT *, {imp('p_dup', 'duplicate_rate')} AS dr, {imp('p_ck', 'checkpoint_percentage')} AS co,
+        {Q.py_round('processing_rate - p_pr', 2)} AS pi FROM l),
+c AS (SELECT *, greatest(0.0, least(dr, 50.0)) AS cd, greatest(0.0, least(co, 30.0)) AS cc,
+        greatest(0.0, least(pi * 2, 20.0)) AS cp FROM t),
+s AS (SELECT *, cd + cc + cp AS score FROM c)
+SELECT run_ts, previous_ts, baseline_ts,
+  CASE WHEN previous_ts IS NOT NULL THEN dr END AS duplicate_reduction,
+  CASE WHEN previous_ts IS NOT NULL THEN co END AS checkpoint_optimization,
+  CASE WHEN previous_ts IS NOT NULL THEN pi END AS processing_increase,
+  CASE WHEN previous_ts IS NOT NULL THEN cd END AS component_duplicate,
+  CASE WHEN previous_ts IS NOT NULL THEN cc END AS component_checkpoint,
+  CASE WHEN previous_ts IS NOT NULL THEN cp END AS component_processing,
+  CASE WHEN previous_ts IS NOT NULL THEN score END AS score_raw,
+  CASE WHEN previous_ts IS NOT NULL THEN {Q.py_round('score', 1)} END AS effectiveness_score,
+  CASE WHEN previous_ts IS NULL THEN NULL WHEN score >= 80 THEN 'Excellent' WHEN score >= 60 THEN 'Good'
+       WHEN score >= 40 THEN 'Fair' WHEN score >= 20 THEN 'Poor' ELSE 'Very Poor' END AS effectiveness_grade,
+  CASE WHEN previous_ts IS NULL THEN 'Insufficient history for effectiveness analysis' END AS message
+FROM s"""
+
+
+def _eff(spark, sf):
+    return H.effectiveness(H.as_history_row(H.backfill_history(obs_checkpoints(spark, sf))))
+
+
+@register("history_trends", _effectiveness_sql(Q.OBS_CHECKPOINTS))
+def history_trends(spark, sf):
+    return _eff(spark, sf)
+
+
+@register("effectiveness_score", f"SELECT run_ts, effectiveness_score, effectiveness_grade FROM ({_effectiveness_sql(Q.OBS_CHECKPOINTS)})")
+def effectiveness_score(spark, sf):
+    return _eff(spark, sf).select("run_ts", "effectiveness_score", "effectiveness_grade")
+
+
+@register("history_topk", f"SELECT * FROM ({_rounded_history_sql(Q.OBS_CHECKPOINTS)}) ORDER BY run_ts DESC LIMIT 7")
+def history_topk(spark, sf):
+    return H.retained(H.as_history_row(H.backfill_history(obs_checkpoints(spark, sf))), 7)
+
+
+def _monitor_recs_sql(obs_sql: str) -> str:
+    h = _rounded_history_sql(obs_sql)
+    e = _effectiveness_sql(obs_sql)
+    s = lambda c: f"CAST({c} AS VARCHAR)"
+    return f"""WITH m AS (SELECT h.*, e.effectiveness_score FROM ({h}) h JOIN ({e}) e USING (run_ts)),
+a AS (SELECT run_ts, list_filter([
+  CASE WHEN duplicate_rate > 5.0 THEN 'HIGH duplicate rate (' || {s('duplicate_rate')} || '%) - run deduplication more frequently' END,
+  CASE WHEN checkpoint_percentage > 70.0 THEN 'MANY checkpoints (' || {s('checkpoint_percentage')} || '%) - consider automatic consolidation' END,
+  CASE WHEN processing_rate < 10.0 THEN 'LOW processing rate (' || {s('processing_rate')} || '%) - increase optimization frequency' END,
+  CASE WHEN effectiveness_score < 40 THEN 'LOW effectiveness - review optimization configuration' END,
+  CASE WHEN effectiveness_score < 40 THEN 'CONSIDER adjusting similarity thresholds and consolidation rules' END,
+  CASE WHEN effectiveness_score > 80 THEN 'EXCELLENT effectiveness - maintain current configuration' END,
+  CASE WHEN avg_daily_activity < 1 THEN 'VERY LOW daily activity - verify data input systems' END], lambda x: x IS NOT NULL) AS l FROM m),
+b AS (SELECT run_ts, CASE WHEN len(l) = 0 THEN ['SYSTEM optimal - continue regular monitoring'] ELSE l END AS l FROM a)
+SELECT run_ts, CAST(i - 1 AS INTEGER) AS ord, l[i] AS recommendation FROM b, range(1, len(l) + 1) t(i)"""
+
+
+@register("monitor_recommendations", _monitor_recs_sql(Q.OBS_CHECKPOINTS))
+def q_monitor_recommendations(spark, sf):
+    hist = H.as_history_row(H.backfill_history(obs_checkpoints(spark, sf)))
+    eff = H.effectiveness(hist).select("run_ts", "effectiveness_score")
+    return R.monitor_recommendations(hist.join(eff, "run_ts"))
+
+
+# ---------------------------------------------------------------- resolution
+
+RUN_TS = "2024-06-01 12:00:00"
+
+
+def _groups_docs(spark, sf):
+    return D.find_groups(obs_documents(spark, sf))
+
+
+EXACT_DOCS = _exact_groups_sql(Q.OBS_DOCUMENTS)
+EXACT_DOCS_SIZED = f"SELECT g.*, count(*) OVER (PARTITION BY group_id) AS group_size FROM ({EXACT_DOCS}) g"
+
+
+@register("keep_latest_plan", f"""SELECT 'keep_latest' AS action, group_id, seed_id AS kept_id, member_id AS affected_id,
+  rank_in_group, group_size FROM ({EXACT_DOCS_SIZED}) WHERE NOT is_seed""")
+def keep_latest_plan(spark, sf):
+    return RS.plan(_groups_docs(spark, sf), "keep_latest")
+
+
+@register("flag_only_plan", f"""SELECT 'flag_only' AS action, group_id, seed_id AS kept_id, member_id AS affected_id,
+  rank_in_group, group_size FROM ({EXACT_DOCS_SIZED})""")
+def flag_only_plan(spark, sf):
+    return RS.plan(_groups_docs(spark, sf), "flag_only")
+
+
+@register("resolution_totals", f"""SELECT count(*) FILTER (WHERE is_seed) AS groups_processed, count(*) AS records_affected
+FROM ({EXACT_DOCS})""")
+def resolution_totals(spark, sf):
+    return RS.resolution_totals(_groups_docs(spark, sf))
+
+
+@register("apply_markers_keep_latest", f"""SELECT o.id, CASE WHEN g.member_id IS NULL THEN o.content
+  ELSE o.content || ' [DUPLICATE - KEPT ID: ' || CAST(g.seed_id AS VARCHAR) || ']' END AS content
+FROM ({Q.OBS_DOCUMENTS}) o LEFT JOIN (SELECT * FROM ({EXACT_DOCS}) WHERE NOT is_seed) g ON g.member_id = o.id""")
+def apply_markers_keep_latest(spark, sf):
+    obs = obs_documents(spark, sf)
+    return RS.apply(obs, D.find_groups(obs), "keep_latest").select("id", "content")
+
+
+@register("apply_markers_flag_only", f"""SELECT o.id, CASE WHEN g.member_id IS NULL THEN o.content
+  ELSE o.content || ' [DUPLICATE GROUP: ' || CAST(g.group_id AS VARCHAR) || ']' END AS content
+FROM ({Q.OBS_DOCUMENTS}) o LEFT JOIN ({EXACT_DOCS}) g ON g.member_id = o.id""")
+def apply_markers_flag_only(spark, sf):
+    obs = obs_documents(spark, sf)
+    return RS.apply(obs, D.find_groups(obs), "flag_only").select("id", "content")
+
+
+MERGE_SQL = f"""WITH g AS ({EXACT_DOCS_SIZED}),
+d AS (SELECT group_id, string_agg(strftime(created_at, '%Y-%m-%d %H:%M:%S'), ', ' ORDER BY rank_in_group) AS dates
+      FROM g WHERE NOT is_seed GROUP BY group_id)
+SELECT g.member_id AS id, o.content || chr(10) || '[MERGED from ' || CAST(g.group_size - 1 AS VARCHAR) || ' duplicates on {RUN_TS}]'
+       || chr(10) || '[Original dates: ' || d.dates || ']' AS merged
+FROM g JOIN d USING (group_id) JOIN ({Q.OBS_DOCUMENTS}) o ON o.id = g.member_id WHERE g.is_seed"""
+
+
+@register("merge_plan", MERGE_SQL)
+def merge_plan(spark, sf):
+    obs = obs_documents(spark, sf)
+    return RS.merged_texts(D.find_groups(obs), obs, RUN_TS)
+
+
+@register("apply_markers_merge", f"""WITH m AS ({MERGE_SQL}), s AS (SELECT * FROM ({EXACT_DOCS}) WHERE NOT is_seed)
+SELECT o.id, CASE WHEN m.id IS NOT NULL THEN m.merged
+                  WHEN s.member_id IS NOT NULL THEN o.content || ' [MERGED INTO ID: ' || CAST(s.seed_id AS VARCHAR) || ']'
+                  ELSE o.content END AS content,
+       CASE WHEN m.id IS NOT NULL THEN TIMESTAMP '{RUN_TS}' ELSE o.updated_at END AS updated_at
+FROM ({Q.OBS_DOCUMENTS}) o LEFT JOIN m ON m.id = o.id LEFT JOIN s ON s.member_id = o.id""")
+def apply_markers_merge(spark, sf):
+    obs = obs_documents(spark, sf)
+    return RS.apply(obs, D.find_groups(obs), "merge", RUN_TS).select("id", "content", "updated_at")
+
+
+# ---------------------------------------------------------------- recommendations
+
+def _recs_sql(items: list[str], frm: str) -> str:
+    return f"""WITH a AS (SELECT list_filter([{', '.join(items)}], lambda x: x IS NOT NULL) AS l FROM ({frm}))
+SELECT CAST(i - 1 AS INTEGER) AS ord, l[i] AS recommendation FROM a, range(1, len(l) + 1) t(i)"""
+
+
+@register("dedup_recommendations", _recs_sql([
+    f"""CASE WHEN duplicate_rate > 10 THEN 'HIGH duplicate rate (' || {Q.py_fixed('duplicate_rate', 1)} || '%) - immediate action required'
+        WHEN duplicate_rate > 5 THEN 'MEDIUM duplicate rate (' || {Q.py_fixed('duplicate_rate', 1)} || '%) - schedule cleanup'
+        WHEN duplicate_rate > 1 THEN 'LOW duplicate rate (' || {Q.py_fixed('duplicate_rate', 1)} || '%) - monitor trends'
+        ELSE 'EXCELLENT data quality - maintain current practices' END""",
+    "CASE WHEN duplicate_groups > 0 THEN 'Consider implementing real-time duplicate prevention' END",
+    "CASE WHEN duplicate_groups > 0 THEN 'Schedule regular deduplication maintenance' END",
+    "'Monitor system performance after resolution'",
+    "'Consider adjusting similarity thresholds based on results'"], _totals_sql(Q.OBS_DOCUMENTS)))
+def q_dedup_recommendations(spark, sf):
+    obs = obs_documents(spark, sf)
+    return R.dedup_recommendations(D.dedup_totals(obs, D.find_groups(obs)))
+
+
+CK_SUMMARY = f"""WITH t AS ({CK_TOTALS}), p AS ({CK_PLAN})
+SELECT t.*, (SELECT count(*) FROM ({CK_STATS})) AS groups_with_duplicates,
+       (SELECT coalesce(sum(space_saved_chars), 0) FROM p) AS space_saved_chars FROM t"""
+
+
+@register("checkpoint_recommendations", _recs_sql([
+    f"""CASE WHEN checkpoint_observations / total_observations * 100 > 60 THEN 'HIGH checkpoint ratio (' ||
+        {Q.py_fixed('checkpoint_observations / total_observations * 100', 1)} || '%) - consider consolidation' END""",
+    "CASE WHEN redundant_checkpoints > 10 THEN 'MANY redundant checkpoints (' || CAST(redundant_checkpoints AS VARCHAR) || ') - apply filtering' END",
+    "CASE WHEN groups_with_duplicates > 5 THEN 'MULTIPLE patterns (' || CAST(groups_with_duplicates AS VARCHAR) || ') - review checkpoint configuration' END",
+    f"""CASE WHEN space_saved_chars > 1000 THEN 'SIGNIFICANT space savings: ' || format('{{:,}}', CAST(space_saved_chars AS BIGINT)) ||
+        ' characters (~' || {Q.py_fixed('space_saved_chars / 1000', 1)} || 'KB)' END""",
+    "'AUTOMATION: Configure automatic filtering for future checkpoints'",
+    "'MONITORING: Implement quality metrics post-filtering'"], CK_SUMMARY))
+def q_checkpoint_recommendations(spark, sf):
+    return R.checkpoint_recommendations(C.filter_summary(_ck_ann(spark, sf)))
