@@ -96,6 +96,12 @@ def scored_edges(reps: DataFrame, cfg: DedupConfig) -> DataFrame:
     upper = (F.lit(w.sequence_similarity) * (2 * m / (m + big)) + F.lit(w.levenshtein_similarity) * (m / big)
              + F.lit(w.jaccard_similarity) * F.col("jac"))
     p = p.filter(upper >= F.lit(t - EPS))
+    # the UDF is CPU-bound: give it an explicit partition count, which AQE does not
+    # coalesce, so few-but-long pairs still spread over every core
+    spark = reps.sparkSession
+    n = max(spark.sparkContext.defaultParallelism,
+            int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    p = p.repartition(n)
     scores = pair_scores_udf(w, t, cfg.autojunk)(F.col("na"), F.col("nb"), F.col("jac"))
     p = p.withColumn("sc", scores).filter(F.col("sc")["seq"].isNotNull())
     exact = F.lit(0.0)

@@ -514,3 +514,59 @@ SELECT t.*, (SELECT count(*) FROM ({CK_STATS})) AS groups_with_duplicates,
     "'MONITORING: Implement quality metrics post-filtering'"], CK_SUMMARY))
 def q_checkpoint_recommendations(spark, sf):
     return R.checkpoint_recommendations(C.filter_summary(_ck_ann(spark, sf)))
+
+
+# ---------------------------------------------------------------- fuzzy dedup
+
+from .plans import candidates as CA  # noqa: E402
+
+FUZZY = DedupConfig(similarity_threshold=0.60)
+FUZZY_OUT = GROUP_OUT + ["exact_match", "sequence_similarity", "levenshtein_similarity",
+                         "jaccard_similarity", "composite_similarity"]
+
+
+def _doc_rows(spark, sf):
+    prep = D.prepare(obs_documents(spark, sf))
+    return prep.filter(F.col("norm").isNotNull()).select(
+        "id", "created_at", "sk", "norm", D.norm_key(F.col("norm")).alias("key"))
+
+
+@register("jaccard_pairs", f"""WITH p AS (SELECT id, created_at, {Q.normalize('content')} AS norm FROM ({Q.OBS_DOCUMENTS}) WHERE content IS NOT NULL),
+r AS (SELECT norm, first(id ORDER BY {Q.SCAN_ORDER}) AS id, first(created_at ORDER BY {Q.SCAN_ORDER}) AS created_at,
+             list_distinct(list_filter(string_split(norm, ' '), lambda w: w <> '')) AS words
+      FROM p WHERE length(norm) > 0 GROUP BY norm),
+x AS (SELECT a.id AS u_id, b.id AS v_id, len(list_intersect(a.words, b.words)) AS i, len(a.words) AS na, len(b.words) AS nb
+      FROM r a JOIN r b ON (a.created_at > b.created_at OR (a.created_at = b.created_at AND a.id > b.id))
+      WHERE least(len(a.words), len(b.words)) >= 0.5 * greatest(len(a.words), len(b.words)) - 1e-9)
+SELECT u_id, v_id, i / (na + nb - i) AS jaccard FROM x WHERE i / (na + nb - i) >= 0.5""")
+def q_jaccard_pairs(spark, sf):
+    pairs = CA.jaccard_pairs(_doc_rows(spark, sf), 0.5)
+    return pairs.select((-F.col("u")["i"]).alias("u_id"), (-F.col("v")["i"]).alias("v_id"), "jaccard")
+
+
+@register("fuzzy_pairs")
+def fuzzy_pairs(spark, sf):
+    """Verified similarity edges at threshold 0.60 between distinct normalized texts."""
+    reps = CA.representatives(_doc_rows(spark, sf))
+    e = CA.scored_edges(reps, FUZZY)
+    return e.select((-F.col("u")["i"]).alias("u_id"), (-F.col("v")["i"]).alias("v_id"),
+                    "exact_match", "sequence_similarity", "levenshtein_similarity",
+                    "jaccard_similarity", "composite_similarity")
+
+
+@register("dedup_groups")
+def dedup_groups(spark, sf):
+    """Greedy seed groups at threshold 0.60 (fuzzy path), with seed-member scores."""
+    return D.find_groups(obs_documents(spark, sf), FUZZY).select(*FUZZY_OUT)
+
+
+@register("dedup_groups_conversations")
+def dedup_groups_conversations(spark, sf):
+    """Negative control: conversations hold no near-duplicate pair at 0.60."""
+    return D.find_groups(obs_conversations(spark, sf), FUZZY).select(*FUZZY_OUT)
+
+
+@register("fuzzy_totals")
+def fuzzy_totals(spark, sf):
+    obs = obs_documents(spark, sf)
+    return D.dedup_totals(obs, D.find_groups(obs, FUZZY))

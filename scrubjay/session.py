@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +44,30 @@ def get_spark(master: str | None = None, app: str = "scrubjay",
               "spark.sql.adaptive.skewJoin.enabled"):
         spark.conf.set(k, settings[k])
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in executor Python workers (the Arrow UDFs pickle
+    references to its functions): zip it once per SparkContext and ``addPyFile`` it,
+    which is how Spark distributes Python code to every executor of a cluster."""
+    sc = spark.sparkContext
+    if getattr(sc, "_scrubjay_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="scrubjay-pkg-")
+    zip_path = os.path.join(out_dir, "scrubjay.zip")
+    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zip_path)
+    sc._scrubjay_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when none is configured
     (a laptop or a test) fall back to a fresh local scratch folder."""
