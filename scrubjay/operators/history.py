@@ -147,7 +147,9 @@ def effectiveness(history: DataFrame, cfg: MonitorConfig = MonitorConfig()) -> D
     )
 
     def improvement(prev, cur):
-        return F.when(prev > 0, py_round((prev - cur) / prev * 100, 2)).otherwise(F.lit(0.0))
+        # the UDF's argument is evaluated on every row, so the divisor is NULL, not 0, when unused
+        safe = F.when(prev > 0, prev)
+        return F.when(prev > 0, py_round((prev - cur) / safe * 100, 2)).otherwise(F.lit(0.0))
 
     has_prev = F.col("previous_ts").isNotNull()
     dup = improvement(F.col("p_dup"), F.col("duplicate_rate"))
