@@ -90,7 +90,12 @@ def pair_scores_udf(weights: Weights, threshold: float, autojunk: bool = True):
             m, big = min(len(x), len(y)), max(len(x), len(y))
             s_max = 1.0 if big == 0 else 2.0 * m / (m + big)
             if s * s_max + l * lv + j * jv >= threshold - 1e-9:
-                seq.append(sequence_ratio_py(x, y, autojunk))
+                sm = SequenceMatcher(None, x, y, autojunk=autojunk)
+                # quick_ratio() (shared character multiset) bounds ratio() from above in O(n)
+                if s * sm.quick_ratio() + l * lv + j * jv >= threshold - 1e-9:
+                    seq.append(sm.ratio())
+                else:
+                    seq.append(None)
             else:
                 seq.append(None)
             lev.append(lv)

@@ -75,8 +75,10 @@ def with_scores(groups: DataFrame, scores: dict) -> DataFrame:
 def exact_groups(prep: DataFrame, weights: Weights = Weights()) -> DataFrame:
     """Groups of equal normalized text with more than one member."""
     # slim rows (ids, times, 16-byte key) are read twice: by the class aggregate and
-    # by the join back, so the text is normalized once and never shuffled
-    p = (prep.filter(F.col("norm").isNotNull())
+    # by the join back, so the text is normalized once and never shuffled.  The NULL
+    # test is on the raw text: a predicate on ``norm`` would be pushed below the input
+    # repartition and normalize every row twice.
+    p = (prep.filter(F.col("content").isNotNull())
              .select("id", "created_at", "sk", norm_key(F.col("norm")).alias("key"))
              .persist(StorageLevel.MEMORY_AND_DISK))
     classes = (p.groupBy("key")

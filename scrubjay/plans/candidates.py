@@ -51,14 +51,45 @@ def prefix_len(nw, tau: float):
 
 
 def token_prefixes(reps: DataFrame, tau: float) -> DataFrame:
-    """(v, tok, nw, nc) for the prefix words of every representative."""
+    """(v, tok, pos, nw, nc) for the prefix words of every representative; ``pos`` is the
+    word's 0-based place in the global (document frequency, word) order."""
     toks = reps.select("v", F.explode("words").alias("tok"))
     freq = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     ranked = (toks.join(freq, "tok")
                   .groupBy("v").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ord")))
     pref = (ranked.join(reps.select("v", "nw", "nc"), "v")
-                  .select("v", "nw", "nc", F.explode(F.slice("ord", 1, prefix_len(F.col("nw"), tau))).alias("e")))
-    return pref.select("v", "nw", "nc", F.col("e")["tok"].alias("tok"))
+                  .select("v", "nw", "nc",
+                          F.posexplode(F.slice("ord", 1, prefix_len(F.col("nw"), tau))).alias("pos", "e")))
+    return pref.select("v", "nw", "nc", "pos", F.col("e")["tok"].alias("tok"))
+
+
+def _pair_jaccard_floor(cfg: DedupConfig, m, big):
+    """Per-pair Jaccard floor: with the best ratio and Levenshtein the lengths allow,
+    J must still reach (t - s*2m/(m+M) - l*m/M) / j (never below the global floor)."""
+    w = cfg.weights
+    raw = (F.lit(cfg.similarity_threshold) - F.lit(w.sequence_similarity) * (2 * m / (m + big))
+           - F.lit(w.levenshtein_similarity) * (m / big)) / F.lit(w.jaccard_similarity)
+    return F.greatest(raw, F.lit(jaccard_floor(cfg)))
+
+
+def _prefix_join(pref: DataFrame, cond_extra, floor_fn) -> DataFrame:
+    """Pairs sharing a prefix word, then the positional filter (Xiao et al., PPJoin
+    2008): both sets use one global word order, so the first shared word sits at the
+    smallest position in both, and the overlap is at most 1 + min(|x|-i-1, |y|-j-1).
+    A pair survives only if that bound reaches the overlap its Jaccard floor needs,
+    ceil(tau/(1+tau) * (|x|+|y|))."""
+    a = pref.select(F.col("v").alias("u"), "tok", F.col("pos").alias("pa"), F.col("nw").alias("nwa"),
+                    F.col("nc").alias("nca"))
+    b = pref.select("v", "tok", F.col("pos").alias("pb"), F.col("nw").alias("nwb"), F.col("nc").alias("ncb"))
+    cond = (a["tok"] == b["tok"]) & (a["u"] < b["v"]) & cond_extra(a, b)
+    hits = a.join(b, cond).select("u", "v", "pa", "pb", "nwa", "nwb", "nca", "ncb")
+    first = hits.groupBy("u", "v").agg(F.min(F.struct("pa", "pb")).alias("f"), F.first("nwa").alias("nwa"),
+                                       F.first("nwb").alias("nwb"), F.first("nca").alias("nca"),
+                                       F.first("ncb").alias("ncb"))
+    tau = floor_fn(F.col("nca"), F.col("ncb"))
+    need = F.ceil(tau / (1 + tau) * (F.col("nwa") + F.col("nwb")) - F.lit(EPS))
+    bound = 1 + F.least(F.col("nwa") - F.col("f")["pa"] - 1, F.col("nwb") - F.col("f")["pb"] - 1)
+    return first.filter(bound >= need).select("u", "v")
 
 
 def _length_bound(cfg: DedupConfig, ma, mb, wa, wb):
@@ -71,14 +102,17 @@ def _length_bound(cfg: DedupConfig, ma, mb, wa, wb):
 
 
 def candidate_pairs(reps: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(u, v) with u earlier in scan order, sharing a prefix word and within the length bound."""
+    """(u, v) with u earlier in scan order that pass the prefix, length and positional filters."""
     tau = check_prunable(cfg)
     pref = token_prefixes(reps, tau)
-    a = pref.select(F.col("v").alias("u"), F.col("tok"), F.col("nw").alias("nwa"), F.col("nc").alias("nca"))
-    b = pref.select(F.col("v"), F.col("tok"), F.col("nw").alias("nwb"), F.col("nc").alias("ncb"))
-    cond = ((a["tok"] == b["tok"]) & (a["u"] < b["v"])
-            & _length_bound(cfg, a["nca"], b["ncb"], a["nwa"], b["nwb"]))
-    return a.join(b, cond).select("u", "v").distinct()
+
+    def extra(a, b):
+        return _length_bound(cfg, a["nca"], b["ncb"], a["nwa"], b["nwb"])
+
+    def floor(ma, mb):
+        return _pair_jaccard_floor(cfg, F.least(ma, mb), F.greatest(ma, mb))
+
+    return _prefix_join(pref, extra, floor)
 
 
 def scored_edges(reps: DataFrame, cfg: DedupConfig) -> DataFrame:
@@ -87,19 +121,22 @@ def scored_edges(reps: DataFrame, cfg: DedupConfig) -> DataFrame:
     w, t = cfg.weights, cfg.similarity_threshold
     reps = reps.persist(StorageLevel.MEMORY_AND_DISK)
     cand = candidate_pairs(reps, cfg)
-    ra = reps.select(F.col("v").alias("u"), F.col("norm").alias("na"), F.col("words").alias("wa"),
-                     F.col("nc").alias("nca"))
-    rb = reps.select("v", F.col("norm").alias("nb"), F.col("words").alias("wb"), F.col("nc").alias("ncb"))
+    # phase 1: exact Jaccard and the length bound with word sets only
+    ra = reps.select(F.col("v").alias("u"), F.col("words").alias("wa"), F.col("nc").alias("nca"))
+    rb = reps.select("v", F.col("words").alias("wb"), F.col("nc").alias("ncb"))
     p = cand.join(ra, "u").join(rb, "v")
     p = p.withColumn("jac", jaccard(F.col("wa"), F.col("wb")))
     m, big = F.least("nca", "ncb"), F.greatest("nca", "ncb")
     upper = (F.lit(w.sequence_similarity) * (2 * m / (m + big)) + F.lit(w.levenshtein_similarity) * (m / big)
              + F.lit(w.jaccard_similarity) * F.col("jac"))
-    p = p.filter(upper >= F.lit(t - EPS))
+    p = p.filter(upper >= F.lit(t - EPS)).select("u", "v", "jac")
+    # phase 2: texts only for the pairs still in the running
+    p = (p.join(reps.select(F.col("v").alias("u"), F.col("norm").alias("na")), "u")
+          .join(reps.select("v", F.col("norm").alias("nb")), "v"))
     # the UDF is CPU-bound: give it an explicit partition count, which AQE does not
     # coalesce, so few-but-long pairs still spread over every core
     spark = reps.sparkSession
-    n = max(spark.sparkContext.defaultParallelism,
+    n = max(4 * spark.sparkContext.defaultParallelism,
             int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     p = p.repartition(n)
     scores = pair_scores_udf(w, t, cfg.autojunk)(F.col("na"), F.col("nb"), F.col("jac"))
@@ -128,11 +165,11 @@ def jaccard_pairs(rows: DataFrame, tau: float) -> DataFrame:
         raise ValueError("tau must be positive")
     reps = representatives(rows).persist(StorageLevel.MEMORY_AND_DISK)
     pref = token_prefixes(reps, tau)
-    a = pref.select(F.col("v").alias("u"), "tok", F.col("nw").alias("nwa"))
-    b = pref.select("v", "tok", F.col("nw").alias("nwb"))
-    cond = ((a["tok"] == b["tok"]) & (a["u"] < b["v"])
-            & (F.least("nwa", "nwb") >= F.greatest("nwa", "nwb") * F.lit(tau) - F.lit(EPS)))
-    cand = a.join(b, cond).select("u", "v").distinct()
+
+    def extra(a, b):
+        return F.least(a["nwa"], b["nwb"]) >= F.greatest(a["nwa"], b["nwb"]) * F.lit(tau) - F.lit(EPS)
+
+    cand = _prefix_join(pref, extra, lambda ma, mb: F.lit(tau))
     p = (cand.join(reps.select(F.col("v").alias("u"), F.col("words").alias("wa")), "u")
              .join(reps.select("v", F.col("words").alias("wb")), "v"))
     return (p.select("u", "v", jaccard(F.col("wa"), F.col("wb")).alias("jaccard"))

@@ -66,7 +66,7 @@ def greedy_seeds(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
 
 def fuzzy_groups(prep: DataFrame, cfg: DedupConfig) -> DataFrame:
     """Duplicate groups for thresholds that unequal texts can reach."""
-    rows = (prep.filter(F.col("norm").isNotNull())
+    rows = (prep.filter(F.col("content").isNotNull())
                 .select("id", "created_at", "sk", "norm", norm_key(F.col("norm")).alias("key"))
                 .persist(StorageLevel.MEMORY_AND_DISK))
     reps = representatives(rows)

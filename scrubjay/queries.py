@@ -527,7 +527,7 @@ FUZZY_OUT = GROUP_OUT + ["exact_match", "sequence_similarity", "levenshtein_simi
 
 def _doc_rows(spark, sf):
     prep = D.prepare(obs_documents(spark, sf))
-    return prep.filter(F.col("norm").isNotNull()).select(
+    return prep.filter(F.col("content").isNotNull()).select(
         "id", "created_at", "sk", "norm", D.norm_key(F.col("norm")).alias("key"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark import StorageLevel
@@ -83,17 +84,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Used between rounds of the iterative grouping and before numbering rows by
-    partition offsets, so a lost executor recomputes from the written files rather
-    than replaying (possibly non-deterministic) upstream stages."""
-    ensure_checkpoint_dir(df.sparkSession)
-    # persisted first: a reliable checkpoint otherwise runs its input twice
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+    partition offsets: a lost executor then re-reads the written files instead of
+    replaying (possibly non-deterministic) upstream stages.  One job, where
+    ``DataFrame.checkpoint`` needs the input computed twice or cached first."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
