@@ -206,14 +206,17 @@ def q_checkpoint_summaries(spark, sf):
         "group_signature", "consolidated_content", "first_occurrence", "last_occurrence")
 
 
-@register("consolidate_apply", f"""WITH a AS ({CK_ANN}), p AS ({CK_PLAN}), s AS ({CK_STATS}),
+CK_APPLY = f"""WITH a AS ({CK_ANN}), p AS ({CK_PLAN}), s AS ({CK_STATS}),
 np AS (SELECT p.*, (SELECT max(id) FROM a) + row_number() OVER (ORDER BY s.last_occurrence DESC NULLS LAST, s.newest_id DESC) AS new_id
        FROM p JOIN s ON s.signature = p.group_signature)
 SELECT a.id, CASE WHEN a.signature IN (SELECT group_signature FROM p) THEN a.content || ' [CONSOLIDATED]' ELSE a.content END AS content,
        a.created_at
 FROM a
 UNION ALL
-SELECT new_id AS id, consolidated_content AS content, last_occurrence AS created_at FROM np""")
+SELECT new_id AS id, consolidated_content AS content, last_occurrence AS created_at FROM np"""
+
+
+@register("consolidate_apply", CK_APPLY)
 def q_consolidate_apply(spark, sf):
     return C.consolidate_apply(obs_checkpoints(spark, sf)).select("id", "content", "created_at")
 
@@ -294,7 +297,8 @@ def avg_daily_activity(spark, sf):
     return M.snapshot(obs_checkpoints(spark, sf), AS_OF).select("active_days", "avg_daily_activity")
 
 
-@register("monitor_processed")
+@register("monitor_processed", f"""SELECT total_records, processed_records, processing_rate, total_checkpoints
+FROM ({_snapshot_sql(CK_APPLY)})""")
 def monitor_processed(spark, sf):
     """Processed-marker counts on the table after checkpoint consolidation."""
     after = C.consolidate_apply(obs_checkpoints(spark, sf))
