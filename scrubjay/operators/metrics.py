@@ -72,3 +72,35 @@ def snapshot(obs: DataFrame, as_of, cfg: MonitorConfig = MonitorConfig(),
         a["days"].alias("active_days"),
         F.when(a["days"] > 0, a["rows"] / a["days"]).otherwise(F.lit(0.0)).alias("avg_daily_activity"),
     )
+
+
+def quality_metrics(obs: DataFrame, content_col: str = "content") -> DataFrame:
+    """Storage utilization, completeness and integrity of an observation table: text
+    bytes (UTF-8), NULL ratios, ids that occur more than once.  One aggregate pass plus
+    one grouped count on ``id`` (partial aggregation before the shuffle)."""
+    c = F.col(content_col)
+    base = obs.agg(
+        F.count(F.lit(1)).alias("total_records"),
+        F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias("content_bytes"),
+        F.coalesce(F.sum(F.length(c)), F.lit(0)).alias("content_chars"),
+        F.count(F.when(c.isNull(), 1)).alias("null_content"),
+        F.count(F.when(F.col("created_at").isNull(), 1)).alias("null_created_at"),
+        F.count(F.when(F.length(c) == 0, 1)).alias("empty_content"),
+    )
+    dup = (obs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+              .agg(F.count(F.lit(1)).alias("ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")))
+    d = dup.select(F.struct("ids", "rows")).scalar()
+    total = F.col("total_records")
+
+    def ratio(x):
+        return F.when(total > 0, x / total).otherwise(F.lit(0.0))
+
+    return base.select(
+        "total_records", "content_bytes", "content_chars",
+        F.when(total > 0, F.col("content_bytes") / total).otherwise(F.lit(0.0)).alias("avg_bytes_per_record"),
+        "null_content", ratio(F.col("null_content")).alias("null_content_ratio"),
+        "null_created_at", ratio(F.col("null_created_at")).alias("null_created_at_ratio"),
+        "empty_content",
+        (F.lit(1.0) - ratio(F.col("null_content") + F.col("empty_content"))).alias("completeness"),
+        d["ids"].alias("duplicate_ids"), d["rows"].alias("rows_with_duplicate_id"),
+    )

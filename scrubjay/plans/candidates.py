@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import DedupConfig
 from ..functions.similarity import composite, jaccard, pair_scores_udf
 from ..functions.text import word_set
+from ..session import cut_lineage
 
 EPS = 1e-9
 
@@ -140,7 +141,9 @@ def scored_edges(reps: DataFrame, cfg: DedupConfig) -> DataFrame:
             int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     p = p.repartition(n)
     scores = pair_scores_udf(w, t, cfg.autojunk)(F.col("na"), F.col("nb"), F.col("jac"))
-    p = p.withColumn("sc", scores).filter(F.col("sc")["seq"].isNotNull())
+    # written once: a filter on the UDF result would otherwise be pushed below the
+    # repartition and the UDF would run twice
+    p = cut_lineage(p.select("u", "v", "jac", scores.alias("sc"))).filter(F.col("sc")["seq"].isNotNull())
     exact = F.lit(0.0)
     comp = composite(w, exact, F.col("sc")["seq"], F.col("sc")["lev"], F.col("jac"))
     return (p.select("u", "v", exact.alias("exact_match"), F.col("sc")["seq"].alias("sequence_similarity"),

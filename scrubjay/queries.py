@@ -574,3 +574,30 @@ def dedup_groups_conversations(spark, sf):
 def fuzzy_totals(spark, sf):
     obs = obs_documents(spark, sf)
     return D.dedup_totals(obs, D.find_groups(obs, FUZZY))
+
+
+def _quality_sql(obs_sql: str) -> str:
+    return f"""WITH o AS ({obs_sql}), d AS (SELECT id, count(*) AS n FROM o GROUP BY id HAVING count(*) > 1),
+b AS (SELECT count(*) AS total_records, coalesce(sum(octet_length(encode(content))), 0) AS content_bytes,
+             coalesce(sum(length(content)), 0) AS content_chars,
+             count(*) FILTER (WHERE content IS NULL) AS null_content,
+             count(*) FILTER (WHERE created_at IS NULL) AS null_created_at,
+             count(*) FILTER (WHERE length(content) = 0) AS empty_content FROM o)
+SELECT total_records, content_bytes, content_chars,
+  CASE WHEN total_records > 0 THEN content_bytes / total_records ELSE 0.0 END AS avg_bytes_per_record,
+  null_content, CASE WHEN total_records > 0 THEN null_content / total_records ELSE 0.0 END AS null_content_ratio,
+  null_created_at, CASE WHEN total_records > 0 THEN null_created_at / total_records ELSE 0.0 END AS null_created_at_ratio,
+  empty_content,
+  1.0 - CASE WHEN total_records > 0 THEN (null_content + empty_content) / total_records ELSE 0.0 END AS completeness,
+  (SELECT count(*) FROM d) AS duplicate_ids, (SELECT coalesce(sum(n), 0) FROM d) AS rows_with_duplicate_id
+FROM b"""
+
+
+@register("quality_metrics", _quality_sql(Q.OBS_DOCUMENTS))
+def quality_metrics(spark, sf):
+    return M.quality_metrics(obs_documents(spark, sf))
+
+
+@register("quality_metrics_checkpoints", _quality_sql(Q.OBS_CHECKPOINTS))
+def quality_metrics_checkpoints(spark, sf):
+    return M.quality_metrics(obs_checkpoints(spark, sf))
