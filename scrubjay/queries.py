@@ -601,3 +601,24 @@ def quality_metrics(spark, sf):
 @register("quality_metrics_checkpoints", _quality_sql(Q.OBS_CHECKPOINTS))
 def quality_metrics_checkpoints(spark, sf):
     return M.quality_metrics(obs_checkpoints(spark, sf))
+
+
+# ---------------------------------------------------------------- archiving
+
+from .operators import archive as AR  # noqa: E402
+
+ARCHIVE_DAYS = 14
+
+
+@register("archive_stubbed", f"""SELECT id, CASE WHEN created_at < TIMESTAMP '{AS_OF}' - INTERVAL {ARCHIVE_DAYS} DAYS
+  THEN '[ARCHIVED ' || strftime(created_at, '%Y-%m') || ']' ELSE content END AS content, created_at
+FROM ({Q.OBS_CHECKPOINTS})""")
+def archive_stubbed(spark, sf):
+    return AR.stubbed(obs_checkpoints(spark, sf), AS_OF, ARCHIVE_DAYS).select("id", "content", "created_at")
+
+
+@register("archive_manifest", f"""SELECT count(*) AS rows, coalesce(sum(octet_length(encode(content))), 0) AS content_bytes,
+  min(created_at) AS oldest, max(created_at) AS newest
+FROM ({Q.OBS_CHECKPOINTS}) WHERE created_at < TIMESTAMP '{AS_OF}' - INTERVAL {ARCHIVE_DAYS} DAYS""")
+def archive_manifest(spark, sf):
+    return AR.manifest(AR.cold_rows(obs_checkpoints(spark, sf), AS_OF, ARCHIVE_DAYS)).drop("checksum")
