@@ -9,6 +9,7 @@ O(n * m / 64) word operations, and ``difflib`` is the definition of the ratio.
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -78,27 +79,41 @@ PAIR_SCORES = T.StructType([T.StructField("lev", T.DoubleType()), T.StructField(
 
 
 def pair_scores_udf(weights: Weights, threshold: float, autojunk: bool = True):
-    """Arrow UDF ``(a, b, jaccard) -> struct<lev, seq>``.  ``seq`` is computed only when
-    the pair can still reach ``threshold`` with the best possible ratio 2m/(m+M)."""
+    """Arrow UDF ``(a, b, jaccard) -> struct<lev, seq>``, NULL ``seq`` when the pair cannot
+    reach ``threshold``.  Exact upper bounds are tried before each expensive step:
+
+    * I = size of the shared character multiset: ratio <= 2I/(n+m) (difflib's
+      ``quick_ratio``) and Levenshtein similarity <= I/max(n, m), before any alignment;
+    * with the edit distance d known, the matching blocks form a common subsequence,
+      and a common subsequence of length c leaves an alignment of cost <= max(n,m) - c,
+      so ratio <= 2(max(n,m) - d)/(n+m) before ``SequenceMatcher`` runs.
+    """
     s, l, j = weights.sequence_similarity, weights.levenshtein_similarity, weights.jaccard_similarity
+    floor = threshold - 1e-9
 
     @F.pandas_udf(PAIR_SCORES)
     def scores(a: pd.Series, b: pd.Series, jac: pd.Series) -> pd.DataFrame:
         lev, seq = [], []
         for x, y, jv in zip(a, b, jac):
-            lv = levenshtein_similarity_py(x, y)
-            m, big = min(len(x), len(y)), max(len(x), len(y))
-            s_max = 1.0 if big == 0 else 2.0 * m / (m + big)
-            if s * s_max + l * lv + j * jv >= threshold - 1e-9:
-                sm = SequenceMatcher(None, x, y, autojunk=autojunk)
-                # quick_ratio() (shared character multiset) bounds ratio() from above in O(n)
-                if s * sm.quick_ratio() + l * lv + j * jv >= threshold - 1e-9:
-                    seq.append(sm.ratio())
-                else:
-                    seq.append(None)
-            else:
+            n, m = len(x), len(y)
+            big = max(n, m)
+            if big == 0:
+                lev.append(1.0)
+                seq.append(1.0)
+                continue
+            shared = sum((Counter(x) & Counter(y)).values())
+            if s * (2.0 * shared / (n + m)) + l * (shared / big) + j * jv < floor:
+                lev.append(None)
                 seq.append(None)
+                continue
+            d = levenshtein_distance(x, y)
+            lv = 1.0 - (d / big)
             lev.append(lv)
+            s_bound = min(2.0 * shared / (n + m), 2.0 * (big - d) / (n + m))
+            if s * s_bound + l * lv + j * jv >= floor:
+                seq.append(SequenceMatcher(None, x, y, autojunk=autojunk).ratio())
+            else:
+                seq.append(None)
         return pd.DataFrame({"lev": lev, "seq": seq})
 
     return scores

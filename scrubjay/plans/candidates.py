@@ -105,7 +105,7 @@ def _length_bound(cfg: DedupConfig, ma, mb, wa, wb):
 def candidate_pairs(reps: DataFrame, cfg: DedupConfig) -> DataFrame:
     """(u, v) with u earlier in scan order that pass the prefix, length and positional filters."""
     tau = check_prunable(cfg)
-    pref = token_prefixes(reps, tau)
+    pref = cut_lineage(token_prefixes(reps, tau))   # both sides of the self-join read it
 
     def extra(a, b):
         return _length_bound(cfg, a["nca"], b["ncb"], a["nwa"], b["nwb"])
@@ -120,7 +120,6 @@ def scored_edges(reps: DataFrame, cfg: DedupConfig) -> DataFrame:
     """Verified similarity edges ``(u, v, exact_match, sequence_similarity,
     levenshtein_similarity, jaccard_similarity, composite_similarity)``, u earlier."""
     w, t = cfg.weights, cfg.similarity_threshold
-    reps = reps.persist(StorageLevel.MEMORY_AND_DISK)
     cand = candidate_pairs(reps, cfg)
     # phase 1: exact Jaccard and the length bound with word sets only
     ra = reps.select(F.col("v").alias("u"), F.col("words").alias("wa"), F.col("nc").alias("nca"))

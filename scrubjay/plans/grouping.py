@@ -23,7 +23,6 @@ their representative's group.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DedupConfig
@@ -66,10 +65,11 @@ def greedy_seeds(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
 
 def fuzzy_groups(prep: DataFrame, cfg: DedupConfig) -> DataFrame:
     """Duplicate groups for thresholds that unequal texts can reach."""
-    rows = (prep.filter(F.col("content").isNotNull())
-                .select("id", "created_at", "sk", "norm", norm_key(F.col("norm")).alias("key"))
-                .persist(StorageLevel.MEMORY_AND_DISK))
-    reps = representatives(rows)
+    # written once each: several branches read them, and concurrent jobs would each
+    # recompute a merely persisted frame before its cache is filled
+    rows = cut_lineage(prep.filter(F.col("content").isNotNull())
+                           .select("id", "created_at", "sk", "norm", norm_key(F.col("norm")).alias("key")))
+    reps = cut_lineage(representatives(rows))
     edges = cut_lineage(scored_edges(reps, cfg))
     status = greedy_seeds(edges, cfg.max_rounds)
     seeds = status.filter(F.col("seed")).select(F.col("x").alias("u"))
