@@ -622,3 +622,17 @@ def archive_stubbed(spark, sf):
 FROM ({Q.OBS_CHECKPOINTS}) WHERE created_at < TIMESTAMP '{AS_OF}' - INTERVAL {ARCHIVE_DAYS} DAYS""")
 def archive_manifest(spark, sf):
     return AR.manifest(AR.cold_rows(obs_checkpoints(spark, sf), AS_OF, ARCHIVE_DAYS)).drop("checksum")
+
+
+# ---------------------------------------------------------------- scan order
+
+from .plans.ordering import dense_index, scan_key  # noqa: E402
+
+
+@register("scan_order", f"""SELECT id, created_at, row_number() OVER (ORDER BY {Q.SCAN_ORDER}) - 1 AS scan_rank
+FROM ({Q.OBS_CHECKPOINTS})""")
+def scan_order(spark, sf):
+    """Global newest-first rank (ties by id, NULL times last), numbered without a
+    single-partition window."""
+    obs = obs_checkpoints(spark, sf).select("id", "created_at", scan_key().alias("sk"))
+    return dense_index(obs, [F.col("sk")], "scan_rank").select("id", "created_at", "scan_rank")
