@@ -68,11 +68,13 @@ def run_checkpoint_filter(spark: SparkSession, obs: DataFrame, out_dir: str, cfg
                           apply: bool = False, store: SnapshotStore | None = None) -> dict:
     """Analyze once -> report (+ dry-run plan) -> optional consolidation."""
     ann = C.annotate(obs, cfg.checkpoints).persist(StorageLevel.MEMORY_AND_DISK)
-    groups = C.checkpoint_groups(ann)
-    groups.drop("first_sk").write.mode("overwrite").parquet(os.path.join(out_dir, "checkpoint_groups"))
-    plan = C.consolidation_plan(ann, cfg.checkpoints)
-    plan.drop("first_sk").write.mode("overwrite").parquet(os.path.join(out_dir, "consolidation_plan"))
-    summary = C.filter_summary(ann, cfg.checkpoints)
+    groups_path = os.path.join(out_dir, "checkpoint_groups")
+    C.checkpoint_groups(ann).write.mode("overwrite").parquet(groups_path)
+    groups = spark.read.parquet(groups_path)
+    plan_path = os.path.join(out_dir, "consolidation_plan")
+    C.consolidation_plan(ann, cfg.checkpoints).write.mode("overwrite").parquet(plan_path)
+    plan = spark.read.parquet(plan_path)
+    summary = C.filter_summary(ann, cfg.checkpoints, plan=plan, groups=groups)
     recs = R.checkpoint_recommendations(summary)
     rec_list = recs.orderBy("ord").agg(F.collect_list("recommendation")).scalar()
     report = summary.select(
@@ -87,7 +89,7 @@ def run_checkpoint_filter(spark: SparkSession, obs: DataFrame, out_dir: str, cfg
     if apply:
         if store is None:
             raise ValueError("apply=True needs a SnapshotStore to write the new version")
-        result["version"] = store.write(C.consolidate_apply(obs, cfg.checkpoints))
+        result["version"] = store.write(C.consolidate_apply(obs, cfg.checkpoints, ann=ann, plan=plan))
     ann.unpersist()
     return result
 

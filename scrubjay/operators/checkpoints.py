@@ -179,12 +179,16 @@ def consolidation_hits(ann: DataFrame, plan: DataFrame, cfg: CheckpointConfig =
 
 
 def consolidate_apply(obs: DataFrame, cfg: CheckpointConfig = CheckpointConfig(),
-                      content_col: str = "content") -> DataFrame:
+                      content_col: str = "content", ann: DataFrame | None = None,
+                      plan: DataFrame | None = None) -> DataFrame:
     """The table after consolidation: re-fetched rows get `` [CONSOLIDATED]`` and one
     summary row per group is added (id = max(id) + 1.. in group order, created_at =
-    last occurrence).  All groups are scored against the input snapshot."""
-    ann = annotate(obs, cfg, content_col).persist(StorageLevel.MEMORY_AND_DISK)
-    plan = consolidation_plan(ann, cfg, content_col)
+    last occurrence).  All groups are scored against the input snapshot.  ``ann`` and
+    ``plan`` may be passed in when the caller already computed them."""
+    if ann is None:
+        ann = annotate(obs, cfg, content_col).persist(StorageLevel.MEMORY_AND_DISK)
+    if plan is None:
+        plan = consolidation_plan(ann, cfg, content_col)
     hits = consolidation_hits(ann, plan, cfg, content_col)
     marked = (obs.join(hits, "id", "left")
                  .withColumn(content_col, F.when(F.col("times").isNull(), F.col(content_col))
@@ -206,14 +210,19 @@ def consolidate_apply(obs: DataFrame, cfg: CheckpointConfig = CheckpointConfig()
 
 
 def filter_summary(ann: DataFrame, cfg: CheckpointConfig = CheckpointConfig(),
-                   content_col: str = "content") -> DataFrame:
+                   content_col: str = "content", plan: DataFrame | None = None,
+                   groups: DataFrame | None = None) -> DataFrame:
     """One row for the filtering report: totals, rates, groups with duplicates and the
     (gated) space the consolidation would save."""
     totals = checkpoint_totals(ann)
-    plan = consolidation_plan(ann, cfg, content_col)
-    groups = checkpoint_groups(ann, content_col).agg(F.count(F.lit(1))).scalar()
-    saved = plan.agg(F.coalesce(F.sum("space_saved_chars"), F.lit(0))).scalar()
-    acted = plan.agg(F.count(F.lit(1))).scalar()
+    if plan is None:
+        plan = consolidation_plan(ann, cfg, content_col)
+    if groups is None:
+        groups = checkpoint_groups(ann, content_col)
+    n_groups = groups.agg(F.count(F.lit(1))).scalar()
+    p = plan.agg(F.struct(F.coalesce(F.sum("space_saved_chars"), F.lit(0)).alias("saved"),
+                          F.count(F.lit(1)).alias("acted"))).scalar()
+    groups, saved, acted = n_groups, p["saved"], p["acted"]
     t, c, r = F.col("total_observations"), F.col("checkpoint_observations"), F.col("redundant_checkpoints")
     return totals.select(
         "*",
