@@ -119,3 +119,23 @@ def dedup_totals(obs: DataFrame, groups: DataFrame, entity: str | None = None) -
     rate = F.when(F.col("total_records") > 0,
                   F.col("duplicate_records") / F.col("total_records") * 100).otherwise(F.lit(0.0))
     return out.withColumn("duplicate_rate", rate)
+
+
+def summarize(obs: DataFrame, cfg: DedupConfig = DedupConfig(), entity: str | None = None,
+              content_col: str = "content") -> DataFrame:
+    """``dedup_totals`` for a table.  On the exact path the class aggregate alone gives
+    the counts (groups = classes with more than one row, records = their rows), so no
+    numbering, join or sort runs; otherwise the groups are built first."""
+    if not is_exact_only(cfg) or cfg.similarity_threshold > cfg.weights.total + 1e-12:
+        return dedup_totals(obs, find_groups(obs, cfg, entity, content_col), entity)
+    prep = prepare(obs, entity, content_col)
+    classes = (prep.filter(F.col("content").isNotNull())
+                   .groupBy(norm_key(F.col("norm")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+                   .filter(F.col("n") > 1))
+    g = classes.agg(F.count(F.lit(1)).alias("g"), F.coalesce(F.sum("n"), F.lit(0)).alias("r"))
+    s = g.select(F.struct("g", "r")).scalar()
+    base = filter_entity(obs, entity).agg(F.count(F.lit(1)).alias("total_records"))
+    out = base.withColumn("duplicate_groups", s["g"]).withColumn("duplicate_records", s["r"])
+    rate = F.when(F.col("total_records") > 0,
+                  F.col("duplicate_records") / F.col("total_records") * 100).otherwise(F.lit(0.0))
+    return out.withColumn("duplicate_rate", rate)

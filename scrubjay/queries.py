@@ -84,20 +84,17 @@ SELECT (SELECT count(*) FROM ({obs_sql})) AS total_records,
 
 @register("dedup_totals", _totals_sql(Q.OBS_DOCUMENTS))
 def dedup_totals(spark, sf):
-    obs = obs_documents(spark, sf)
-    return D.dedup_totals(obs, D.find_groups(obs))
+    return D.summarize(obs_documents(spark, sf))
 
 
 @register("dedup_totals_conversations", _totals_sql(Q.OBS_CONVERSATIONS))
 def dedup_totals_conversations(spark, sf):
-    obs = obs_conversations(spark, sf)
-    return D.dedup_totals(obs, D.find_groups(obs))
+    return D.summarize(obs_conversations(spark, sf))
 
 
 @register("entity_filter", _totals_sql(f"SELECT * FROM ({Q.OBS_DOCUMENTS}) WHERE entity_name = 'src3'"))
 def entity_filter(spark, sf):
-    obs = obs_documents(spark, sf)
-    return D.dedup_totals(obs, D.find_groups(obs, entity="src3"), entity="src3")
+    return D.summarize(obs_documents(spark, sf), entity="src3")
 
 
 # ---------------------------------------------------------------- checkpoints
@@ -498,8 +495,7 @@ SELECT CAST(i - 1 AS INTEGER) AS ord, l[i] AS recommendation FROM a, range(1, le
     "'Monitor system performance after resolution'",
     "'Consider adjusting similarity thresholds based on results'"], _totals_sql(Q.OBS_DOCUMENTS)))
 def q_dedup_recommendations(spark, sf):
-    obs = obs_documents(spark, sf)
-    return R.dedup_recommendations(D.dedup_totals(obs, D.find_groups(obs)))
+    return R.dedup_recommendations(D.summarize(obs_documents(spark, sf)))
 
 
 CK_SUMMARY = f"""WITH t AS ({CK_TOTALS}), p AS ({CK_PLAN})
@@ -572,8 +568,7 @@ def dedup_groups_conversations(spark, sf):
 
 @register("fuzzy_totals")
 def fuzzy_totals(spark, sf):
-    obs = obs_documents(spark, sf)
-    return D.dedup_totals(obs, D.find_groups(obs, FUZZY))
+    return D.summarize(obs_documents(spark, sf), FUZZY)
 
 
 def _quality_sql(obs_sql: str) -> str:

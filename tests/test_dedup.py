@@ -151,3 +151,10 @@ def test_default_plan_has_no_pairwise_or_python(spark):
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython"):
         assert bad not in plan
     assert F is not None
+
+
+def test_summary_fast_path_equals_grouped_totals(spark):
+    obs = obs_documents(spark, SF001)
+    a = D.summarize(obs).collect()[0].asDict()
+    b = D.dedup_totals(obs, D.find_groups(obs)).collect()[0].asDict()
+    assert a == b
