@@ -35,18 +35,20 @@ SCORE_COLS = ["exact_match", "sequence_similarity", "levenshtein_similarity", "j
 
 
 def greedy_seeds(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """``edges(u, v)`` with u before v -> ``(x, seed)`` for every vertex on an edge."""
+    """``edges(u, v)`` with u before v -> ``(x, seed)`` for every vertex on an edge.
+
+    Per round two small tables are written (the decided vertices so far and the edges
+    still into undecided vertices); the loop ends when every vertex is decided."""
     e = cut_lineage(edges.select("u", "v").distinct())
-    undecided = cut_lineage(e.select(F.col("u").alias("x")).union(e.select(F.col("v").alias("x"))).distinct())
+    verts = cut_lineage(e.select(F.col("u").alias("x")).union(e.select(F.col("v").alias("x"))).distinct())
+    n_verts = verts.count()
     status = None
-    rounds = 0
-    while True:
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"greedy grouping did not settle in {max_rounds} rounds")
+    for _ in range(max_rounds):
         if status is None:
+            undecided = verts
             eu = e.withColumn("u_seed", F.lit(None).cast("boolean"))
         else:
+            undecided = verts.join(status.select("x"), "x", "left_anti")
             eu = e.join(status.select(F.col("x").alias("u"), F.col("seed").alias("u_seed")), "u", "left")
         # members never block or claim anyone: drop their out-edges
         eu = eu.filter(F.col("u_seed").isNull() | F.col("u_seed"))
@@ -54,13 +56,14 @@ def greedy_seeds(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         new_members = incoming.filter(F.col("has_seed")).select(F.col("v").alias("x"), F.lit(False).alias("seed"))
         new_seeds = (undecided.join(incoming.select(F.col("v").alias("x")), "x", "left_anti")
                               .select("x", F.lit(True).alias("seed")))
-        decided_now = cut_lineage(new_members.unionByName(new_seeds))
-        status = decided_now if status is None else cut_lineage(status.unionByName(decided_now))
-        undecided = cut_lineage(undecided.join(decided_now.select("x"), "x", "left_anti"))
-        if undecided.isEmpty():
+        decided = new_members.unionByName(new_seeds)
+        status = cut_lineage(decided if status is None else status.unionByName(decided))
+        if status.count() >= n_verts:
             return status
         # keep only edges into still-undecided vertices, from non-members
-        e = cut_lineage(eu.select("u", "v").join(undecided.select(F.col("x").alias("v")), "v", "left_semi"))
+        still = verts.join(status.select("x"), "x", "left_anti").select(F.col("x").alias("v"))
+        e = cut_lineage(eu.select("u", "v").join(still, "v", "left_semi"))
+    raise RuntimeError(f"greedy grouping did not settle in {max_rounds} rounds")
 
 
 def fuzzy_groups(prep: DataFrame, cfg: DedupConfig) -> DataFrame:
