@@ -126,7 +126,7 @@ SELECT (SELECT count(*) FROM a) AS total_observations,
        (SELECT count(*) FROM a WHERE is_checkpoint) AS checkpoint_observations,
        (SELECT count(*) FROM a WHERE NOT is_checkpoint) AS regular_observations,
        (SELECT count(*) FROM s) AS checkpoint_groups,
-       (SELECT coalesce(sum(n - 1), 0) FROM s WHERE n > 1) AS redundant_checkpoints"""
+       (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM s WHERE n > 1) AS redundant_checkpoints"""
 
 
 @register("checkpoint_totals", CK_TOTALS)
@@ -146,7 +146,7 @@ def q_checkpoint_rates(spark, sf):
 CK_STATS = f"""SELECT signature, count(*) AS count, min(created_at) AS first_occurrence,
   max(created_at) AS last_occurrence,
   first(content ORDER BY {Q.SCAN_ORDER}) AS newest_content, first(id ORDER BY {Q.SCAN_ORDER}) AS newest_id,
-  sum(length(content)) AS total_chars,
+  CAST(sum(length(content)) AS BIGINT) AS total_chars,
   (epoch_us(max(created_at)) - epoch_us(min(created_at))) / 60000000.0 / (count(*) - 1) AS avg_interval_min
 FROM ({CK_ANN}) WHERE is_checkpoint GROUP BY signature HAVING count(*) > 1"""
 
@@ -239,7 +239,7 @@ b AS (SELECT count(*) AS total_records, avg(length(content)) AS avg_text_length,
              count(*) FILTER (WHERE {Q.is_processed('content')}) AS processed_records FROM o)
 SELECT {t} AS run_ts, total_records, avg_text_length, oldest_record, newest_record, total_checkpoints,
   CASE WHEN total_records > 0 THEN total_checkpoints / total_records * 100 ELSE 0.0 END AS checkpoint_percentage,
-  (SELECT count(*) FROM d) AS duplicate_groups, (SELECT coalesce(sum(n - 1), 0) FROM d) AS total_duplicates,
+  (SELECT count(*) FROM d) AS duplicate_groups, (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM d) AS total_duplicates,
   CASE WHEN total_records > 0 THEN (SELECT coalesce(sum(n - 1), 0) FROM d) / total_records * 100 ELSE 0.0 END AS duplicate_rate,
   processed_records,
   CASE WHEN total_records > 0 THEN processed_records / total_records * 100 ELSE 0.0 END AS processing_rate,
@@ -313,7 +313,7 @@ g AS (SELECT run_ts, count(*) AS total_records, sum(length(content)) / count(len
         count(*) FILTER (WHERE {Q.monitor_checkpoint_like('content')}) AS total_checkpoints,
         count(*) FILTER (WHERE {Q.is_processed('content')}) AS processed_records FROM x GROUP BY run_ts),
 dc AS (SELECT run_ts, content, count(*) AS n FROM x GROUP BY run_ts, content),
-dd AS (SELECT run_ts, count(*) FILTER (WHERE n > 1) AS duplicate_groups, sum(n - 1) AS total_duplicates FROM dc GROUP BY run_ts),
+dd AS (SELECT run_ts, count(*) FILTER (WHERE n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS total_duplicates FROM dc GROUP BY run_ts),
 act AS (SELECT run_ts, CAST(created_at AS DATE) AS day, count(*) AS c FROM x WHERE created_at >= run_ts - INTERVAL 7 DAYS GROUP BY 1, 2),
 aa AS (SELECT run_ts, sum(c) / count(*) AS avg_daily_activity FROM act GROUP BY run_ts)
 SELECT g.run_ts, total_records, avg_text_length, oldest_record, newest_record, total_checkpoints,
@@ -573,8 +573,8 @@ def fuzzy_totals(spark, sf):
 
 def _quality_sql(obs_sql: str) -> str:
     return f"""WITH o AS ({obs_sql}), d AS (SELECT id, count(*) AS n FROM o GROUP BY id HAVING count(*) > 1),
-b AS (SELECT count(*) AS total_records, coalesce(sum(octet_length(encode(content))), 0) AS content_bytes,
-             coalesce(sum(length(content)), 0) AS content_chars,
+b AS (SELECT count(*) AS total_records, CAST(coalesce(sum(octet_length(encode(content))), 0) AS BIGINT) AS content_bytes,
+             CAST(coalesce(sum(length(content)), 0) AS BIGINT) AS content_chars,
              count(*) FILTER (WHERE content IS NULL) AS null_content,
              count(*) FILTER (WHERE created_at IS NULL) AS null_created_at,
              count(*) FILTER (WHERE length(content) = 0) AS empty_content FROM o)
@@ -584,7 +584,7 @@ SELECT total_records, content_bytes, content_chars,
   null_created_at, CASE WHEN total_records > 0 THEN null_created_at / total_records ELSE 0.0 END AS null_created_at_ratio,
   empty_content,
   1.0 - CASE WHEN total_records > 0 THEN (null_content + empty_content) / total_records ELSE 0.0 END AS completeness,
-  (SELECT count(*) FROM d) AS duplicate_ids, (SELECT coalesce(sum(n), 0) FROM d) AS rows_with_duplicate_id
+  (SELECT count(*) FROM d) AS duplicate_ids, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM d) AS rows_with_duplicate_id
 FROM b"""
 
 
@@ -612,7 +612,7 @@ def archive_stubbed(spark, sf):
     return AR.stubbed(obs_checkpoints(spark, sf), AS_OF, ARCHIVE_DAYS).select("id", "content", "created_at")
 
 
-@register("archive_manifest", f"""SELECT count(*) AS rows, coalesce(sum(octet_length(encode(content))), 0) AS content_bytes,
+@register("archive_manifest", f"""SELECT count(*) AS rows, CAST(coalesce(sum(octet_length(encode(content))), 0) AS BIGINT) AS content_bytes,
   min(created_at) AS oldest, max(created_at) AS newest
 FROM ({Q.OBS_CHECKPOINTS}) WHERE created_at < TIMESTAMP '{AS_OF}' - INTERVAL {ARCHIVE_DAYS} DAYS""")
 def archive_manifest(spark, sf):
