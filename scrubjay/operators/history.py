@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from ..config import MonitorConfig
 from ..functions.pyfmt import py_round
 from ..functions.text import is_processed, monitor_checkpoint_like
+from ..session import cut_lineage
 from .metrics import content_key
 
 HISTORY_SCHEMA = T.StructType([
@@ -73,9 +74,10 @@ def backfill_history(obs: DataFrame, cfg: MonitorConfig = MonitorConfig(),
     row, each seeing the rows created before it.  Unrounded values."""
     rows = obs.filter(F.col("created_at").isNotNull())
     c = F.col(content_col)
-    rows = rows.select(F.to_date("created_at").alias("date"), "created_at",
-                       content_key(c).alias("k"), F.length(c).alias("len"),
-                       monitor_checkpoint_like(c).alias("ck"), is_processed(c).alias("pr"))
+    # the text is read once; the three aggregates below read this slim written projection
+    rows = cut_lineage(rows.select(F.to_date("created_at").alias("date"), "created_at",
+                                   content_key(c).alias("k"), F.length(c).alias("len"),
+                                   monitor_checkpoint_like(c).alias("ck"), is_processed(c).alias("pr")))
     per_day = rows.groupBy("date").agg(
         F.count(F.lit(1)).alias("n"), F.sum("len").alias("sum_len"), F.count("len").alias("n_len"),
         F.count(F.when(F.col("ck"), 1)).alias("n_ck"), F.count(F.when(F.col("pr"), 1)).alias("n_pr"),

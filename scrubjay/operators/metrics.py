@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import MonitorConfig
 from ..functions.text import is_processed, monitor_checkpoint_like
+from ..session import cut_lineage
 
 
 def content_key(c) -> F.Column:
@@ -40,20 +41,26 @@ def daily_activity(obs: DataFrame, as_of, cfg: MonitorConfig = MonitorConfig())
 
 def snapshot(obs: DataFrame, as_of, cfg: MonitorConfig = MonitorConfig(),
              content_col: str = "content") -> DataFrame:
-    """One row of unrounded metrics (the report rounds them to 2 decimals)."""
+    """One row of unrounded metrics (the report rounds them to 2 decimals).
+
+    The text is read once: a slim projection (16-byte content key, length, two flags,
+    time) is written to the checkpoint folder and the three aggregates read that."""
     c = F.col(content_col)
-    base = obs.agg(
+    slim = cut_lineage(obs.select(
+        content_key(c).alias("k"), F.length(c).alias("len"),
+        monitor_checkpoint_like(c).alias("ck"), is_processed(c).alias("pr"), "created_at"))
+    base = slim.agg(
         F.count(F.lit(1)).alias("total_records"),
-        F.avg(F.length(c)).alias("avg_text_length"),
+        F.avg("len").alias("avg_text_length"),
         F.min("created_at").alias("oldest_record"),
         F.max("created_at").alias("newest_record"),
-        F.count(F.when(monitor_checkpoint_like(c), 1)).alias("total_checkpoints"),
-        F.count(F.when(is_processed(c), 1)).alias("processed_records"),
+        F.count(F.when(F.col("ck"), 1)).alias("total_checkpoints"),
+        F.count(F.when(F.col("pr"), 1)).alias("processed_records"),
     )
-    dups = (obs.groupBy(content_key(c).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-               .filter(F.col("n") > 1)
-               .agg(F.count(F.lit(1)).alias("g"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d")))
-    days = daily_activity(obs, as_of, cfg).agg(
+    dups = (slim.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+                .filter(F.col("n") > 1)
+                .agg(F.count(F.lit(1)).alias("g"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d")))
+    days = daily_activity(slim, as_of, cfg).agg(
         F.count(F.lit(1)).alias("days"), F.coalesce(F.sum("daily_count"), F.lit(0)).alias("rows"))
     d = dups.select(F.struct("g", "d")).scalar()
     a = days.select(F.struct("days", "rows")).scalar()
