@@ -67,7 +67,7 @@ def run_dedup(spark: SparkSession, obs: DataFrame, out_dir: str, cfg: Config = C
 def run_checkpoint_filter(spark: SparkSession, obs: DataFrame, out_dir: str, cfg: Config = Config(),
                           apply: bool = False, store: SnapshotStore | None = None) -> dict:
     """Analyze once -> report (+ dry-run plan) -> optional consolidation."""
-    ann = C.annotate(obs, cfg.checkpoints).persist(StorageLevel.MEMORY_AND_DISK)
+    ann = C.annotate(obs, cfg.checkpoints)
     groups_path = os.path.join(out_dir, "checkpoint_groups")
     C.checkpoint_groups(ann).write.mode("overwrite").parquet(groups_path)
     groups = spark.read.parquet(groups_path)
@@ -90,7 +90,6 @@ def run_checkpoint_filter(spark: SparkSession, obs: DataFrame, out_dir: str, cfg
         if store is None:
             raise ValueError("apply=True needs a SnapshotStore to write the new version")
         result["version"] = store.write(C.consolidate_apply(obs, cfg.checkpoints, ann=ann, plan=plan))
-    ann.unpersist()
     return result
 
 

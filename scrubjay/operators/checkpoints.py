@@ -10,24 +10,32 @@ signature, so the consolidation plan comes out of the same aggregate without a j
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CheckpointConfig
 from ..functions.pyfmt import py_fixed
 from ..functions.text import CONSOLIDATED_MARKER, checkpoint_signature, is_checkpoint, ts_text
 from ..plans.ordering import dense_index, scan_key
-from ..session import spread
+from ..session import cut_lineage, spread
 
 
 def annotate(obs: DataFrame, cfg: CheckpointConfig = CheckpointConfig(),
              content_col: str = "content") -> DataFrame:
+    """Flag and signature per row, computed once and written to the checkpoint folder.
+
+    Every later aggregate reads this table instead of re-running the patterns.  The
+    text is kept for checkpoint rows only (it feeds the samples and sizes), except in
+    ``prefix`` mode, whose LIKE re-fetch searches every row's text."""
     obs = spread(obs)
-    flag = is_checkpoint(F.col(content_col), list(cfg.patterns))
-    return (obs.withColumn("is_checkpoint", flag)
-               .withColumn("signature", F.when(F.col("is_checkpoint"),
-                                               checkpoint_signature(F.col(content_col))))
-               .withColumn("sk", scan_key()))
+    c = F.col(content_col)
+    flag = is_checkpoint(c, list(cfg.patterns))
+    ann = (obs.select("id", "created_at", content_col)
+              .withColumn("is_checkpoint", flag)
+              .withColumn("signature", F.when(F.col("is_checkpoint"), checkpoint_signature(c)))
+              .withColumn("sk", scan_key()))
+    if cfg.refetch_mode != "prefix":
+        ann = ann.withColumn(content_col, F.when(F.col("is_checkpoint"), c))
+    return cut_lineage(ann)
 
 
 def _avg_interval_min(n: Column, first: Column, last: Column) -> Column:
@@ -186,7 +194,7 @@ def consolidate_apply(obs: DataFrame, cfg: CheckpointConfig = CheckpointConfig()
     last occurrence).  All groups are scored against the input snapshot.  ``ann`` and
     ``plan`` may be passed in when the caller already computed them."""
     if ann is None:
-        ann = annotate(obs, cfg, content_col).persist(StorageLevel.MEMORY_AND_DISK)
+        ann = annotate(obs, cfg, content_col)
     if plan is None:
         plan = consolidation_plan(ann, cfg, content_col)
     hits = consolidation_hits(ann, plan, cfg, content_col)

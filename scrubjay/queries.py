@@ -173,8 +173,8 @@ def q_refetch_signature(spark, sf):
 @register("refetch_prefix", f"""WITH g AS (SELECT signature, '%' || substring(substring(newest_content, 1, 100) || '...', 1, 50) || '%' AS pattern FROM ({CK_STATS}))
 SELECT g.signature, o.id FROM ({Q.OBS_CHECKPOINTS}) o JOIN g ON o.content LIKE g.pattern ESCAPE '\\'""")
 def q_refetch_prefix(spark, sf):
-    ann = _ck_ann(spark, sf)
     cfg = CheckpointConfig(refetch_mode="prefix")
+    ann = _ck_ann(spark, sf, cfg)
     return C.refetch_prefix(ann, C.checkpoint_groups(ann), cfg).select("signature", "id")
 
 
