@@ -12,13 +12,12 @@ before the shuffle.  The fuzzy path lives in :mod:`scrubjay.plans.candidates` an
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DedupConfig, Weights
 from ..functions.text import normalize_text
 from ..plans.ordering import dense_index, scan_key
-from ..session import spread
+from ..session import cut_lineage, spread
 from ..sources.observations import filter_entity
 
 GROUP_COLUMNS = ["group_id", "seed_id", "member_id", "rank_in_group", "is_seed", "group_size", "created_at",
@@ -74,13 +73,13 @@ def with_scores(groups: DataFrame, scores: dict) -> DataFrame:
 
 def exact_groups(prep: DataFrame, weights: Weights = Weights()) -> DataFrame:
     """Groups of equal normalized text with more than one member."""
-    # slim rows (ids, times, 16-byte key) are read twice: by the class aggregate and
-    # by the join back, so the text is normalized once and never shuffled.  The NULL
+    # slim rows (ids, times, 16-byte key) are read twice, by the class aggregate and
+    # by the join back, so they are written once: the text is normalized once (a merely
+    # persisted frame can be computed by two concurrent stages) and never shuffled.  The NULL
     # test is on the raw text: a predicate on ``norm`` would be pushed below the input
     # repartition and normalize every row twice.
-    p = (prep.filter(F.col("content").isNotNull())
-             .select("id", "created_at", "sk", norm_key(F.col("norm")).alias("key"))
-             .persist(StorageLevel.MEMORY_AND_DISK))
+    p = cut_lineage(prep.filter(F.col("content").isNotNull())
+                        .select("id", "created_at", "sk", norm_key(F.col("norm")).alias("key")))
     classes = (p.groupBy("key")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("sk").alias("seed_sk"))
                 .filter(F.col("n") > 1)
