@@ -27,6 +27,15 @@ def register(name, sql=None):
     return deco
 
 
+def _sql_fill(template: str, *exprs: str) -> str:
+    """SQL twin of recommend._fill: the template with each ``{}`` replaced by an expression."""
+    parts = template.split("{}")
+    out = [Q.sql_quote(parts[0])]
+    for e, rest in zip(exprs, parts[1:]):
+        out += [f"({e})", Q.sql_quote(rest)]
+    return " || ".join(out)
+
+
 # ---------------------------------------------------------------- scans / text
 
 @register("scan_observations", f"SELECT id, content, created_at, entity_name FROM ({Q.OBS_DOCUMENTS})")
@@ -388,14 +397,14 @@ def _monitor_recs_sql(obs_sql: str) -> str:
     s = lambda c: f"CAST({c} AS VARCHAR)"
     return f"""WITH m AS (SELECT h.*, e.effectiveness_score FROM ({h}) h JOIN ({e}) e USING (run_ts)),
 a AS (SELECT run_ts, list_filter([
-  CASE WHEN duplicate_rate > 5.0 THEN 'HIGH duplicate rate (' || {s('duplicate_rate')} || '%) - run deduplication more frequently' END,
-  CASE WHEN checkpoint_percentage > 70.0 THEN 'MANY checkpoints (' || {s('checkpoint_percentage')} || '%) - consider automatic consolidation' END,
-  CASE WHEN processing_rate < 10.0 THEN 'LOW processing rate (' || {s('processing_rate')} || '%) - increase optimization frequency' END,
-  CASE WHEN effectiveness_score < 40 THEN 'LOW effectiveness - review optimization configuration' END,
-  CASE WHEN effectiveness_score < 40 THEN 'CONSIDER adjusting similarity thresholds and consolidation rules' END,
-  CASE WHEN effectiveness_score > 80 THEN 'EXCELLENT effectiveness - maintain current configuration' END,
-  CASE WHEN avg_daily_activity < 1 THEN 'VERY LOW daily activity - verify data input systems' END], lambda x: x IS NOT NULL) AS l FROM m),
-b AS (SELECT run_ts, CASE WHEN len(l) = 0 THEN ['SYSTEM optimal - continue regular monitoring'] ELSE l END AS l FROM a)
+  CASE WHEN duplicate_rate > 5.0 THEN {_sql_fill(R.MON_DUPLICATES, s('duplicate_rate'))} END,
+  CASE WHEN checkpoint_percentage > 70.0 THEN {_sql_fill(R.MON_CHECKPOINTS, s('checkpoint_percentage'))} END,
+  CASE WHEN processing_rate < 10.0 THEN {_sql_fill(R.MON_PROCESSING, s('processing_rate'))} END,
+  CASE WHEN effectiveness_score < 40 THEN {Q.sql_quote(R.MON_LOW_EFFECT)} END,
+  CASE WHEN effectiveness_score < 40 THEN {Q.sql_quote(R.MON_ADJUST)} END,
+  CASE WHEN effectiveness_score > 80 THEN {Q.sql_quote(R.MON_EXCELLENT)} END,
+  CASE WHEN avg_daily_activity < 1 THEN {Q.sql_quote(R.MON_ACTIVITY)} END], lambda x: x IS NOT NULL) AS l FROM m),
+b AS (SELECT run_ts, CASE WHEN len(l) = 0 THEN [{Q.sql_quote(R.MON_OPTIMAL)}] ELSE l END AS l FROM a)
 SELECT run_ts, CAST(i - 1 AS INTEGER) AS ord, l[i] AS recommendation FROM b, range(1, len(l) + 1) t(i)"""
 
 
@@ -480,20 +489,21 @@ def apply_markers_merge(spark, sf):
 
 # ---------------------------------------------------------------- recommendations
 
+
 def _recs_sql(items: list[str], frm: str) -> str:
     return f"""WITH a AS (SELECT list_filter([{', '.join(items)}], lambda x: x IS NOT NULL) AS l FROM ({frm}))
 SELECT CAST(i - 1 AS INTEGER) AS ord, l[i] AS recommendation FROM a, range(1, len(l) + 1) t(i)"""
 
 
 @register("dedup_recommendations", _recs_sql([
-    f"""CASE WHEN duplicate_rate > 10 THEN 'HIGH duplicate rate (' || {Q.py_fixed('duplicate_rate', 1)} || '%) - immediate action required'
-        WHEN duplicate_rate > 5 THEN 'MEDIUM duplicate rate (' || {Q.py_fixed('duplicate_rate', 1)} || '%) - schedule cleanup'
-        WHEN duplicate_rate > 1 THEN 'LOW duplicate rate (' || {Q.py_fixed('duplicate_rate', 1)} || '%) - monitor trends'
-        ELSE 'EXCELLENT data quality - maintain current practices' END""",
-    "CASE WHEN duplicate_groups > 0 THEN 'Consider implementing real-time duplicate prevention' END",
-    "CASE WHEN duplicate_groups > 0 THEN 'Schedule regular deduplication maintenance' END",
-    "'Monitor system performance after resolution'",
-    "'Consider adjusting similarity thresholds based on results'"], _totals_sql(Q.OBS_DOCUMENTS)))
+    f"""CASE WHEN duplicate_rate > 10 THEN {_sql_fill(R.DEDUP_HIGH, Q.py_fixed('duplicate_rate', 1))}
+        WHEN duplicate_rate > 5 THEN {_sql_fill(R.DEDUP_MEDIUM, Q.py_fixed('duplicate_rate', 1))}
+        WHEN duplicate_rate > 1 THEN {_sql_fill(R.DEDUP_LOW, Q.py_fixed('duplicate_rate', 1))}
+        ELSE {Q.sql_quote(R.DEDUP_EXCELLENT)} END""",
+    f"CASE WHEN duplicate_groups > 0 THEN {Q.sql_quote(R.DEDUP_PREVENTION)} END",
+    f"CASE WHEN duplicate_groups > 0 THEN {Q.sql_quote(R.DEDUP_MAINTENANCE)} END",
+    Q.sql_quote(R.DEDUP_MONITOR),
+    Q.sql_quote(R.DEDUP_THRESHOLDS)], _totals_sql(Q.OBS_DOCUMENTS)))
 def q_dedup_recommendations(spark, sf):
     return R.dedup_recommendations(D.summarize(obs_documents(spark, sf)))
 
@@ -504,14 +514,13 @@ SELECT t.*, (SELECT count(*) FROM ({CK_STATS})) AS groups_with_duplicates,
 
 
 @register("checkpoint_recommendations", _recs_sql([
-    f"""CASE WHEN checkpoint_observations / total_observations * 100 > 60 THEN 'HIGH checkpoint ratio (' ||
-        {Q.py_fixed('checkpoint_observations / total_observations * 100', 1)} || '%) - consider consolidation' END""",
-    "CASE WHEN redundant_checkpoints > 10 THEN 'MANY redundant checkpoints (' || CAST(redundant_checkpoints AS VARCHAR) || ') - apply filtering' END",
-    "CASE WHEN groups_with_duplicates > 5 THEN 'MULTIPLE patterns (' || CAST(groups_with_duplicates AS VARCHAR) || ') - review checkpoint configuration' END",
-    f"""CASE WHEN space_saved_chars > 1000 THEN 'SIGNIFICANT space savings: ' || format('{{:,}}', CAST(space_saved_chars AS BIGINT)) ||
-        ' characters (~' || {Q.py_fixed('space_saved_chars / 1000', 1)} || 'KB)' END""",
-    "'AUTOMATION: Configure automatic filtering for future checkpoints'",
-    "'MONITORING: Implement quality metrics post-filtering'"], CK_SUMMARY))
+    f"CASE WHEN {'checkpoint_observations / total_observations * 100'} > 60 THEN {_sql_fill(R.CK_HIGH_RATIO, Q.py_fixed('checkpoint_observations / total_observations * 100', 1))} END",
+    f"CASE WHEN redundant_checkpoints > 10 THEN {_sql_fill(R.CK_MANY, 'CAST(redundant_checkpoints AS VARCHAR)')} END",
+    f"CASE WHEN groups_with_duplicates > 5 THEN {_sql_fill(R.CK_PATTERNS, 'CAST(groups_with_duplicates AS VARCHAR)')} END",
+    f"""CASE WHEN space_saved_chars > 1000 THEN {_sql_fill(R.CK_SAVINGS, "format('{:,}', CAST(space_saved_chars AS BIGINT))",
+                                                            Q.py_fixed('space_saved_chars / 1000', 1))} END""",
+    Q.sql_quote(R.CK_AUTOMATION),
+    Q.sql_quote(R.CK_MONITORING)], CK_SUMMARY))
 def q_checkpoint_recommendations(spark, sf):
     return R.checkpoint_recommendations(C.filter_summary(_ck_ann(spark, sf)))
 
