@@ -13,13 +13,9 @@ from dataclasses import dataclass, field, replace
 from .functions.text import CHECKPOINT_PATTERNS
 
 
-# Default weights of the four similarity components, threshold 0.85.
-DEFAULT_WEIGHTS = (("exact_match", 0.3), ("sequence_similarity", 0.25),
-                   ("levenshtein_similarity", 0.25), ("jaccard_similarity", 0.2))
-
-
 @dataclass(frozen=True)
 class Weights:
+    """Default weights of the four similarity components."""
     exact_match: float = 0.3
     sequence_similarity: float = 0.25
     levenshtein_similarity: float = 0.25
@@ -38,6 +34,7 @@ class Weights:
 
 @dataclass(frozen=True)
 class DedupConfig:
+    # Fixed value: default similarity threshold.
     similarity_threshold: float = 0.85
     weights: Weights = field(default_factory=Weights)
     autojunk: bool = True

@@ -13,7 +13,6 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  AQE re-plans joins at runtime and splits skewed
