@@ -84,12 +84,15 @@ def _prefix_join(pref: DataFrame, cond_extra, floor_fn) -> DataFrame:
     b = pref.select("v", "tok", F.col("pos").alias("pb"), F.col("nw").alias("nwb"), F.col("nc").alias("ncb"))
     cond = (a["tok"] == b["tok"]) & (a["u"] < b["v"]) & cond_extra(a, b)
     hits = a.join(b, cond).select("u", "v", "pa", "pb", "nwa", "nwb", "nca", "ncb")
-    first = hits.groupBy("u", "v").agg(F.min(F.struct("pa", "pb")).alias("f"), F.first("nwa").alias("nwa"),
-                                       F.first("nwb").alias("nwb"), F.first("nca").alias("nca"),
-                                       F.first("ncb").alias("ncb"))
+    # the shared words appear in the same relative order in both sets, so the smallest
+    # position on each side belongs to the same (first) shared word: two plain mins,
+    # which a hash aggregate handles (a struct min would force a sort-based one)
+    first = hits.groupBy("u", "v").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"),
+                                       F.max("nwa").alias("nwa"), F.max("nwb").alias("nwb"),
+                                       F.max("nca").alias("nca"), F.max("ncb").alias("ncb"))
     tau = floor_fn(F.col("nca"), F.col("ncb"))
     need = F.ceil(tau / (1 + tau) * (F.col("nwa") + F.col("nwb")) - F.lit(EPS))
-    bound = 1 + F.least(F.col("nwa") - F.col("f")["pa"] - 1, F.col("nwb") - F.col("f")["pb"] - 1)
+    bound = 1 + F.least(F.col("nwa") - F.col("pa") - 1, F.col("nwb") - F.col("pb") - 1)
     return first.filter(bound >= need).select("u", "v")
 
 
