@@ -60,3 +60,21 @@ def test_events_fixture_totals(spark):
     assert t.checkpoint_observations == n_ck
     assert t.checkpoint_groups == 3
     assert t.redundant_checkpoints == n_ck - 3
+
+
+def test_prefix_like_wildcards_and_backslash(spark):
+    # the 50-char prefix holds '%' and '_' (wildcards, as in the reference's unescaped
+    # LIKE) and a backslash before an ordinary letter (PostgreSQL drops it; Spark would raise)
+    base = "auto-sync - Sincronización automática 100% a_b c\\d, vuelta "
+    rows = [(k + 1, base + str(k), f"2024-03-01 10:{k:02d}:00") for k in range(7)]
+    rows.append((50, "auto-sync - Sincronización automática 100 XYZ aQb cd, vuelta 9", "2024-03-01 11:00:00"))
+    rows.append((51, "auto-sync - Sincronización automática 100 XYZ aQb c, vuelta 9", "2024-03-01 11:01:00"))
+    obs = obs_frame(spark, rows)
+    cfg = CheckpointConfig(refetch_mode="prefix")
+    ann = C.annotate(obs, cfg)
+    hits = C.refetch_prefix(ann, C.checkpoint_groups(ann), cfg).collect()
+    ids = {r.id for r in hits}
+    # '%' and '_' match any text and '\d' reads as a literal 'd' (PostgreSQL LIKE), so the
+    # pattern needs "cd": row 50 matches, while the group's own rows ("c\d") and row 51
+    # ("c,") do not, exactly as the reference's database would answer
+    assert ids == {50}
