@@ -28,7 +28,8 @@ def main():
         "id", "created_at", "sk", "norm", D.norm_key(F.col("norm")).alias("key"))
     shown = {
         "exact dedup: class aggregate (the default dedup)": prep.filter(F.col("content").isNotNull())
-            .groupBy(D.norm_key(F.col("norm")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("sk").alias("seed_sk"))
+            .groupBy(D.norm_key(F.col("norm")).alias("key"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min(F.col("sk")["t"]).alias("tmin"))
             .filter(F.col("n") > 1),
         "checkpoint groups": C.checkpoint_groups(C.annotate(obs_checkpoints(spark, sf))),
         "monitor snapshot": M.snapshot(obs_checkpoints(spark, sf), "2024-01-31 00:00:00"),

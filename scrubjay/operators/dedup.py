@@ -80,11 +80,20 @@ def exact_groups(prep: DataFrame, weights: Weights = Weights()) -> DataFrame:
     # repartition and normalize every row twice.
     p = cut_lineage(prep.filter(F.col("content").isNotNull())
                         .select("id", "created_at", "sk", norm_key(F.col("norm")).alias("key")))
+    # seed = first row in scan order = smallest (t, i) of the scan key.  Both steps are
+    # hash aggregates over plain longs: the smallest t per text over all rows, then the
+    # smallest i among the (duplicate) rows at that t; a struct min would need a
+    # sort-based aggregate over every row.
     classes = (p.groupBy("key")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("sk").alias("seed_sk"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min(F.col("sk")["t"]).alias("tmin"))
                 .filter(F.col("n") > 1)
-                .select("key", "seed_sk"))
-    members = p.join(classes, "key").drop("key")
+                .select("key", "tmin"))
+    members = p.join(classes, "key")
+    seeds = (members.filter(F.col("sk")["t"] == F.col("tmin"))
+                    .groupBy("key").agg(F.min(F.col("sk")["i"]).alias("imin")))
+    members = (members.join(seeds, "key")
+                      .withColumn("seed_sk", F.struct(F.col("tmin").alias("t"), F.col("imin").alias("i")))
+                      .drop("key", "tmin", "imin"))
     groups = number_groups(members)
     return with_scores(groups, _exact_scores(weights)).select(*GROUP_COLUMNS)
 
