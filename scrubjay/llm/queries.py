@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrubjay.llm import token_files
+from scrubjay.llm import ngram_join, token_files
 from scrubjay.llm.common import documents, scratch
 
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets have a Jaccard of 0.8 or more."""
+    return ngram_join.link_components(documents(spark, sf_dir))[0].select("doc_id", "n_shingles", "component_id")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Every text encoded, written in directly addressable codes, read back."""
     path = scratch(spark, "token-files")
@@ -17,5 +22,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     return token_files.token_digests(spark, path)
 
 
-QUERIES = {"op10_token_files": op10_token_files}
+QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
+    "op10_token_files": op10_token_files,
+}
 ORACLE: dict[str, str] = {}
