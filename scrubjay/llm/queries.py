@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrubjay.llm import ngram_join, token_files
+from scrubjay.llm import ngram_join, substring_dedup, token_files
 from scrubjay.llm.common import documents, scratch
 
 TOKENIZERS = "/opt/tokenizers"
@@ -15,6 +15,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(documents(spark, sf_dir))[0].select("doc_id", "n_shingles", "component_id")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words under 50-word windows that start in a smaller document are removed."""
+    return substring_dedup.removal_digests(documents(spark, sf_dir), 50)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Every text encoded, written in directly addressable codes, read back."""
     path = scratch(spark, "token-files")
@@ -24,6 +29,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
 }
 ORACLE: dict[str, str] = {}
