@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 MAGIC = b"DAC1"
 RANK_BITS = 512
 SEGMENT_TOKENS, SEGMENT_DOCS = 1 << 20, 8192
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_200_000
 END_ID = 0
 
 SEGMENT_SCHEMA = ("shard int, segment int, first_token long, n_tokens long, "
@@ -102,45 +102,74 @@ class Reader:
         return out
 
 
-# A space between two characters that are not white space always begins a pre-token of
-# the byte-level pattern, so pieces between such spaces encode independently.
-_IRREGULAR = re.compile(r"\s | \s|^ | $|\x00|<\|")
-_SEPARATOR = "<|endoftext|>"
+# The byte-level pattern begins a pre-token at every single space and line end that has
+# no other white space beside it, and at the white space or character after it.  So where
+# no white space but those occurs, the pieces between such places encode independently.
+_OTHER_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff\\0]")
+
+
+def _pieces(text: str) -> list[str] | None:
+    """Independent pieces of a text, or None if it has to be encoded whole."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "<|" in text or _OTHER_SPACE.search(text):
+        return None
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
 class _Encoder:
-    """Texts to ids.  Pieces that start at single spaces repeat a lot; each distinct one
-    is encoded once per worker (the store of pieces is emptied when full), many at a
-    time, separated by the vocabulary's end-of-text token."""
+    """Texts to ids.  Pieces repeat a lot; each distinct one is encoded once per worker
+    (the store of pieces is emptied when full), and many at a time: pieces that begin
+    with a space are joined to one text and told apart by the byte lengths of the ids."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.separator = self.tokenizer.token_to_id(_SEPARATOR)
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a byte-level token has one character a byte
+            self.bytes[i] = len(token)
         self.pieces: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.separator is None or _IRREGULAR.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        pieces = self.pieces
-        new = [p for p in set().union(*filter(None, cut)) if p and p not in pieces]
-        for lo in range(0, len(new), 20_000):
-            some = new[lo:lo + 20_000]
-            ids = self._ids(_SEPARATOR.join(some))
-            ends = np.append(np.flatnonzero(ids == self.separator), len(ids)).tolist()
-            if len(ends) != len(some):  # a piece holds the separator after all
-                pieces.update((p, self._ids(p).tobytes()) for p in some)
-                continue
+    def _learn(self, new: list[str]) -> None:
+        pieces, plain, tailed = self.pieces, [], []
+        for p in new:
+            # a comma or full stop after a letter or digit is a pre-token of its own
+            if len(p) > 2 and p[-1] in ",." and p[-2].isalnum():
+                tailed.append(p)
+                p = p[:-1]
+                if p in pieces:
+                    continue
+                pieces[p] = b""  # asked for; filled in below
+            if len(p) > 1 and p[0] == " ":
+                plain.append(p)
+            else:
+                pieces[p] = self._ids(p).tobytes()
+        plain = list(dict.fromkeys(plain))
+        for lo in range(0, len(plain), 4000):
+            some = plain[lo:lo + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in some])
+            at = np.cumsum(self.bytes[ids])
+            cut = np.searchsorted(at, ends)
+            if not np.array_equal(at[cut], ends):
+                raise ValueError("pieces do not encode independently; this is not the byte-level pattern")
             raw, begin = ids.tobytes(), 0
-            for p, end in zip(some, ends):
+            for p, end in zip(some, (cut + 1).tolist()):
                 pieces[p] = raw[4 * begin:4 * end]
-                begin = end + 1
-        pieces[""] = b""
+                begin = end
+        for p in tailed:
+            pieces[p] = pieces[p[:-1]] + self.tail[p[-1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [_pieces(t) for t in texts]
+        if len(self.pieces) > CACHE_PIECES or not self.pieces:
+            self.pieces = {"": b""}
+            self.tail = {c: self._ids(c).tobytes() for c in ",."}
+        pieces = self.pieces
+        self._learn([p for p in set().union(*filter(None, cut)) if p not in pieces])
         return [self._ids(t).tobytes() if c is None else b"".join([pieces[p] for p in c]) for t, c in zip(texts, cut)]
 
 
