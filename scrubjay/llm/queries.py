@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scrubjay.llm import ngram_join, substring_dedup, token_files
-from scrubjay.llm.common import documents, scratch
+from scrubjay.llm import ngram_join, substring_dedup, token_files, toxicity
+from scrubjay.llm.common import documents, held_out, scratch, table
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -15,6 +16,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(documents(spark, sf_dir))[0].select("doc_id", "n_shingles", "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity score of every document."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under 50-word windows that start in a smaller document are removed."""
     return substring_dedup.removal_digests(documents(spark, sf_dir), 50)
@@ -29,6 +38,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
 
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_toxicity": op3_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
 }
