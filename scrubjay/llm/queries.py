@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.llm import ngram_join, substring_dedup, token_files, toxicity
+from scrubjay.llm import language_id, ngram_join, substring_dedup, token_files, toxicity
 from scrubjay.llm.common import documents, held_out, scratch, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -24,6 +24,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by cross-entropy under Kneser-Ney character models."""
+    docs = documents(spark, sf_dir)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return language_id.identify(texts, language_id.fit(docs)).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under 50-word windows that start in a smaller document are removed."""
     return substring_dedup.removal_digests(documents(spark, sf_dir), 50)
@@ -39,6 +48,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
+    "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
 }
