@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.llm import language_id, ngram_join, substring_dedup, token_files, toxicity
-from scrubjay.llm.common import documents, held_out, scratch, table
+from scrubjay.llm import chat_format, language_id, ngram_join, substring_dedup, token_files, toxicity
+from scrubjay.llm.common import documents, held_out, prepare, scratch, table, written
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -24,6 +24,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted, written, and read back as digests; conversation -7 holds
+    the template's own control strings."""
+    prepare(spark)
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.conversation_digests(written(chat_format.format_turns(turns.unionByName(probe)), "chat"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by cross-entropy under Kneser-Ney character models."""
     docs = documents(spark, sf_dir)
@@ -48,6 +59,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
+    "op4_chat_format": op4_chat_format,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
