@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.llm import chat_format, language_id, ngram_join, substring_dedup, token_files, toxicity
+from scrubjay.llm import ann_graph, chat_format, language_id, ngram_join, substring_dedup, token_files, toxicity
 from scrubjay.llm.common import documents, held_out, prepare, scratch, table, written
 
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest neighbours of every hundredth vector, by sharded graph search."""
+    prepare(spark)
+    found = ann_graph.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard of 0.8 or more."""
     return ngram_join.link_components(documents(spark, sf_dir))[0].select("doc_id", "n_shingles", "component_id")
@@ -57,6 +64,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
 
 
 QUERIES = {
+    "op1_ann_graph": op1_ann_graph,
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
