@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.llm import ann_graph, chat_format, language_id, ngram_join, substring_dedup, token_files, toxicity
+from scrubjay.llm import ann_graph, chat_format, language_id, ngram_join, pii, substring_dedup, token_files, toxicity
 from scrubjay.llm.common import documents, held_out, prepare, scratch, table, written
 
 TOKENIZERS = "/opt/tokenizers"
@@ -42,6 +42,14 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(written(chat_format.format_turns(turns.unionByName(probe)), "chat"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans, and all spans with those the trees add."""
+    marked = pii.find(documents(spark, sf_dir))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return marked.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+                         pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by cross-entropy under Kneser-Ney character models."""
     docs = documents(spark, sf_dir)
@@ -68,6 +76,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
+    "op6_pii": op6_pii,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
