@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.llm import ann_graph, chat_format, language_id, ngram_join, pii, substring_dedup, token_files, toxicity
+from scrubjay.llm import ann_graph, chat_format, decontaminate, language_id, ngram_join, pii, substring_dedup, token_files, toxicity
 from scrubjay.llm.common import documents, held_out, prepare, scratch, table, written
 
 TOKENIZERS = "/opt/tokenizers"
@@ -50,6 +50,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                          pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, also with other numbers, names or units."""
+    return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by cross-entropy under Kneser-Ney character models."""
     docs = documents(spark, sf_dir)
@@ -77,6 +82,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
     "op6_pii": op6_pii,
+    "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
