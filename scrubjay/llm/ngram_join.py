@@ -9,16 +9,17 @@ shingles there, so of ``m`` segments at least ``m - H`` hold identical subsets
 (pigeonhole).  A set indexes the subset of every non-empty segment under its own band
 and, if it can link into the band below, under that band too.
 
-*Cost-based allocation.*  ``m`` is the smallest count that leaves the expected number of
-usable segments above ``H`` (index rows are the cost).  Subsets on long posting lists
-are skipped; a set that has more than ``H`` usable subsets left loses nothing by that,
-since a linked pair must also agree on a usable one.  Only sets without that slack get
+*Cost-based allocation.*  ``m`` is the smallest count that leaves more usable subsets (of
+two hashes or more) than a set can differ in, by a margin; index rows are the cost.  The
+surplus is used twice.  A linked pair agrees on at least that many subsets, so a set that
+meets others on fewer is dropped (count filter).  And subsets on long posting lists are
+skipped while some surplus is left.  Only sets without it get
 the dearer one-deletion neighbourhoods: about ``H/2`` larger segments, each indexed by
 its subset and by every subset with one hash removed, so that segments which differ once
 still meet.  These lists are used at any length.
 
 *Verification.*  Documents of a posting list are first compared with one centre only
-(twice, with different centres); linked ones are contracted to components, and only
+(a few times, with different centres); linked ones are contracted to components, and only
 pairs across components that are still untested are then compared.  Every comparison is
 exact, on whole texts.
 
@@ -46,6 +47,7 @@ from scrubjay.llm.textkernel import HASH_BITS, U64, mix, shingle_sets, text_slic
 BUCKET_ROWS = 500_000      # index rows per reduce bucket (sizing only)
 FLUSH_ROWS = 1_000_000     # index rows a map task holds before it emits blocks
 LONG_LIST = 32             # posting lists above this are skipped at the first level
+STAR_TURNS = 3             # rounds against one centre a list before the pairs that remain
 SKETCH_BYTES = 128         # parity bitmap: its Hamming distance bounds the difference from below
 
 
@@ -62,22 +64,40 @@ class Scheme:
             lo = hi
         self.lo = np.array([b[0] for b in bands], np.int64)
         self.hi = np.array([b[1] for b in bands], np.int64)
-        # |r xor s| <= (den-num)/(den+num) (|r|+|s|) and |s| <= |r| den/num for r the smaller
-        self.differ = (self.hi - 1) * (self.den - self.num) // self.num
+        self.least = np.where(self.lo >= 24, 2, 1)  # hashes a subset must hold to be indexed
         self.exact = np.array([self._segments(b) for b in range(len(bands))], np.int64)
-        self.pairs = self.differ // 2 + 1
+        worst = self.differ(self.hi - 1, np.zeros(len(bands), np.int64), 0)
+        self.pairs = worst // 2 + 1
         self.roomy = self.pairs + self.pairs // 4 + 2
 
+    def differ(self, sizes: np.ndarray, band: np.ndarray, slot: int) -> np.ndarray:
+        """Most hashes in which a set of each size differs from one it links with under a
+        slot's scheme: |r xor s| <= (den-num)/(den+num) (|r|+|s|), |s| <= |r| den/num."""
+        other = sizes * self.den // self.num
+        if slot:  # the partner lies in the scheme's band, which is below the set's own
+            other = np.minimum(other, self.hi[band] - 1)
+        return (sizes + other) * (self.den - self.num) // (self.den + self.num)
+
     def _segments(self, band: int) -> int:
-        """Fewest segments with (1 + 5 %) (H + 1) + 1 expected non-empty ones for the band's
-        smallest sets, whose slack pays for skipped lists; one segment where H is 0."""
-        lo, h = int(self.lo[band]), int(self.differ[band])
-        if h == 0:
+        """Fewest segments that leave every size of the band 15 % more usable subsets in
+        expectation than it can differ in (index rows are the cost, the surplus pays for
+        skipped lists and drives the count filter), or the best that can be had."""
+        sizes = np.array([self.lo[band], self.hi[band] - 1], np.int64)
+        worst = self.differ(sizes, np.zeros(2, np.int64), 0)
+        if worst[1] == 0:
             return 1
-        need, m = min(1.05 * (h + 1) + 1, 0.95 * lo), h + 1
-        while m * -math.expm1(-lo / m) < need:
+        best, surplus = 1, -math.inf
+        m = int(worst[1]) + 1
+        while m < 4 * sizes[1]:
+            rate = sizes / m
+            usable = m * (1 - np.exp(-rate) * (1 + (rate if self.least[band] == 2 else 0)))
+            spare = float((usable / (1.15 * worst + 2)).min())
+            if spare > surplus:
+                best, surplus = m, spare
+            if spare >= 1:
+                return m
             m += max(1, m // 64)
-        return m
+        return best
 
     def bands_of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each size's own band and whether a set of it can link into the band below."""
@@ -136,6 +156,8 @@ def _slot(sets: Sets, scheme: Scheme, slot: int):
 def _exact(sets: Sets, scheme: Scheme, slot: int):
     use, band = _slot(sets, scheme, slot)
     doc, label, start, end, mixed = sets.segments(use, scheme.exact[band], band)
+    big = end - start >= scheme.least[band][doc] if len(doc) else np.zeros(0, bool)
+    doc, label, start, end = doc[big], label[big], start[big], end[big]
     total = np.concatenate((np.zeros(1, U64), np.cumsum(mixed, dtype=U64)))
     return doc, mix((total[end] - total[start]) ^ label), band
 
@@ -150,7 +172,7 @@ def _headers(scheme: Scheme, k: int):
                 for slot in (0, 1):
                     doc, _, band = _exact(s, scheme, slot)
                     use, _ = _slot(s, scheme, slot)
-                    spare = np.bincount(doc, minlength=hi - lo) - scheme.differ[band]
+                    spare = np.bincount(doc, minlength=hi - lo) - scheme.differ(s.size, band, slot)
                     cols.append(pa.array(spare, pa.int64(), mask=~use))
                 cols.append(pa.array([x.tobytes() for x in s.sketches()], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "key", "check", "spare0", "spare1", "sketch"])
@@ -210,8 +232,10 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Bucket:
-    """Posting lists of one bucket.  Lists that outgrow ``LONG_LIST`` leave at once as
-    rows, so what is held does not grow with the commonest subsets."""
+    """Posting lists of one bucket.  Of lists that outgrow ``LONG_LIST`` only counts per
+    entry are kept, so what is held does not grow with the commonest subsets.  Rows out:
+    members of short lists (kind 0), and per entry how many of its subsets lie on long
+    (kind 1) and on short lists of two or more (kind 2), the number in ``list_id``."""
 
     def __init__(self, number: int):
         self.number, self.parts, self.rows, self.limit = number, [], 0, 8 * BUCKET_ROWS
@@ -238,11 +262,14 @@ class _Bucket:
         self.long = np.union1d(self.long, sig[long])
         self.parts, self.rows = [(sig[~long], entry[~long])], int((~long).sum())
         self.limit = max(8 * BUCKET_ROWS, 2 * self.rows)
-        return self._rows(1, sig[long], entry[long])
+        return self._skipped(entry[long])
+
+    def _skipped(self, entry: np.ndarray) -> pa.RecordBatch:
+        """How many subsets of each entry lie on long lists (kind 1)."""
+        own, times = np.unique(entry, return_counts=True)
+        return self._rows(1, times.astype(U64), own)
 
     def _rows(self, kind: int, lists: np.ndarray, entry: np.ndarray) -> pa.RecordBatch:
-        if kind:
-            lists = mix(lists + U64(self.number << 40))
         return pa.RecordBatch.from_arrays([
             pa.array(np.full(len(lists), kind, np.int8)), pa.array(lists.view(np.int64)),
             pa.array(entry.view(np.int64))], names=["kind", "list_id", "entry"])
@@ -250,8 +277,9 @@ class _Bucket:
     def close(self):
         sig, entry, start, count = self._sorted()
         long = (count > LONG_LIST) | np.isin(sig[start], self.long)
-        at = np.repeat(long, count)
-        yield self._rows(1, sig[at], entry[at])
+        yield self._skipped(entry[np.repeat(long, count)])
+        own, times = np.unique(entry[np.repeat((count >= 2) & ~long, count)], return_counts=True)
+        yield self._rows(2, times.astype(U64), own)
         # equal lists of several subsets are one list, named by its members
         name = np.add.reduceat(mix(entry | U64(1)), start) if len(start) else sig
         short = np.flatnonzero((count >= 2) & ~long)
@@ -294,14 +322,15 @@ def _deletions(scheme: Scheme, k: int):
                         continue
                     doc, _, start, end, _ = s.segments(use, scheme.roomy[band], band)
                     usable = np.bincount(doc[end - start >= 2], minlength=hi - lo)
-                    yield _neighbours(s, use, scheme.roomy[band], band + 1_000, 2)
-                    tight = use & (usable <= scheme.differ[band] // 2)
+                    spare = usable - scheme.differ(s.size, band, slot) // 2
+                    yield _neighbours(s, use, scheme.roomy[band], band + 1_000, 2, spare)
+                    tight = use & (spare <= 0)
                     if tight.any():
-                        yield _neighbours(s, tight, scheme.pairs[band], band + 2_000, 0)
+                        yield _neighbours(s, tight, scheme.pairs[band], band + 2_000, 0, np.ones_like(spare))
     return run
 
 
-def _neighbours(s: Sets, use: np.ndarray, count: np.ndarray, salt: np.ndarray, least: int) -> pa.RecordBatch:
+def _neighbours(s: Sets, use: np.ndarray, count: np.ndarray, salt: np.ndarray, least: int, spare: np.ndarray) -> pa.RecordBatch:
     doc, label, start, end, mixed = s.segments(use, count, salt)
     total = np.concatenate((np.zeros(1, U64), np.cumsum(mixed, dtype=U64)))
     whole = total[end] - total[start]
@@ -310,16 +339,20 @@ def _neighbours(s: Sets, use: np.ndarray, count: np.ndarray, salt: np.ndarray, l
     each = np.repeat(keep, end - start)
     sig = [mix(whole[keep] ^ label[keep]), mix((np.repeat(whole, per) - mixed[each]) ^ np.repeat(label, per))]
     owner = [doc[keep], np.repeat(doc, per)]
+    cell = [label[keep], np.repeat(label, per)]
     if least == 0:  # empty segments match each other and single-hash ones
         for d in np.flatnonzero(use).tolist():
             filled = np.zeros(int(count[d]), bool)
             seg = ((s.hash[s.first[d]:s.first[d + 1]] >> U64(HASH_BITS - 32)) * U64(count[d])) >> U64(32)
             filled[seg.astype(np.int64)] = True
             empty = np.flatnonzero(~filled).astype(U64)
-            sig.append(mix(mix(U64(salt[d]) * U64(1 << 32) + empty)))
+            cell.append(mix(U64(salt[d]) * U64(1 << 32) + empty))
+            sig.append(mix(cell[-1]))
             owner.append(np.full(len(empty), d))
-    sig, owner = np.concatenate(sig), np.concatenate(owner)
-    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(s.key[owner].view(np.int64))], names=["list_id", "key"])
+    sig, owner, cell = np.concatenate(sig), np.concatenate(owner), np.concatenate(cell)
+    return pa.RecordBatch.from_arrays([
+        pa.array(sig.view(np.int64)), pa.array(s.key[owner].view(np.int64)), pa.array(salt[owner], pa.int32()),
+        pa.array(cell.view(np.int64)), pa.array(spare[owner], pa.int32())], names=["list_id", "key", "cut", "cell", "spare"])
 
 
 def _sketch_filter(scheme: Scheme):
@@ -398,26 +431,35 @@ def link_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5)
     posted = written(blocks.repartition("bucket").sortWithinPartitions("bucket")
                      .mapInArrow(_lists, "kind byte, list_id long, entry long"), "join-lists")
 
-    key_of = F.col("entry").bitwiseAND(F.lit(~1)).alias("key")
-    skipped = posted.where("kind = 1").groupBy("entry").agg(F.count("*").alias("skips"))
     entries = classes.select("key", "id", F.explode(F.array(
         F.struct(F.lit(0).alias("slot"), F.col("spare0").alias("spare")),
         F.struct(F.lit(1).alias("slot"), F.col("spare1").alias("spare")))).alias("e")).where("e.spare is not null") \
         .select("key", "id", F.col("e.slot").alias("slot"), F.col("e.spare").alias("spare"),
                 F.col("key").bitwiseOR(F.col("e.slot").cast("long")).alias("entry"))
-    # usable subsets must outnumber the differences a link allows, or the dearer index is used
-    needy = entries.join(skipped, "entry", "left").where(F.col("spare") - F.coalesce("skips", F.lit(0)) <= 0) \
-        .groupBy("id", "key").agg(F.expr("cast(bit_or(shiftleft(1, slot)) as int)").alias("slots"))
+    met = posted.where("kind > 0").groupBy("entry").agg(
+        F.sum("list_id").alias("met"), F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("list_id"))), F.lit(0)).alias("skipped"))
+    # count filter: a linked pair agrees on ``spare`` subsets or more, so an entry that meets
+    # others on fewer has no link under its scheme
+    hopeful = written(entries.join(met, "entry", "left").select(
+        "entry", "key", "id", "slot", "spare", F.coalesce("met", F.lit(0)).alias("met"), F.coalesce("skipped", F.lit(0)).alias("skipped"))
+        .where("met >= spare"), "join-entries")
+    # usable subsets on short lists must exceed the differences, or the dearer index is used
+    needy = hopeful.where("spare - skipped <= 0").groupBy("id", "key").agg(
+        F.expr("cast(bit_or(shiftleft(1, slot)) as int)").alias("slots"))
     needy_rows = rows.join(needy, rows.doc_id == needy.id).select("text", "slots", "key")
-    near = written(needy_rows.mapInArrow(_deletions(scheme, k), "list_id long, key long").distinct(), "join-deletions")
-    shared = near.groupBy("list_id").agg(F.count("*").alias("c")).where("c > 1")
-    members = posted.where("kind = 0").select("list_id", key_of).unionByName(
-        near.join(shared, "list_id").select("list_id", "key")).distinct()
-    lists = written(members.join(classes.select("key", "id"), "key").select("list_id", "id", "key").distinct(), "join-members")
+    near = written(needy_rows.mapInArrow(_deletions(scheme, k), "list_id long, key long, cut int, cell long, spare int").distinct(), "join-deletions")
+    shared = near.groupBy("list_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("list_id")
+    meeting = near.join(shared, "list_id")
+    enough = meeting.groupBy("key", "cut").agg(F.count_distinct("cell").alias("cells"), F.max("spare").alias("spare")) \
+        .where("cells >= spare").select("key", "cut")
+    members = posted.where("kind = 0").join(hopeful.select("entry", "key", "id"), "entry").select("list_id", "id", "key").unionByName(
+        meeting.join(enough, ["key", "cut"]).select("list_id", "key").distinct().join(classes.select("key", "id"), "key")
+        .select("list_id", "id", "key")).distinct()
+    lists = written(members, "join-members")
 
     involved = lists.select("id", "key").distinct()
     texts = written(rows.join(involved, rows.doc_id == involved.id).select("id", "key", "text"), "join-texts")
-    info = classes.select("id", "n_shingles", "sketch")
+    info = classes.select("id", "n_shingles", "sketch").join(involved.select("id").distinct(), "id", "left_semi")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         x, y = info.toDF("a", "n_a", "s_a"), info.toDF("b", "n_b", "s_b")
@@ -433,7 +475,7 @@ def link_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5)
         return written(sorted_rows.mapInArrow(_verify(scheme, k), "a long, b long").distinct(), f"{name}-links")
 
     links, component, tested, open_lists = None, None, None, lists.select("list_id", "id")
-    for turn in range(3):
+    for turn in range(STAR_TURNS + 1):
         if component is None:
             current = open_lists.withColumn("component_id", F.col("id"))
         else:
@@ -445,13 +487,15 @@ def link_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5)
             if current.isEmpty():
                 break
             open_lists = current.select("list_id", "id")
-        if turn < 2:
+        if turn < STAR_TURNS:
             order = F.col("id") if turn == 0 else F.xxhash64(F.col("id"), F.lit(turn))
             centre = current.groupBy("list_id").agg(F.min_by("id", order).alias("c"), F.min_by("component_id", order).alias("cc"))
             pairs = current.join(centre, "list_id").where("component_id <> cc").select(*_pairs_of(F.col("id"), F.col("c"))).distinct()
         else:
-            other = current.toDF("list_id", "id2", "component2")
-            pairs = current.join(other, "list_id").where("id < id2 and component_id <> component2") \
+            sized = current.join(info.select("id", F.col("n_shingles").alias("n")), "id").select("list_id", "id", "component_id", "n")
+            other = sized.toDF("list_id", "id2", "component2", "n2")
+            pairs = sized.join(other, "list_id").where("id < id2 and component_id <> component2") \
+                .where((F.least("n", "n2") * scheme.den >= F.greatest("n", "n2") * scheme.num)) \
                 .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
