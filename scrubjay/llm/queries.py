@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.llm import ann_graph, chat_format, decontaminate, language_id, ngram_join, pii, substring_dedup, token_files, toxicity
+from scrubjay.llm import ann_graph, chat_format, decontaminate, language_id, mixing, ngram_join, pii, substring_dedup, token_files, toxicity
 from scrubjay.llm.common import documents, held_out, prepare, scratch, table, written
 
 TOKENIZERS = "/opt/tokenizers"
@@ -42,6 +42,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(written(chat_format.format_turns(turns.unionByName(probe)), "chat"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed sequence: every document as often and where the mix holds it."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    return mixing.mix(docs, details=True).select("doc_id", "source", "tokens", "epoch", "position", "block", "place_in_block")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans, and all spans with those the trees add."""
     marked = pii.find(documents(spark, sf_dir))
@@ -76,11 +82,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     return token_files.token_digests(spark, path)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over ``documents``."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_ann_graph": op1_ann_graph,
     "op2_ngram_join": op2_ngram_join,
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
+    "op5_mixing": op5_mixing,
     "op6_pii": op6_pii,
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
