@@ -63,13 +63,6 @@ def levenshtein_distance(a: str, b: str) -> int:
     return score
 
 
-def levenshtein_similarity_py(a: str, b: str) -> float:
-    max_len = max(len(a), len(b))
-    if max_len == 0:
-        return 1.0
-    return 1.0 - (levenshtein_distance(a, b) / max_len)
-
-
 def sequence_ratio_py(a: str, b: str, autojunk: bool = True) -> float:
     """``SequenceMatcher(None, a, b).ratio()``; a is the newer (seed-side) text."""
     return SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
@@ -119,18 +112,6 @@ def pair_scores_udf(weights: Weights, threshold: float, autojunk: bool = True):
     return scores
 
 
-def sequence_ratio_udf(autojunk: bool = True):
-    @F.pandas_udf(T.DoubleType())
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([sequence_ratio_py(x, y, autojunk) for x, y in zip(a, b)])
-    return ratio
-
-
-@F.pandas_udf(T.DoubleType())
-def levenshtein_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([levenshtein_similarity_py(x, y) for x, y in zip(a, b)])
-
-
 def composite(weights: Weights, exact: Column, seq: Column, lev: Column, jac: Column) -> Column:
     """Weighted sum in the reference's term order (keeps float results identical)."""
     return (exact * F.lit(weights.exact_match) + seq * F.lit(weights.sequence_similarity)

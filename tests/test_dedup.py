@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import SF001, obs_frame
-from spec_oracle import greedy_groups, lev_dp, normalize, similarity
+from spec_oracle import composite, first_independent_groups, lev_dp, normalize
 from scrubjay.config import DedupConfig
 from scrubjay.functions.similarity import levenshtein_distance, sequence_ratio_py
 from scrubjay.operators import dedup as D
@@ -45,9 +45,9 @@ def test_sequence_ratio_asymmetry_and_autojunk():
 def test_exact_groups_on_documents_match_greedy(spark):
     obs = obs_documents(spark, SF001)
     rows = [(r.id, r.content, r.created_at) for r in obs.collect()]
-    recs = [(i, normalize(t), ts) for i, t, ts in _scan_order(rows) if t is not None]
+    recs = [(i, normalize(t)) for i, t, _ in _scan_order(rows) if t is not None]
     # at the default weights an unequal pair scores below .25 + .25 + .2 = .7 < .85
-    want = greedy_groups(recs, 0.85, lambda a, b: 1.0 if a == b else 0.0)
+    want = first_independent_groups(*zip(*recs), 0.85, lambda a, b: float(a == b))
     got = _groups(D.find_groups(obs).collect())
     assert got == want
     tot = D.dedup_totals(obs, D.find_groups(obs)).collect()[0]
@@ -89,30 +89,30 @@ def test_fuzzy_groups_match_greedy_loop(spark):
     string are equal, so such rows group across clusters)."""
     rows, _cases = _random_cases(60, seed=3)
     obs = obs_frame(spark, rows)
-    recs = [(i, normalize(x), ts) for i, x, ts in _scan_order(rows)]
+    recs = [(i, normalize(x)) for i, x, _ in _scan_order(rows)]
     cache = {}
 
     def score(a, b):
         if (a, b) not in cache:
-            cache[(a, b)] = similarity(a, b)[4]
+            cache[(a, b)] = composite(a, b)
         return cache[(a, b)]
 
     for t in (0.55, 0.6, 0.7):
         got = _groups(D.find_groups(obs, DedupConfig(similarity_threshold=t)).collect())
-        assert got == greedy_groups(recs, t, score), t
+        assert got == first_independent_groups(*zip(*recs), t, score), t
 
 
 def test_non_transitive_triple_and_ties(spark):
     a, b, c = "beta sigma delta delta sigma", "beta sigma beta delta sigma", "beta sigma omega delta sigma"
     t = 0.6
-    assert similarity(a, b)[4] >= t and similarity(b, c)[4] >= t and similarity(a, c)[4] < t
+    assert composite(a, b) >= t and composite(b, c) >= t and composite(a, c) < t
     import itertools
     for perm in itertools.permutations([(1, a), (2, b), (3, c)]):
         rows = [(i, x, f"2024-01-0{k + 1} 00:00:00") for k, (i, x) in enumerate(perm)]
         obs = obs_frame(spark, rows)
         got = _groups(D.find_groups(obs, DedupConfig(similarity_threshold=t)).collect())
-        recs = [(i, normalize(x), ts) for i, x, ts in _scan_order(rows)]
-        assert got == greedy_groups(recs, t, lambda p, q: similarity(p, q)[4])
+        recs = [(i, normalize(x)) for i, x, _ in _scan_order(rows)]
+        assert got == first_independent_groups(*zip(*recs), t, composite)
     # equal time: the higher id comes first in the scan and is the seed
     obs = obs_frame(spark, [(1, "same text", "2024-01-01 00:00:00"), (2, "same text", "2024-01-01 00:00:00")])
     g = D.find_groups(obs).collect()
