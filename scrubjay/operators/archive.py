@@ -19,18 +19,25 @@ ARCHIVE_PREFIX = "[ARCHIVED "
 MONTH_FORMAT = "yyyy-MM"
 
 
-def is_cold(as_of, days: int = 30) -> F.Column:
-    return F.col("created_at") < (_ts(as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))
+def is_stub(c) -> F.Column:
+    """Whether a text is the stub of an archived row, markers after it or not (false for NULL)."""
+    return F.coalesce(c.rlike(r"^\[ARCHIVED [0-9]{4,}-[0-9]{2}\]"), F.lit(False))
 
 
-def cold_rows(obs: DataFrame, as_of, days: int = 30) -> DataFrame:
-    return obs.filter(is_cold(as_of, days)).withColumn("month", F.date_format("created_at", MONTH_FORMAT))
+def is_cold(as_of, days: int = 30, content_col: str = "content") -> F.Column:
+    """Old enough to be archived and not archived yet: a stub holds no text to keep."""
+    old = F.col("created_at") < (_ts(as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))
+    return old & ~is_stub(F.col(content_col))
+
+
+def cold_rows(obs: DataFrame, as_of, days: int = 30, content_col: str = "content") -> DataFrame:
+    return obs.filter(is_cold(as_of, days, content_col)).withColumn("month", F.date_format("created_at", MONTH_FORMAT))
 
 
 def stubbed(obs: DataFrame, as_of, days: int = 30, content_col: str = "content") -> DataFrame:
     """The live table after archiving: same rows, archived texts replaced by a stub."""
     stub = F.concat(F.lit(ARCHIVE_PREFIX), F.date_format("created_at", MONTH_FORMAT), F.lit("]"))
-    return obs.withColumn(content_col, F.when(is_cold(as_of, days), stub).otherwise(F.col(content_col)))
+    return obs.withColumn(content_col, F.when(is_cold(as_of, days, content_col), stub).otherwise(F.col(content_col)))
 
 
 def manifest(df: DataFrame, content_col: str = "content") -> DataFrame:
@@ -61,7 +68,8 @@ def verify(archive_rows: DataFrame, stored_manifest: DataFrame) -> DataFrame:
 
 def restore(live: DataFrame, archive_rows: DataFrame, content_col: str = "content") -> DataFrame:
     """Put archived texts back (join on id); rows not in the archive are unchanged."""
-    back = archive_rows.select("id", F.col(content_col).alias("_archived"))
+    back = archive_rows.select("id", F.col(content_col).alias("_archived"), F.lit(True).alias("_matched"))
     out = live.join(back, "id", "left")
-    return out.withColumn(content_col, F.coalesce(F.col("_archived"), F.col(content_col))).drop("_archived") \
-              .select(*live.columns)
+    # the flag, not the text, tells an archived row: its text may have been NULL
+    text = F.when(F.col("_matched"), F.col("_archived")).otherwise(F.col(content_col))
+    return out.withColumn(content_col, text).select(*live.columns)

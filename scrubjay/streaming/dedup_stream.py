@@ -15,9 +15,12 @@ from ..operators.dedup import norm_key
 
 
 def prevent_duplicates(stream: DataFrame, delay: str = "1 day", content_col: str = "content") -> DataFrame:
-    """``stream``: observations with ``created_at``; returns the stream without repeats."""
+    """``stream``: observations with ``created_at``; returns the stream without repeats.
+    Rows without content are never repeats of each other (as in batch): their key is
+    their id, behind a byte that no text key of 16 bytes has room for."""
+    own = F.concat(F.lit("id:").cast("binary"), F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"), F.lit(" " * 16).cast("binary"))
     keyed = (stream.withColumn("event_time", F.col("created_at").cast("timestamp"))
-                   .withColumn("norm_key", norm_key(normalize_text(F.col(content_col)))))
+                   .withColumn("norm_key", F.coalesce(norm_key(normalize_text(F.col(content_col))), own)))
     return (keyed.withWatermark("event_time", delay)
                  .dropDuplicatesWithinWatermark(["norm_key"])
                  .drop("norm_key"))

@@ -23,3 +23,15 @@ def test_archive_roundtrip(spark, tmp_dir):
     # tampering is detected
     bad = rows.withColumn("content", F.when(F.col("id") == F.lit(m.rows // 2), F.lit("x")).otherwise(F.col("content")))
     assert not AR.verify(bad, spark.read.parquet(f"{path}/manifest")).collect()[0].intact
+
+
+def test_null_texts_and_second_archive(spark):
+    from conftest import obs_frame
+    obs = obs_frame(spark, [(1, None, "2024-01-01 00:00:00"), (2, "old", "2024-01-02 00:00:00"), (3, "mid", "2024-02-01 00:00:00"), (4, "new", "2024-03-01 00:00:00")])
+    first = AR.cold_rows(obs, "2024-02-20 00:00:00")
+    live = AR.stubbed(obs, "2024-02-20 00:00:00")
+    second = AR.cold_rows(live, "2024-03-20 00:00:00")
+    assert [r.id for r in second.collect()] == [3] and second.first().content == "mid"
+    live = AR.stubbed(live, "2024-03-20 00:00:00")
+    back = AR.restore(live, first.unionByName(second).drop("month"))
+    assert sorted((r.id, r.content) for r in back.collect()) == [(1, None), (2, "old"), (3, "mid"), (4, "new")]
