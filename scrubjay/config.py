@@ -38,7 +38,6 @@ class DedupConfig:
     similarity_threshold: float = 0.85
     weights: Weights = field(default_factory=Weights)
     autojunk: bool = True
-    max_rounds: int = 10_000
 
 
 @dataclass(frozen=True)
@@ -46,7 +45,6 @@ class CheckpointConfig:
     patterns: tuple = tuple(CHECKPOINT_PATTERNS)
     consolidation_threshold: int = 5
     refetch_mode: str = "signature"     # or "prefix" (the reference's LIKE re-fetch)
-    prefix_broadcast_limit: int = 10_000  # groups per broadcast batch in prefix mode
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,6 @@ from __future__ import annotations
 import datetime as _dt
 import os
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .config import Config
@@ -24,6 +23,7 @@ from .operators import history as H
 from .operators import metrics as M
 from .operators import recommend as R
 from .operators import resolve as RS
+from .session import scratch_scope
 from .sources.storage import SnapshotStore, write_report
 
 
@@ -31,88 +31,115 @@ def _now() -> str:
     return _dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
 
 
+def _run_folder(out_dir: str) -> str:
+    """A folder of this run's own, so that jobs can run again on one ``out_dir``."""
+    return os.path.join(out_dir, _dt.datetime.now().strftime("run_%Y%m%d_%H%M%S_%f"))
+
+
+def _saved(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def run_dedup(spark: SparkSession, obs: DataFrame, out_dir: str, cfg: Config = Config(),
               strategy: str | None = None, apply: bool = False, run_ts: str | None = None,
-              entity: str | None = None, store: SnapshotStore | None = None) -> dict:
-    """Analyze -> report -> optional resolution (dry run unless ``apply``)."""
+              entity: str | None = None, store: SnapshotStore | None = None, content_col: str = "content") -> dict:
+    """Analyze -> report -> optional resolution (dry run unless ``apply``).  ``status`` is
+    analysis_completed, no_duplicates_found, dry_run_completed or resolution_applied."""
+    if apply and store is None:
+        raise ValueError("apply=True needs a SnapshotStore to write the new version")
     run_ts = run_ts or _now()
-    groups = D.find_groups(obs, cfg.dedup, entity).persist(StorageLevel.MEMORY_AND_DISK)
-    groups.write.mode("overwrite").parquet(os.path.join(out_dir, "groups"))
-    groups = spark.read.parquet(os.path.join(out_dir, "groups"))
-    totals = D.dedup_totals(obs, groups, entity)
-    recs = R.dedup_recommendations(totals)
-    report = totals.select(
-        F.lit(run_ts).alias("timestamp"),
-        F.struct("total_records", "duplicate_groups", "duplicate_records",
-                 py_round(F.col("duplicate_rate"), 2).alias("duplicate_rate")).alias("summary"),
-        F.struct(F.lit(cfg.dedup.similarity_threshold).alias("similarity_threshold"),
-                 F.lit(str(cfg.dedup.weights)).alias("algorithm_weights")).alias("config_used"),
-        F.lit(os.path.join(out_dir, "groups")).alias("groups_path"),
-    )
-    rec_list = recs.orderBy("ord").agg(F.collect_list("recommendation")).scalar()
-    report = report.withColumn("recommendations", rec_list)
-    result = {"groups": groups, "totals": totals, "report": write_report(report, os.path.join(out_dir, "report"))}
-    if strategy:
-        actions = RS.plan(groups, strategy)
-        actions.write.mode("overwrite").parquet(os.path.join(out_dir, f"actions_{strategy}"))
-        result["actions"] = os.path.join(out_dir, f"actions_{strategy}")
-        result["resolution"] = RS.resolution_totals(groups).collect()[0].asDict()
-        if apply:
-            if store is None:
-                raise ValueError("apply=True needs a SnapshotStore to write the new version")
-            result["version"] = store.write(RS.apply(obs, groups, strategy, run_ts))
+    folder = _run_folder(out_dir)
+    with scratch_scope(spark):
+        groups = _saved(D.find_groups(obs, cfg.dedup, entity, content_col), os.path.join(folder, "groups"))
+        totals = _saved(D.dedup_totals(obs, groups, entity), os.path.join(folder, "totals"))
+        result = {"folder": folder, "groups": groups, "totals": totals, "status": "analysis_completed"}
+        if strategy:
+            result["actions"] = os.path.join(folder, f"actions_{strategy}")
+            RS.plan(groups, strategy).write.parquet(result["actions"])
+            result["resolution"] = RS.resolution_totals(groups).collect()[0].asDict()
+            if not result["resolution"]["groups_processed"]:
+                result["status"] = "no_duplicates_found"
+            elif apply:
+                result["version"] = store.write(RS.apply(obs, groups, strategy, run_ts, content_col))
+                result["status"] = "resolution_applied"
+            else:
+                result["status"] = "dry_run_completed"
+        rec_list = R.dedup_recommendations(totals).orderBy("ord").agg(F.collect_list("recommendation")).scalar()
+        report = totals.select(
+            F.lit(run_ts).alias("timestamp"), F.lit(result["status"]).alias("status"),
+            F.struct("total_records", "duplicate_groups", "duplicate_records",
+                     py_round(F.col("duplicate_rate"), 2).alias("duplicate_rate")).alias("summary"),
+            F.struct(F.lit(cfg.dedup.similarity_threshold).alias("similarity_threshold"),
+                     F.lit(str(cfg.dedup.weights)).alias("algorithm_weights")).alias("config_used"),
+            F.lit(os.path.join(folder, "groups")).alias("groups_path"),
+        ).withColumn("recommendations", rec_list)
+        result["report"] = write_report(report, os.path.join(folder, "report"))
     return result
 
 
 def run_checkpoint_filter(spark: SparkSession, obs: DataFrame, out_dir: str, cfg: Config = Config(),
-                          apply: bool = False, store: SnapshotStore | None = None) -> dict:
-    """Analyze once -> report (+ dry-run plan) -> optional consolidation."""
-    ann = C.annotate(obs, cfg.checkpoints)
-    groups_path = os.path.join(out_dir, "checkpoint_groups")
-    C.checkpoint_groups(ann).write.mode("overwrite").parquet(groups_path)
-    groups = spark.read.parquet(groups_path)
-    plan_path = os.path.join(out_dir, "consolidation_plan")
-    C.consolidation_plan(ann, cfg.checkpoints).write.mode("overwrite").parquet(plan_path)
-    plan = spark.read.parquet(plan_path)
-    summary = C.filter_summary(ann, cfg.checkpoints, plan=plan, groups=groups)
-    recs = R.checkpoint_recommendations(summary)
-    rec_list = recs.orderBy("ord").agg(F.collect_list("recommendation")).scalar()
-    report = summary.select(
-        F.lit(_now()).alias("timestamp"),
-        F.struct("total_observations", py_round(F.col("checkpoint_percentage"), 1).alias("checkpoint_percentage"),
-                 py_round(F.col("redundancy_rate"), 1).alias("redundancy_rate")).alias("system_stats"),
-        F.struct("total_observations", "checkpoint_observations", "regular_observations",
-                 "checkpoint_groups", "redundant_checkpoints").alias("redundancy_analysis"),
-        F.struct("action", "groups_consolidated", "space_saved_chars").alias("filtering_preview"),
-    ).withColumn("recommendations", rec_list)
-    result = {"summary": summary, "report": write_report(report, os.path.join(out_dir, "report"))}
-    if apply:
-        if store is None:
-            raise ValueError("apply=True needs a SnapshotStore to write the new version")
-        result["version"] = store.write(C.consolidate_apply(obs, cfg.checkpoints, ann=ann, plan=plan))
+                          apply: bool = False, store: SnapshotStore | None = None, content_col: str = "content") -> dict:
+    """Analyze once -> plan -> optional consolidation -> report.  ``status`` is
+    no_action_needed, dry_run_completed or filtering_applied."""
+    if apply and store is None:
+        raise ValueError("apply=True needs a SnapshotStore to write the new version")
+    folder = _run_folder(out_dir)
+    with scratch_scope(spark):
+        ann = C.annotate(obs, cfg.checkpoints, content_col)
+        groups = _saved(C.checkpoint_groups(ann), os.path.join(folder, "checkpoint_groups"))
+        plan = _saved(C.consolidation_plan(ann, cfg.checkpoints, content_col), os.path.join(folder, "consolidation_plan"))
+        result = {"folder": folder}
+        acts = apply and not plan.isEmpty()
+        if acts:
+            result["version"] = store.write(C.consolidate_apply(obs, cfg.checkpoints, content_col, ann=ann, plan=plan))
+        summary = _saved(C.filter_summary(ann, cfg.checkpoints, content_col, plan=plan, groups=groups, applied=acts),
+                         os.path.join(folder, "summary"))
+        result |= {"summary": summary, "status": summary.first().action}
+        rec_list = R.checkpoint_recommendations(summary).orderBy("ord").agg(F.collect_list("recommendation")).scalar()
+        report = summary.select(
+            F.lit(_now()).alias("timestamp"),
+            F.struct("total_observations", py_round(F.col("checkpoint_percentage"), 1).alias("checkpoint_percentage"),
+                     py_round(F.col("redundancy_rate"), 1).alias("redundancy_rate")).alias("system_stats"),
+            F.struct("total_observations", "checkpoint_observations", "regular_observations",
+                     "checkpoint_groups", "redundant_checkpoints").alias("redundancy_analysis"),
+            F.struct("action", "groups_consolidated", "space_saved_chars").alias("filtering_preview"),
+        ).withColumn("recommendations", rec_list)
+        result["report"] = write_report(report, os.path.join(folder, "report"))
     return result
 
 
 def run_monitor(spark: SparkSession, obs: DataFrame, history_path: str, out_dir: str,
-                cfg: Config = Config(), as_of: str | None = None) -> dict:
-    """Snapshot -> append to history -> effectiveness over the retained runs -> rules."""
+                cfg: Config = Config(), as_of: str | None = None, content_col: str = "content") -> dict:
+    """Snapshot -> append to history -> effectiveness over the retained runs -> rules.
+    One report row a run, also if two runs carry the same time."""
     as_of = as_of or _now()
-    snap = M.snapshot(obs, as_of, cfg.monitor)
-    row = H.as_history_row(snap)
-    H.append_history(row, history_path)
-    history = H.retained(H.load_history(spark, history_path), cfg.monitor.history_limit)
-    eff = H.effectiveness(history, cfg.monitor)
-    current = eff.filter(F.col("run_ts") == F.lit(as_of).cast("timestamp_ntz"))
-    metrics = row.join(current.select("run_ts", "effectiveness_score"), "run_ts", "left")
-    recs = R.monitor_recommendations(metrics, cfg.monitor.thresholds)
-    rec_list = recs.orderBy("ord").agg(F.collect_list("recommendation")).scalar()
-    report = metrics.join(current.drop("effectiveness_score"), "run_ts", "left").select(
-        F.struct(*row.columns).alias("current_metrics"),
-        F.struct("effectiveness_score", "effectiveness_grade", "duplicate_reduction",
-                 "checkpoint_optimization", "processing_increase", "message").alias("effectiveness_analysis"),
-        F.lit(history.count()).alias("metrics_history_length"),
-    ).withColumn("recommendations", rec_list)
-    return {"snapshot": snap, "report": write_report(report, os.path.join(out_dir, "report"))}
+    folder = _run_folder(out_dir)
+    t = cfg.monitor.thresholds
+    with scratch_scope(spark):
+        snap = _saved(M.snapshot(obs, as_of, cfg.monitor, content_col), os.path.join(folder, "snapshot"))
+        row = H.as_history_row(snap)
+        H.append_history(row, history_path)
+        history = H.retained(H.load_history(spark, history_path), cfg.monitor.history_limit)
+        current = H.effectiveness(history, cfg.monitor).filter(
+            F.col("run_ts") == F.lit(as_of).cast("timestamp_ntz")).dropDuplicates(["run_ts"])
+        metrics = row.join(current.select("run_ts", "effectiveness_score"), "run_ts", "left")
+        rec_list = R.monitor_recommendations(metrics, t).orderBy("ord").agg(F.collect_list("recommendation")).scalar()
+        days = snap.select("run_ts", "active_days", "daily_counts")
+        report = metrics.join(current.drop("effectiveness_score"), "run_ts", "left").join(days, "run_ts").select(
+            F.struct(*row.columns, "active_days", "daily_counts").alias("current_metrics"),
+            F.struct("effectiveness_score", "effectiveness_grade", "duplicate_reduction",
+                     "checkpoint_optimization", "processing_increase",
+                     F.struct("component_duplicate", "component_checkpoint", "component_processing").alias("components"),
+                     F.struct(F.col("baseline_ts").alias("baseline"), F.col("previous_ts").alias("previous"),
+                              F.col("run_ts").alias("current")).alias("dates"), "message").alias("effectiveness_analysis"),
+            F.struct(F.lit(t.duplicate_rate_warning).alias("duplicate_rate_warning"),
+                     F.lit(t.checkpoint_rate_warning).alias("checkpoint_rate_warning"),
+                     F.lit(t.processing_rate_target).alias("processing_rate_target")).alias("thresholds"),
+            F.lit(history.count()).alias("metrics_history_length"),
+        ).withColumn("recommendations", rec_list)
+        path = write_report(report, os.path.join(folder, "report"))
+    return {"folder": folder, "snapshot": snap, "report": path}
 
 
 def run_optimize(spark: SparkSession, store: SnapshotStore, out_dir: str, cfg: Config = Config(),

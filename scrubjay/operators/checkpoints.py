@@ -16,25 +16,36 @@ from ..config import CheckpointConfig
 from ..functions.pyfmt import py_fixed
 from ..functions.text import CONSOLIDATED_MARKER, checkpoint_signature, is_checkpoint, ts_text
 from ..plans.ordering import dense_index, scan_key
+from ..plans.skew import join_classes, mark_classes
 from ..session import cut_lineage, spread
 
 
-def annotate(obs: DataFrame, cfg: CheckpointConfig = CheckpointConfig(),
-             content_col: str = "content") -> DataFrame:
-    """Flag and signature per row, computed once and written to the checkpoint folder.
+SAMPLE_CHARS = 100   # of a text that group details show
+PREFIX_CHARS = 50    # of a sample that the LIKE re-fetch searches for
+
 
-    Every later aggregate reads this table instead of re-running the patterns.  The
-    text is kept for checkpoint rows only (it feeds the samples and sizes), except in
-    ``prefix`` mode, whose LIKE re-fetch searches every row's text."""
-    obs = spread(obs)
+def flagged(obs: DataFrame, cfg: CheckpointConfig = CheckpointConfig(), content_col: str = "content") -> DataFrame:
+    """``id``, ``created_at``, flag and signature per row, straight from the scan."""
     c = F.col(content_col)
     flag = is_checkpoint(c, list(cfg.patterns))
-    ann = (obs.select("id", "created_at", content_col)
-              .withColumn("is_checkpoint", flag)
-              .withColumn("signature", F.when(F.col("is_checkpoint"), checkpoint_signature(c)))
-              .withColumn("sk", scan_key()))
+    return (obs.select("id", "created_at", content_col)
+               .withColumn("is_checkpoint", flag)
+               .withColumn("signature", F.when(F.col("is_checkpoint"), checkpoint_signature(c))))
+
+
+def annotate(obs: DataFrame, cfg: CheckpointConfig = CheckpointConfig(),
+             content_col: str = "content", partitions: int | None = None) -> DataFrame:
+    """Flag, signature, the first ``SAMPLE_CHARS`` characters and the length per row,
+    computed once and written to the checkpoint folder; every later aggregate reads this
+    slim table.  The whole text is kept only in ``prefix`` mode, whose LIKE re-fetch
+    searches it.  ``partitions`` deals the rows out first."""
+    c = F.col(content_col)
+    ann = (flagged(spread(obs, partitions), cfg, content_col)
+           .withColumn("sk", scan_key())
+           .withColumn("sample", F.when(F.col("is_checkpoint"), F.substring(c, 1, SAMPLE_CHARS)))
+           .withColumn("chars", F.length(c)))
     if cfg.refetch_mode != "prefix":
-        ann = ann.withColumn(content_col, F.when(F.col("is_checkpoint"), c))
+        ann = ann.drop(content_col)
     return cut_lineage(ann)
 
 
@@ -50,17 +61,29 @@ def frequency_text(avg: Column) -> Column:
         F.concat(F.lit("~"), py_fixed(avg, 1), F.lit(" min")))
 
 
-def signature_stats(ann: DataFrame, content_col: str = "content") -> DataFrame:
-    """One row per signature (all sizes): count, first/last, newest row's text, text length."""
+def signature_stats(ann: DataFrame) -> DataFrame:
+    """One row per signature with more than one row: count, first/last, newest row's
+    sample, text length.  The newest row comes from two minima over plain longs (time,
+    then id among the rows at that time), which hash aggregates can keep; a minimum
+    over the text itself would sort every row."""
     c = ann.filter(F.col("is_checkpoint"))
-    return c.groupBy("signature").agg(
+    stats = cut_lineage(c.groupBy("signature").agg(
         F.count(F.lit(1)).alias("count"),
         F.min("created_at").alias("first_occurrence"),
         F.max("created_at").alias("last_occurrence"),
-        F.min_by(F.col(content_col), F.col("sk")).alias("newest_content"),
-        F.min("sk").alias("first_sk"),
-        F.sum(F.length(F.col(content_col))).alias("total_chars"),
-    )
+        F.min(F.col("sk")["t"]).alias("tmin"),
+        F.sum("chars").alias("total_chars"),
+    ).filter(F.col("count") > 1))
+    total = stats.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    times = stats.select("signature", F.col("count").alias("n"), "tmin")
+    newest = cut_lineage(join_classes(c.select("signature", "sk", "sample"), times, "signature", "n", total)
+                         .filter(F.col("sk")["t"] == F.col("tmin"))
+                         .select("signature", F.col("sk")["i"].alias("i"), "sample"))
+    ids = newest.groupBy("signature").agg(F.min("i").alias("i"))
+    one = newest.join(ids, ["signature", "i"]).dropDuplicates(["signature"])
+    return stats.join(one, "signature").select(
+        "signature", "count", "first_occurrence", "last_occurrence", F.col("sample").alias("newest_content"),
+        F.struct(F.col("tmin").alias("t"), "i").alias("first_sk"), "total_chars")
 
 
 def checkpoint_totals(ann: DataFrame) -> DataFrame:
@@ -87,13 +110,13 @@ def checkpoint_rates(totals: DataFrame) -> DataFrame:
     )
 
 
-def checkpoint_groups(ann: DataFrame, content_col: str = "content") -> DataFrame:
+def checkpoint_groups(ann: DataFrame) -> DataFrame:
     """Detail of every signature with more than one row."""
-    s = signature_stats(ann, content_col).filter(F.col("count") > 1)
+    s = signature_stats(ann)
     avg = _avg_interval_min(F.col("count"), F.col("first_occurrence"), F.col("last_occurrence"))
     return s.select(
         "signature", "count", "first_occurrence", "last_occurrence",
-        F.concat(F.substring("newest_content", 1, 100), F.lit("...")).alias("sample_content"),
+        F.concat("newest_content", F.lit("...")).alias("sample_content"),
         avg.alias("avg_interval_min"),
         frequency_text(avg).alias("frequency"),
         "first_sk", "total_chars",
@@ -112,28 +135,42 @@ def _pg_like_pattern(prefix: Column) -> Column:
     return F.concat(F.lit("%"), cleaned, F.lit("%"))
 
 
-def refetch_prefix(ann: DataFrame, groups: DataFrame, cfg: CheckpointConfig = CheckpointConfig(),
-                   content_col: str = "content") -> DataFrame:
-    """The reference's re-fetch: rows whose text contains the first 50 characters of the
-    group's sample (LIKE, wildcards not escaped).  Groups go to the executors as a
-    broadcast side in batches of at most ``cfg.prefix_broadcast_limit`` rows, so the
-    broadcast stays bounded however many groups there are."""
-    g = groups.select("signature", "first_sk",
-                      _pg_like_pattern(F.substring("sample_content", 1, 50)).alias("pattern"))
-    n_groups = g.count()
+def _anchors(pattern: Column) -> Column:
+    """Words that every text matching the pattern must hold between two spaces: the inner
+    words of its runs without wildcards or escapes."""
+    words = F.split(pattern, " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.array_distinct(F.filter(inner, lambda w: (F.length(w) > 0) & ~w.rlike(r"[%_\\]")))
+
+
+def refetch_prefix(ann: DataFrame, groups: DataFrame, content_col: str = "content") -> DataFrame:
+    """The reference's re-fetch: rows whose text contains the first ``PREFIX_CHARS``
+    characters of the group's sample (LIKE, wildcards not escaped).
+
+    A text that matches holds every inner word of the pattern between spaces, so each
+    group looks its rows up by its rarest such word (an equi-join on words, the LIKE
+    verifies).  Patterns without an inner word share no such key with their rows; only
+    if there are any do they go the slow way, every row against each of them."""
+    g = cut_lineage(groups.select("signature", "first_sk", _pg_like_pattern(F.substring("sample_content", 1, PREFIX_CHARS)).alias("pattern"))
+                    .withColumn("anchors", _anchors(F.col("pattern"))))
     rows = ann.select("id", F.col(content_col).alias("content"), "created_at")
-    limit = max(1, cfg.prefix_broadcast_limit)
-    if n_groups <= limit:
-        batches = [g]
-    else:
-        g = dense_index(g, [F.col("first_sk")], "_gi").withColumn("_batch", (F.col("_gi") / limit).cast("long"))
-        batches = [g.filter(F.col("_batch") == b).drop("_gi", "_batch")
-                   for b in range((n_groups + limit - 1) // limit)]
-    parts = [rows.join(F.broadcast(b), F.expr("content LIKE pattern")).drop("pattern")
-             for b in batches]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    wanted = g.select(F.explode("anchors").alias("word")).distinct()
+    words = cut_lineage(rows.select("id", F.explode(F.array_distinct(F.split("content", " "))).alias("word"))
+                        .join(wanted, "word", "left_semi"))
+    df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    ranked = (g.select("signature", F.explode("anchors").alias("word")).join(df, "word", "left")
+              .groupBy("signature").agg(F.min_by("word", F.coalesce("df", F.lit(0))).alias("word")))
+    keyed = g.drop("anchors").join(ranked, "signature")
+    # a hot anchor word meets few groups, and its rows are dealt by salt
+    salts = 16
+    left = words.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    right = keyed.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
+    hits = left.join(right, ["word", "salt"]).select("id", "signature", "first_sk", "pattern")
+    out = rows.join(hits, "id").filter(F.expr("content LIKE pattern")).drop("pattern")
+    bare = g.filter(F.size("anchors") == 0).drop("anchors")
+    if not bare.isEmpty():
+        slow = rows.join(bare, F.expr("content LIKE pattern")).drop("pattern")
+        out = out.unionByName(slow)
     return out
 
 
@@ -155,16 +192,17 @@ def consolidation_plan(ann: DataFrame, cfg: CheckpointConfig = CheckpointConfig(
                        content_col: str = "content") -> DataFrame:
     """Dry run: one action per group that would be consolidated.  Empty when the total
     of redundant rows is below ``consolidation_threshold`` (the reference's gate)."""
-    groups = checkpoint_groups(ann, content_col)
+    groups = checkpoint_groups(ann)
     if cfg.refetch_mode == "prefix":
-        hits = refetch_prefix(ann, groups, cfg, content_col)
+        hits = refetch_prefix(ann, groups, content_col)
         stats = (hits.groupBy("signature").agg(
             F.count(F.lit(1)).alias("count"),
             F.min("created_at").alias("first_occurrence"),
             F.max("created_at").alias("last_occurrence"),
             F.sum(F.length("content")).alias("total_chars"),
-            F.first("first_sk").alias("first_sk"))
-            .filter(F.col("count") > 1))
+            F.min(F.col("first_sk")["t"]).alias("_t"), F.min(F.col("first_sk")["i"]).alias("_i"))
+            .filter(F.col("count") > 1)
+            .withColumn("first_sk", F.struct(F.col("_t").alias("t"), F.col("_i").alias("i"))).drop("_t", "_i"))
     else:
         stats = groups.select("signature", "count", "first_occurrence", "last_occurrence",
                               "total_chars", "first_sk")
@@ -172,18 +210,12 @@ def consolidation_plan(ann: DataFrame, cfg: CheckpointConfig = CheckpointConfig(
     return _plan_from_stats(stats).filter(redundant >= F.lit(cfg.consolidation_threshold))
 
 
-def consolidation_hits(ann: DataFrame, plan: DataFrame, cfg: CheckpointConfig = CheckpointConfig(),
-                       content_col: str = "content") -> DataFrame:
-    """(id, times) for every row a planned group re-fetches; in ``prefix`` mode a row can
-    be hit by several groups and is marked once per group, as in the reference."""
-    if cfg.refetch_mode == "prefix":
-        groups = checkpoint_groups(ann, content_col)
-        hits = refetch_prefix(ann, groups, cfg, content_col)
-        hits = hits.join(plan.select(F.col("group_signature").alias("signature")), "signature", "left_semi")
-        return hits.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
-    return (ann.filter(F.col("is_checkpoint"))
-               .join(plan.select(F.col("group_signature").alias("signature")), "signature", "left_semi")
-               .select("id", F.lit(1).cast("long").alias("times")))
+def prefix_hits(ann: DataFrame, plan: DataFrame, content_col: str = "content") -> DataFrame:
+    """(id, times) in ``prefix`` mode, where several groups can hit a row: it is marked
+    once per group, as in the reference."""
+    hits = refetch_prefix(ann, checkpoint_groups(ann), content_col)
+    hits = hits.join(plan.select(F.col("group_signature").alias("signature")), "signature", "left_semi")
+    return hits.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
 
 
 def consolidate_apply(obs: DataFrame, cfg: CheckpointConfig = CheckpointConfig(),
@@ -192,17 +224,27 @@ def consolidate_apply(obs: DataFrame, cfg: CheckpointConfig = CheckpointConfig()
     """The table after consolidation: re-fetched rows get `` [CONSOLIDATED]`` and one
     summary row per group is added (id = max(id) + 1.. in group order, created_at =
     last occurrence).  All groups are scored against the input snapshot.  ``ann`` and
-    ``plan`` may be passed in when the caller already computed them."""
+    ``plan`` may be passed in when the caller already computed them.
+
+    In ``signature`` mode a row's mark follows from its own signature, so the table is
+    not joined by id."""
     if ann is None:
         ann = annotate(obs, cfg, content_col)
     if plan is None:
-        plan = consolidation_plan(ann, cfg, content_col)
-    hits = consolidation_hits(ann, plan, cfg, content_col)
-    marked = (obs.join(hits, "id", "left")
-                 .withColumn(content_col, F.when(F.col("times").isNull(), F.col(content_col))
-                             .otherwise(F.concat(F.col(content_col),
-                                                 F.expr(f"repeat('{CONSOLIDATED_MARKER}', times)"))))
-                 .drop("times"))
+        plan = cut_lineage(consolidation_plan(ann, cfg, content_col))
+    c = F.col(content_col)
+    if cfg.refetch_mode == "prefix":
+        marked = (obs.join(prefix_hits(ann, plan, content_col), "id", "left")
+                     .withColumn(content_col, F.when(F.col("times").isNull(), c)
+                                 .otherwise(F.concat(c, F.expr(f"repeat('{CONSOLIDATED_MARKER}', times)"))))
+                     .drop("times"))
+    else:
+        total = plan.agg(F.coalesce(F.sum("records_affected"), F.lit(0))).first()[0]
+        signed = obs.withColumn("_signature", F.when(is_checkpoint(c, list(cfg.patterns)), checkpoint_signature(c)))
+        acted = plan.select(F.col("group_signature").alias("_signature"), "records_affected")
+        marked = (mark_classes(signed, acted, "_signature", "records_affected", total, "_acted")
+                  .withColumn(content_col, F.when(F.col("_acted"), F.concat(c, F.lit(CONSOLIDATED_MARKER))).otherwise(c))
+                  .select(*obs.columns))
     max_id = obs.agg(F.max("id")).scalar()
     summaries = dense_index(plan.select("consolidated_content", "last_occurrence", "first_sk"),
                             [F.col("first_sk")], "_gi")
@@ -219,14 +261,14 @@ def consolidate_apply(obs: DataFrame, cfg: CheckpointConfig = CheckpointConfig()
 
 def filter_summary(ann: DataFrame, cfg: CheckpointConfig = CheckpointConfig(),
                    content_col: str = "content", plan: DataFrame | None = None,
-                   groups: DataFrame | None = None) -> DataFrame:
+                   groups: DataFrame | None = None, applied: bool = False) -> DataFrame:
     """One row for the filtering report: totals, rates, groups with duplicates and the
-    (gated) space the consolidation would save."""
+    (gated) space the consolidation saves, or would save in a dry run."""
     totals = checkpoint_totals(ann)
     if plan is None:
         plan = consolidation_plan(ann, cfg, content_col)
     if groups is None:
-        groups = checkpoint_groups(ann, content_col)
+        groups = checkpoint_groups(ann)
     n_groups = groups.agg(F.count(F.lit(1))).scalar()
     p = plan.agg(F.struct(F.coalesce(F.sum("space_saved_chars"), F.lit(0)).alias("saved"),
                           F.count(F.lit(1)).alias("acted"))).scalar()
@@ -240,5 +282,5 @@ def filter_summary(ann: DataFrame, cfg: CheckpointConfig = CheckpointConfig(),
         saved.cast("long").alias("space_saved_chars"),
         acted.alias("groups_consolidated"),
         F.when(r < cfg.consolidation_threshold, F.lit("no_action_needed"))
-         .otherwise(F.lit("dry_run_completed")).alias("action"),
+         .otherwise(F.lit("filtering_applied" if applied else "dry_run_completed")).alias("action"),
     )

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import DedupConfig, Weights
 from ..functions.text import normalize_text
 from ..plans.ordering import dense_index, scan_key
+from ..plans.skew import join_classes
 from ..session import cut_lineage, spread
 from ..sources.observations import filter_entity
 
@@ -30,9 +31,11 @@ def norm_key(norm) -> F.Column:
     return F.unhex(F.md5(norm))
 
 
-def prepare(obs: DataFrame, entity: str | None = None, content_col: str = "content") -> DataFrame:
-    """Scan (with the optional entity filter), scan key and normalized text, once per row."""
-    obs = spread(filter_entity(obs, entity).select("id", content_col, "created_at"))
+def prepare(obs: DataFrame, entity: str | None = None, content_col: str = "content",
+            partitions: int | None = None) -> DataFrame:
+    """Scan (with the optional entity filter), scan key and normalized text, once per row;
+    ``partitions`` deals the rows out first."""
+    obs = spread(filter_entity(obs, entity).select("id", content_col, "created_at"), partitions)
     return obs.select(
         "id", F.col(content_col).alias("content"), "created_at",
         scan_key().alias("sk"),
@@ -45,12 +48,14 @@ def number_groups(members: DataFrame) -> DataFrame:
 
     Adds ``group_id`` (0.. in seed scan order), ``seed_id``, ``rank_in_group`` (0 = seed,
     then scan order) and ``is_seed``; no single-partition window is used."""
-    ranked = dense_index(members, [F.col("seed_sk"), F.col("sk")], "_gidx")
+    ranked = cut_lineage(dense_index(members, [F.col("seed_sk"), F.col("sk")], "_gidx"))
     seeds = ranked.filter(F.col("sk") == F.col("seed_sk")).select(
         "seed_sk", F.col("id").alias("seed_id"), F.col("_gidx").alias("_start"))
     seeds = dense_index(seeds, [F.col("_start")], "group_id")
     sizes = ranked.groupBy("seed_sk").agg(F.count(F.lit(1)).alias("group_size"))
-    out = ranked.join(seeds.join(sizes, "seed_sk"), "seed_sk")
+    starts = cut_lineage(seeds.join(sizes, "seed_sk"))
+    total = starts.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    out = join_classes(ranked, starts, "seed_sk", "group_size", total)
     return (out.withColumn("rank_in_group", (F.col("_gidx") - F.col("_start")).cast("int"))
                .withColumn("is_seed", F.col("rank_in_group") == 0)
                .withColumnRenamed("id", "member_id")
@@ -84,16 +89,16 @@ def exact_groups(prep: DataFrame, weights: Weights = Weights()) -> DataFrame:
     # hash aggregates over plain longs: the smallest t per text over all rows, then the
     # smallest i among the (duplicate) rows at that t; a struct min would need a
     # sort-based aggregate over every row.
-    classes = (p.groupBy("key")
-                .agg(F.count(F.lit(1)).alias("n"), F.min(F.col("sk")["t"]).alias("tmin"))
-                .filter(F.col("n") > 1)
-                .select("key", "tmin"))
-    members = p.join(classes, "key")
+    classes = cut_lineage(p.groupBy("key")
+                           .agg(F.count(F.lit(1)).alias("n"), F.min(F.col("sk")["t"]).alias("tmin"))
+                           .filter(F.col("n") > 1))
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = cut_lineage(join_classes(p, classes, "key", "n", total))
     seeds = (members.filter(F.col("sk")["t"] == F.col("tmin"))
-                    .groupBy("key").agg(F.min(F.col("sk")["i"]).alias("imin")))
-    members = (members.join(seeds, "key")
-                      .withColumn("seed_sk", F.struct(F.col("tmin").alias("t"), F.col("imin").alias("i")))
-                      .drop("key", "tmin", "imin"))
+                    .groupBy("key").agg(F.min(F.col("sk")["i"]).alias("imin"), F.max("n").alias("size")))
+    members = (join_classes(members, cut_lineage(seeds), "key", "size", total)
+               .withColumn("seed_sk", F.struct(F.col("tmin").alias("t"), F.col("imin").alias("i")))
+               .drop("key", "tmin", "imin", "n", "size"))
     groups = number_groups(members)
     return with_scores(groups, _exact_scores(weights)).select(*GROUP_COLUMNS)
 

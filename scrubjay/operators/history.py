@@ -13,12 +13,14 @@ instead of one full snapshot per day.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..config import MonitorConfig
 from ..functions.pyfmt import py_round
 from ..functions.text import is_processed, monitor_checkpoint_like
 from ..session import cut_lineage
+from ..plans.skew import join_classes
 from .metrics import content_key
 
 HISTORY_SCHEMA = T.StructType([
@@ -52,10 +54,13 @@ def as_history_row(snap: DataFrame) -> DataFrame:
 
 
 def load_history(spark: SparkSession, path: str) -> DataFrame:
-    """Stored runs; a missing or unreadable history is an empty one."""
+    """Stored runs; a history that does not exist yet is an empty one.  Other errors
+    (permissions, network) are errors."""
     try:
         return spark.read.schema(HISTORY_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - the reference tolerates a missing/corrupt file
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], HISTORY_SCHEMA)
 
 
@@ -83,10 +88,10 @@ def backfill_history(obs: DataFrame, cfg: MonitorConfig = MonitorConfig(),
         F.count(F.when(F.col("ck"), 1)).alias("n_ck"), F.count(F.when(F.col("pr"), 1)).alias("n_pr"),
         F.min("created_at").alias("min_ts"), F.max("created_at").alias("max_ts"))
     # first and second occurrence per content (second = first when they tie)
-    first = rows.groupBy(F.col("k").alias("fk")).agg(F.min("created_at").alias("f1"),
-                                                     F.count(F.lit(1)).alias("kn"))
-    second = (rows.join(first.filter(F.col("kn") > 1), F.col("k").eqNullSafe(F.col("fk")))
-                  .groupBy("fk", "f1")
+    first = cut_lineage(rows.groupBy("k").agg(F.min("created_at").alias("f1"), F.count(F.lit(1)).alias("kn")))
+    total = first.agg(F.coalesce(F.sum("kn"), F.lit(0))).first()[0]
+    second = (join_classes(rows.select("k", "created_at"), first.filter(F.col("kn") > 1), "k", "kn", total, null_safe=True)
+                  .groupBy("k", "f1")
                   .agg(F.count(F.when(F.col("created_at") == F.col("f1"), 1)).alias("at_f1"),
                        F.min(F.when(F.col("created_at") > F.col("f1"), F.col("created_at"))).alias("after"))
                   .select(F.when(F.col("at_f1") >= 2, F.col("f1")).otherwise(F.col("after")).alias("f2")))
@@ -120,7 +125,7 @@ def backfill_history(obs: DataFrame, cfg: MonitorConfig = MonitorConfig(),
     return t.select(
         F.date_add("date", 1).cast("timestamp_ntz").alias("run_ts"),
         total.alias("total_records"),
-        (F.col("cum_len") / F.col("cum_n_len")).alias("avg_text_length"),
+        F.when(F.col("cum_n_len") > 0, F.col("cum_len") / F.col("cum_n_len")).otherwise(F.lit(0.0)).alias("avg_text_length"),
         "oldest_record", "newest_record",
         F.col("total_checkpoints"), pct(F.col("total_checkpoints")).alias("checkpoint_percentage"),
         F.col("duplicate_groups"), dup.alias("total_duplicates"), pct(dup).alias("duplicate_rate"),

@@ -39,6 +39,35 @@ def daily_activity(obs: DataFrame, as_of, cfg: MonitorConfig = MonitorConfig())
                .agg(F.count(F.lit(1)).alias("daily_count")))
 
 
+def percentage(x: F.Column, total: F.Column) -> F.Column:
+    return F.when(total > 0, x / total * 100).otherwise(F.lit(0.0))
+
+
+def _general(length, checkpoint, processed) -> list:
+    return [F.count(F.lit(1)).alias("total_records"),
+            F.coalesce(F.avg(length), F.lit(0.0)).alias("avg_text_length"),
+            F.min("created_at").alias("oldest_record"),
+            F.max("created_at").alias("newest_record"),
+            F.count(F.when(checkpoint, 1)).alias("total_checkpoints"),
+            F.count(F.when(processed, 1)).alias("processed_records")]
+
+
+def general(obs: DataFrame, content_col: str = "content") -> DataFrame:
+    """Counts, mean length (0 for an empty table), oldest and newest: one aggregate."""
+    c = F.col(content_col)
+    return obs.agg(*_general(F.length(c), monitor_checkpoint_like(c), is_processed(c)))
+
+
+def activity(obs: DataFrame, as_of, cfg: MonitorConfig = MonitorConfig()) -> DataFrame:
+    """active_days, avg_daily_activity (mean over active days) and daily_counts, newest
+    day first (at most ``activity_days`` + 1 entries)."""
+    entry = F.struct("date", F.col("daily_count").alias("count"))
+    return daily_activity(obs, as_of, cfg).agg(
+        F.count(F.lit(1)).alias("active_days"),
+        F.when(F.count(F.lit(1)) > 0, F.sum("daily_count") / F.count(F.lit(1))).otherwise(F.lit(0.0)).alias("avg_daily_activity"),
+        F.sort_array(F.collect_list(entry), asc=False).alias("daily_counts"))
+
+
 def snapshot(obs: DataFrame, as_of, cfg: MonitorConfig = MonitorConfig(),
              content_col: str = "content") -> DataFrame:
     """One row of unrounded metrics (the report rounds them to 2 decimals).
@@ -49,35 +78,22 @@ def snapshot(obs: DataFrame, as_of, cfg: MonitorConfig = MonitorConfig(),
     slim = cut_lineage(obs.select(
         content_key(c).alias("k"), F.length(c).alias("len"),
         monitor_checkpoint_like(c).alias("ck"), is_processed(c).alias("pr"), "created_at"))
-    base = slim.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.avg("len").alias("avg_text_length"),
-        F.min("created_at").alias("oldest_record"),
-        F.max("created_at").alias("newest_record"),
-        F.count(F.when(F.col("ck"), 1)).alias("total_checkpoints"),
-        F.count(F.when(F.col("pr"), 1)).alias("processed_records"),
-    )
+    base = slim.agg(*_general(F.col("len"), F.col("ck"), F.col("pr")))
     dups = (slim.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
                 .filter(F.col("n") > 1)
                 .agg(F.count(F.lit(1)).alias("g"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("d")))
-    days = daily_activity(slim, as_of, cfg).agg(
-        F.count(F.lit(1)).alias("days"), F.coalesce(F.sum("daily_count"), F.lit(0)).alias("rows"))
     d = dups.select(F.struct("g", "d")).scalar()
-    a = days.select(F.struct("days", "rows")).scalar()
+    a = activity(slim, as_of, cfg).select(F.struct("active_days", "avg_daily_activity", "daily_counts")).scalar()
     total = F.col("total_records")
-
-    def pct(x):
-        return F.when(total > 0, x / total * 100).otherwise(F.lit(0.0))
-
     return base.select(
         _ts(as_of).alias("run_ts"),
         "total_records", "avg_text_length", "oldest_record", "newest_record",
-        "total_checkpoints", pct(F.col("total_checkpoints")).alias("checkpoint_percentage"),
+        "total_checkpoints", percentage(F.col("total_checkpoints"), total).alias("checkpoint_percentage"),
         d["g"].alias("duplicate_groups"), d["d"].alias("total_duplicates"),
-        pct(d["d"]).alias("duplicate_rate"),
-        "processed_records", pct(F.col("processed_records")).alias("processing_rate"),
-        a["days"].alias("active_days"),
-        F.when(a["days"] > 0, a["rows"] / a["days"]).otherwise(F.lit(0.0)).alias("avg_daily_activity"),
+        percentage(d["d"], total).alias("duplicate_rate"),
+        "processed_records", percentage(F.col("processed_records"), total).alias("processing_rate"),
+        a["active_days"].alias("active_days"), a["avg_daily_activity"].alias("avg_daily_activity"),
+        a["daily_counts"].alias("daily_counts"),
     )
 
 

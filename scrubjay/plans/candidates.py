@@ -13,18 +13,18 @@ ratio <= 2m/(m+M), Levenshtein similarity <= m/M and Jaccard <= min/max word cou
 ``s*2m/(m+M) + l*m/M + j*min/max < t`` rules a pair out before any text is compared.
 Survivors are verified with the exact Jaccard (native), then the UDF for Levenshtein and
 ratio.  Frequent words sit at the end of the ordering, so stop words rarely reach a
-prefix; AQE's skew-join split handles the remaining hot words.
+prefix; the join that looks up word frequencies broadcasts the few hot words.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DedupConfig
 from ..functions.similarity import composite, jaccard, pair_scores_udf
 from ..functions.text import word_set
 from ..session import cut_lineage
+from .skew import join_classes
 
 EPS = 1e-9
 
@@ -55,8 +55,9 @@ def token_prefixes(reps: DataFrame, tau: float) -> DataFrame:
     """(v, tok, pos, nw, nc) for the prefix words of every representative; ``pos`` is the
     word's 0-based place in the global (document frequency, word) order."""
     toks = reps.select("v", F.explode("words").alias("tok"))
-    freq = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (toks.join(freq, "tok")
+    freq = cut_lineage(toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df")))
+    total = freq.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    ranked = (join_classes(toks, freq, "tok", "df", total)
                   .groupBy("v").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("ord")))
     pref = (ranked.join(reps.select("v", "nw", "nc"), "v")
                   .select("v", "nw", "nc",
@@ -168,8 +169,8 @@ def jaccard_pairs(rows: DataFrame, tau: float) -> DataFrame:
     verification), for inspection and tests: ``(u, v, jaccard)``."""
     if tau <= 0:
         raise ValueError("tau must be positive")
-    reps = representatives(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    pref = token_prefixes(reps, tau)
+    reps = cut_lineage(representatives(rows))
+    pref = cut_lineage(token_prefixes(reps, tau))
 
     def extra(a, b):
         return F.least(a["nwa"], b["nwb"]) >= F.greatest(a["nwa"], b["nwb"]) * F.lit(tau) - F.lit(EPS)

@@ -12,8 +12,8 @@ from decided neighbours: one with a seed neighbour is a member; one whose earlie
 neighbours are all members (or that has none) is a seed.  The earliest undecided
 vertex is always decided, so the loop ends; on random orders it takes O(log^2 n)
 rounds (Blelloch, Fineman, Shun 2012).  A round is one join and one aggregate over
-the *undecided* edges only, and its result is checkpointed to the shared checkpoint
-folder so a lost executor never replays earlier rounds.  Vertices without edges never
+edges into undecided vertices; after a few rounds the state is written to the shared
+checkpoint folder, so a lost executor never replays more than those.  Vertices without edges never
 enter the loop.
 
 Equal normalized texts are collapsed first (one representative per text, the first in
@@ -29,41 +29,51 @@ from ..config import DedupConfig
 from ..operators.dedup import GROUP_COLUMNS, _exact_scores, norm_key, number_groups
 from ..session import cut_lineage
 from .candidates import representatives, scored_edges
+from .skew import join_classes
 
 SCORE_COLS = ["exact_match", "sequence_similarity", "levenshtein_similarity", "jaccard_similarity",
               "composite_similarity"]
 
 
-def greedy_seeds(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+ROUNDS_PER_WRITE = 6
+
+
+def greedy_seeds(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` with u before v -> ``(x, seed)`` for every vertex on an edge.
 
-    Per round two small tables are written (the decided vertices so far and the edges
-    still into undecided vertices); the loop ends when every vertex is decided."""
+    Several rounds run on one plan before anything is written; then the state of every
+    vertex that is still undecided, or was decided since, is written with the count of
+    undecided ones in the same table, so a long chain costs a write per
+    ``ROUNDS_PER_WRITE`` rounds."""
     e = cut_lineage(edges.select("u", "v").distinct())
-    verts = cut_lineage(e.select(F.col("u").alias("x")).union(e.select(F.col("v").alias("x"))).distinct())
-    n_verts = verts.count()
-    status = None
-    for _ in range(max_rounds):
-        if status is None:
-            undecided = verts
-            eu = e.withColumn("u_seed", F.lit(None).cast("boolean"))
-        else:
-            undecided = verts.join(status.select("x"), "x", "left_anti")
-            eu = e.join(status.select(F.col("x").alias("u"), F.col("seed").alias("u_seed")), "u", "left")
-        # members never block or claim anyone: drop their out-edges
-        eu = eu.filter(F.col("u_seed").isNull() | F.col("u_seed"))
-        incoming = eu.groupBy("v").agg(F.max(F.coalesce(F.col("u_seed"), F.lit(False))).alias("has_seed"))
-        new_members = incoming.filter(F.col("has_seed")).select(F.col("v").alias("x"), F.lit(False).alias("seed"))
-        new_seeds = (undecided.join(incoming.select(F.col("v").alias("x")), "x", "left_anti")
-                              .select("x", F.lit(True).alias("seed")))
-        decided = new_members.unionByName(new_seeds)
-        status = cut_lineage(decided if status is None else status.unionByName(decided))
-        if status.count() >= n_verts:
-            return status
-        # keep only edges into still-undecided vertices, from non-members
-        still = verts.join(status.select("x"), "x", "left_anti").select(F.col("x").alias("v"))
-        e = cut_lineage(eu.select("u", "v").join(still, "v", "left_semi"))
-    raise RuntimeError(f"greedy grouping did not settle in {max_rounds} rounds")
+    verts = e.select(F.col("u").alias("x")).union(e.select(F.col("v").alias("x"))).distinct()
+    # seed is NULL while undecided
+    state = cut_lineage(verts.withColumn("seed", F.lit(None).cast("boolean")))
+    settled = None
+    while True:
+        now = state
+        for _ in range(ROUNDS_PER_WRITE):
+            # an undecided vertex: a member if an earlier neighbour is a seed, a seed if
+            # every earlier neighbour is a member (or it has none)
+            before = e.join(now.select(F.col("x").alias("u"), F.col("seed").alias("u_seed")), "u")
+            seen = before.groupBy("v").agg(F.max(F.coalesce("u_seed", F.lit(False))).alias("has_seed"),
+                                           F.max(F.col("u_seed").isNull()).alias("open"))
+            now = now.join(seen, F.col("x") == F.col("v"), "left").select(
+                "x", F.when(F.col("seed").isNotNull(), F.col("seed"))
+                      .when(F.coalesce("has_seed", F.lit(False)), F.lit(False))
+                      .when(~F.coalesce("open", F.lit(False)), F.lit(True)).alias("seed"))
+        state = cut_lineage(now)
+        done = state.filter(F.col("seed").isNotNull())
+        left = state.filter(F.col("seed").isNull()).select(F.col("x").alias("v"))
+        if left.isEmpty():
+            return done if settled is None else settled.unionByName(done)
+        # only edges into undecided vertices matter from here on, with the ends they need
+        e = e.join(left, "v", "left_semi")
+        needed = e.select(F.col("u").alias("x")).union(left.select(F.col("v").alias("x"))).distinct()
+        keep = state.join(needed, "x", "left_semi")
+        out = done.join(needed, "x", "left_anti")
+        settled = out if settled is None else settled.unionByName(out)
+        state = keep
 
 
 def fuzzy_groups(prep: DataFrame, cfg: DedupConfig) -> DataFrame:
@@ -74,7 +84,7 @@ def fuzzy_groups(prep: DataFrame, cfg: DedupConfig) -> DataFrame:
                            .select("id", "created_at", "sk", "norm", norm_key(F.col("norm")).alias("key")))
     reps = cut_lineage(representatives(rows))
     edges = cut_lineage(scored_edges(reps, cfg))
-    status = greedy_seeds(edges, cfg.max_rounds)
+    status = greedy_seeds(edges)
     seeds = status.filter(F.col("seed")).select(F.col("x").alias("u"))
     # member representative -> earliest seed neighbour, with that edge's scores
     claims = edges.join(seeds, "u", "left_semi")
@@ -82,12 +92,13 @@ def fuzzy_groups(prep: DataFrame, cfg: DedupConfig) -> DataFrame:
     member_reps = first.select(F.col("v").alias("rep_v"), F.col("c")["u"].alias("seed_v"),
                                *[F.col("c")[k].alias(k) for k in SCORE_COLS])
     # every row: its class representative, then that representative's seed
-    classes = rows.groupBy("key").agg(F.min("sk").alias("rep_v"))
-    r = rows.select("id", "created_at", "sk", "key").join(classes, "key")
-    r = r.join(member_reps, "rep_v", "left")
-    r = r.withColumn("seed_sk", F.coalesce(F.col("seed_v"), F.col("rep_v")))
-    sizes = r.groupBy("seed_sk").agg(F.count(F.lit(1)).alias("_n"))
-    members = r.join(sizes.filter(F.col("_n") > 1).select("seed_sk"), "seed_sk")
+    classes = cut_lineage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sk").alias("rep_v")))
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # decide per class (one row each), then hand the decision to the class's rows
+    decided = classes.join(member_reps, "rep_v", "left").withColumn("seed_sk", F.coalesce("seed_v", "rep_v")).drop("seed_v")
+    sizes = decided.groupBy("seed_sk").agg(F.sum("n").alias("_n"))
+    kept = cut_lineage(decided.join(sizes.filter(F.col("_n") > 1).select("seed_sk"), "seed_sk"))
+    members = join_classes(rows.select("id", "created_at", "sk", "key"), kept, "key", "n", total)
     groups = number_groups(members.select("id", "created_at", "sk", "seed_sk", "rep_v", *SCORE_COLS))
     exact = _exact_scores(cfg.weights)
     in_seed_class = F.col("rep_v") == F.col("seed_sk")

@@ -12,6 +12,8 @@ from . import sql_twins as Q
 from .config import DedupConfig
 from .functions import text as T
 from .operators import dedup as D
+from .plans.skew import join_classes
+from .session import cut_lineage
 from .sources.observations import obs_checkpoints, obs_conversations, obs_documents
 
 QUERIES: dict = {}
@@ -122,12 +124,12 @@ def _ck_ann(spark, sf, cfg=CheckpointConfig()):
 
 @register("checkpoint_flag", f"SELECT id, is_checkpoint FROM ({CK_ANN})")
 def checkpoint_flag(spark, sf):
-    return _ck_ann(spark, sf).select("id", "is_checkpoint")
+    return C.flagged(obs_checkpoints(spark, sf)).select("id", "is_checkpoint")
 
 
 @register("checkpoint_signature", f"SELECT id, signature FROM ({CK_ANN})")
 def q_checkpoint_signature(spark, sf):
-    return _ck_ann(spark, sf).select("id", "signature")
+    return C.flagged(obs_checkpoints(spark, sf)).select("id", "signature")
 
 
 CK_TOTALS = f"""WITH a AS ({CK_ANN}), s AS (SELECT signature, count(*) AS n FROM a WHERE is_checkpoint GROUP BY signature)
@@ -175,8 +177,9 @@ def q_checkpoint_frequency(spark, sf):
 @register("refetch_signature", f"SELECT signature, id FROM ({CK_ANN}) WHERE signature IN (SELECT signature FROM ({CK_STATS}))")
 def q_refetch_signature(spark, sf):
     ann = _ck_ann(spark, sf)
-    groups = C.checkpoint_groups(ann)
-    return ann.join(groups.select("signature"), "signature", "left_semi").select("signature", "id")
+    groups = cut_lineage(C.checkpoint_groups(ann).select("signature", "count"))
+    total = groups.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return join_classes(ann.select("signature", "id"), groups, "signature", "count", total).select("signature", "id")
 
 
 @register("refetch_prefix", f"""WITH g AS (SELECT signature, '%' || substring(substring(newest_content, 1, 100) || '...', 1, 50) || '%' AS pattern FROM ({CK_STATS}))
@@ -184,7 +187,7 @@ SELECT g.signature, o.id FROM ({Q.OBS_CHECKPOINTS}) o JOIN g ON o.content LIKE g
 def q_refetch_prefix(spark, sf):
     cfg = CheckpointConfig(refetch_mode="prefix")
     ann = _ck_ann(spark, sf, cfg)
-    return C.refetch_prefix(ann, C.checkpoint_groups(ann), cfg).select("signature", "id")
+    return C.refetch_prefix(ann, C.checkpoint_groups(ann)).select("signature", "id")
 
 
 def _summary_sql(n, first, last, avg):
@@ -253,29 +256,37 @@ SELECT {t} AS run_ts, total_records, avg_text_length, oldest_record, newest_reco
   processed_records,
   CASE WHEN total_records > 0 THEN processed_records / total_records * 100 ELSE 0.0 END AS processing_rate,
   (SELECT count(*) FROM a) AS active_days,
-  CASE WHEN (SELECT count(*) FROM a) > 0 THEN (SELECT sum(c) FROM a) / (SELECT count(*) FROM a) ELSE 0.0 END AS avg_daily_activity
+  CASE WHEN (SELECT count(*) FROM a) > 0 THEN (SELECT sum(c) FROM a) / (SELECT count(*) FROM a) ELSE 0.0 END AS avg_daily_activity,
+  (SELECT coalesce(string_agg(CAST(date AS VARCHAR) || ':' || CAST(c AS VARCHAR), ',' ORDER BY date DESC), '') FROM a) AS daily_counts
 FROM b"""
 
 
+def _flat_days(snap):
+    """The array of days as text, newest first, for comparison with SQL."""
+    day = lambda d: F.concat(d["date"].cast("string"), F.lit(":"), d["count"].cast("string"))
+    return snap.withColumn("daily_counts", F.array_join(F.transform("daily_counts", day), ","))
+
+
 @register("monitor_snapshot", _snapshot_sql(Q.OBS_CHECKPOINTS))
 def monitor_snapshot(spark, sf):
-    return M.snapshot(obs_checkpoints(spark, sf), AS_OF)
+    return _flat_days(M.snapshot(obs_checkpoints(spark, sf), AS_OF))
 
 
 @register("monitor_snapshot_documents", _snapshot_sql(Q.OBS_DOCUMENTS, "2024-01-08 00:00:00"))
 def monitor_snapshot_documents(spark, sf):
-    return M.snapshot(obs_documents(spark, sf), "2024-01-08 00:00:00")
+    return _flat_days(M.snapshot(obs_documents(spark, sf), "2024-01-08 00:00:00"))
 
 
 @register("monitor_general", f"SELECT total_records, avg_text_length, oldest_record, newest_record FROM ({_snapshot_sql(Q.OBS_CHECKPOINTS)})")
 def monitor_general(spark, sf):
-    return M.snapshot(obs_checkpoints(spark, sf), AS_OF).select(
+    return M.general(obs_checkpoints(spark, sf)).select(
         "total_records", "avg_text_length", "oldest_record", "newest_record")
 
 
 @register("monitor_checkpoint_count", f"SELECT total_checkpoints, checkpoint_percentage FROM ({_snapshot_sql(Q.OBS_CHECKPOINTS)})")
 def monitor_checkpoint_count(spark, sf):
-    return M.snapshot(obs_checkpoints(spark, sf), AS_OF).select("total_checkpoints", "checkpoint_percentage")
+    general = M.general(obs_checkpoints(spark, sf))
+    return general.select("total_checkpoints", M.percentage(F.col("total_checkpoints"), F.col("total_records")).alias("checkpoint_percentage"))
 
 
 @register("monitor_duplicates", f"SELECT duplicate_groups, total_duplicates, duplicate_rate FROM ({_snapshot_sql(Q.OBS_DOCUMENTS)})")
@@ -300,7 +311,7 @@ def q_daily_activity(spark, sf):
 
 @register("avg_daily_activity", f"SELECT active_days, avg_daily_activity FROM ({_snapshot_sql(Q.OBS_CHECKPOINTS)})")
 def avg_daily_activity(spark, sf):
-    return M.snapshot(obs_checkpoints(spark, sf), AS_OF).select("active_days", "avg_daily_activity")
+    return M.activity(obs_checkpoints(spark, sf), AS_OF).select("active_days", "avg_daily_activity")
 
 
 @register("monitor_processed", f"""SELECT total_records, processed_records, processing_rate, total_checkpoints

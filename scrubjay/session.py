@@ -8,8 +8,11 @@ need.
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
+import threading
 import uuid
 import zipfile
 
@@ -69,14 +72,19 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when none is configured
-    (a laptop or a test) fall back to a fresh local scratch folder."""
+    """The shared folder the session names in ``spark.checkpoint.dir``.  Only a
+    single-machine session (master ``local[...]``) may do without: it gets a scratch
+    folder of its own.  On a cluster a machine-local folder would lose what other
+    executors write, so a missing setting is an error there."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share "
+                             f"(master is {sc.master})")
         configured = tempfile.mkdtemp(prefix="scrubjay-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -88,22 +96,44 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Used between rounds of the iterative grouping and before numbering rows by
     partition offsets: a lost executor then re-reads the written files instead of
     replaying (possibly non-deterministic) upstream stages.  One job, where
-    ``DataFrame.checkpoint`` needs the input computed twice or cached first."""
+    ``DataFrame.checkpoint`` needs the input computed twice or cached first.  Inside a
+    :func:`scratch_scope` the folder goes when the scope ends."""
     spark = df.sparkSession
     path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
+    _scopes.paths.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin an input that arrives in fewer partitions than the cluster has
-    cores (a single large file, a tiny table) before CPU-heavy text expressions.
-    On a real table with thousands of splits this is a no-op: no shuffle is added."""
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+class _Scopes(threading.local):
+    """Cut tables written by this thread since its outermost scope began."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_scopes = _Scopes()
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete the cut tables that are written inside when the block ends, failed or not.
+    Nothing that still reads them may leave the block; jobs return paths and small rows."""
+    start = len(_scopes.paths)
+    try:
+        yield
+    finally:
+        done, _scopes.paths[start:] = _scopes.paths[start:], []
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in done:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
+
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Round-robin an input that arrives in too few partitions (a single large file)
+    before CPU-heavy text expressions.  Only on request: it shuffles whole rows."""
+    return df if partitions is None else df.repartition(partitions)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -72,7 +72,7 @@ def test_prefix_like_wildcards_and_backslash(spark):
     obs = obs_frame(spark, rows)
     cfg = CheckpointConfig(refetch_mode="prefix")
     ann = C.annotate(obs, cfg)
-    hits = C.refetch_prefix(ann, C.checkpoint_groups(ann), cfg).collect()
+    hits = C.refetch_prefix(ann, C.checkpoint_groups(ann)).collect()
     ids = {r.id for r in hits}
     # '%' and '_' match any text and '\d' reads as a literal 'd' (PostgreSQL LIKE), so the
     # pattern needs "cd": row 50 matches, while the group's own rows ("c\d") and row 51

@@ -13,6 +13,10 @@ def test_entry_and_registry(spark):
     assert len(q) >= 40
 
 
+def plain(value):
+    return f"{value:.9g}" if isinstance(value, float) or type(value).__name__ == "Decimal" else str(value)
+
+
 def test_some_oracles_at_smallest_scale(spark):
     import __spark_entry__ as E
     con = duckdb.connect()
@@ -22,9 +26,9 @@ def test_some_oracles_at_smallest_scale(spark):
     for name in ("dedup_totals", "checkpoint_groups", "monitor_snapshot", "keep_latest_plan", "history_trends"):
         got = q[name](spark, SF001)
         cols = sorted(got.columns)
-        a = sorted(tuple(str(r[c]) for c in cols) for r in got.collect())
+        a = sorted(tuple(plain(r[c]) for c in cols) for r in got.collect())
         rel = con.sql(o[name])
         ocols = rel.columns
-        b = sorted(tuple(str(r[ocols.index(c)]) for c in cols) for r in rel.fetchall())
+        b = sorted(tuple(plain(r[ocols.index(c)]) for c in cols) for r in rel.fetchall())
         assert sorted(ocols) == cols, name
-        assert len(a) == len(b), name
+        assert a == b, name
