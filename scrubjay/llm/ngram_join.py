@@ -18,10 +18,9 @@ the dearer one-deletion neighbourhoods: about ``H/2`` larger segments, each inde
 its subset and by every subset with one hash removed, so that segments which differ once
 still meet.  These lists are used at any length.
 
-*Verification.*  Documents of a posting list are first compared with one centre only
-(a few times, with different centres); linked ones are contracted to components, and only
-pairs across components that are still untested are then compared.  Every comparison is
-exact, on whole texts.
+*Verification.*  Documents of a posting list are compared with one centre at first;
+linked ones are contracted to components, and only pairs across components that are still untested, and that sizes and parity bitmaps of the sets
+allow, are then compared.  Every comparison is exact, on whole texts.
 
 Edge cases: null, empty or blank texts have no shingles and link with nothing; a text of
 fewer than ``k`` words has its whole sequence as one shingle; exact copies form one class
@@ -47,7 +46,8 @@ from scrubjay.llm.textkernel import HASH_BITS, U64, mix, shingle_sets, text_slic
 BUCKET_ROWS = 500_000      # index rows per reduce bucket (sizing only)
 FLUSH_ROWS = 1_000_000     # index rows a map task holds before it emits blocks
 LONG_LIST = 32             # posting lists above this are skipped at the first level
-STAR_TURNS = 3             # rounds against one centre a list before the pairs that remain
+STAR_TURNS = 1             # rounds against one centre a list before the pairs that remain
+CHUNK = 2048               # members of a list that one group holds in the last round
 SKETCH_BYTES = 128         # parity bitmap: its Hamming distance bounds the difference from below
 
 
@@ -370,6 +370,45 @@ def _sketch_filter(scheme: Scheme):
     return run
 
 
+def _cross(scheme: Scheme):
+    """Rows sorted by (list, chunk, role): members outside the list's largest component
+    (role 0), then a chunk of all its members (role 1).  Yields the pairs across
+    components whose sizes and sketches allow a link."""
+    def pairs(minor, part) -> np.ndarray:
+        found = []
+        step = max(1, (1 << 16) // max(1, len(part[0])))
+        for lo in range(0, len(minor[0]), step):
+            own = [x[lo:lo + step] for x in minor]
+            small, large = np.minimum(own[2][:, None], part[2]), np.maximum(own[2][:, None], part[2])
+            i, j = np.nonzero((own[1][:, None] != part[1]) & (small * scheme.den >= large * scheme.num))
+            apart = np.bitwise_count(own[3][i] ^ part[3][j]).sum(axis=1, dtype=np.int64)
+            ok = apart * (scheme.den + scheme.num) <= (scheme.den - scheme.num) * (own[2][i] + part[2][j])
+            x, y = own[0][i[ok]], part[0][j[ok]]
+            found.append(np.column_stack((np.minimum(x, y), np.maximum(x, y))))
+        return np.concatenate(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, minor = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists, chunk, role, ids, comp, n = (batch.column(c).to_numpy() for c in range(6))
+            sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), U64).reshape(batch.num_rows, -1)
+            edge = np.flatnonzero(np.concatenate(([True], (lists[1:] != lists[:-1]) | (chunk[1:] != chunk[:-1]) | (role[1:] != role[:-1]), [True])))
+            found = []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if (lists[a], chunk[a]) != group:
+                    group, minor = (lists[a], chunk[a]), []
+                rows = (ids[a:b], comp[a:b], n[a:b], sketch[a:b])
+                if role[a] == 0:
+                    minor.append(rows)
+                elif minor:
+                    found.append(pairs(tuple(np.concatenate(x) for x in zip(*minor)), rows))
+            out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
+    return run
+
+
 def _verify(scheme: Scheme, k: int):
     """Rows sorted by (centre, salt, role): the centre's texts come first, its partners
     follow.  Texts whose set is not the wanted class (rows that repeat a doc_id) pass by."""
@@ -461,10 +500,10 @@ def link_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5)
     texts = written(rows.join(involved, rows.doc_id == involved.id).select("id", "key", "text"), "join-texts")
     info = classes.select("id", "n_shingles", "sketch").join(involved.select("id").distinct(), "id", "left_semi")
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
+    def linked(pairs: DataFrame, name: str, checked: bool) -> DataFrame:
         x, y = info.toDF("a", "n_a", "s_a"), info.toDF("b", "n_b", "s_b")
-        likely = written(pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-                         .mapInArrow(_sketch_filter(scheme), "a long, b long").distinct(), f"{name}-pairs")
+        likely = pairs if checked else written(pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+                                               .mapInArrow(_sketch_filter(scheme), "a long, b long").distinct(), f"{name}-pairs")
         # a centre with many partners is repeated per 256 of them, so no task holds them all
         parts = likely.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("parts"))
         dealt = likely.join(parts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
@@ -492,16 +531,20 @@ def link_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5)
             centre = current.groupBy("list_id").agg(F.min_by("id", order).alias("c"), F.min_by("component_id", order).alias("cc"))
             pairs = current.join(centre, "list_id").where("component_id <> cc").select(*_pairs_of(F.col("id"), F.col("c"))).distinct()
         else:
-            sized = current.join(info.select("id", F.col("n_shingles").alias("n")), "id").select("list_id", "id", "component_id", "n")
-            other = sized.toDF("list_id", "id2", "component2", "n2")
-            pairs = sized.join(other, "list_id").where("id < id2 and component_id <> component2") \
-                .where((F.least("n", "n2") * scheme.den >= F.greatest("n", "n2") * scheme.num)) \
-                .select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+            per = current.groupBy("list_id", "component_id").agg(F.count("*").alias("c")).groupBy("list_id").agg(
+                F.max_by("component_id", "c").alias("main"), F.ceil(F.sum("c") / CHUNK).alias("chunks"))
+            rows_of = current.join(per, "list_id").join(info, "id")
+            data = ["id", "component_id", "n_shingles", "sketch"]
+            every = rows_of.select("list_id", F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk"), F.lit(1).alias("role"), *data)
+            minor = rows_of.where("component_id <> main").select(
+                "list_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"), *data)
+            pairs = every.unionByName(minor).repartition("list_id", "chunk").sortWithinPartitions("list_id", "chunk", "role") \
+                .mapInArrow(_cross(scheme), "a long, b long").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, f"join-turn{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = linked(pairs, f"join-turn{turn}")
+        found = linked(pairs, f"join-turn{turn}", checked=turn == STAR_TURNS)
         links = found if links is None else links.unionByName(found)
         component = graph.components(links)
 
