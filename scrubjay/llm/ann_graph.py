@@ -248,7 +248,10 @@ def nearest(rows: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vect
     nodes = members.where("place = 1").select("id", "vector", F.size("vector").alias("dim"))
     sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
     dealt = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
-    index = written(dealt.select("dim", "shard", "id", "vector").groupBy("dim", "shard").applyInPandas(_build_shard, INDEX), "ann-index")
+    # a shard is little data but long work, so tasks must not be merged by size
+    tasks = max(1, sizes.agg(F.coalesce(F.sum("shards"), F.lit(0))).first()[0])
+    shards = dealt.select("dim", "shard", "id", "vector").repartition(tasks, "dim", "shard")
+    index = written(shards.groupBy("dim", "shard").applyInPandas(_build_shard, INDEX), "ann-index")
 
     queries = vectors.where(is_query(F.col("id")))
     asked = queries.select("id", "vector", F.size("vector").alias("dim")).join(index.select("dim", "shard"), "dim")
