@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import sql_twins as Q
-from .config import DedupConfig
+from .config import DedupConfig, Weights
+from .functions import similarity as S
 from .functions import text as T
 from .operators import dedup as D
 from .plans.skew import join_classes
@@ -564,6 +565,71 @@ def q_jaccard_pairs(spark, sf):
     return pairs.select((-F.col("u")["i"]).alias("u_id"), (-F.col("v")["i"]).alias("v_id"), "jaccard")
 
 
+# DuckDB's levenshtein counts bytes: letters beyond ASCII become letters that a normalized
+# (lower-case) text cannot hold, one byte each
+_WIDE, _NARROW = "éèêçàâîïôûùëäöüßñíóáúìòãõœ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_REPS = f"""p AS (SELECT id, created_at, {Q.normalize('content')} AS norm FROM ({Q.OBS_DOCUMENTS}) WHERE content IS NOT NULL),
+r AS (SELECT norm, translate(norm, '{_WIDE}', '{_NARROW}') AS narrow, first(id ORDER BY {Q.SCAN_ORDER}) AS id,
+             first(created_at ORDER BY {Q.SCAN_ORDER}) AS created_at,
+             list_distinct(list_filter(string_split(norm, ' '), lambda w: w <> '')) AS words
+      FROM p WHERE length(norm) > 0 GROUP BY norm)"""
+
+
+def _pair_sql(floor: float) -> str:
+    """u, v with word Jaccard from ``floor`` on and their Levenshtein similarity."""
+    return f"""j AS MATERIALIZED (SELECT u_id, v_id, x, y, i / (na + nb - i) AS jaccard_similarity FROM (
+  SELECT a.id AS u_id, b.id AS v_id, a.narrow AS x, b.narrow AS y, len(list_intersect(a.words, b.words)) AS i, len(a.words) AS na, len(b.words) AS nb
+  FROM r a JOIN r b ON (a.created_at > b.created_at OR (a.created_at = b.created_at AND a.id > b.id))
+  WHERE least(len(a.words), len(b.words)) >= {floor} * greatest(len(a.words), len(b.words)) - 1e-9)
+  WHERE i / (na + nb - i) >= {floor} - 1e-9),
+l AS (SELECT u_id, v_id, jaccard_similarity, 1.0 - levenshtein(x, y) / greatest(length(x), length(y)) AS levenshtein_similarity FROM j)"""
+
+
+@register("similarity_components", f"""WITH {_REPS}, {_pair_sql(0.5)}
+SELECT u_id, v_id, 0.0 AS exact_match, levenshtein_similarity, jaccard_similarity FROM l""")
+def similarity_components(spark, sf):
+    """The components that SQL has too, for pairs of texts with word Jaccard of 0.5 or more."""
+    reps = CA.representatives(_doc_rows(spark, sf))
+    pairs = CA.jaccard_pairs(_doc_rows(spark, sf), 0.5)
+    a = reps.select(F.col("v").alias("u"), F.col("norm").alias("na"))
+    b = reps.select("v", F.col("norm").alias("nb"))
+    both = pairs.join(a, "u").join(b, "v")
+    score = S.pair_scores_udf(Weights(), -1.0)(F.col("na"), F.col("nb"), F.col("jaccard"))
+    return both.select((-F.col("u")["i"]).alias("u_id"), (-F.col("v")["i"]).alias("v_id"),
+                       S.exact_match(F.col("na"), F.col("nb")).alias("exact_match"),
+                       score["lev"].alias("levenshtein_similarity"), F.col("jaccard").alias("jaccard_similarity"))
+
+
+NO_SEQUENCE = DedupConfig(similarity_threshold=0.6, weights=Weights(0.3, 0.0, 0.35, 0.35))
+
+_NO_SEQUENCE_SQL = f"""WITH RECURSIVE {_REPS}, {_pair_sql((0.6 - 0.35) / 0.35)},
+e AS MATERIALIZED (SELECT * FROM l WHERE levenshtein_similarity * 0.35 + jaccard_similarity * 0.35 >= 0.6),
+k AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY {Q.SCAN_ORDER}) AS k FROM r WHERE id IN (SELECT u_id FROM e UNION SELECT v_id FROM e)),
+n AS MATERIALIZED (SELECT v.k, list(u.k) FILTER (WHERE u.k IS NOT NULL) AS before FROM k v LEFT JOIN e ON e.v_id = v.id LEFT JOIN k u ON u.id = e.u_id GROUP BY v.k),
+s AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS seeds
+      UNION ALL SELECT n.k, CASE WHEN list_has_any(s.seeds, coalesce(n.before, [])) THEN s.seeds ELSE list_append(s.seeds, n.k) END
+      FROM s JOIN n ON n.k = s.k + 1),
+f AS (SELECT seeds FROM s ORDER BY k DESC LIMIT 1),
+o AS (SELECT n.k, CASE WHEN list_contains(f.seeds, n.k) THEN n.k ELSE list_min(list_intersect(f.seeds, n.before)) END AS seed_k FROM n, f),
+c AS (SELECT r.norm, r.id AS rep_id, coalesce(t.id, r.id) AS seed_rep FROM r LEFT JOIN k ON k.id = r.id LEFT JOIN o ON o.k = k.k LEFT JOIN k t ON t.k = o.seed_k
+      UNION ALL SELECT '' AS norm, first(id ORDER BY {Q.SCAN_ORDER}) AS rep_id, first(id ORDER BY {Q.SCAN_ORDER}) AS seed_rep FROM p WHERE length(norm) = 0 HAVING count(*) > 0),
+m AS (SELECT p.id, p.created_at, c.rep_id, c.seed_rep, count(*) OVER (PARTITION BY c.seed_rep) AS size,
+             row_number() OVER (PARTITION BY c.seed_rep ORDER BY {Q.SCAN_ORDER.replace('created_at', 'p.created_at').replace(' id', ' p.id')}) - 1 AS rank_in_group
+      FROM p JOIN c USING (norm)),
+g AS (SELECT seed_rep, row_number() OVER (ORDER BY {Q.SCAN_ORDER}) - 1 AS group_id FROM m WHERE size > 1 AND id = seed_rep)
+SELECT group_id, m.seed_rep AS seed_id, m.id AS member_id, CAST(rank_in_group AS INTEGER) AS rank_in_group, rank_in_group = 0 AS is_seed, m.created_at,
+  CASE WHEN rank_in_group = 0 THEN NULL WHEN m.rep_id = m.seed_rep THEN 1.0 ELSE e.levenshtein_similarity END AS levenshtein_similarity,
+  CASE WHEN rank_in_group = 0 THEN NULL WHEN m.rep_id = m.seed_rep THEN 1.0 ELSE e.jaccard_similarity END AS jaccard_similarity
+FROM m JOIN g ON g.seed_rep = m.seed_rep LEFT JOIN e ON e.u_id = m.seed_rep AND e.v_id = m.rep_id"""
+
+
+@register("dedup_groups_no_sequence", _NO_SEQUENCE_SQL)
+def dedup_groups_no_sequence(spark, sf):
+    """Greedy seed groups at threshold 0.60 without the sequence ratio, which SQL lacks."""
+    return D.find_groups(obs_documents(spark, sf), NO_SEQUENCE).select(
+        *GROUP_OUT, "levenshtein_similarity", "jaccard_similarity")
+
+
 @register("fuzzy_pairs")
 def fuzzy_pairs(spark, sf):
     """Verified similarity edges at threshold 0.60 between distinct normalized texts."""
