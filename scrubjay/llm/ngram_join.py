@@ -36,14 +36,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubjay.llm import graph
 from scrubjay.llm.common import written
 from scrubjay.llm.textkernel import HASH_BITS, U64, mix, shingle_sets, text_slices, words
 
-BUCKET_ROWS = 500_000      # index rows per reduce bucket (sizing only)
+BUCKET_ROWS = 2_000_000     # index rows per reduce bucket (sizing only)
 FLUSH_ROWS = 1_000_000     # index rows a map task holds before it emits blocks
 LONG_LIST = 32             # posting lists above this are skipped at the first level
 STAR_TURNS = 1             # rounds against one centre a list before the pairs that remain
@@ -238,7 +238,7 @@ class _Bucket:
     (kind 1) and on short lists of two or more (kind 2), the number in ``list_id``."""
 
     def __init__(self, number: int):
-        self.number, self.parts, self.rows, self.limit = number, [], 0, 8 * BUCKET_ROWS
+        self.number, self.parts, self.rows, self.limit = number, [], 0, 2 * BUCKET_ROWS
         self.long = np.zeros(0, U64)
 
     def _sorted(self):
@@ -261,7 +261,7 @@ class _Bucket:
         long = np.repeat((count > LONG_LIST) | np.isin(sig[start], self.long), count)
         self.long = np.union1d(self.long, sig[long])
         self.parts, self.rows = [(sig[~long], entry[~long])], int((~long).sum())
-        self.limit = max(8 * BUCKET_ROWS, 2 * self.rows)
+        self.limit = max(2 * BUCKET_ROWS, 2 * self.rows)
         return self._skipped(entry[long])
 
     def _skipped(self, entry: np.ndarray) -> pa.RecordBatch:
@@ -311,7 +311,7 @@ def _deletions(scheme: Scheme, k: int):
     that fails the tightest cut is indexed as well, with every segment."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots, want = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            slots, want, ids = (batch.column(c).to_numpy() for c in (1, 2, 3))
             for lo, hi, data, offsets in text_slices(batch.column(0)):
                 s = Sets(data, offsets, k)
                 right = s.key.view(np.int64) == want[lo:hi]
@@ -323,14 +323,15 @@ def _deletions(scheme: Scheme, k: int):
                     doc, _, start, end, _ = s.segments(use, scheme.roomy[band], band)
                     usable = np.bincount(doc[end - start >= 2], minlength=hi - lo)
                     spare = usable - scheme.differ(s.size, band, slot) // 2
-                    yield _neighbours(s, use, scheme.roomy[band], band + 1_000, 2, spare)
+                    yield _neighbours(s, use, scheme.roomy[band], band + 1_000, 2, spare, ids[lo:hi])
                     tight = use & (spare <= 0)
                     if tight.any():
-                        yield _neighbours(s, tight, scheme.pairs[band], band + 2_000, 0, np.ones_like(spare))
+                        yield _neighbours(s, tight, scheme.pairs[band], band + 2_000, 0, np.ones_like(spare), ids[lo:hi])
     return run
 
 
-def _neighbours(s: Sets, use: np.ndarray, count: np.ndarray, salt: np.ndarray, least: int, spare: np.ndarray) -> pa.RecordBatch:
+def _neighbours(s: Sets, use: np.ndarray, count: np.ndarray, salt: np.ndarray, least: int, spare: np.ndarray,
+                ids: np.ndarray) -> pa.RecordBatch:
     doc, label, start, end, mixed = s.segments(use, count, salt)
     total = np.concatenate((np.zeros(1, U64), np.cumsum(mixed, dtype=U64)))
     whole = total[end] - total[start]
@@ -351,8 +352,9 @@ def _neighbours(s: Sets, use: np.ndarray, count: np.ndarray, salt: np.ndarray, l
             owner.append(np.full(len(empty), d))
     sig, owner, cell = np.concatenate(sig), np.concatenate(owner), np.concatenate(cell)
     return pa.RecordBatch.from_arrays([
-        pa.array(sig.view(np.int64)), pa.array(s.key[owner].view(np.int64)), pa.array(salt[owner], pa.int32()),
-        pa.array(cell.view(np.int64)), pa.array(spare[owner], pa.int32())], names=["list_id", "key", "cut", "cell", "spare"])
+        pa.array(sig.view(np.int64)), pa.array(s.key[owner].view(np.int64)), pa.array(ids[owner], pa.int64()),
+        pa.array(salt[owner], pa.int32()), pa.array(cell.view(np.int64)), pa.array(spare[owner], pa.int32())],
+        names=["list_id", "key", "id", "cut", "cell", "spare"])
 
 
 def _sketch_filter(scheme: Scheme):
@@ -485,20 +487,20 @@ def link_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5)
     # usable subsets on short lists must exceed the differences, or the dearer index is used
     needy = hopeful.where("spare - skipped <= 0").groupBy("id", "key").agg(
         F.expr("cast(bit_or(shiftleft(1, slot)) as int)").alias("slots"))
-    needy_rows = rows.join(needy, rows.doc_id == needy.id).select("text", "slots", "key")
-    near = written(needy_rows.mapInArrow(_deletions(scheme, k), "list_id long, key long, cut int, cell long, spare int").distinct(), "join-deletions")
-    shared = near.groupBy("list_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("list_id")
-    meeting = near.join(shared, "list_id")
-    enough = meeting.groupBy("key", "cut").agg(F.count_distinct("cell").alias("cells"), F.max("spare").alias("spare")) \
-        .where("cells >= spare").select("key", "cut")
+    # the texts that anything below reads are dealt out once, alike at every size
+    wanted = hopeful.select("id", "key").distinct()
+    texts = written(rows.join(wanted.hint("merge"), rows.doc_id == wanted.id).select("id", "key", "text"), "join-texts")
+    near = written(texts.join(needy, ["id", "key"]).select("text", "slots", "key", "id").mapInArrow(
+        _deletions(scheme, k), "list_id long, key long, id long, cut int, cell long, spare int").distinct(), "join-deletions")
+    by_list, by_cut = Window.partitionBy("list_id"), Window.partitionBy("id", "key", "cut")
+    meeting = near.withColumn("low", F.min("key").over(by_list)).withColumn("high", F.max("key").over(by_list)).where("low < high")
+    # the count filter again; a set has no more cells than hashes
+    meeting = meeting.withColumn("cells", F.size(F.collect_set("cell").over(by_cut))).where("cells >= spare")
     members = posted.where("kind = 0").join(hopeful.select("entry", "key", "id"), "entry").select("list_id", "id", "key").unionByName(
-        meeting.join(enough, ["key", "cut"]).select("list_id", "key").distinct().join(classes.select("key", "id"), "key")
-        .select("list_id", "id", "key")).distinct()
+        meeting.select("list_id", "id", "key")).distinct()
     lists = written(members, "join-members")
 
-    involved = lists.select("id", "key").distinct()
-    texts = written(rows.join(involved, rows.doc_id == involved.id).select("id", "key", "text"), "join-texts")
-    info = classes.select("id", "n_shingles", "sketch").join(involved.select("id").distinct(), "id", "left_semi")
+    info = classes.select("id", "n_shingles", "sketch").join(lists.select("id").distinct(), "id", "left_semi")
 
     def linked(pairs: DataFrame, name: str, checked: bool) -> DataFrame:
         x, y = info.toDF("a", "n_a", "s_a"), info.toDF("b", "n_b", "s_b")

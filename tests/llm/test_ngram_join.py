@@ -97,7 +97,7 @@ def test_pigeonhole_is_lossless():
                 sigs[d].add(v)
         use, band = ngram_join._slot(s, scheme, 0)
         dele = [set(), set()]
-        batch = pa.RecordBatch.from_arrays([column, pa.array([3, 3], pa.int32()), pa.array(s.key.view(np.int64))], names=["t", "s", "k"])
+        batch = pa.RecordBatch.from_arrays([column, pa.array([3, 3], pa.int32()), pa.array(s.key.view(np.int64)), pa.array([1, 2])], names=["t", "s", "k", "i"])
         for out in ngram_join._deletions(scheme, 5)(iter([batch])):
             for v, key in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
                 for d in (0, 1):
