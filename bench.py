@@ -28,21 +28,28 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
 
     from scrubjay import jobs
+    from scrubjay.config import DedupConfig
+    from scrubjay.operators import checkpoints as C
+    from scrubjay.operators import dedup as D
     from scrubjay.queries import QUERIES
+    from scrubjay.sources.observations import obs_checkpoints, obs_documents
 
     def sink(df):
         df.write.format("noop").mode("overwrite").save()
 
     work = tempfile.mkdtemp(prefix="scrubjay-bench-")
+    # the test tables are single row groups, which a scan cannot split
+    parts = 2 * int(cpus)
+    docs, ticks = obs_documents(spark, sf_dir), obs_checkpoints(spark, sf_dir)
     plan = {
-        "exact_dedup_groups": lambda: sink(QUERIES["dedup_exact_groups"](spark, sf_dir)),
-        "exact_dedup_totals": lambda: sink(QUERIES["dedup_totals"](spark, sf_dir)),
-        "fuzzy_dedup_t060": lambda: sink(QUERIES["dedup_groups"](spark, sf_dir)),
-        "checkpoint_groups": lambda: sink(QUERIES["checkpoint_groups"](spark, sf_dir)),
-        "consolidation_plan": lambda: sink(QUERIES["consolidation_plan"](spark, sf_dir)),
+        "exact_dedup_groups": lambda: sink(D.find_groups(docs, partitions=parts)),
+        "exact_dedup_totals": lambda: sink(D.summarize(docs, partitions=parts)),
+        "fuzzy_dedup_t060": lambda: sink(D.find_groups(docs, DedupConfig(similarity_threshold=0.60), partitions=parts)),
+        "checkpoint_groups": lambda: sink(C.checkpoint_groups(C.annotate(ticks, partitions=parts))),
+        "consolidation_plan": lambda: sink(C.consolidation_plan(C.annotate(ticks, partitions=parts))),
         "monitor_snapshot": lambda: sink(QUERIES["monitor_snapshot"](spark, sf_dir)),
         "history_trends": lambda: sink(QUERIES["history_trends"](spark, sf_dir)),
-        "full_optimization": lambda: jobs.bench_optimize(spark, sf_dir, os.path.join(work, "opt")),
+        "full_optimization": lambda: jobs.bench_optimize(spark, sf_dir, os.path.join(work, "opt"), parts),
     }
     only = [q for q in os.environ.get("BENCH_ONLY", "").split(",") if q]
     # warm-up (not timed): JIT, regex and Python-worker start-up on the smallest tables

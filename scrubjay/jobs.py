@@ -156,13 +156,13 @@ def run_optimize(spark: SparkSession, store: SnapshotStore, out_dir: str, cfg: C
     return out
 
 
-def bench_optimize(spark: SparkSession, sf_dir: str, work: str) -> dict:
+def bench_optimize(spark: SparkSession, sf_dir: str, work: str, partitions: int | None = None) -> dict:
     """The full cycle over the test tables: checkpoint rows from ``events`` and documents
-    (ids offset to stay unique) in one observation table."""
+    (ids offset to stay unique) in one observation table of ``partitions`` files."""
     from .sources.observations import obs_checkpoints, obs_documents
     base = obs_checkpoints(spark, sf_dir).unionByName(
         obs_documents(spark, sf_dir).withColumn("id", F.col("id") + F.lit(10 ** 12)))
     store = SnapshotStore(spark, os.path.join(work, "observations"))
-    store.write(base)
+    store.write(base.repartition(partitions) if partitions else base)
     return run_optimize(spark, store, os.path.join(work, "run"), as_of="2024-01-31 00:00:00",
                         run_ts="2024-06-01 12:00:00")

@@ -110,9 +110,10 @@ def is_exact_only(cfg: DedupConfig) -> bool:
 
 
 def find_groups(obs: DataFrame, cfg: DedupConfig = DedupConfig(), entity: str | None = None,
-                content_col: str = "content") -> DataFrame:
-    """The duplicate groups of an observation table, long format (one row per member)."""
-    prep = prepare(obs, entity, content_col)
+                content_col: str = "content", partitions: int | None = None) -> DataFrame:
+    """The duplicate groups of an observation table, long format (one row per member);
+    ``partitions`` deals out an input of too few splits first."""
+    prep = prepare(obs, entity, content_col, partitions)
     if cfg.similarity_threshold > cfg.weights.total + 1e-12:
         return exact_groups(prep.limit(0), cfg.weights)
     if is_exact_only(cfg):
@@ -135,13 +136,13 @@ def dedup_totals(obs: DataFrame, groups: DataFrame, entity: str | None = None) -
 
 
 def summarize(obs: DataFrame, cfg: DedupConfig = DedupConfig(), entity: str | None = None,
-              content_col: str = "content") -> DataFrame:
+              content_col: str = "content", partitions: int | None = None) -> DataFrame:
     """``dedup_totals`` for a table.  On the exact path the class aggregate alone gives
     the counts (groups = classes with more than one row, records = their rows), so no
     numbering, join or sort runs; otherwise the groups are built first."""
     if not is_exact_only(cfg) or cfg.similarity_threshold > cfg.weights.total + 1e-12:
-        return dedup_totals(obs, find_groups(obs, cfg, entity, content_col), entity)
-    prep = prepare(obs, entity, content_col)
+        return dedup_totals(obs, find_groups(obs, cfg, entity, content_col, partitions), entity)
+    prep = prepare(obs, entity, content_col, partitions)
     classes = (prep.filter(F.col("content").isNotNull())
                    .groupBy(norm_key(F.col("norm")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
                    .filter(F.col("n") > 1))
