@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 MAGIC = b"DAC1"
 RANK_BITS = 512
 SEGMENT_TOKENS, SEGMENT_DOCS = 1 << 20, 8192
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 500_000
 END_ID = 0
 
 SEGMENT_SCHEMA = ("shard int, segment int, first_token long, n_tokens long, "
