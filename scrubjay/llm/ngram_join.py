@@ -43,7 +43,7 @@ from scrubjay.llm import graph
 from scrubjay.llm.common import written
 from scrubjay.llm.textkernel import HASH_BITS, U64, mix, shingle_sets, text_slices, words
 
-BUCKET_ROWS = 2_000_000     # index rows per reduce bucket (sizing only)
+BUCKET_ROWS = 1_000_000     # index rows per reduce bucket (sizing only)
 FLUSH_ROWS = 1_000_000     # index rows a map task holds before it emits blocks
 LONG_LIST = 32             # posting lists above this are skipped at the first level
 STAR_TURNS = 1             # rounds against one centre a list before the pairs that remain
