@@ -306,9 +306,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _deletions(scheme: Scheme, k: int):
     """One-deletion neighbourhoods for texts marked with the slots to index: per segment
-    its subset and the subset without each hash.  Segments of fewer than two hashes say
-    nothing and are left out while more than H/2 others remain (``roomy`` cut); where
-    that fails the tightest cut is indexed as well, with every segment."""
+    its subset and the subset without each hash.  Only segments of two hashes or more
+    are counted on in the ``roomy`` cut, each lost by two differences at least; a single
+    hash is indexed as what a segment of two may lose one hash to.  Where no more than H/2
+    can be counted on, the tightest cut is indexed as well, with every segment."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots, want, ids = (batch.column(c).to_numpy() for c in (1, 2, 3))
@@ -323,7 +324,7 @@ def _deletions(scheme: Scheme, k: int):
                     doc, _, start, end, _ = s.segments(use, scheme.roomy[band], band)
                     usable = np.bincount(doc[end - start >= 2], minlength=hi - lo)
                     spare = usable - scheme.differ(s.size, band, slot) // 2
-                    yield _neighbours(s, use, scheme.roomy[band], band + 1_000, 2, spare, ids[lo:hi])
+                    yield _neighbours(s, use, scheme.roomy[band], band + 1_000, 1, spare, ids[lo:hi])
                     tight = use & (spare <= 0)
                     if tight.any():
                         yield _neighbours(s, tight, scheme.pairs[band], band + 2_000, 0, np.ones_like(spare), ids[lo:hi])
@@ -335,12 +336,12 @@ def _neighbours(s: Sets, use: np.ndarray, count: np.ndarray, salt: np.ndarray, l
     doc, label, start, end, mixed = s.segments(use, count, salt)
     total = np.concatenate((np.zeros(1, U64), np.cumsum(mixed, dtype=U64)))
     whole = total[end] - total[start]
-    keep = end - start >= least
-    per = np.where(keep, end - start, 0)
-    each = np.repeat(keep, end - start)
-    sig = [mix(whole[keep] ^ label[keep]), mix((np.repeat(whole, per) - mixed[each]) ^ np.repeat(label, per))]
-    owner = [doc[keep], np.repeat(doc, per)]
-    cell = [label[keep], np.repeat(label, per)]
+    less = end - start > least  # a subset must keep ``least`` hashes
+    per = np.where(less, end - start, 0)
+    each = np.repeat(less, end - start)
+    sig = [mix(whole ^ label), mix((np.repeat(whole, per) - mixed[each]) ^ np.repeat(label, per))]
+    owner = [doc, np.repeat(doc, per)]
+    cell = [label, np.repeat(label, per)]
     if least == 0:  # empty segments match each other and single-hash ones
         for d in np.flatnonzero(use).tolist():
             filled = np.zeros(int(count[d]), bool)

@@ -113,6 +113,28 @@ def test_pigeonhole_is_lossless():
                     assert shared >= (doc == d).sum() - scheme.differ(s.size, band, slot)[d]
 
 
+def test_short_texts_of_a_hot_family(spark):
+    """A text of six shingles, two a segment, and the text of five of them: where they
+    differ one hash is left, which no other of the family has alone or beside one more."""
+    prepare(spark)
+    scheme = ngram_join.Scheme()
+
+    def segments(text):
+        (_, _, data, offsets), = ngram_join.text_slices(pa.array([text]))
+        s = ngram_join.Sets(data, offsets, 5)
+        use, band = ngram_join._slot(s, scheme, 0)
+        _, label, start, end, _ = s.segments(use, scheme.roomy[band], band)
+        return dict(zip(label.tolist(), (end - start).tolist()))
+    for f in range(1000):
+        base = " ".join(f"f{f}w{i}" for i in range(9))
+        longer, shorter = segments(base + " x"), segments(base)
+        if sorted(longer.values()) == [2, 2, 2]:
+            break
+    lost = next(c for c, n in longer.items() if shorter.get(c) == 1)
+    hot = [t for t in (f"{base} y{i} z{i}" for i in range(400)) if segments(t)[lost] != 2][:120]
+    check(spark, list(enumerate([base, base + " x"] + hot)))
+
+
 def test_edges(spark):
     prepare(spark)
     empty = spark.createDataFrame([], "doc_id long, text string")
