@@ -11,6 +11,10 @@ alignment.  Its slots must be consistent: one item value stands for one document
 throughout the alignment.  A document is contaminated by an item if consistent alignments
 cover at least ``run`` of the item's tokens, or the whole item.
 
+With ``whole``, as the query and the pipeline run it, windows of the tokens themselves,
+without case in any script, placeholders or ``plain``, are joined too and count whatever
+their diagonal's slots say: verbatim copies are found, in capitals or full of names.
+
 The only broadcast is a bitmap of ``BITMAP_BITS`` bits over window hashes; it keeps
 document windows that cannot match from being shuffled and has that size for a benchmark
 of any size.  Windows join by shuffle.
@@ -50,7 +54,7 @@ _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".?!:;\"'()[]"]] = True
-_NUMBER, _UNIT, _NAME = (U64(x) for x in (0x6E756D, 0x756E6974, 0x6E616D65))
+_NUMBER, _UNIT, _NAME, _VERBATIM = (U64(x) for x in (0x6E756D, 0x756E6974, 0x6E616D65, 0x76657262))
 
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -97,17 +101,21 @@ class Canonical:
         self.slot = number | unit | name
         self.tokens = np.select([number, unit, name], [_NUMBER, _UNIT, _NAME], self.value)
 
-    def windows(self, window: int, plain: int):
-        """(document place, window hash, place in the document) of the windows to join."""
+    def windows(self, window: int, plain: int, verbatim: bool = False):
+        """(document place, window hash, place in the document) of the windows to join;
+        ``verbatim`` ones are of the tokens themselves, every one of them."""
         n = len(self.tokens) - window + 1
         if n <= 0:
             z = np.zeros(0, np.int64)
             return z, z.astype(U64), z
         doc = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))[:n]
-        h = grams(Words(None, None, None, None, self.tokens, None), window)
+        h = grams(Words(None, None, None, None, self.value if verbatim else self.tokens, None), window)
+        if verbatim:
+            h = mix(h ^ _VERBATIM)
         slots = np.concatenate(([0], np.cumsum(self.slot)))
         some = np.arange(n) + window <= self.bounds[1:][doc]
-        some &= window - (slots[window:] - slots[:n]) >= plain
+        if not verbatim:
+            some &= window - (slots[window:] - slots[:n]) >= plain
         at = np.flatnonzero(some)
         return doc[at], h[at], at - self.bounds[doc[at]]
 
@@ -117,29 +125,38 @@ class Canonical:
         return [value[a:a + window][slot[a:a + window]].tolist() for a in start.tolist()]
 
 
-def _document_windows(window: int, plain: int, bitmap):
-    """(doc columns, window, place, slots) of windows, those off the bitmap left out."""
+def _folded(column: pa.Array) -> pa.Array:
+    """Texts without case in any script; token places stay."""
+    return pa.array([t if t is None else t.casefold() for t in column.to_pylist()], pa.large_string())
+
+
+def _document_windows(window: int, plain: int, bitmap, whole: bool):
+    """(doc columns, window, place, slots) of windows, those off the bitmap left out.  With
+    ``whole``, verbatim windows of the folded text follow, which have no slots."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else bitmap.value
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(2)):
-                c = Canonical(data, offsets)
-                doc, h, place = c.windows(window, plain)
-                if bits is not None:
-                    cell = (h & U64(BITMAP_BITS - 1)).astype(np.int64)
-                    on = (bits[cell >> 6] >> (cell & 63).astype(U64)) & U64(1) == 1
-                    doc, h, place = doc[on], h[on], place[on]
-                for a in range(0, len(doc), 20_000):
-                    d, p = doc[a:a + 20_000], place[a:a + 20_000]
-                    at = pa.array(d + lo)
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column(0).take(at), batch.column(1).take(at), pa.array(h[a:a + 20_000].view(np.int64)), pa.array(p, pa.int32()),
-                        pa.array((np.diff(c.bounds)[d]), pa.int32()), pa.array(c.slots_in(d, p, window), pa.list_(pa.int64()))],
-                        names=["id", "version", "h", "place", "tokens", "slots"])
+            for verbatim in (False, True) if whole else (False,):
+                column = _folded(batch.column(2)) if verbatim else batch.column(2)
+                for lo, hi, data, offsets in text_slices(column):
+                    c = Canonical(data, offsets)
+                    doc, h, place = c.windows(window, plain, verbatim)
+                    if bits is not None:
+                        cell = (h & U64(BITMAP_BITS - 1)).astype(np.int64)
+                        on = (bits[cell >> 6] >> (cell & 63).astype(U64)) & U64(1) == 1
+                        doc, h, place = doc[on], h[on], place[on]
+                    for a in range(0, len(doc), 20_000):
+                        d, p = doc[a:a + 20_000], place[a:a + 20_000]
+                        at = pa.array(d + lo)
+                        slots = [[]] * len(d) if verbatim else c.slots_in(d, p, window)
+                        yield pa.RecordBatch.from_arrays([
+                            batch.column(0).take(at), batch.column(1).take(at), pa.array(h[a:a + 20_000].view(np.int64)), pa.array(p, pa.int32()),
+                            pa.array((np.diff(c.bounds)[d]), pa.int32()), pa.array(slots, pa.list_(pa.int64())),
+                            pa.array(np.full(len(d), verbatim))], names=["id", "version", "h", "place", "tokens", "slots", "verbatim"])
     return run
 
 
-_WINDOWS = "id long, version long, h long, place int, tokens int, slots array<long>"
+_WINDOWS = "id long, version long, h long, place int, tokens int, slots array<long>, verbatim boolean"
 
 
 def _keyed(rows: DataFrame, id_col: str) -> DataFrame:
@@ -157,45 +174,53 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return out.view(U64)
 
 
-def alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, plain: int = PLAIN) -> DataFrame:
-    """(doc_id, version, item_id, covered, item_tokens, exact): per document and item the
-    item tokens under consistent alignments; ``exact`` if every slot kept its value."""
+def alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, plain: int = PLAIN, whole: bool = False) -> DataFrame:
+    """(doc_id, version, item_id, covered, covered_whole, item_tokens, exact): per document
+    and item the item tokens under consistent alignments; ``exact`` if every slot kept its
+    value.  With ``whole``, ``covered_whole`` has those under verbatim windows as well."""
     items = written(_keyed(benchmark, "item_id").where("id is not null").mapInArrow(
-        _document_windows(window, plain, None), _WINDOWS), "bench-windows")
+        _document_windows(window, plain, None, whole), _WINDOWS), "bench-windows")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
     # an item's repeated window is one template place per repetition; equal rows are one
     theirs = items.select(F.col("id").alias("item_id"), F.col("version").alias("item_version"), "h", F.col("place").alias("item_place"),
-                          F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots")).dropDuplicates(
-        ["item_id", "item_version", "item_place"])
-    ours = _keyed(docs, "doc_id").mapInArrow(_document_windows(window, plain, bitmap), _WINDOWS)
+                          F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"), "verbatim").dropDuplicates(
+        ["item_id", "item_version", "item_place", "verbatim"])
+    ours = _keyed(docs, "doc_id").mapInArrow(_document_windows(window, plain, bitmap, whole), _WINDOWS).drop("verbatim")
     hits = written(ours.join(theirs, "h").select(
         F.col("id").alias("doc_id"), "version", "item_id", "item_version", "item_tokens", "item_place",
-        (F.col("place") - F.col("item_place")).alias("diagonal"), F.arrays_zip("item_slots", "slots").alias("slots")).distinct(), "bench-hits")
+        (F.col("place") - F.col("item_place")).alias("diagonal"), "verbatim", F.arrays_zip("item_slots", "slots").alias("slots")).distinct(), "bench-hits")
     line = ["doc_id", "version", "item_id", "item_version", "item_tokens", "diagonal"]
     clash = hits.select(*line, F.explode("slots").alias("s")).groupBy(*line, F.col("s.item_slots").alias("a")).agg(
         F.min("s.slots").alias("x"), F.max("s.slots").alias("y")).groupBy(*line).agg(
         F.max(F.col("x") != F.col("y")).alias("clash"), F.min((F.col("a") == F.col("x")) & (F.col("a") == F.col("y"))).alias("kept"))
     clash = clash.toDF(*[f"c_{c}" for c in line], "clash", "kept")
     null_safe = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in line]
-    fine = hits.join(clash, null_safe, "left").where(~F.coalesce("clash", F.lit(False))).select(
-        *line, "item_place", F.coalesce("kept", F.lit(True)).alias("kept"))
+    fine = hits.join(clash, null_safe, "left").where(F.col("verbatim") | ~F.coalesce("clash", F.lit(False))).select(
+        *line, "item_place", (~F.col("verbatim")).alias("template"), (F.col("verbatim") | F.coalesce("kept", F.lit(True))).alias("kept"))
     # item places are bounded by the item's length, so a group's list is no longer than the item
     covered = fine.groupBy("doc_id", "version", "item_id", "item_version", "item_tokens").agg(
-        F.array_sort(F.collect_set("item_place")).alias("places"), F.min("kept").alias("exact"))
-    step = F.aggregate("places", F.expr("named_struct('n', 0, 'end', -1)"), lambda acc, p: F.struct(
-        (acc["n"] + p + window - F.greatest(acc["end"], p)).alias("n"), (p + window).alias("end")), lambda acc: acc["n"])
-    return covered.select("doc_id", "version", "item_id", step.alias("covered"), "item_tokens", "exact")
+        F.array_sort(F.collect_set(F.when(F.col("template"), F.col("item_place")))).alias("places"),
+        F.array_sort(F.collect_set("item_place")).alias("all_places"), F.min("kept").alias("exact"))
+
+    def step(places: str):
+        return F.aggregate(places, F.expr("named_struct('n', 0, 'end', -1)"), lambda acc, p: F.struct(
+            (acc["n"] + p + window - F.greatest(acc["end"], p)).alias("n"), (p + window).alias("end")), lambda acc: acc["n"])
+    return covered.select("doc_id", "version", "item_id", step("places").alias("covered"), step("all_places").alias("covered_whole"),
+                          "item_tokens", "exact")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFrame:
-    """The alignments that make a document contaminated."""
-    return alignments(docs, benchmark).where(F.col("covered") >= F.least(F.lit(run), F.col("item_tokens")))
+def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN, whole: bool = False) -> DataFrame:
+    """The alignments that make a document contaminated; ``covered`` counts what ``whole``
+    adds only where templates alone do not suffice."""
+    enough = F.least(F.lit(run), F.col("item_tokens"))
+    found = alignments(docs, benchmark, whole=whole).where(F.col("covered_whole") >= enough)
+    return found.withColumn("covered", F.when(F.col("covered") >= enough, F.col("covered")).otherwise(F.col("covered_whole"))).drop("covered_whole")
 
 
-def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, contaminated, items (how many), item_id (of the largest
     cover, ties to the smaller id), covered."""
-    bad = contaminated(docs, benchmark).groupBy("doc_id", "version").agg(
+    bad = contaminated(docs, benchmark, whole=whole).groupBy("doc_id", "version").agg(
         F.count_distinct("item_id").alias("items"), F.max(F.struct("covered", (-F.col("item_id")).alias("i"))).alias("best"))
     rows = _keyed(docs, "doc_id").select(F.col("id").alias("own"), F.col("version").alias("own_version"))
     joined = rows.join(bad, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_version") == F.col("version")), "left")
@@ -203,9 +228,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                          (-F.col("best.i")).alias("item_id"), F.coalesce("best.covered", F.lit(0)).alias("covered"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
     """``docs`` without the contaminated rows."""
-    bad = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad_id"), F.col("version").alias("_bad_version")).distinct(), "bench-bad")
+    bad = written(contaminated(docs, benchmark, whole=whole).select(F.col("doc_id").alias("_bad_id"), F.col("version").alias("_bad_version")).distinct(), "bench-bad")
     version = free_name(docs, "_version")
     marked = docs.withColumn(version, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     same = marked["doc_id"].cast("long").eqNullSafe(bad["_bad_id"]) & (marked[version] == bad["_bad_version"])

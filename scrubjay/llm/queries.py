@@ -58,7 +58,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, also with other numbers, names or units."""
-    return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), whole=True)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

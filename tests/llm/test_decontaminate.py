@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from conftest import SF001
 
+import corpus_pipeline
 from scrubjay.llm import decontaminate as D, queries
 from scrubjay.llm.common import prepare
 
@@ -117,3 +118,26 @@ def test_query_and_empty(spark):
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.contaminated, r["items"], r.item_id, r.covered) for r in queries.op7_decontaminate(spark, SF001).collect()), key=repr)
     assert rows == brute(docs, items)
     assert got(spark, [], [(1, "a b c")])[2] == [] and got(spark, [(1, "a b c")], [])[2] == [(True, 1, False, 0, None, 0)]
+
+
+def query(spark, tmp_dir, docs, items):
+    """{doc_id: contaminated} of the query, which the pipeline's stage must agree with."""
+    d, b, _ = got(spark, docs, items)
+    d.write.parquet(f"{tmp_dir}/documents.parquet")
+    b.write.parquet(f"{tmp_dir}/benchmark.parquet")
+    found = {r.doc_id: r.contaminated for r in queries.op7_decontaminate(spark, tmp_dir).collect()}
+    assert {r.doc_id for r in corpus_pipeline.drop_benchmark(spark, d, tmp_dir).collect()} == {i for i, bad in found.items() if not bad}
+    return found
+
+
+def test_verbatim_copies(spark, tmp_dir):
+    """Copies in capitals, title case, other scripts, or full of names and units."""
+    prepare(spark)
+    items = ["which of the following planets turns slowest about its axis and why does it do so",
+             "Die Straße führt über Österreich nach Ägypten und Österreich grüßt die Ärzte der schönen Übung",
+             "где находится самая высокая гора в мире и кто первым поднялся на её вершину",
+             "Paris London Rome Berlin Madrid Vienna Prague Oslo Dublin Athens Warsaw Lisbon Bern Riga",
+             "a man in t s l c m k a in t s l c m k"]
+    docs = [(10 * i + j, f"so here it says {change(t)} as we saw") for i, t in enumerate(items) for j, change in enumerate((str, str.upper, str.lower, str.title))]
+    docs += [(100, "so here it says " + " ".join(items[0].upper().split()[:12]) + " as we saw"), (101, None), (102, "nothing of the kind")]
+    assert query(spark, tmp_dir, docs, list(enumerate(items))) == {d: d < 100 for d, _ in docs}
