@@ -14,6 +14,7 @@ cover at least ``run`` of the item's tokens, or the whole item.
 With ``whole``, as the query and the pipeline run it, windows of the tokens themselves,
 without case in any script, placeholders or ``plain``, are joined too and count whatever
 their diagonal's slots say: verbatim copies are found, in capitals or full of names.
+Of an alignment whose slots clash, the longest consistent stretch counts.
 
 The only broadcast is a bitmap of ``BITMAP_BITS`` bits over window hashes; it keeps
 document windows that cannot match from being shuffled and has that size for a benchmark
@@ -26,6 +27,7 @@ are judged each by their own text.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,10 +176,46 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return out.view(U64)
 
 
+def _stretch(hits: list[dict], window: int) -> list[int]:
+    """Places of the consecutive windows that cover most tokens among those in which every
+    item value stands for one document value."""
+    hits = sorted(hits, key=lambda h: h["item_place"])
+    places = [h["item_place"] for h in hits]
+    gains = [0] + [min(window, b - a) for a, b in zip(places, places[1:])]
+    seen: dict[int, Counter] = defaultdict(Counter)
+    clashes, lo, cover, most, best = 0, 0, 0, 0, (0, 0)
+    for hi, hit in enumerate(hits):
+        cover = cover + gains[hi] if hi > lo else window
+        for s in hit["slots"]:
+            values = seen[s["item_slots"]]
+            values[s["slots"]] += 1
+            clashes += values[s["slots"]] == 1 and len(values) == 2
+        while clashes:
+            for s in hits[lo]["slots"]:
+                values = seen[s["item_slots"]]
+                values[s["slots"]] -= 1
+                if not values[s["slots"]]:
+                    del values[s["slots"]]
+                    clashes -= len(values) == 1
+            lo += 1
+            cover = cover - gains[lo] if lo <= hi else 0
+        if cover > most:
+            most, best = cover, (lo, hi + 1)
+    return places[best[0]:best[1]]
+
+
+def _consistent(window: int):
+    @F.arrow_udf("array<int>")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([_stretch(hits, window) for hits in column.to_pylist()], pa.list_(pa.int32()))
+    return run
+
+
 def alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, plain: int = PLAIN, whole: bool = False) -> DataFrame:
     """(doc_id, version, item_id, covered, covered_whole, item_tokens, exact): per document
     and item the item tokens under consistent alignments; ``exact`` if every slot kept its
-    value.  With ``whole``, ``covered_whole`` has those under verbatim windows as well."""
+    value.  With ``whole``, ``covered_whole`` has those under verbatim windows and under the
+    longest consistent stretch of an alignment that clashes as well."""
     items = written(_keyed(benchmark, "item_id").where("id is not null").mapInArrow(
         _document_windows(window, plain, None, whole), _WINDOWS), "bench-windows")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
@@ -195,8 +233,15 @@ def alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, plai
         F.max(F.col("x") != F.col("y")).alias("clash"), F.min((F.col("a") == F.col("x")) & (F.col("a") == F.col("y"))).alias("kept"))
     clash = clash.toDF(*[f"c_{c}" for c in line], "clash", "kept")
     null_safe = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in line]
-    fine = hits.join(clash, null_safe, "left").where(F.col("verbatim") | ~F.coalesce("clash", F.lit(False))).select(
+    judged = hits.join(clash, null_safe, "left")
+    fine = judged.where(F.col("verbatim") | ~F.coalesce("clash", F.lit(False))).select(
         *line, "item_place", (~F.col("verbatim")).alias("template"), (F.col("verbatim") | F.coalesce("kept", F.lit(True))).alias("kept"))
+    if whole:
+        # a line has at most one window per item place
+        cut = judged.where(~F.col("verbatim") & F.col("clash")).groupBy(*line).agg(
+            F.collect_list(F.struct("item_place", "slots")).alias("hits"))
+        fine = fine.unionByName(cut.select(*line, F.explode(_consistent(window)("hits")).alias("item_place"),
+                                           F.lit(False).alias("template"), F.lit(False).alias("kept")))
     # item places are bounded by the item's length, so a group's list is no longer than the item
     covered = fine.groupBy("doc_id", "version", "item_id", "item_version", "item_tokens").agg(
         F.array_sort(F.collect_set(F.when(F.col("template"), F.col("item_place")))).alias("places"),

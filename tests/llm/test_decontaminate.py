@@ -141,3 +141,33 @@ def test_verbatim_copies(spark, tmp_dir):
     docs = [(10 * i + j, f"so here it says {change(t)} as we saw") for i, t in enumerate(items) for j, change in enumerate((str, str.upper, str.lower, str.title))]
     docs += [(100, "so here it says " + " ".join(items[0].upper().split()[:12]) + " as we saw"), (101, None), (102, "nothing of the kind")]
     assert query(spark, tmp_dir, docs, list(enumerate(items))) == {d: d < 100 for d, _ in docs}
+
+
+def test_clash_cuts_an_alignment(spark, tmp_dir):
+    """One value changed otherwise than before leaves the consistent stretch beside it."""
+    prepare(spark)
+    item = ("take 5 red apples from the box and put 7 green pears beside them then give 5 of those to your friend who has 11 already "
+            "and count how many there are after 13 more have been added by the aunt")
+    once = item.replace("5 red", "9 red")
+    edited = once.replace("7", "70").replace("5 of", "50 of").replace("11", "110").replace("13", "130")
+    alternating = " ".join(("x y z 5 " * 10).split())
+    docs = [(1, once), (2, edited), (3, "well " + edited + " indeed"), (4, " ".join(f"x y z {i}" for i in range(10))), (5, item)]
+    assert query(spark, tmp_dir, docs, [(1, item), (2, alternating)]) == {1: True, 2: True, 3: True, 4: False, 5: True}
+
+
+def test_longest_consistent_stretch():
+    rng = random.Random(4)
+
+    def consistent(hits):
+        seen = defaultdict(set)
+        for h in hits:
+            for s in h["slots"]:
+                seen[s["item_slots"]].add(s["slots"])
+        return all(len(v) == 1 for v in seen.values())
+    for _ in range(300):
+        hits = [{"item_place": p, "slots": [{"item_slots": rng.randrange(4), "slots": rng.randrange(2)} for _ in range(rng.randrange(3))]}
+                for p in sorted(rng.sample(range(40), rng.randrange(1, 12)))]
+        runs = [hits[a:b] for a in range(len(hits)) for b in range(a + 1, len(hits) + 1)]
+        most = max((len({q for h in r for q in range(h["item_place"], h["item_place"] + 8)}) for r in runs if consistent(r)), default=0)
+        kept = D._stretch(rng.sample(hits, len(hits)), 8)
+        assert consistent([h for h in hits if h["item_place"] in kept]) and len({q for p in kept for q in range(p, p + 8)}) == most
