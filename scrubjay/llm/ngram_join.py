@@ -497,7 +497,9 @@ def link_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5)
     meeting = near.withColumn("low", F.min("key").over(by_list)).withColumn("high", F.max("key").over(by_list)).where("low < high")
     # the count filter again; a set has no more cells than hashes
     meeting = meeting.withColumn("cells", F.size(F.collect_set("cell").over(by_cut))).where("cells >= spare")
-    members = posted.where("kind = 0").join(hopeful.select("entry", "key", "id"), "entry").select("list_id", "id", "key").unionByName(
+    # equal lists are named without slots, so a kept list stands for those of its classes' other slots
+    members = posted.where("kind = 0").select("list_id", F.col("entry").bitwiseAND(F.lit(-2)).alias("key")) \
+        .join(wanted, "key").select("list_id", "id", "key").unionByName(
         meeting.select("list_id", "id", "key")).distinct()
     lists = written(members, "join-members")
 

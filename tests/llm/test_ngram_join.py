@@ -135,6 +135,18 @@ def test_short_texts_of_a_hot_family(spark):
     check(spark, list(enumerate([base, base + " x"] + hot)))
 
 
+def test_pairs_that_meet_under_two_slots(spark):
+    """Isolated pairs just at the threshold whose sets lie in one band and link into the band below."""
+    prepare(spark)
+    rows = []
+    for i in range(1500):
+        shared, x, y = [(24, 3, 3), (28, 3, 4), (28, 4, 3)][i % 3]
+        base = " ".join(f"p{i}w{j}" for j in range(shared + 4))
+        rows += [(2 * i, base + "".join(f" p{i}x{j}" for j in range(x))), (2 * i + 1, base + "".join(f" p{i}y{j}" for j in range(y)))]
+    per, _ = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert [r.doc_id for r in per.collect() if r.component_id != r.doc_id // 2 * 2] == []
+
+
 def test_edges(spark):
     prepare(spark)
     empty = spark.createDataFrame([], "doc_id long, text string")
