@@ -128,7 +128,8 @@ def test_edits_with_odd_rows(spark):
     assert got[12].fingerprint == got[41].fingerprint and got[5].fingerprint == got[40].fingerprint
     assert got[-3].fingerprint == [] and got[-3].near_next == 1.0 and got[9].near_next == 0.0
     one = P.compare_with_edits(docs.where("doc_id = 13")).first()
-    assert one.edited_text == rows[5][1][:-3] + rows[5][1][:3] and one.near_next == 1.0
+    text, cut = rows[5][1], len(rows[5][1]) // 4
+    assert one.edited_text == text[:-cut] + text[:cut] and one.near_next == 1.0
 
 
 def test_repeated_rows_and_empty_table(spark):
