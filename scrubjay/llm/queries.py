@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.llm import ann_graph, chat_format, decontaminate, fingerprint, language_id, mixing, ngram_join, pii, substring_dedup, token_files, toxicity
+from scrubjay.llm import ann_graph, chat_format, decontaminate, fingerprint, language_id, mixing, ngram_join, periodic_runs, pii, substring_dedup, token_files, toxicity
 from scrubjay.llm.common import documents, held_out, prepare, scratch, table, written
 
 TOKENIZERS = "/opt/tokenizers"
@@ -82,6 +82,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     return token_files.token_digests(spark, path)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every text, by block convolution."""
+    return periodic_runs.run_digests(documents(spark, sf_dir))
+
+
 def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-permutation MinHash of every text, of its edited text, and their likeness."""
     compared = fingerprint.compare_with_edits(documents(spark, sf_dir))
@@ -108,6 +113,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_fingerprint": op13_fingerprint,
 }
 ORACLE: dict[str, str] = {}
