@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubjay.llm import ann_graph, chat_format, decontaminate, fingerprint, language_id, mixing, ngram_join, periodic_runs, pii, substring_dedup, token_files, toxicity
+from scrubjay.llm import alignment, ann_graph, chat_format, decontaminate, fingerprint, language_id, mixing, ngram_join, periodic_runs, pii, substring_dedup, token_files, toxicity
 from scrubjay.llm.common import documents, held_out, prepare, scratch, table, written
 
 TOKENIZERS = "/opt/tokenizers"
@@ -82,6 +82,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZ
     return token_files.token_digests(spark, path)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Groups and links between two tokenizations of every text."""
+    return alignment.link_strengths(documents(spark, sf_dir), f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every text, by block convolution."""
     return periodic_runs.run_digests(documents(spark, sf_dir))
@@ -113,6 +118,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
+    "op11_alignment": op11_alignment,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_fingerprint": op13_fingerprint,
 }
