@@ -31,6 +31,22 @@ def jaccard(words_a, words_b) -> Column:
              .otherwise(inter / (na + nb - inter)))
 
 
+#: Characters with a place of their own in a histogram; all others share the last place.
+HISTOGRAM = "abcdefghijklmnopqrstuvwxyz0123456789_ "
+
+
+def histogram(norm) -> Column:
+    """Character counts of a normalized text, in ``len(HISTOGRAM) + 1`` places."""
+    own = [F.length(norm) - F.length(F.replace(norm, F.lit(c), F.lit(""))) for c in HISTOGRAM]
+    others = F.length(F.translate(norm, HISTOGRAM, ""))
+    return F.array(*own, others)
+
+
+def shared_characters(hist_a, hist_b) -> Column:
+    """Sum of the smaller counts: at least the size of the shared character multiset."""
+    return F.aggregate(F.zip_with(hist_a, hist_b, lambda x, y: F.least(x, y)), F.lit(0), lambda acc, n: acc + n)
+
+
 def levenshtein_distance(a: str, b: str) -> int:
     """Edit distance (unit costs, code points) by the bit-vector recurrence of Myers
     (1999) in Hyyro's formulation: one pass over the longer text, the shorter one held
@@ -76,10 +92,11 @@ def pair_scores_udf(weights: Weights, threshold: float, autojunk: bool = True):
     reach ``threshold``.  Exact upper bounds are tried before each expensive step:
 
     * I = size of the shared character multiset: ratio <= 2I/(n+m) (difflib's
-      ``quick_ratio``) and Levenshtein similarity <= I/max(n, m), before any alignment;
-    * with the edit distance d known, the matching blocks form a common subsequence,
-      and a common subsequence of length c leaves an alignment of cost <= max(n,m) - c,
-      so ratio <= 2(max(n,m) - d)/(n+m) before ``SequenceMatcher`` runs.
+      ``quick_ratio``) and Levenshtein similarity <= I/max(n, m), before any alignment
+      (the JVM has applied the same bound to coarser counts, :func:`shared_characters`);
+    * with the edit distance d known, the matching blocks form a common subsequence; one
+      of length c leaves n + m - 2c deletions and insertions, which are at least d, so
+      ratio <= 1 - d/(n+m) before ``SequenceMatcher`` runs.
     """
     s, l, j = weights.sequence_similarity, weights.levenshtein_similarity, weights.jaccard_similarity
     floor = threshold - 1e-9
@@ -102,7 +119,7 @@ def pair_scores_udf(weights: Weights, threshold: float, autojunk: bool = True):
             d = levenshtein_distance(x, y)
             lv = 1.0 - (d / big)
             lev.append(lv)
-            s_bound = min(2.0 * shared / (n + m), 2.0 * (big - d) / (n + m))
+            s_bound = min(2.0 * shared / (n + m), 1.0 - d / (n + m))
             if s * s_bound + l * lv + j * jv >= floor:
                 seq.append(SequenceMatcher(None, x, y, autojunk=autojunk).ratio())
             else:

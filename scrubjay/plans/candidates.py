@@ -11,8 +11,12 @@ Jaccard >= tau always share a word of their prefixes, so nothing is lost.
 The join condition also carries the length bound: with m <= M the two text lengths,
 ratio <= 2m/(m+M), Levenshtein similarity <= m/M and Jaccard <= min/max word count, so
 ``s*2m/(m+M) + l*m/M + j*min/max < t`` rules a pair out before any text is compared.
-Survivors are verified with the exact Jaccard (native), then the UDF for Levenshtein and
-ratio.  Frequent words sit at the end of the ordering, so stop words rarely reach a
+Where that floor is low or negative, pairs are split by their Jaccard: those with a quarter
+or more come from the prefix join, the others must be near in edit distance and come
+from a partition join (:mod:`.edit_join`).
+
+Survivors are verified with the exact Jaccard and a bound from character counts (native),
+then the UDF for Levenshtein and ratio.  Frequent words sit at the end of the ordering, so stop words rarely reach a
 prefix; the join that looks up word frequencies broadcasts the few hot words.
 """
 
@@ -21,9 +25,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DedupConfig
-from ..functions.similarity import composite, jaccard, pair_scores_udf
+from ..functions.similarity import composite, histogram, jaccard, pair_scores_udf, shared_characters
 from ..functions.text import word_set
 from ..session import cut_lineage
+from .edit_join import edit_candidates
 from .skew import join_classes
 
 EPS = 1e-9
@@ -36,14 +41,37 @@ def jaccard_floor(cfg: DedupConfig) -> float:
     return (t - w.sequence_similarity - w.levenshtein_similarity) / w.jaccard_similarity
 
 
-def check_prunable(cfg: DedupConfig) -> float:
+#: Jaccard values at which the pairs are split between the two filters, tried in order.
+SPLITS = (0.25, 0.1)
+#: Up to this share of edits the partition join has segments of four characters or more.
+GOOD_SHARE = 0.2
+
+
+def filters(cfg: DedupConfig) -> tuple[float | None, float | None]:
+    """(Jaccard floor, share of edits): every unequal pair that reaches the threshold has at
+    least that word Jaccard, or at most that share of the longer length as edit distance.
+    None stands for a filter that is not needed.
+
+    With d edits and lengths m <= M, Levenshtein similarity is 1 - d/M and the ratio at most
+    1 - d/(m+M) <= 1 - d/2M.  A pair with a Jaccard below ``a`` therefore reaches t only if
+    ``s*(1 - x/2) + l*(1 - x) + j*a >= t`` for its share x = d/M."""
+    w, t = cfg.weights, cfg.similarity_threshold
+    s, l, j = w.sequence_similarity, w.levenshtein_similarity, w.jaccard_similarity
     tau = jaccard_floor(cfg)
-    if tau <= 0:
+    if j > 0 and (tau >= SPLITS[0] or (tau > 0 and s + l <= 0)):
+        return tau, None
+    share = None
+    if s + l > 0:
+        for a in SPLITS if j > 0 else (0.0,):
+            share = max(0.0, (s + l + j * a - t) / (s / 2 + l))
+            if share <= GOOD_SHARE:
+                break
+    if t <= 0 or share is None or share >= 0.5:
         raise ValueError(
-            f"threshold {cfg.similarity_threshold} with weights {cfg.weights} admits pairs that "
-            "share no word (Jaccard floor <= 0); no lossless candidate filter exists, and an "
-            "all-pairs comparison is not offered. Raise the threshold or the Jaccard weight.")
-    return tau
+            f"threshold {t} with weights {w} admits pairs that share neither words nor passages; "
+            "no lossless candidate filter exists, and an all-pairs comparison is not offered. "
+            "Raise the threshold.")
+    return (max(a, tau) if j > 0 else None), share + EPS
 
 
 def prefix_len(nw, tau: float):
@@ -65,13 +93,13 @@ def token_prefixes(reps: DataFrame, tau: float) -> DataFrame:
     return pref.select("v", "nw", "nc", "pos", F.col("e")["tok"].alias("tok"))
 
 
-def _pair_jaccard_floor(cfg: DedupConfig, m, big):
+def _pair_jaccard_floor(cfg: DedupConfig, m, big, tau: float):
     """Per-pair Jaccard floor: with the best ratio and Levenshtein the lengths allow,
     J must still reach (t - s*2m/(m+M) - l*m/M) / j (never below the global floor)."""
     w = cfg.weights
     raw = (F.lit(cfg.similarity_threshold) - F.lit(w.sequence_similarity) * (2 * m / (m + big))
            - F.lit(w.levenshtein_similarity) * (m / big)) / F.lit(w.jaccard_similarity)
-    return F.greatest(raw, F.lit(jaccard_floor(cfg)))
+    return F.greatest(raw, F.lit(tau))
 
 
 def _prefix_join(pref: DataFrame, cond_extra, floor_fn) -> DataFrame:
@@ -106,32 +134,43 @@ def _length_bound(cfg: DedupConfig, ma, mb, wa, wb):
             + F.lit(w.jaccard_similarity) * (wm / wbig)) >= F.lit(cfg.similarity_threshold - EPS)
 
 
-def candidate_pairs(reps: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(u, v) with u earlier in scan order that pass the prefix, length and positional filters."""
-    tau = check_prunable(cfg)
+def _jaccard_candidates(reps: DataFrame, cfg: DedupConfig, tau: float) -> DataFrame:
     pref = cut_lineage(token_prefixes(reps, tau))   # both sides of the self-join read it
 
     def extra(a, b):
         return _length_bound(cfg, a["nca"], b["ncb"], a["nwa"], b["nwb"])
 
     def floor(ma, mb):
-        return _pair_jaccard_floor(cfg, F.least(ma, mb), F.greatest(ma, mb))
+        return _pair_jaccard_floor(cfg, F.least(ma, mb), F.greatest(ma, mb), tau)
 
     return _prefix_join(pref, extra, floor)
 
 
+def candidate_pairs(reps: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(u, v) with u earlier in scan order that pass the prefix, length and positional
+    filters, or share a segment where the edit distance allows (:func:`filters`)."""
+    tau, share = filters(cfg)
+    found = [] if tau is None else [_jaccard_candidates(reps, cfg, tau)]
+    if share is not None:
+        found.append(edit_candidates(reps.select("v", "norm", "nc"), share))
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct()
+
+
 def scored_edges(reps: DataFrame, cfg: DedupConfig) -> DataFrame:
     """Verified similarity edges ``(u, v, exact_match, sequence_similarity,
     levenshtein_similarity, jaccard_similarity, composite_similarity)``, u earlier."""
     w, t = cfg.weights, cfg.similarity_threshold
     cand = candidate_pairs(reps, cfg)
-    # phase 1: exact Jaccard and the length bound with word sets only
-    ra = reps.select(F.col("v").alias("u"), F.col("words").alias("wa"), F.col("nc").alias("nca"))
-    rb = reps.select("v", F.col("words").alias("wb"), F.col("nc").alias("ncb"))
+    # phase 1: exact Jaccard, the length bound and shared characters, without the texts
+    slim = reps.select("v", "words", "nc", histogram(F.col("norm")).alias("hist"))
+    ra = slim.select(F.col("v").alias("u"), F.col("words").alias("wa"), F.col("nc").alias("nca"), F.col("hist").alias("ha"))
+    rb = slim.select("v", F.col("words").alias("wb"), F.col("nc").alias("ncb"), F.col("hist").alias("hb"))
     p = cand.join(ra, "u").join(rb, "v")
     p = p.withColumn("jac", jaccard(F.col("wa"), F.col("wb")))
     m, big = F.least("nca", "ncb"), F.greatest("nca", "ncb")
-    upper = (F.lit(w.sequence_similarity) * (2 * m / (m + big)) + F.lit(w.levenshtein_similarity) * (m / big)
+    # the shared characters are at most the shorter text, so this holds the length bound
+    shared = F.least(shared_characters(F.col("ha"), F.col("hb")), m)
+    upper = (F.lit(w.sequence_similarity) * (2 * shared / (m + big)) + F.lit(w.levenshtein_similarity) * (shared / big)
              + F.lit(w.jaccard_similarity) * F.col("jac"))
     p = p.filter(upper >= F.lit(t - EPS)).select("u", "v", "jac")
     # phase 2: texts only for the pairs still in the running
@@ -183,4 +222,4 @@ def jaccard_pairs(rows: DataFrame, tau: float) -> DataFrame:
 
 
 __all__ = ["candidate_pairs", "scored_edges", "representatives", "jaccard_pairs", "jaccard_floor",
-           "check_prunable"]
+           "filters"]

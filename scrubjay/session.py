@@ -99,8 +99,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     ``DataFrame.checkpoint`` needs the input computed twice or cached first.  Inside a
     :func:`scratch_scope` the folder goes when the scope ends."""
     spark = df.sparkSession
-    path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
-    _scopes.paths.append(path)
+    path = scratch_path(spark, f"cut-{uuid.uuid4().hex}", scoped=True)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
@@ -136,7 +135,10 @@ def spread(df: DataFrame, partitions: int | None) -> DataFrame:
     return df if partitions is None else df.repartition(partitions)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "scrubjay-tables", name)
+def scratch_path(spark: SparkSession, name: str, scoped: bool = False) -> str:
+    """A sub-folder of the shared checkpoint folder for intermediate tables; ``scoped``
+    ones go when the current :func:`scratch_scope` ends."""
+    path = os.path.join(ensure_checkpoint_dir(spark), "scrubjay-tables", name)
+    if scoped:
+        _scopes.paths.append(path)
+    return path
