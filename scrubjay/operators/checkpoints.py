@@ -18,6 +18,7 @@ from ..functions.text import CONSOLIDATED_MARKER, checkpoint_signature, is_check
 from ..plans.ordering import dense_index, scan_key
 from ..plans.skew import join_classes, mark_classes
 from ..session import cut_lineage, spread
+from . import pattern_scan
 
 
 SAMPLE_CHARS = 100   # of a text that group details show
@@ -147,31 +148,37 @@ def refetch_prefix(ann: DataFrame, groups: DataFrame, content_col: str = "conten
     """The reference's re-fetch: rows whose text contains the first ``PREFIX_CHARS``
     characters of the group's sample (LIKE, wildcards not escaped).
 
-    A text that matches holds every inner word of the pattern between spaces, so each
-    group looks its rows up by its rarest such word (an equi-join on words, the LIKE
-    verifies).  Patterns without an inner word share no such key with their rows; only
-    if there are any do they go the slow way, every row against each of them."""
+    One pass over the rows with an automaton of the patterns' plain parts finds the
+    candidates (:mod:`.pattern_scan`), LIKE verifies.  Beyond ``PATTERNS`` groups only
+    patterns without an inner word go that way, in several passes; a text that matches one
+    of the others holds every inner word of it between spaces, so each of these groups
+    looks its rows up by its rarest such word (an equi-join on words)."""
     g = cut_lineage(groups.select("signature", "first_sk", _pg_like_pattern(F.substring("sample_content", 1, PREFIX_CHARS)).alias("pattern"))
                     .withColumn("anchors", _anchors(F.col("pattern"))))
     rows = ann.select("id", F.col(content_col).alias("content"), "created_at")
+    if g.count() <= pattern_scan.PATTERNS:
+        return pattern_scan.matching_rows(rows, g.drop("anchors")).drop("pattern")
+    bare = pattern_scan.matching_rows(rows, g.filter(F.size("anchors") == 0).drop("anchors"))
+    return _by_anchor(rows, g.filter(F.size("anchors") > 0)).unionByName(bare).drop("pattern")
+
+
+def _by_anchor(rows: DataFrame, g: DataFrame) -> DataFrame:
+    """Rows that match a pattern of ``g``, looked up by its rarest anchor word."""
     wanted = g.select(F.explode("anchors").alias("word")).distinct()
     words = cut_lineage(rows.select("id", F.explode(F.array_distinct(F.split("content", " "))).alias("word"))
                         .join(wanted, "word", "left_semi"))
-    df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    df = cut_lineage(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     ranked = (g.select("signature", F.explode("anchors").alias("word")).join(df, "word", "left")
               .groupBy("signature").agg(F.min_by("word", F.coalesce("df", F.lit(0))).alias("word")))
     keyed = g.drop("anchors").join(ranked, "signature")
-    # a hot anchor word meets few groups, and its rows are dealt by salt
-    salts = 16
-    left = words.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    right = keyed.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")))
+    # a word with more than a thousandth of the rows here is dealt to as many parts as hold
+    # a thousandth each; there are a thousand such words at most, so they are broadcast
+    share = max(1, -(-(df.agg(F.sum("df")).first()[0] or 0) // 1000))
+    hot = F.broadcast(df.filter(F.col("df") > share).select("word", F.ceil(F.col("df") / share).cast("int").alias("salts")))
+    left = words.join(hot, "word", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    right = keyed.join(hot, "word", "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)"))).drop("salts")
     hits = left.join(right, ["word", "salt"]).select("id", "signature", "first_sk", "pattern")
-    out = rows.join(hits, "id").filter(F.expr("content LIKE pattern")).drop("pattern")
-    bare = g.filter(F.size("anchors") == 0).drop("anchors")
-    if not bare.isEmpty():
-        slow = rows.join(bare, F.expr("content LIKE pattern")).drop("pattern")
-        out = out.unionByName(slow)
-    return out
+    return rows.join(hits, "id").filter(F.expr("content LIKE pattern"))
 
 
 def _plan_from_stats(stats: DataFrame) -> DataFrame:

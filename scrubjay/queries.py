@@ -231,6 +231,59 @@ def q_consolidate_apply(spark, sf):
     return C.consolidate_apply(obs_checkpoints(spark, sf)).select("id", "content", "created_at")
 
 
+# checkpoint texts whose first 50 characters repeat, so that the LIKE re-fetch finds many
+# rows: with words between spaces, and (clicks) without any
+OBS_ROUTINE = f"""SELECT id, CASE WHEN entity_name = 'click' THEN 'CollectorOfClickEventsOnTheSharedClusterWrittenEveryHour:' || content
+  ELSE 'Nightly collector of ' || entity_name || ' events on the shared cluster: ' || content END AS content, created_at, entity_name, updated_at
+  FROM ({Q.OBS_CHECKPOINTS})"""
+
+
+def obs_routine(spark, sf):
+    o, c = obs_checkpoints(spark, sf), F.col("content")
+    text = F.when(F.col("entity_name") == "click", F.concat(F.lit("CollectorOfClickEventsOnTheSharedClusterWrittenEveryHour:"), c)).otherwise(
+        F.concat(F.lit("Nightly collector of "), "entity_name", F.lit(" events on the shared cluster: "), c))
+    return o.withColumn("content", text)
+
+
+def _on_routine(sql: str) -> str:
+    return sql.replace(f"({Q.OBS_CHECKPOINTS})", f"({OBS_ROUTINE})")
+
+
+PREFIX = CheckpointConfig(refetch_mode="prefix")
+_ROUTINE_HITS = f"""SELECT g.signature, o.id, o.content, o.created_at FROM ({OBS_ROUTINE}) o JOIN (
+  SELECT signature, '%' || substring(substring(newest_content, 1, 100) || '...', 1, 50) || '%' AS pattern FROM ({_on_routine(CK_STATS)})) g
+  ON o.content LIKE g.pattern ESCAPE '\\'"""
+_ROUTINE_PLAN = f"""SELECT signature, count, total_chars, first_occurrence, last_occurrence,
+  {_summary_sql('count', 'first_occurrence', 'last_occurrence', 'avg_interval_min')} AS summary FROM (
+  SELECT signature, count(*) AS count, min(created_at) AS first_occurrence, max(created_at) AS last_occurrence, CAST(sum(length(content)) AS BIGINT) AS total_chars,
+    (epoch_us(max(created_at)) - epoch_us(min(created_at))) / 60000000.0 / (count(*) - 1) AS avg_interval_min
+  FROM ({_ROUTINE_HITS}) GROUP BY signature HAVING count(*) > 1)
+  WHERE (SELECT redundant_checkpoints FROM ({_on_routine(CK_TOTALS)})) >= 5"""
+
+
+@register("refetch_prefix_routine", f"SELECT signature, id FROM ({_ROUTINE_HITS})")
+def refetch_prefix_routine(spark, sf):
+    """The LIKE re-fetch where each group's pattern matches many rows."""
+    ann = C.annotate(obs_routine(spark, sf), PREFIX)
+    return C.refetch_prefix(ann, C.checkpoint_groups(ann)).select("signature", "id")
+
+
+@register("consolidation_plan_prefix", f"""SELECT 'consolidate_group' AS action, signature AS group_signature, count AS records_affected,
+  total_chars - length(summary) AS space_saved_chars, summary AS consolidated_content, first_occurrence, last_occurrence FROM ({_ROUTINE_PLAN})""")
+def consolidation_plan_prefix(spark, sf):
+    return C.consolidation_plan(C.annotate(obs_routine(spark, sf), PREFIX), PREFIX).drop("first_sk")
+
+
+@register("consolidate_apply_prefix", f"""WITH p AS ({_ROUTINE_PLAN}), o AS ({OBS_ROUTINE}),
+t AS (SELECT id, count(*) AS times FROM ({_ROUTINE_HITS}) WHERE signature IN (SELECT signature FROM p) GROUP BY id)
+SELECT o.id, o.content || repeat(' [CONSOLIDATED]', coalesce(t.times, 0)) AS content, o.created_at FROM o LEFT JOIN t USING (id)
+UNION ALL SELECT (SELECT max(id) FROM o) + row_number() OVER (ORDER BY s.last_occurrence DESC NULLS LAST, s.newest_id DESC) AS id,
+  p.summary AS content, p.last_occurrence AS created_at FROM p JOIN ({_on_routine(CK_STATS)}) s USING (signature)""")
+def consolidate_apply_prefix(spark, sf):
+    """The table after a consolidation that re-fetches by LIKE."""
+    return C.consolidate_apply(obs_routine(spark, sf), PREFIX).select("id", "content", "created_at")
+
+
 # ---------------------------------------------------------------- monitor
 
 from .operators import history as H  # noqa: E402
@@ -657,6 +710,45 @@ def fuzzy_totals(spark, sf):
     return D.summarize(obs_documents(spark, sf), FUZZY)
 
 
+EDITS_ONLY = DedupConfig(similarity_threshold=0.8, weights=Weights(0.0, 0.0, 1.0, 0.0))
+
+
+@register("edit_pairs_conversations", f"""WITH p AS (SELECT id, created_at, {Q.normalize('content')} AS norm FROM ({Q.OBS_CONVERSATIONS}) WHERE content IS NOT NULL),
+r AS (SELECT norm, translate(norm, '{_WIDE}', '{_NARROW}') AS narrow, first(id ORDER BY {Q.SCAN_ORDER}) AS id, first(created_at ORDER BY {Q.SCAN_ORDER}) AS created_at
+      FROM p WHERE length(norm) > 0 GROUP BY norm),
+x AS (SELECT a.id AS u_id, b.id AS v_id, 1.0 - levenshtein(a.narrow, b.narrow) / greatest(length(a.norm), length(b.norm)) AS levenshtein_similarity
+      FROM r a JOIN r b ON (a.created_at > b.created_at OR (a.created_at = b.created_at AND a.id > b.id))
+      WHERE least(length(a.norm), length(b.norm)) >= 0.8 * greatest(length(a.norm), length(b.norm)) - 1e-9)
+SELECT * FROM x WHERE levenshtein_similarity >= 0.8""")
+def edit_pairs_conversations(spark, sf):
+    """Pairs of texts within a fifth of edits: the partition join, without a Jaccard floor."""
+    prep = D.prepare(obs_conversations(spark, sf)).filter(F.col("content").isNotNull())
+    reps = cut_lineage(CA.representatives(prep.select("id", "sk", "norm", D.norm_key(F.col("norm")).alias("key"))))
+    e = CA.scored_edges(reps, EDITS_ONLY)
+    return e.select((-F.col("u")["i"]).alias("u_id"), (-F.col("v")["i"]).alias("v_id"), "levenshtein_similarity")
+
+
+# ---------------------------------------------------------------- semantic search
+
+from .operators import search as SE  # noqa: E402
+
+_VECTORS = """SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, len(embedding) AS dim FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
+
+
+@register("semantic_search", f"""WITH e AS ({_VECTORS}),
+s AS (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, CASE WHEN q.dim = e.dim THEN list_cosine_similarity(q.v, e.v) END AS score
+      FROM e q JOIN e ON q.dim = e.dim AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def semantic_search(spark, sf):
+    """Ten most similar vectors of every twentieth vector, exactly."""
+    vectors = spark.read.parquet(f"{sf.rstrip('/')}/embeddings.parquet")
+    found = SE.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 def _quality_sql(obs_sql: str) -> str:
     return f"""WITH o AS ({obs_sql}), d AS (SELECT id, count(*) AS n FROM o GROUP BY id HAVING count(*) > 1),
 b AS (SELECT count(*) AS total_records, CAST(coalesce(sum(octet_length(encode(content))), 0) AS BIGINT) AS content_bytes,
