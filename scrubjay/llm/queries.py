@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubjay.llm import alignment, ann_graph, chat_format, decontaminate, fingerprint, language_id, mixing, ngram_join, periodic_runs, pii, substring_dedup, token_files, toxicity
 from scrubjay.llm.common import documents, held_out, prepare, scratch, table, written
 
-TOKENIZERS = "/opt/tokenizers"
+#: Folder of the vocabulary files, as the installed package names it.
+TOKENIZERS = os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
