@@ -48,15 +48,70 @@ def manifest(df: DataFrame, content_col: str = "content") -> DataFrame:
                   F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
 
 
+class ArchiveDamaged(RuntimeError):
+    """Archived rows do not match their manifest."""
+
+
+def month_manifest(cold: DataFrame, content_col: str = "content") -> DataFrame:
+    """The manifest of each month of :func:`cold_rows`."""
+    h = F.xxhash64(F.col("id"), F.col(content_col), F.col("created_at"))
+    return cold.groupBy("month").agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length(F.col(content_col))), F.lit(0)).alias("content_bytes"),
+        F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("checksum"),
+        F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
+
+
+def _total(months: DataFrame) -> DataFrame:
+    """The whole archive's manifest: sums and bounds of its months'."""
+    return months.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(t).alias(c) for c, t in (("rows", "long"), ("content_bytes", "long"), ("checksum", "decimal(38,0)"))],
+                      F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
+
+
 def write_archive(obs: DataFrame, path: str, as_of, days: int = 30) -> DataFrame:
     """Write the cold rows (gzip, by month) and their manifest; returns the manifest."""
     cold = cold_rows(obs, as_of, days)
     cold.write.mode("errorifexists").partitionBy("month").option("compression", "gzip").parquet(f"{path}/rows")
-    m = manifest(cold)
-    m.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
+    # two levels: a row per month (dealt by month, combined before the shuffle), and their sum
+    month_manifest(cold).coalesce(1).write.mode("errorifexists").parquet(f"{path}/months")
+    _total(obs.sparkSession.read.parquet(f"{path}/months")).coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest")
     return obs.sparkSession.read.parquet(f"{path}/manifest")
 
 
+def _archived(spark, path: str, months: list[str] | None) -> DataFrame:
+    rows = spark.read.option("recursiveFileLookup", "false").parquet(f"{path}/rows").withColumn("month", F.col("month").cast("string"))
+    return rows if months is None else rows.where(F.col("month").isin(months))
+
+
+def verify_months(spark, path: str, months: list[str] | None = None) -> DataFrame:
+    """A row per month of an archive folder: does it still match its manifest?  With
+    ``months`` only those partitions are read.  Months without rows, and rows of months
+    that the manifest does not know, are not intact.  The manifest itself is checked first:
+    its months must sum up to the total, or :class:`ArchiveDamaged` is raised."""
+    stored, total = spark.read.parquet(f"{path}/months"), spark.read.parquet(f"{path}/manifest")
+    said, summed = total.first(), _total(stored).first()
+    if said is None or any(said[c] != summed[c] for c in ("rows", "content_bytes", "checksum")):
+        raise ArchiveDamaged(f"the month manifests of {path} do not sum up to the total")
+    if months is not None:
+        stored = stored.where(F.col("month").isin(months))
+        stored = spark.createDataFrame([(m,) for m in sorted(set(months))], "month string").join(stored, "month", "left")
+    now = month_manifest(_archived(spark, path, months))
+    now = now.select("month", *[F.col(c).alias(f"now_{c}") for c in ("rows", "content_bytes", "checksum")])
+    same = [F.col(f"now_{c}") == F.col(c) for c in ("rows", "content_bytes", "checksum")]
+    return stored.join(now, "month", "full").select(
+        "month", "rows", "now_rows", F.coalesce(same[0] & same[1] & same[2], F.lit(False)).alias("intact"))
+
+
+def restore_months(live: DataFrame, path: str, months: list[str] | None = None, content_col: str = "content") -> DataFrame:
+    """``live`` with the archived texts of ``months`` (all, without) put back.  The months are
+    verified before; damaged ones are named in an :class:`ArchiveDamaged`.  Only their
+    partitions are read."""
+    spark = live.sparkSession
+    bad = [r.month for r in verify_months(spark, path, months).where("not intact").orderBy("month").collect()]
+    if bad:
+        raise ArchiveDamaged(f"archive {path} does not match its manifest in {', '.join(map(str, bad))}")
+    return restore(live, _archived(spark, path, months).drop("month"), content_col)
+
+
 def verify(archive_rows: DataFrame, stored_manifest: DataFrame) -> DataFrame:
     """One row: does the archive still match its manifest?"""
     now = manifest(archive_rows.drop("month"))

@@ -21,6 +21,7 @@ from ..functions.pyfmt import py_round
 from ..functions.text import is_processed, monitor_checkpoint_like
 from ..session import cut_lineage
 from ..plans.skew import join_classes
+from ..sources.storage import CommitConflict
 from .metrics import content_key
 
 HISTORY_SCHEMA = T.StructType([
@@ -73,30 +74,89 @@ def retained(history: DataFrame, limit: int = 30) -> DataFrame:
     return history.orderBy(F.col("run_ts").desc()).limit(limit)
 
 
-def backfill_history(obs: DataFrame, cfg: MonitorConfig = MonitorConfig(),
-                     content_col: str = "content") -> DataFrame:
-    """Daily runs at each midnight after a day with rows, through the day after the last
-    row, each seeing the rows created before it.  Unrounded values."""
-    rows = obs.filter(F.col("created_at").isNotNull())
+def _slim(obs: DataFrame, content_col: str) -> DataFrame:
+    """What a history needs of each dated row, written once: the text is read once."""
     c = F.col(content_col)
-    # the text is read once; the three aggregates below read this slim written projection
-    rows = cut_lineage(rows.select(F.to_date("created_at").alias("date"), "created_at",
-                                   content_key(c).alias("k"), F.length(c).alias("len"),
-                                   monitor_checkpoint_like(c).alias("ck"), is_processed(c).alias("pr")))
-    per_day = rows.groupBy("date").agg(
+    return cut_lineage(obs.filter(F.col("created_at").isNotNull()).select(
+        F.to_date("created_at").alias("date"), "created_at", content_key(c).alias("k"), F.length(c).alias("len"),
+        monitor_checkpoint_like(c).alias("ck"), is_processed(c).alias("pr")))
+
+
+def _day_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("date").agg(
         F.count(F.lit(1)).alias("n"), F.sum("len").alias("sum_len"), F.count("len").alias("n_len"),
         F.count(F.when(F.col("ck"), 1)).alias("n_ck"), F.count(F.when(F.col("pr"), 1)).alias("n_pr"),
         F.min("created_at").alias("min_ts"), F.max("created_at").alias("max_ts"))
-    # first and second occurrence per content (second = first when they tie)
+
+
+def _occurrences(rows: DataFrame) -> DataFrame:
+    """(k, kn, f1, f2): rows, first and second occurrence of each content (the second equals the
+    first where they tie, and is null where there is one row)."""
     first = cut_lineage(rows.groupBy("k").agg(F.min("created_at").alias("f1"), F.count(F.lit(1)).alias("kn")))
     total = first.agg(F.coalesce(F.sum("kn"), F.lit(0))).first()[0]
     second = (join_classes(rows.select("k", "created_at"), first.filter(F.col("kn") > 1), "k", "kn", total, null_safe=True)
-                  .groupBy("k", "f1")
+                  .groupBy("k", "f1", "kn")
                   .agg(F.count(F.when(F.col("created_at") == F.col("f1"), 1)).alias("at_f1"),
-                       F.min(F.when(F.col("created_at") > F.col("f1"), F.col("created_at"))).alias("after"))
-                  .select(F.when(F.col("at_f1") >= 2, F.col("f1")).otherwise(F.col("after")).alias("f2")))
-    new_keys = first.groupBy(F.to_date("f1").alias("date")).agg(F.count(F.lit(1)).alias("new_keys"))
-    new_groups = second.groupBy(F.to_date("f2").alias("date")).agg(F.count(F.lit(1)).alias("new_groups"))
+                       F.min(F.when(F.col("created_at") > F.col("f1"), F.col("created_at"))).alias("after")))
+    return first.filter(F.col("kn") == 1).select("k", "kn", "f1", F.lit(None).cast("timestamp_ntz").alias("f2")).unionByName(
+        second.select("k", "kn", "f1", F.when(F.col("at_f1") >= 2, F.col("f1")).otherwise(F.col("after")).alias("f2")))
+
+
+def backfill_history(obs: DataFrame, cfg: MonitorConfig = MonitorConfig(),
+                     content_col: str = "content") -> DataFrame:
+    """Daily runs at each midnight after a day with rows, through the day after the last
+    row, each seeing the rows created before it.  Unrounded values."""
+    rows = _slim(obs, content_col)
+    return _daily_runs(_day_counts(rows), _occurrences(rows), cfg)
+
+
+#: A history's state in one table, so that one commit covers it: rows of ``kind`` "day" hold
+#: the counts of a day, rows of ``kind`` "content" the occurrences of a content.
+DAY_COLUMNS = ["date", "n", "sum_len", "n_len", "n_ck", "n_pr", "min_ts", "max_ts"]
+CONTENT_COLUMNS = ["k", "kn", "f1", "f2"]
+
+
+def history_state(obs: DataFrame, content_col: str = "content") -> DataFrame:
+    """The mergeable state of the dated rows of ``obs``; an empty table has an empty state."""
+    rows = _slim(obs, content_col)
+    days = _day_counts(rows).withColumn("kind", F.lit("day"))
+    return days.unionByName(_occurrences(rows).withColumn("kind", F.lit("content")), allowMissingColumns=True)
+
+
+def merge_states(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The state of the rows of both.  Each state has one row per day and content, so two rows
+    at most meet under a key, however often a content occurs."""
+    both = old.unionByName(new)
+    days = both.where("kind = 'day'").groupBy("date").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sum_len", "n_len", "n_ck", "n_pr")], F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"))
+    times = F.array_sort(F.flatten(F.collect_list(F.filter(F.array("f1", "f2"), lambda t: t.isNotNull()))))
+    contents = both.where("kind = 'content'").groupBy("k").agg(F.sum("kn").alias("kn"), times.alias("t")).select(
+        "k", "kn", F.get("t", F.lit(0)).alias("f1"), F.get("t", F.lit(1)).alias("f2"))
+    return days.withColumn("kind", F.lit("day")).unionByName(contents.withColumn("kind", F.lit("content")), allowMissingColumns=True) \
+        .select(*old.columns)
+
+
+def extend_history(store, new_rows: DataFrame, content_col: str = "content") -> int:
+    """Add rows to the state in a :class:`SnapshotStore` without reading the earlier ones;
+    returns its version.  Late rows count on their own day.  If another writer is faster,
+    the merge is computed again on what that writer committed."""
+    state = cut_lineage(history_state(new_rows, content_col))
+    if store.current() is None:
+        try:
+            return store.write(state, base=0)
+        except CommitConflict:
+            pass
+    return store.update(lambda old: merge_states(old, state))
+
+
+def history_from_state(state: DataFrame, cfg: MonitorConfig = MonitorConfig()) -> DataFrame:
+    """What :func:`backfill_history` gives for the rows of a state."""
+    return _daily_runs(state.where("kind = 'day'").select(*DAY_COLUMNS), state.where("kind = 'content'").select(*CONTENT_COLUMNS), cfg)
+
+
+def _daily_runs(per_day: DataFrame, occurrences: DataFrame, cfg: MonitorConfig) -> DataFrame:
+    new_keys = occurrences.groupBy(F.to_date("f1").alias("date")).agg(F.count(F.lit(1)).alias("new_keys"))
+    new_groups = occurrences.filter(F.col("f2").isNotNull()).groupBy(F.to_date("f2").alias("date")).agg(F.count(F.lit(1)).alias("new_groups"))
     # the day table is small (one row per calendar day), so ordered windows over it are cheap
     span = per_day.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     days = span.select(F.explode(F.sequence("lo", "hi")).alias("date"))

@@ -6,6 +6,8 @@ Output columns are flat and named identically on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import sql_twins as Q
@@ -14,8 +16,9 @@ from .functions import similarity as S
 from .functions import text as T
 from .operators import dedup as D
 from .plans.skew import join_classes
-from .session import cut_lineage
-from .sources.observations import obs_checkpoints, obs_conversations, obs_documents
+from .session import cut_lineage, scratch_path
+from .sources.storage import SnapshotStore
+from .sources.observations import ADAPTER_EPOCH, as_observations, obs_checkpoints, obs_conversations, obs_documents, read_table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -402,6 +405,17 @@ def history_backfill(spark, sf):
     return H.backfill_history(obs_checkpoints(spark, sf))
 
 
+@register("history_incremental", _backfill_sql(Q.OBS_CHECKPOINTS))
+def history_incremental(spark, sf):
+    """The same history from a state that takes the rows in two parts, the later one without
+    reading the earlier again."""
+    obs, cut = obs_checkpoints(spark, sf), F.lit("2024-01-15").cast("timestamp_ntz")
+    store = SnapshotStore(spark, scratch_path(spark, f"history-{uuid.uuid4().hex}", scoped=True))
+    H.extend_history(store, obs.where(F.col("created_at") < cut))
+    H.extend_history(store, obs.where(F.col("created_at") >= cut))
+    return H.history_from_state(store.read())
+
+
 def _rounded_history_sql(obs_sql: str) -> str:
     cols = ", ".join(f"{Q.py_round(c, 2)} AS {c}" if c in H.ROUNDED else c
                      for c in [f.name for f in H.HISTORY_SCHEMA.fields])
@@ -655,8 +669,12 @@ def similarity_components(spark, sf):
 
 NO_SEQUENCE = DedupConfig(similarity_threshold=0.6, weights=Weights(0.3, 0.0, 0.35, 0.35))
 
-_NO_SEQUENCE_SQL = f"""WITH RECURSIVE {_REPS}, {_pair_sql((0.6 - 0.35) / 0.35)},
-e AS MATERIALIZED (SELECT * FROM l WHERE levenshtein_similarity * 0.35 + jaccard_similarity * 0.35 >= 0.6),
+
+
+def _groups_sql(reps: str, floor: float, reach: str) -> str:
+    """Greedy groups of the texts ``reps``, where pairs with ``reach`` are similar."""
+    return f"""WITH RECURSIVE {reps}, {_pair_sql(floor)},
+e AS MATERIALIZED (SELECT * FROM l WHERE {reach}),
 k AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY {Q.SCAN_ORDER}) AS k FROM r WHERE id IN (SELECT u_id FROM e UNION SELECT v_id FROM e)),
 n AS MATERIALIZED (SELECT v.k, list(u.k) FILTER (WHERE u.k IS NOT NULL) AS before FROM k v LEFT JOIN e ON e.v_id = v.id LEFT JOIN k u ON u.id = e.u_id GROUP BY v.k),
 s AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS seeds
@@ -676,7 +694,7 @@ SELECT group_id, m.seed_rep AS seed_id, m.id AS member_id, CAST(rank_in_group AS
 FROM m JOIN g ON g.seed_rep = m.seed_rep LEFT JOIN e ON e.u_id = m.seed_rep AND e.v_id = m.rep_id"""
 
 
-@register("dedup_groups_no_sequence", _NO_SEQUENCE_SQL)
+@register("dedup_groups_no_sequence", _groups_sql(_REPS, (0.6 - 0.35) / 0.35, "levenshtein_similarity * 0.35 + jaccard_similarity * 0.35 >= 0.6"))
 def dedup_groups_no_sequence(spark, sf):
     """Greedy seed groups at threshold 0.60 without the sequence ratio, which SQL lacks."""
     return D.find_groups(obs_documents(spark, sf), NO_SEQUENCE).select(
@@ -710,24 +728,35 @@ def fuzzy_totals(spark, sf):
     return D.summarize(obs_documents(spark, sf), FUZZY)
 
 
-EDITS_ONLY = DedupConfig(similarity_threshold=0.8, weights=Weights(0.0, 0.0, 1.0, 0.0))
+# page addresses: one word each, so that no Jaccard floor exists and only edits tell
+OBS_URLS = f"""SELECT page_id AS id, url AS content, {Q.EPOCH} + to_minutes(page_id) AS created_at, CAST(NULL AS VARCHAR) AS entity_name,
+  CAST(NULL AS TIMESTAMP) AS updated_at FROM pages"""
+EDITS = DedupConfig(similarity_threshold=0.85, weights=Weights(0.0, 0.0, 1.0, 0.0))
+_URL_REPS = _REPS.replace(Q.OBS_DOCUMENTS, OBS_URLS)
 
 
-@register("edit_pairs_conversations", f"""WITH p AS (SELECT id, created_at, {Q.normalize('content')} AS norm FROM ({Q.OBS_CONVERSATIONS}) WHERE content IS NOT NULL),
-r AS (SELECT norm, translate(norm, '{_WIDE}', '{_NARROW}') AS narrow, first(id ORDER BY {Q.SCAN_ORDER}) AS id, first(created_at ORDER BY {Q.SCAN_ORDER}) AS created_at
-      FROM p WHERE length(norm) > 0 GROUP BY norm),
-x AS (SELECT a.id AS u_id, b.id AS v_id, 1.0 - levenshtein(a.narrow, b.narrow) / greatest(length(a.norm), length(b.norm)) AS levenshtein_similarity
-      FROM r a JOIN r b ON (a.created_at > b.created_at OR (a.created_at = b.created_at AND a.id > b.id))
-      WHERE least(length(a.norm), length(b.norm)) >= 0.8 * greatest(length(a.norm), length(b.norm)) - 1e-9)
-SELECT * FROM x WHERE levenshtein_similarity >= 0.8""")
-def edit_pairs_conversations(spark, sf):
-    """Pairs of texts within a fifth of edits: the partition join, without a Jaccard floor."""
-    prep = D.prepare(obs_conversations(spark, sf)).filter(F.col("content").isNotNull())
+def obs_urls(spark, sf):
+    pages = read_table(spark, sf, "pages")
+    return as_observations(pages.withColumn("_t", F.expr(f"timestampadd(MINUTE, page_id, TIMESTAMP_NTZ'{ADAPTER_EPOCH}')")),
+                           id_col="page_id", content_col="url", created_at_col="_t")
+
+
+@register("edit_pairs_urls", f"""WITH {_URL_REPS}, {_pair_sql(0.0)}
+SELECT u_id, v_id, levenshtein_similarity FROM l WHERE levenshtein_similarity >= 0.85""")
+def edit_pairs_urls(spark, sf):
+    """Pairs of addresses within 15 % of edits, by the partition join."""
+    prep = D.prepare(obs_urls(spark, sf)).filter(F.col("content").isNotNull())
     reps = cut_lineage(CA.representatives(prep.select("id", "sk", "norm", D.norm_key(F.col("norm")).alias("key"))))
-    e = CA.scored_edges(reps, EDITS_ONLY)
+    e = CA.scored_edges(reps, EDITS)
     return e.select((-F.col("u")["i"]).alias("u_id"), (-F.col("v")["i"]).alias("v_id"), "levenshtein_similarity")
 
 
+@register("dedup_groups_urls", _groups_sql(_URL_REPS, 0.0, "levenshtein_similarity >= 0.85"))
+def dedup_groups_urls(spark, sf):
+    """Greedy seed groups where no Jaccard floor prunes."""
+    return D.find_groups(obs_urls(spark, sf), EDITS).select(*GROUP_OUT, "levenshtein_similarity", "jaccard_similarity")
+
+
 # ---------------------------------------------------------------- semantic search
 
 from .operators import search as SE  # noqa: E402
@@ -797,6 +826,63 @@ def archive_manifest(spark, sf):
     return AR.manifest(AR.cold_rows(obs_checkpoints(spark, sf), AS_OF, ARCHIVE_DAYS)).drop("checksum")
 
 
+@register("archive_months", f"""SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS rows, CAST(coalesce(sum(octet_length(encode(content))), 0) AS BIGINT) AS content_bytes,
+  min(created_at) AS oldest, max(created_at) AS newest
+FROM ({Q.OBS_CHECKPOINTS}) WHERE created_at < TIMESTAMP '{AS_OF}' - INTERVAL {ARCHIVE_DAYS} DAYS GROUP BY month""")
+def archive_months(spark, sf):
+    return AR.month_manifest(AR.cold_rows(obs_checkpoints(spark, sf), AS_OF, ARCHIVE_DAYS)).drop("checksum")
+
+
+@register("archive_restore", f"SELECT id, content, created_at FROM ({Q.OBS_CHECKPOINTS})")
+def archive_restore(spark, sf):
+    """Archive written, live table stubbed, months verified and put back: the rows as they were."""
+    obs, path = obs_checkpoints(spark, sf), scratch_path(spark, f"archive-{uuid.uuid4().hex}", scoped=True)
+    AR.write_archive(obs, path, AS_OF, ARCHIVE_DAYS)
+    return AR.restore_months(AR.stubbed(obs, AS_OF, ARCHIVE_DAYS), path).select("id", "content", "created_at")
+
+
+# ---------------------------------------------------------------- jobs
+
+from . import jobs as J  # noqa: E402
+
+
+def _job_folders(spark):
+    base = scratch_path(spark, f"job-{uuid.uuid4().hex}", scoped=True)
+    return SnapshotStore(spark, f"{base}/table"), f"{base}/run"
+
+
+@register("job_dedup", ORACLE["apply_markers_keep_latest"])
+def job_dedup(spark, sf):
+    """The table version that the deduplication job commits."""
+    store, out = _job_folders(spark)
+    J.run_dedup(spark, obs_documents(spark, sf), out, strategy="keep_latest", apply=True, store=store)
+    return store.read().select("id", "content")
+
+
+@register("job_dedup_totals", ORACLE["dedup_totals"])
+def job_dedup_totals(spark, sf):
+    """The totals that the job's dry run writes."""
+    _, out = _job_folders(spark)
+    return J.run_dedup(spark, obs_documents(spark, sf), out, strategy="flag_only")["totals"]
+
+
+@register("job_checkpoint_filter", CK_APPLY)
+def job_checkpoint_filter(spark, sf):
+    """The table version that the checkpoint job commits."""
+    store, out = _job_folders(spark)
+    J.run_checkpoint_filter(spark, obs_checkpoints(spark, sf), out, apply=True, store=store)
+    return store.read().select("id", "content", "created_at")
+
+
+@register("job_no_duplicates", f"SELECT 'no_duplicates_found' AS status, count(*) AS total_records, 0 AS duplicate_groups FROM (SELECT id FROM ({Q.OBS_DOCUMENTS}))")
+def job_no_duplicates(spark, sf):
+    """The job's early end: texts made unique by their id leave nothing to resolve."""
+    _, out = _job_folders(spark)
+    unique = obs_documents(spark, sf).withColumn("content", F.concat(F.coalesce("content", F.lit("")), F.lit(" id"), F.col("id").cast("string")))
+    done = J.run_dedup(spark, unique, out, strategy="keep_latest")
+    return spark.read.json(done["report"]).select("status", "summary.total_records", F.col("summary.duplicate_groups").cast("int").alias("duplicate_groups"))
+
+
 # ---------------------------------------------------------------- scan order
 
 from .plans.ordering import dense_index, scan_key  # noqa: E402

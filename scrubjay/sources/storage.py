@@ -92,7 +92,7 @@ class SnapshotStore:
 
     def write(self, df: DataFrame, base: int | None = None) -> int:
         """Write ``df`` as the next version and return its number.  With ``base``, the version
-        that ``df`` was made from, a version of another writer in between is a
+        that ``df`` was made from (0: no version yet), a version of another writer in between is a
         :class:`CommitConflict`; without, the write goes on top of whatever is current."""
         folder = f"_data/{uuid.uuid4().hex}"
         df.write.mode("errorifexists").parquet(f"{self.root}/{folder}")

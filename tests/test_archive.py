@@ -35,3 +35,33 @@ def test_null_texts_and_second_archive(spark):
     live = AR.stubbed(live, "2024-03-20 00:00:00")
     back = AR.restore(live, first.unionByName(second).drop("month"))
     assert sorted((r.id, r.content) for r in back.collect()) == [(1, None), (2, "old"), (3, "mid"), (4, "new")]
+
+
+def test_months_verified_and_restored_alone(spark, tmp_dir):
+    import pytest
+
+    from conftest import obs_frame
+    rows = [(i, None if i == 3 else f"text {i}", f"2024-0{1 + i % 4}-0{1 + i % 9} 00:00:00") for i in range(40)]
+    obs, path = obs_frame(spark, rows), os.path.join(tmp_dir, "arch")
+    AR.write_archive(obs, path, "2024-06-01 00:00:00")
+    live = AR.stubbed(obs, "2024-06-01 00:00:00")
+    state = {r.month: (r.rows, r.intact) for r in AR.verify_months(spark, path).collect()}
+    assert state == {f"2024-0{m}": (10, True) for m in (1, 2, 3, 4)}
+    back = AR.restore_months(live, path, ["2024-02"])
+    assert {r.id for r in back.exceptAll(live).collect()} == {i for i in range(40) if i % 4 == 1}
+    plan = AR.verify_months(spark, path, ["2024-02"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "2024-02" in plan
+    # one month tampered with: it is named, the others can still be restored
+    folder = f"{path}/rows/month=2024-03"
+    spark.read.parquet(folder).withColumn("content", F.lit("x")).coalesce(1).write.parquet(os.path.join(tmp_dir, "bad"))
+    spark.read.parquet(os.path.join(tmp_dir, "bad")).write.mode("overwrite").parquet(folder)
+    with pytest.raises(AR.ArchiveDamaged, match="in 2024-03$"):
+        AR.restore_months(live, path)
+    with pytest.raises(AR.ArchiveDamaged, match="2023-01"):
+        AR.restore_months(live, path, ["2023-01", "2024-01"])
+    assert AR.restore_months(live, path, ["2024-01", "2024-04"]).exceptAll(obs).count() == 20
+    # a month manifest that does not add up to the total
+    spark.read.parquet(f"{path}/months").where("month <> '2024-03'").coalesce(1).write.parquet(os.path.join(tmp_dir, "m"))
+    spark.read.parquet(os.path.join(tmp_dir, "m")).write.mode("overwrite").parquet(f"{path}/months")
+    with pytest.raises(AR.ArchiveDamaged, match="sum up"):
+        AR.verify_months(spark, path)
