@@ -9,9 +9,11 @@ O(n * m / 64) word operations, and ``difflib`` is the definition of the ratio.
 
 from __future__ import annotations
 
+import os.path
 from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -53,6 +55,11 @@ def levenshtein_distance(a: str, b: str) -> int:
     as a bit-vector in a Python int."""
     if len(a) < len(b):
         a, b = b, a
+    # what both begin and end with costs nothing
+    same = len(os.path.commonprefix((a, b)))
+    a, b = a[same:], b[same:]
+    same = len(os.path.commonprefix((a[::-1], b[::-1])))
+    a, b = a[:len(a) - same], b[:len(b) - same]
     m = len(b)
     if m == 0:
         return len(a)
@@ -84,6 +91,81 @@ def sequence_ratio_py(a: str, b: str, autojunk: bool = True) -> float:
     return SequenceMatcher(None, a, b, autojunk=autojunk).ratio()
 
 
+#: Pairs of equal characters that the run table may hold; beyond, difflib itself runs.
+RUN_PAIRS = 4_000_000
+
+
+def _match_runs(x: np.ndarray, y: np.ndarray, autojunk: bool):
+    """(i, j, length) of all maximal diagonal runs of equal characters that are not popular
+    in ``y`` (difflib: more than 1 % of a text of 200 characters or more); None if there are
+    too many pairs."""
+    values, inverse, counts = np.unique(y, return_inverse=True, return_counts=True)
+    if autojunk and len(y) >= 200:
+        counts = np.where(counts > len(y) // 100 + 1, 0, counts)
+    at = np.minimum(np.searchsorted(values, x), len(values) - 1)
+    per = np.where(values[at] == x, counts[at], 0)  # partners of each character of x
+    total = int(per.sum())
+    if total > RUN_PAIRS:
+        return None
+    order = np.argsort(inverse, kind="stable")
+    first = np.searchsorted(inverse[order], np.arange(len(values)))
+    i = np.repeat(np.arange(len(x)), per)
+    j = order[np.repeat(first[at], per) + np.arange(total) - np.repeat(np.cumsum(per) - per, per)]
+    diagonal = np.lexsort((i, j - i))
+    i, j = i[diagonal], j[diagonal]
+    begin = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)))) if total else np.zeros(0, np.int64)
+    return i[begin], j[begin], np.diff(np.append(begin, total))
+
+
+def _leading(equal: np.ndarray) -> int:
+    return int(np.argmin(equal)) if len(equal) and not equal.all() else len(equal)
+
+
+def sequence_ratio(a: str, b: str, autojunk: bool = True) -> float:
+    """The ratio of :func:`sequence_ratio_py`, from arrays: runs of equal characters are
+    listed once, and each step takes the longest run inside its rectangle (ties: first in
+    a, then in b), extends it over equal popular characters, and goes on at both sides."""
+    if not a or not b:
+        return 1.0 if not a and not b else 0.0
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    runs = _match_runs(x, y, autojunk)
+    if runs is None:
+        return sequence_ratio_py(a, b, autojunk)
+    matched, todo = 0, [(0, len(x), 0, len(y), *runs)]
+    while todo:
+        alo, ahi, blo, bhi, i, j, n = todo.pop()
+        skip = np.maximum(np.maximum(alo - i, blo - j), 0)
+        length = np.minimum(np.minimum(n, ahi - i), bhi - j) - skip
+        inside = np.flatnonzero(length > 0)
+        i, j, n, skip, length = i[inside], j[inside], n[inside], skip[inside], length[inside]
+        p, q, size = alo, blo, 0
+        if len(length):
+            size = int(length.max())
+            best = np.flatnonzero(length == size)
+            p, q = min(zip((i[best] + skip[best]).tolist(), (j[best] + skip[best]).tolist()))
+        step = 64
+        while True:  # back over equal characters
+            m = min(step, p - alo, q - blo)
+            grown = _leading((x[p - m:p] == y[q - m:q])[::-1]) if m else 0
+            p, q, size, step = p - grown, q - grown, size + grown, 4 * step
+            if not m or grown < m:
+                break
+        step = 64
+        while True:  # and on
+            m = min(step, ahi - p - size, bhi - q - size)
+            grown = _leading(x[p + size:p + size + m] == y[q + size:q + size + m]) if m else 0
+            size, step = size + grown, 4 * step
+            if not m or grown < m:
+                break
+        if size:
+            matched += size
+            if alo < p and blo < q:
+                todo.append((alo, p, blo, q, i, j, n))
+            if p + size < ahi and q + size < bhi:
+                todo.append((p + size, ahi, q + size, bhi, i, j, n))
+    return 2.0 * matched / (len(x) + len(y))
+
+
 PAIR_SCORES = T.StructType([T.StructField("lev", T.DoubleType()), T.StructField("seq", T.DoubleType())])
 
 
@@ -121,7 +203,7 @@ def pair_scores_udf(weights: Weights, threshold: float, autojunk: bool = True):
             lev.append(lv)
             s_bound = min(2.0 * shared / (n + m), 1.0 - d / (n + m))
             if s * s_bound + l * lv + j * jv >= floor:
-                seq.append(SequenceMatcher(None, x, y, autojunk=autojunk).ratio())
+                seq.append(sequence_ratio(x, y, autojunk))
             else:
                 seq.append(None)
         return pd.DataFrame({"lev": lev, "seq": seq})

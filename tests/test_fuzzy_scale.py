@@ -125,6 +125,20 @@ def test_histogram_bound(spark):
         assert sum(r.h) == len(r.a) and r.n >= sum(min(r.a.count(c), r.b.count(c)) for c in set(r.a))
 
 
+def test_ratio_from_arrays_equals_difflib(monkeypatch):
+    rnd = random.Random(8)
+    for n in range(1200):
+        size = rnd.choice([0, 1, 2, 5, 20, 60, 199, 200, 230, 500])
+        alphabet = rnd.choice(["ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyzäöüABCDEFGHIJ0123456789_ 日本語🙂"])
+        a = "".join(rnd.choice(alphabet) for _ in range(size))
+        b = _edited(rnd, a, rnd.choice([0.02, 0.1, 0.5])) if rnd.random() < 0.7 else "".join(rnd.choice(alphabet) for _ in range(size))
+        junk = rnd.random() < 0.7
+        assert S.sequence_ratio(a, b, junk) == S.sequence_ratio_py(a, b, junk), (a, b, junk)
+        assert S.levenshtein_distance(a[:60], b[:60]) == lev_dp(a[:60], b[:60])
+    monkeypatch.setattr(S, "RUN_PAIRS", 10)
+    assert S.sequence_ratio("abab" * 20, "baba" * 20) == S.sequence_ratio_py("abab" * 20, "baba" * 20)
+
+
 def _plain_seeds(edges):
     before = {}
     for u, v in edges:
