@@ -48,3 +48,28 @@ def test_rows_without_content_are_not_repeats(spark, tmp_dir):
     obs.coalesce(1).write.parquet(src)
     out = _run(spark, prevent_duplicates(spark.readStream.schema(obs.schema).parquet(src), "1 day"), "null_stream_out")
     assert sorted(r.id for r in out.collect())[:2] == [1, 2] and out.count() == 3
+
+
+def test_newest_is_kept_as_in_batch(spark, tmp_dir):
+    """Several micro-batches in any order leave the survivors of batch keep_latest."""
+    import random
+
+    from conftest import obs_frame
+    from scrubjay.functions.text import normalize_text
+    from scrubjay.streaming.newest_stream import keep_newest
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice([None, "Same text", "same TEXT!", "other", f"own {chr(97 + i % 26)}", "x y"]), f"2024-01-01 0{rnd.randrange(6)}:00:00") for i in range(80)]
+    rows += [rows[5], rows[6]]
+    src = os.path.join(tmp_dir, "arrivals")
+    for k in range(0, len(rows), 30):
+        obs_frame(spark, rows[k:k + 30]).coalesce(1).write.mode("append").parquet(src)
+    schema = obs_frame(spark, rows).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = _run(spark, keep_newest(stream, "1 day"), "newest_stream_out").collect()
+    replaced = {r.replaced_id for r in out if r.replaced_id is not None}
+    want = {}
+    for r in obs_frame(spark, rows).withColumn("k", normalize_text("content")).collect():
+        key = r.k if r.content is not None else ("id", r.id)
+        want[key] = max(want.get(key, (r.created_at, r.id)), (r.created_at, r.id))
+    assert {r.id for r in out} - replaced == {i for _, i in want.values()}
+    assert replaced and all(len({r.id for r in out if bytes(r.norm_key) == k} - replaced) == 1 for k in {bytes(r.norm_key) for r in out})
