@@ -15,7 +15,9 @@ def main():
     from scrubjay.operators import checkpoints as C
     from scrubjay.operators import dedup as D
     from scrubjay.operators import metrics as M
+    from scrubjay.operators import search as SE
     from scrubjay.plans import candidates as CA
+    from scrubjay.plans.edit_join import edit_candidates
     from scrubjay.session import get_spark
     from scrubjay.sources.observations import obs_checkpoints, obs_documents
 
@@ -35,6 +37,9 @@ def main():
         "monitor snapshot": M.snapshot(obs_checkpoints(spark, sf), "2024-01-31 00:00:00"),
         "similarity join: prefix + positional filter (t=0.60)":
             CA.candidate_pairs(CA.representatives(rows), DedupConfig(similarity_threshold=0.6)),
+        "similarity join: segments within 13 % of edits (t=0.50)": edit_candidates(CA.representatives(rows).select("v", "norm", "nc"), 0.13),
+        "semantic search: merge of the partial lists": SE.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"),
+                                                                  spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0")),
     }
     for title, df in shown.items():
         print(f"## {title}\n\n```")
