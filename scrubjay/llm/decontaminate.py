@@ -11,17 +11,18 @@ alignment.  Its slots must be consistent: one item value stands for one document
 throughout the alignment.  A document is contaminated by an item if consistent alignments
 cover at least ``run`` of the item's tokens, or the whole item.
 
-With ``whole``, as the query and the pipeline run it, windows of the tokens themselves,
-without case in any script, placeholders or ``plain``, are joined too and count whatever
-their diagonal's slots say: verbatim copies are found, in capitals or full of names.
-Of an alignment whose slots clash, the longest consistent stretch counts.
+Windows of the tokens themselves, without case in any script, placeholders or ``plain``,
+are joined too and count whatever their diagonal's slots say: verbatim copies are found, in
+capitals or full of names.  Of an alignment whose slots clash, the longest consistent
+stretch counts.  An item of fewer tokens than a window is its own window, and documents get
+windows of the lengths such items have: it is found where it stands whole.
 
 The only broadcast is a bitmap of ``BITMAP_BITS`` bits over window hashes; it keeps
 document windows that cannot match from being shuffled and has that size for a benchmark
 of any size.  Windows join by shuffle.
 
-Edge cases: null and empty texts have no windows; an item with fewer tokens than a window
-is not searched for (it says too little), nor is one with a null id; rows that repeat
+Edge cases: null and empty texts have no windows; an item with a null id is not searched
+for; an item of one word is found in every document that holds the word; rows that repeat
 are judged each by their own text.
 """
 
@@ -132,29 +133,36 @@ def _folded(column: pa.Array) -> pa.Array:
     return pa.array([t if t is None else t.casefold() for t in column.to_pylist()], pa.large_string())
 
 
-def _document_windows(window: int, plain: int, bitmap, whole: bool):
-    """(doc columns, window, place, slots) of windows, those off the bitmap left out.  With
-    ``whole``, verbatim windows of the folded text follow, which have no slots."""
+def _document_windows(window: int, plain: int, short: list[int], bitmap=None):
+    """(doc columns, window, place, slots) of template windows, then of verbatim windows of
+    the folded text, which have no slots.  A text of fewer tokens than ``window`` is one
+    window of its own length; with a ``bitmap`` every text has windows of the ``short``
+    lengths instead, and windows off the bitmap are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else bitmap.value
         for batch in batches:
-            for verbatim in (False, True) if whole else (False,):
+            for verbatim in (False, True):
                 column = _folded(batch.column(2)) if verbatim else batch.column(2)
                 for lo, hi, data, offsets in text_slices(column):
                     c = Canonical(data, offsets)
-                    doc, h, place = c.windows(window, plain, verbatim)
-                    if bits is not None:
-                        cell = (h & U64(BITMAP_BITS - 1)).astype(np.int64)
-                        on = (bits[cell >> 6] >> (cell & 63).astype(U64)) & U64(1) == 1
-                        doc, h, place = doc[on], h[on], place[on]
-                    for a in range(0, len(doc), 20_000):
-                        d, p = doc[a:a + 20_000], place[a:a + 20_000]
-                        at = pa.array(d + lo)
-                        slots = [[]] * len(d) if verbatim else c.slots_in(d, p, window)
-                        yield pa.RecordBatch.from_arrays([
-                            batch.column(0).take(at), batch.column(1).take(at), pa.array(h[a:a + 20_000].view(np.int64)), pa.array(p, pa.int32()),
-                            pa.array((np.diff(c.bounds)[d]), pa.int32()), pa.array(slots, pa.list_(pa.int64())),
-                            pa.array(np.full(len(d), verbatim))], names=["id", "version", "h", "place", "tokens", "slots", "verbatim"])
+                    sizes = np.diff(c.bounds)
+                    for length in (window, *short):
+                        doc, h, place = c.windows(length, plain, verbatim)
+                        if bits is None:
+                            own = np.minimum(sizes[doc], window) == length
+                            doc, h, place = doc[own], h[own], place[own]
+                        else:
+                            cell = (h & U64(BITMAP_BITS - 1)).astype(np.int64)
+                            on = (bits[cell >> 6] >> (cell & 63).astype(U64)) & U64(1) == 1
+                            doc, h, place = doc[on], h[on], place[on]
+                        for a in range(0, len(doc), 20_000):
+                            d, p = doc[a:a + 20_000], place[a:a + 20_000]
+                            at = pa.array(d + lo)
+                            slots = [[]] * len(d) if verbatim else c.slots_in(d, p, length)
+                            yield pa.RecordBatch.from_arrays([
+                                batch.column(0).take(at), batch.column(1).take(at), pa.array(h[a:a + 20_000].view(np.int64)), pa.array(p, pa.int32()),
+                                pa.array(sizes[d], pa.int32()), pa.array(slots, pa.list_(pa.int64())),
+                                pa.array(np.full(len(d), verbatim))], names=["id", "version", "h", "place", "tokens", "slots", "verbatim"])
     return run
 
 
@@ -211,19 +219,20 @@ def _consistent(window: int):
     return run
 
 
-def alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, plain: int = PLAIN, whole: bool = False) -> DataFrame:
+def alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, plain: int = PLAIN) -> DataFrame:
     """(doc_id, version, item_id, covered, covered_whole, item_tokens, exact): per document
-    and item the item tokens under consistent alignments; ``exact`` if every slot kept its
-    value.  With ``whole``, ``covered_whole`` has those under verbatim windows and under the
-    longest consistent stretch of an alignment that clashes as well."""
+    and item the item tokens under consistent template alignments, and those under verbatim
+    windows and the longest consistent stretch of an alignment that clashes as well;
+    ``exact`` if every slot kept its value."""
     items = written(_keyed(benchmark, "item_id").where("id is not null").mapInArrow(
-        _document_windows(window, plain, None, whole), _WINDOWS), "bench-windows")
+        _document_windows(window, plain, list(range(1, window))), _WINDOWS), "bench-windows")
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
+    short = sorted(r.tokens for r in items.where(F.col("tokens") < window).select("tokens").distinct().collect())  # fewer than window
     # an item's repeated window is one template place per repetition; equal rows are one
     theirs = items.select(F.col("id").alias("item_id"), F.col("version").alias("item_version"), "h", F.col("place").alias("item_place"),
                           F.col("tokens").alias("item_tokens"), F.col("slots").alias("item_slots"), "verbatim").dropDuplicates(
         ["item_id", "item_version", "item_place", "verbatim"])
-    ours = _keyed(docs, "doc_id").mapInArrow(_document_windows(window, plain, bitmap, whole), _WINDOWS).drop("verbatim")
+    ours = _keyed(docs, "doc_id").mapInArrow(_document_windows(window, plain, short, bitmap), _WINDOWS).drop("verbatim")
     hits = written(ours.join(theirs, "h").select(
         F.col("id").alias("doc_id"), "version", "item_id", "item_version", "item_tokens", "item_place",
         (F.col("place") - F.col("item_place")).alias("diagonal"), "verbatim", F.arrays_zip("item_slots", "slots").alias("slots")).distinct(), "bench-hits")
@@ -236,36 +245,37 @@ def alignments(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, plai
     judged = hits.join(clash, null_safe, "left")
     fine = judged.where(F.col("verbatim") | ~F.coalesce("clash", F.lit(False))).select(
         *line, "item_place", (~F.col("verbatim")).alias("template"), (F.col("verbatim") | F.coalesce("kept", F.lit(True))).alias("kept"))
-    if whole:
-        # a line has at most one window per item place
-        cut = judged.where(~F.col("verbatim") & F.col("clash")).groupBy(*line).agg(
-            F.collect_list(F.struct("item_place", "slots")).alias("hits"))
-        fine = fine.unionByName(cut.select(*line, F.explode(_consistent(window)("hits")).alias("item_place"),
-                                           F.lit(False).alias("template"), F.lit(False).alias("kept")))
+    # a line has at most one window per item place
+    cut = judged.where(~F.col("verbatim") & F.col("clash")).groupBy(*line).agg(
+        F.collect_list(F.struct("item_place", "slots")).alias("hits"))
+    fine = fine.unionByName(cut.select(*line, F.explode(_consistent(window)("hits")).alias("item_place"),
+                                       F.lit(False).alias("template"), F.lit(False).alias("kept")))
     # item places are bounded by the item's length, so a group's list is no longer than the item
     covered = fine.groupBy("doc_id", "version", "item_id", "item_version", "item_tokens").agg(
         F.array_sort(F.collect_set(F.when(F.col("template"), F.col("item_place")))).alias("places"),
         F.array_sort(F.collect_set("item_place")).alias("all_places"), F.min("kept").alias("exact"))
 
+    size = F.least(F.lit(window), F.col("item_tokens"))
+
     def step(places: str):
         return F.aggregate(places, F.expr("named_struct('n', 0, 'end', -1)"), lambda acc, p: F.struct(
-            (acc["n"] + p + window - F.greatest(acc["end"], p)).alias("n"), (p + window).alias("end")), lambda acc: acc["n"])
+            (acc["n"] + p + size - F.greatest(acc["end"], p)).alias("n"), (p + size).alias("end")), lambda acc: acc["n"])
     return covered.select("doc_id", "version", "item_id", step("places").alias("covered"), step("all_places").alias("covered_whole"),
                           "item_tokens", "exact")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN, whole: bool = False) -> DataFrame:
-    """The alignments that make a document contaminated; ``covered`` counts what ``whole``
-    adds only where templates alone do not suffice."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN) -> DataFrame:
+    """The alignments that make a document contaminated; ``covered`` counts
+    verbatim windows and stretches only where templates alone do not suffice."""
     enough = F.least(F.lit(run), F.col("item_tokens"))
-    found = alignments(docs, benchmark, whole=whole).where(F.col("covered_whole") >= enough)
+    found = alignments(docs, benchmark).where(F.col("covered_whole") >= enough)
     return found.withColumn("covered", F.when(F.col("covered") >= enough, F.col("covered")).otherwise(F.col("covered_whole"))).drop("covered_whole")
 
 
-def report(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, contaminated, items (how many), item_id (of the largest
     cover, ties to the smaller id), covered."""
-    bad = contaminated(docs, benchmark, whole=whole).groupBy("doc_id", "version").agg(
+    bad = contaminated(docs, benchmark).groupBy("doc_id", "version").agg(
         F.count_distinct("item_id").alias("items"), F.max(F.struct("covered", (-F.col("item_id")).alias("i"))).alias("best"))
     rows = _keyed(docs, "doc_id").select(F.col("id").alias("own"), F.col("version").alias("own_version"))
     joined = rows.join(bad, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("own_version") == F.col("version")), "left")
@@ -273,9 +283,9 @@ def report(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFr
                          (-F.col("best.i")).alias("item_id"), F.coalesce("best.covered", F.lit(0)).alias("covered"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows."""
-    bad = written(contaminated(docs, benchmark, whole=whole).select(F.col("doc_id").alias("_bad_id"), F.col("version").alias("_bad_version")).distinct(), "bench-bad")
+    bad = written(contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad_id"), F.col("version").alias("_bad_version")).distinct(), "bench-bad")
     version = free_name(docs, "_version")
     marked = docs.withColumn(version, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     same = marked["doc_id"].cast("long").eqNullSafe(bad["_bad_id"]) & (marked[version] == bad["_bad_version"])

@@ -7,13 +7,15 @@ units learned from labelled rows: normalised words and their 4- to 6-byte beginn
 digit-for-letter spelling, drops punctuation inside words and collapses repeated letters,
 alike in the lexicon and in texts.
 
-Lexicon, trees and calibration are fitted on a bounded sample: the ``sample_rows``
-labelled training rows with the smallest hash of doc_id.  Trees see three parts of
-four, the isotonic map the fourth.
+Lexicon, trees and calibration are fitted on a bounded sample: of each class the
+``sample_rows / 2`` labelled training rows with the smallest hash of doc_id, weighted by
+the class's rows per row drawn.  Trees see three parts of four, the isotonic map the
+fourth.  Where a part lacks a class, the trees see all four and their probability is the
+score, uncalibrated.
 
 Edge cases: null and empty texts get the score of their (all-zero) features; rows whose
-label is null are not learned from; if the sample lacks a class, the score is the share
-of toxic rows in it (0 for none).
+label is null are not learned from; if no labelled row of one class is there at all, the
+score is the other class's label (0 without labelled rows).
 """
 
 from __future__ import annotations
@@ -236,22 +238,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     ids = F.col("doc_id").cast("long").alias("doc_id")
     marked = labels.select(ids, F.col("toxic").cast("int").alias("toxic")).where(
         F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    each = written(marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic-labels")
+    half, chosen = max(sample_rows // 2, 1), None
+    for label, rows in sorted((r.toxic, r["count"]) for r in each.groupBy("toxic").count().collect()):
+        drawn = each.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half).withColumn(
+            "weight", F.lit(rows / min(rows, half)))
+        chosen = drawn if chosen is None else chosen.unionAll(drawn)
+    if chosen is None:
+        chosen = each.withColumn("weight", F.lit(1.0))
     texts = docs.select(ids, F.col("text").cast("string").alias("text"))
     # the sample is bounded by its parameter, so broadcasting its ids is too
     sample = written(texts.join(F.broadcast(chosen), "doc_id").withColumn("group", _minhash(F.col("text"))), "toxic-sample")
     lexicon = learn_lexicon(sample.where("toxic is not null"))
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
     rows = written(sample.select((F.pmod(F.xxhash64(F.lit("calibration"), "group"), F.lit(4)) == 0).alias("calibrates"),
-                                 F.col("toxic").cast("double").alias("label"), _features_column(F.col("text"), held).alias("f"))
-                   .select("calibrates", "label", array_to_vector("f").alias("features")), "toxic-features")
+                                 F.col("toxic").cast("double").alias("label"), "weight", _features_column(F.col("text"), held).alias("f"))
+                   .select("calibrates", "label", "weight", array_to_vector("f").alias("features")), "toxic-features")
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     parts = {(r.calibrates, r.label) for r in rows.groupBy("calibrates", "label").count().collect()}
-    if len(parts) < 4:
+    if len({label for _, label in parts}) < 2:
         return Model(lexicon, None, None, toxic / total if total else 0.0)
-    trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=7, minInstancesPerNode=5).fit(rows.where("not calibrates"))
-    raw = trees.transform(rows.where("calibrates")).select("label", vector_to_array("probability")[1].alias("features"))
-    return Model(lexicon, trees, IsotonicRegression(isotonic=True).fit(raw), toxic / total)
+    trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=7, weightCol="weight")
+    if len(parts) < 4:  # so few rows of a class that leaves of one row must be allowed
+        return Model(lexicon, trees.setMinInstancesPerNode(1).fit(rows), None, toxic / total)
+    trees = trees.setMinInstancesPerNode(5).fit(rows.where("not calibrates"))
+    raw = trees.transform(rows.where("calibrates")).select("label", "weight", vector_to_array("probability")[1].alias("features"))
+    return Model(lexicon, trees, IsotonicRegression(isotonic=True, weightCol="weight").fit(raw), toxic / total)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -264,6 +276,9 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     trees = model.trees.copy().setFeaturesCol(inner["f"]).setRawPredictionCol(inner["raw"]).setProbabilityCol(inner["p"]).setPredictionCol(inner["y"])
     out = trees.transform(out).withColumn(inner["x"], vector_to_array(inner["p"])[1])
     final = free_name(docs, "_toxic_score")
-    out = model.map.copy().setFeaturesCol(inner["x"]).setPredictionCol(final).transform(out)
+    if model.map is None:
+        out = out.withColumn(final, F.col(inner["x"]))
+    else:
+        out = model.map.copy().setFeaturesCol(inner["x"]).setPredictionCol(final).transform(out)
     kept = [F.col(f"`{c}`") for c in docs.columns if c != name]
     return out.select(*kept, F.least(F.greatest(F.col(final), F.lit(0.0)), F.lit(1.0)).alias(name))

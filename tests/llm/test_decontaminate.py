@@ -38,20 +38,51 @@ def windows(text, k=8, plain=5):
             yield i, tuple(c for c, _ in w), [v for _, v in w if v is not None]
 
 
-def brute(docs, items, run=13, k=8):
-    index = defaultdict(list)
+def verbatim(text, k=8):
+    body = [v or c for c, v in canonical((text or "").casefold())]
+    for i in range(len(body) - k + 1):
+        yield i, tuple(body[i:i + k])
+
+
+def stretch(hits, k):
+    """Places of the consecutive hits that cover most, among consistent ones."""
+    hits, best, most = sorted(hits), [], 0
+    for hi in range(1, len(hits) + 1):
+        for lo in range(hi):
+            seen = defaultdict(set)
+            for _, pairs in hits[lo:hi]:
+                for a, b in pairs:
+                    seen[a].add(b)
+            if all(len(v) == 1 for v in seen.values()):
+                places = [j for j, _ in hits[lo:hi]]
+                size = len({q for j in places for q in range(j, j + k)})
+                if size > most:
+                    most, best = size, places
+                break
+    return best
+
+
+def brute(docs, items, run=13):
+    index, plainly, lengths = defaultdict(list), defaultdict(list), {8}
     for item, text in items:
-        if item is not None:
-            for i, key, slots in windows(text):
+        if item is not None and canonical(text):
+            k = min(8, len(canonical(text)))
+            lengths.add(k)
+            for i, key, slots in windows(text, k):
                 index[key].append((item, text, i, slots))
+            for i, key in verbatim(text, k):
+                plainly[key].append((item, text, i))
     out = []
     for doc, text in docs:
-        lines = defaultdict(list)
-        for i, key, slots in windows(text):
-            for item, body, j, theirs in index[key]:
-                lines[item, body, i - j].append((j, list(zip(theirs, slots))))
-        cover = defaultdict(set)
-        for (item, body, _), hits in lines.items():
+        lines, cover, more = defaultdict(list), defaultdict(set), defaultdict(set)
+        for k in lengths:
+            for i, key, slots in windows(text, k):
+                for item, body, j, theirs in index[key]:
+                    lines[item, body, i - j, k].append((j, list(zip(theirs, slots))))
+            for i, key in verbatim(text, k):
+                for item, body, j in plainly[key]:
+                    more[item, body].update(range(j, j + k))
+        for (item, body, _, k), hits in lines.items():
             seen = defaultdict(set)
             for _, pairs in hits:
                 for a, b in pairs:
@@ -59,10 +90,16 @@ def brute(docs, items, run=13, k=8):
             if all(len(v) == 1 for v in seen.values()):
                 for j, _ in hits:
                     cover[item, body].update(range(j, j + k))
+                    more[item, body].update(range(j, j + k))
+            else:
+                for j in stretch(hits, k):
+                    more[item, body].update(range(j, j + k))
         found = {}
-        for (item, body), places in cover.items():
-            if len(places) >= min(run, len(canonical(body))):
-                found[item] = max(found.get(item, 0), len(places))
+        for (item, body), places in more.items():
+            enough = min(run, len(canonical(body)))
+            if len(places) >= enough:
+                size = len(cover[item, body]) if len(cover[item, body]) >= enough else len(places)
+                found[item] = max(found.get(item, 0), size)
         best = min(found, key=lambda i: (-found[i], i)) if found else None
         out.append((doc is not None, doc or 0, bool(found), len(found), best, found.get(best, 0)))
     return sorted(out, key=repr)
@@ -81,7 +118,7 @@ def test_against_brute_force(spark):
     def sentence(n):
         return [rng.choice([word, word, word, word, lambda: str(rng.randrange(50)), lambda: rng.choice(["km", "Euros", "hours"]),
                             lambda: word().capitalize(), lambda: word() + "."])() for _ in range(n)]
-    items = [(i, " ".join(sentence(rng.randrange(6, 40)))) for i in range(25)] + [(3, "same words again " * 6), (None, " ".join(sentence(20))), (90, None), (91, "")]
+    items = [(i, " ".join(sentence(rng.randrange(3, 40)))) for i in range(25)] + [(3, "same words again " * 6), (None, " ".join(sentence(20))), (90, None), (91, "")]
     docs = []
     for i in range(90):
         t = sentence(rng.randrange(0, 40))
@@ -120,6 +157,17 @@ def test_query_and_empty(spark):
     assert got(spark, [], [(1, "a b c")])[2] == [] and got(spark, [(1, "a b c")], [])[2] == [(True, 1, False, 0, None, 0)]
 
 
+def test_short_items(spark, tmp_dir):
+    """Items of one to seven tokens are found where they stand whole, and only there."""
+    prepare(spark)
+    items = [(1, "quick brown fox"), (2, "zanzibar"), (3, "please add these many small numbers 7"), (4, "42 km"), (5, "...")]
+    docs = [(1, "the Quick, brown FOX ran"), (2, "quick brown dog and fox"), (3, "to Zanzibar!"), (4, "fox"), (5, "quick brown fox"),
+            (6, "now please add these many small numbers 9 or so"), (7, "it is 42 km far"), (8, "it is 43 km far"), (9, None), (10, "...")]
+    found = query(spark, tmp_dir, docs, items)
+    assert {d for d, bad in found.items() if bad} == {1, 3, 5, 6, 7}
+    assert got(spark, docs, items)[2] == brute(docs, items)
+
+
 def query(spark, tmp_dir, docs, items):
     """{doc_id: contaminated} of the query, which the pipeline's stage must agree with."""
     d, b, _ = got(spark, docs, items)

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from conftest import SF01
@@ -42,3 +44,18 @@ def test_edges(spark):
     assert out.columns == ["doc_id", "text", "_toxic_f", "score"] and {r.score for r in out.collect()} == {0.0}
     empty = docs.limit(0)
     assert toxicity.score(empty, toxicity.fit(empty, labels.limit(0))).collect() == []
+
+
+def test_one_toxic_row(spark):
+    """A class with a single labelled row still makes a score that tells texts apart."""
+    prepare(spark)
+    texts = [(i, f"a fine day number {i} by the sea") for i in range(60)]
+    learned = [i for i, _ in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts[learned[0]] = (learned[0], "you idiot you stupid loser")
+    docs = spark.createDataFrame(texts + [(900, "you stupid idiot you loser"), (901, "a fine day by the sea"), (902, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == learned[0])) for i, _ in texts], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert model.map is None and got[900] > got[901] and all(0 <= x <= 1 for x in got.values())
+    few = toxicity.fit(docs, labels, sample_rows=20)   # drawn per class: the one toxic row stays
+    assert few.trees is not None
