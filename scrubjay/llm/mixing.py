@@ -14,13 +14,18 @@ place in its source's sequence, as a share of the source's budget, gives its pla
 mix, so every block of the mix holds the sources in proportion to their weights; within a
 block documents are permuted by another hash.
 
-Token totals are summed over ranges of the hash (about ``RANGE_DOCS`` documents each)
-and then along the ranges, so no task orders a whole source.
+Texts are tokenised once, into slim rows (source, identity, tokens, copies), and all
+decisions are made on those.  Token totals are summed over ranges of the hash (about
+``RANGE_DOCS`` documents each) and then along the ranges, so no task orders a whole source.
+:func:`mix` needs only each source's cut (the last place of its partial epoch that is
+taken) and shuffles no text; :func:`write_mix` realises the permutation: files in ascending
+order of block, each block in its permuted order, for which texts are shuffled by identity
+and by place.
 
 Edge cases: tokens are runs of other than white space; null, empty and blank texts have
 none and pass with every whole epoch (with the first if there is none); a null source is
-a source of its own; equal rows are separate documents; without tokens at all every row
-passes once.
+a source of its own; rows equal in doc_id, text and source stand at one place and pass
+together; without tokens at all every row passes once.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrubjay.llm.common import free_name, written
+from scrubjay.plans.skew import join_classes
 
 RANGE_DOCS = 2_000
 CUTS, ROUNDS = 32, 6
@@ -71,10 +77,26 @@ def _measures(sources: DataFrame, exponents: list[float], budget: float) -> list
     return out
 
 
+def _part() -> Column:
+    """A document's identity: 128 bits of its id, text and source (nulls marked)."""
+    own = [F.col("doc_id"), F.col("text").cast("string"), F.col("source")]
+    both = own + [c.isNull() for c in own]
+    return F.concat_ws(":", F.xxhash64(*both), F.xxhash64(F.lit(1), *both))
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    """(source_key, part, tokens, copies): the one pass that tokenises texts."""
+    rows = docs.select(_key(F.col("source")).alias("source_key"), _part().alias("part"), n_tokens(F.col("text")).alias("tokens"))
+    return written(rows.groupBy("source_key", "part", "tokens").agg(F.count("*").alias("copies")), "mix-slim")
+
+
 def weights(docs: DataFrame, config: MixConfig = MixConfig()) -> tuple[DataFrame, float]:
     """((source_key, docs, tokens, weight, epochs) per source, exponent)."""
-    sources = written(docs.select(_key(F.col("source")).alias("source_key"), n_tokens(F.col("text")).alias("tokens"))
-                      .groupBy("source_key").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")), "mix-sources")
+    return _weights(_slim(docs), config)
+
+
+def _weights(slim: DataFrame, config: MixConfig) -> tuple[DataFrame, float]:
+    sources = written(slim.groupBy("source_key").agg(F.sum("copies").alias("docs"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens")), "mix-sources")
     total, count = sources.where("tokens > 0").agg(F.sum("tokens"), F.count("*")).first()
     if not total:
         return sources.select("*", F.lit(0.0).alias("weight"), F.lit(1.0).alias("epochs")), 1.0
@@ -115,45 +137,95 @@ def _with_sources(rows: DataFrame, table: DataFrame, key: str, columns: list[str
     return dealt.join(copies, [key, salt]).drop(salt)
 
 
+RANGE = ["source_key", "epoch", "range"]
+LIMIT = "(epochs - epoch) * total"  # tokens of a partial epoch
+
+
+def _order(config: MixConfig, epoch: str, part: str) -> Column:
+    return F.xxhash64(F.lit(config.seed), epoch, F.col(part))
+
+
+def _last_epoch(epochs: Column) -> Column:
+    return F.greatest(F.ceil(epochs), F.lit(1)).cast("int") - 1
+
+
+def _sequences(docs: DataFrame, config: MixConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sources, slim rows once per epoch they may be in, tokens before each range)."""
+    slim = _slim(docs)
+    table, _ = _weights(slim, config)
+    table = written(table.withColumnRenamed("tokens", "total").withColumn("ranges", F.ceil(F.col("docs") / RANGE_DOCS).cast("long")), "mix-weights")
+    rows = _with_sources(slim, table, "source_key", ["epochs", "ranges", "total"])
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), _last_epoch(F.col("epochs"))))).withColumn("order", _order(config, "epoch", "part"))
+    unit = F.col("order") / F.lit(2.0 ** 64) + F.lit(0.5)
+    rows = rows.withColumn("range", F.least(F.floor(unit * F.col("ranges")), F.col("ranges") - 1)).withColumn("own", F.col("tokens") * F.col("copies"))
+    along = Window.partitionBy("source_key", "epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = written(rows.groupBy(*RANGE).agg(F.sum("own").alias("own")).select(*RANGE, F.coalesce(F.sum("own").over(along), F.lit(0)).alias("ahead")), "mix-ranges")
+    return table, rows, ranges
+
+
+def _placed(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``rows`` of the given ranges with ``before``: the tokens of their epoch before them."""
+    within = Window.partitionBy(*RANGE).orderBy("order", "part").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(ranges, RANGE).withColumn("before", F.col("ahead") + F.coalesce(F.sum("own").over(within), F.lit(0)))
+
+
+def _cuts(table: DataFrame, rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(source_key, cut): the greatest order that a source's partial epoch takes.  Only the
+    one range per source where the budget ends is put in order."""
+    epochs = _with_sources(ranges, table, "source_key", ["epochs", "total"])
+    reached = epochs.where(f"epochs - epoch < 1 and ahead < {LIMIT}").groupBy("source_key", "epoch").agg(F.max("range").alias("range"))
+    ends = written(reached.join(ranges, RANGE), "mix-ends")
+    return _placed(rows, ends).where(f"before < {LIMIT}").groupBy("source_key").agg(F.max("order").alias("cut"))
+
+
 def mix(docs: DataFrame, config: MixConfig = MixConfig(), details: bool = False) -> DataFrame:
-    """The mixed rows, with the columns of ``docs``; with ``details`` also epoch, position
-    (0 to 1 in the mix), block and place_in_block (a hash to order a block by)."""
-    table, _ = weights(docs, config)
-    table = written(table.withColumn("ranges", F.ceil(F.col("docs") / RANGE_DOCS).cast("long")), "mix-weights")
-    total = table.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    """The mixed rows, with the columns of ``docs``; with ``details`` also tokens, epoch,
+    position (0 to 1 in the mix), block and place_in_block (a hash to order a block by),
+    under names with underscores before them where ``docs`` has such columns."""
+    table, rows, ranges = _sequences(docs, config)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    n = {x: free_name(docs, f"_mix_{x}") for x in ("key", "part", "passes", "pass", "copies", "epoch")}
+    if details:
+        return _detailed(docs, config, table, rows, ranges, own, n)
+    stats = table.join(_cuts(table, rows, ranges), "source_key", "left").select("source_key", F.struct("epochs", "cut").alias(n["pass"]))
+    marked = docs.withColumn(n["key"], _key(F.col("source"))).withColumn(n["part"], _part())
+    joined = _with_sources(marked, written(stats, "mix-cuts"), n["key"], [n["pass"]])
+    epochs = F.col(n["pass"])["epochs"]
+    passes = joined.withColumn(n["epoch"], F.explode(F.sequence(F.lit(0), _last_epoch(epochs))))
+    has = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    partial = has & (_order(config, n["epoch"], n["part"]) <= F.col(n["pass"])["cut"])
+    return passes.where((epochs - F.col(n["epoch"]) >= 1) | partial | (~has & (F.col(n["epoch"]) == 0))).select(*own)
+
+
+DETAILS = ("tokens", "epoch", "position", "block", "place_in_block")
+
+
+def _detailed(docs: DataFrame, config: MixConfig, table: DataFrame, rows: DataFrame, ranges: DataFrame, own: list[Column], n: dict[str, str]) -> DataFrame:
+    """The mixed rows with their places: passes are decided and placed on slim rows, folded
+    to one row per identity and joined to the documents last."""
+    total = table.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(config.budget_share * total / config.block_tokens))
-    name = {x: free_name(docs, f"_mix_{x}") for x in ("key", "tokens", "epoch", "order", "range", "part", "before")}
-    n = name
-    stats = table.withColumnsRenamed({"epochs": "_mix_epochs__", "ranges": "_mix_ranges__", "tokens": "_mix_total__"})
-    cols = ["_mix_epochs__", "_mix_ranges__", "_mix_total__"]
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        """Rows once per epoch they may be in, with their range of the epoch's order."""
-        joined = _with_sources(rows, stats, n["key"], cols)
-        last = F.greatest(F.ceil("_mix_epochs__"), F.lit(1)).cast("int") - 1
-        out = joined.withColumn(n["epoch"], F.explode(F.sequence(F.lit(0), last)))
-        order = F.xxhash64(F.lit(config.seed), n["epoch"], F.col(n["part"]))
-        out = out.withColumn(n["order"], order)
-        unit = F.col(n["order"]) / F.lit(2.0 ** 64) + F.lit(0.5)
-        return out.withColumn(n["range"], F.least(F.floor(unit * F.col("_mix_ranges__")), F.col("_mix_ranges__") - 1))
-
-    identity = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"), F.col("source"))
-    marked = docs.withColumn(n["key"], _key(F.col("source"))).withColumn(n["tokens"], n_tokens(F.col("text"))).withColumn(n["part"], identity)
-    slim = dealt(marked.select(n["key"], n["tokens"], n["part"])).groupBy(n["key"], n["epoch"], n["range"]).agg(F.sum(n["tokens"]).alias(n["before"]))
-    along = Window.partitionBy(n["key"], n["epoch"]).orderBy(n["range"]).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = written(slim.withColumn(n["before"], F.coalesce(F.sum(n["before"]).over(along), F.lit(0))), "mix-ranges")
-    rows = dealt(marked).join(ranges, [n["key"], n["epoch"], n["range"]])
-    within = Window.partitionBy(n["key"], n["epoch"], n["range"]).orderBy(n["order"], n["part"]).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col(n["before"]) + F.coalesce(F.sum(n["tokens"]).over(within), F.lit(0))
-    rows = rows.withColumn(n["before"], start)
-    share = F.col("_mix_epochs__") - F.col(n["epoch"])
-    whole = share >= 1
-    taken = rows.where(whole | (F.col(n["before"]) < share * F.col("_mix_total__")) & (F.col(n["tokens"]) > 0)
-                       | ((F.col(n["tokens"]) == 0) & (F.col(n["epoch"]) == 0)))
-    if not details:
-        return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
-    position = F.when(F.col("_mix_total__") > 0, F.least(F.lit(1.0), (
-        F.col(n["epoch"]) + F.col(n["before"]) / F.col("_mix_total__")) / F.col("_mix_epochs__"))).otherwise(F.lit(0.0))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(n["tokens"]).alias("tokens"), F.col(n["epoch"]).alias("epoch"),
-                        position.alias("position"), F.least(F.floor(position * blocks), F.lit(blocks - 1)).alias("block"),
-                        F.xxhash64(F.lit(config.seed + 1), F.col(n["epoch"]), F.col(n["part"])).alias("place_in_block"))
+    taken = _placed(rows, ranges).where(f"epochs - epoch >= 1 or (tokens > 0 and before < {LIMIT}) or (tokens = 0 and epoch = 0)")
+    position = F.when(F.col("total") > 0, F.least(F.lit(1.0), (F.col("epoch") + F.col("before") / F.col("total")) / F.col("epochs"))).otherwise(F.lit(0.0))
+    placed = taken.withColumn("position", position).withColumn("block", F.least(F.floor(F.col("position") * blocks), F.lit(blocks - 1))).withColumn(
+        "place_in_block", F.xxhash64(F.lit(config.seed + 1), "epoch", "part"))
+    folded = written(placed.groupBy("part").agg(F.max("copies").alias(n["copies"]), F.collect_list(F.struct(*DETAILS)).alias(n["passes"])), "mix-passes")
+    size = folded.agg(F.coalesce(F.sum(n["copies"]), F.lit(0))).first()[0]
+    joined = join_classes(docs.withColumn(n["part"], _part()), folded.withColumnRenamed("part", n["part"]), n["part"], n["copies"], size)
+    out = joined.select(*own, F.explode(n["passes"]).alias(n["pass"]))
+    return out.select(*own, *[F.col(n["pass"])[c].alias(name) for c, name in zip(DETAILS, detail_names(docs))])
+
+
+def detail_names(docs: DataFrame) -> list[str]:
+    """The names that :func:`mix` gives its details for ``docs``."""
+    return [free_name(docs, c) for c in DETAILS]
+
+
+def write_mix(docs: DataFrame, path: str, config: MixConfig = MixConfig()) -> None:
+    """Write the mix as Parquet in its order: file names ascend with the block, rows ascend
+    by (block, place_in_block).  The files hold the columns of ``docs``, block and
+    place_in_block (named as :func:`detail_names` says)."""
+    *_, block, place = detail_names(docs)
+    mixed = mix(docs, config, details=True)
+    kept = written(mixed.select(*[F.col(f"`{c}`") for c in docs.columns], block, place), "mix-rows")
+    kept.repartitionByRange(block, place).sortWithinPartitions(block, place).write.parquet(path)

@@ -1,8 +1,13 @@
+import glob
 import math
+import os
 import random
 import re
 from collections import defaultdict
 
+import pyarrow.parquet as pq
+
+from conftest import SF001
 from scrubjay.llm import mixing as M
 from scrubjay.llm.common import prepare
 
@@ -83,6 +88,46 @@ def test_many_sources_join_by_salt(spark, monkeypatch):
     assert sorted(map(repr, M.mix(frame(spark, rows)).collect())) == plain
 
 
+def test_plain_and_detailed_mix_hold_the_same_rows(spark, monkeypatch):
+    prepare(spark)
+    monkeypatch.setattr(M, "RANGE_DOCS", 16)
+    docs = frame(spark, corpus(3) + [(7777, "same words here", "a")] * 90)
+    for config in (M.MixConfig(), M.MixConfig(budget_share=0.4), M.MixConfig(budget_share=1.7)):
+        plain = sorted(map(repr, M.mix(docs, config).collect()))
+        detailed = M.mix(docs, config, details=True)
+        assert len(set(detailed.columns)) == len(detailed.columns) == 10
+        assert sorted(map(repr, detailed.select(*docs.columns).collect())) == plain
+        same = detailed.where("doc_id = 7777").groupBy("_epoch").count().collect()
+        assert (same or config.budget_share < 1) and all(r["count"] == 90 for r in same)
+
+
+def test_written_mix_is_in_the_order_of_its_blocks(spark, tmp_dir):
+    prepare(spark)
+    config, path = M.MixConfig(block_tokens=500), os.path.join(tmp_dir, "mix")
+    docs = spark.createDataFrame(corpus(4), "doc_id long, text string, source string").repartition(3)
+    M.write_mix(docs, path, config)
+    read = [r for f in sorted(glob.glob(path + "/*.parquet")) for r in pq.read_table(f).to_pylist()]
+    order = [(r["block"], r["place_in_block"]) for r in read]
+    assert order == sorted(order) and order[-1][0] > 5
+    expected = M.mix(docs, config, details=True).select("doc_id", "block", "place_in_block").collect()
+    assert sorted(map(str, ((r["doc_id"], r["block"], r["place_in_block"]) for r in read))) == sorted(map(str, map(tuple, expected)))
+    # every block but the last holds the sources in proportion
+    share = lambda rows, s: sum(len(r["text"].split()) for r in rows if r["source"] == s and r["text"]) / sum(len(r["text"].split()) for r in rows if r["text"])
+    for b in range(order[-1][0]):
+        assert abs(share([r for r in read if r["block"] == b], "a") - share(read, "a")) < 0.2
+
+
+def test_registered_query(spark):
+    from scrubjay.llm.queries import op5_mixing
+    got = op5_mixing(spark, SF001)
+    docs = spark.read.parquet(SF001 + "/documents.parquet").select("doc_id", "text", "source")
+    assert got.columns == ["doc_id", "source", "tokens", "epoch", "position", "block", "place_in_block"]
+    rows = got.collect()
+    total = sum(len(re.findall(r"[^ \t-\r]+", r.text or "")) for r in docs.collect())
+    assert total <= sum(r.tokens for r in rows) <= total * 1.05 and {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
+    assert sorted(r.doc_id for r in M.mix(docs).collect()) == sorted(r.doc_id for r in rows)
+
+
 def test_edges(spark):
     prepare(spark)
     assert M.mix(frame(spark, [(1, "x", "a")]).limit(0)).collect() == []
