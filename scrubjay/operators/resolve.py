@@ -56,7 +56,7 @@ def merged_texts(groups: DataFrame, obs: DataFrame, run_ts, content_col: str = "
         (F.col("rank_in_group") / _MERGE_BUCKET).cast("long").alias("b"))
     part = sec.groupBy("group_id", "b").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank_in_group", "d"))),
-                                 lambda x: x["d"]), ", ").alias("s"))
+                                 lambda x: x["d"]), ", ").alias("s")).withColumn("s", F.nullif("s", F.lit("")))
     dates = part.groupBy("group_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "s"))),
                                  lambda x: x["s"]), ", ").alias("dates"))
@@ -68,6 +68,28 @@ def merged_texts(groups: DataFrame, obs: DataFrame, run_ts, content_col: str = "
     return prim.select("id", merged.alias("merged"))
 
 
+def merged_chunks(groups: DataFrame, obs: DataFrame, run_ts, content_col: str = "content") -> DataFrame:
+    """``(id, chunk, text)``: the merged text of :func:`merged_texts` as ordered rows, so that
+    no cell grows with its group.  Chunk 0 is the primary's own text and the heading of the
+    dates; each later one holds at most ``_MERGE_BUCKET`` dates (some 21 KB), from one bucket
+    of ranks, with its separator; the last closes the bracket.  Joined in order of ``chunk``
+    they are the merged text.  A group without times has empty dates; an id whose text is
+    NULL keeps a NULL chunk 0."""
+    seed = groups.filter(F.col("is_seed") & (F.col("group_size") > 1)).select(F.col("member_id").alias("id"), "group_size")
+    head = F.concat(F.col("_c"), F.lit("\n[MERGED from "), (F.col("group_size") - 1).cast("string"), F.lit(" duplicates on "),
+                    ts_text(_ts_lit(run_ts)), F.lit("]\n[Original dates: "))
+    heads = seed.join(obs.select("id", F.col(content_col).alias("_c")), "id").select("id", F.lit(0).cast("long").alias("chunk"), head.alias("text"))
+    bucket = lambda rank: F.floor(rank / _MERGE_BUCKET).cast("long")
+    times = groups.filter(~F.col("is_seed")).select(F.col("seed_id").alias("id"), "rank_in_group", "group_size",
+                                                    bucket(F.col("rank_in_group")).alias("b"), ts_text(F.col("created_at")).alias("d"))
+    parts = times.groupBy("id", "b", "group_size").agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank_in_group", "d"))), lambda x: x["d"]), ", ").alias("s"))
+    # rows without a time are last in scan order, so a bucket that has any dates follows one that has
+    comma = F.when((F.col("b") > 0) & (F.col("s") != ""), F.lit(", ")).otherwise(F.lit(""))
+    close = F.when(F.col("b") == bucket(F.col("group_size") - 1), F.lit("]")).otherwise(F.lit(""))
+    return heads.unionByName(parts.select("id", (F.col("b") + 1).alias("chunk"), F.concat(comma, F.col("s"), close).alias("text")))
+
+
 def apply(obs: DataFrame, groups: DataFrame, strategy: str = "keep_latest", run_ts=None,
           content_col: str = "content") -> DataFrame:
     """The table after resolution (same columns, same rows)."""

@@ -555,6 +555,22 @@ def merge_plan(spark, sf):
     return RS.merged_texts(D.find_groups(obs), obs, RUN_TS)
 
 
+@register("merge_chunks", f"""WITH g AS ({EXACT_DOCS_SIZED})
+SELECT g.member_id AS id, CAST(0 AS BIGINT) AS chunk, o.content || chr(10) || '[MERGED from ' || CAST(g.group_size - 1 AS VARCHAR)
+       || ' duplicates on {RUN_TS}]' || chr(10) || '[Original dates: ' AS text
+FROM g JOIN ({Q.OBS_DOCUMENTS}) o ON o.id = g.member_id WHERE g.is_seed AND g.group_size > 1
+UNION ALL
+SELECT seed_id, CAST(1 + rank_in_group // 1024 AS BIGINT),
+       CASE WHEN rank_in_group // 1024 > 0 THEN ', ' ELSE '' END
+       || string_agg(strftime(created_at, '%Y-%m-%d %H:%M:%S'), ', ' ORDER BY rank_in_group)
+       || CASE WHEN rank_in_group // 1024 = (max(group_size) - 1) // 1024 THEN ']' ELSE '' END
+FROM g WHERE NOT is_seed GROUP BY seed_id, rank_in_group // 1024""")
+def merge_chunks(spark, sf):
+    """Merged texts as ordered rows of bounded size."""
+    obs = obs_documents(spark, sf)
+    return RS.merged_chunks(D.find_groups(obs), obs, RUN_TS)
+
+
 @register("apply_markers_merge", f"""WITH m AS ({MERGE_SQL}), s AS (SELECT * FROM ({EXACT_DOCS}) WHERE NOT is_seed)
 SELECT o.id, CASE WHEN m.id IS NOT NULL THEN m.merged
                   WHEN s.member_id IS NOT NULL THEN o.content || ' [MERGED INTO ID: ' || CAST(s.seed_id AS VARCHAR) || ']'
