@@ -6,8 +6,8 @@ contexts a gram occurs), as Kneser-Ney smoothing asks.  The models are stored to
 in arrays of sorted 64-bit gram keys (four 16-bit characters) with one column of
 interpolated log-probabilities a language.  A text goes to the language of the lowest
 cross-entropy per character.  The margin over the second language is calibrated to a
-probability on a bounded sample of training texts, which also gives each language the
-entropy beyond which an answer is marked ``rejected``.
+probability on all training texts, which also give each language the entropy beyond which
+an answer is marked ``rejected``; only counts of their answers reach the driver.
 
 Text is lower-cased; runs of other characters than letters become one space.  Letters
 beyond the basic plane count as one symbol.  ``MAX_GRAMS`` bounds what is broadcast: where
@@ -34,7 +34,7 @@ from scrubjay.plans.skew import join_classes
 
 ORDER = 4
 MAX_GRAMS = 1_000_000       # per order, all languages together; joined tables beyond
-CALIBRATION_ROWS = 10_000
+MARGIN_STEPS, ENTROPY_STEPS = 4096, 1024  # places a unit at which calibration counts log margins and entropies
 REJECT_SHARE = 0.001        # of calibration texts of a language that its entropy limit leaves out
 FLUSH_GRAMS = 2_000_000
 
@@ -343,29 +343,57 @@ def _decide(n: np.ndarray, h: np.ndarray):
     return np.where(n > 0, best, -1), n * (second - low), low
 
 
-def _calibrate(model: Model | TableModel, best: np.ndarray, margin: np.ndarray, low: np.ndarray, truth: np.ndarray) -> None:
+def _calibrate(model: Model | TableModel, answered: DataFrame) -> None:
     """Logistic map from log(1 + margin) to the chance of being right, with two pseudo
-    texts (one right, one wrong) at margin 0; entropy limits from the answers."""
-    use = best >= 0
-    x = np.append(np.log1p(margin[use]), [0.0, 0.0])
-    right = np.append((best == truth)[use], [1.0, 0.0]).astype(float)
+    texts (one right, one wrong) at margin 0; entropy limits from the answers.  ``answered``
+    (lang, best, margin, low) is counted in Spark, by log margin and by entropy."""
+    truth = F.array_position(F.array(*[F.lit(x) for x in model.languages]), F.col("lang")) - 1
+    used = answered.where("best >= 0").withColumn("bin", F.floor(F.col("low") * ENTROPY_STEPS))
+    margins = used.groupBy(F.round(F.log1p("margin") * MARGIN_STEPS).cast("long").alias("x"), (F.col("best") == truth).alias("right")).count().collect()
+    margins = sorted((r.x / MARGIN_STEPS, float(r.right), r["count"]) for r in margins) + [(0.0, 1.0, 1), (0.0, 0.0, 1)]
+    x, right, n = np.array(margins, float).T
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-(a * x + b)))
-        w = np.maximum(p * (1 - p), 1e-9)
-        gradient = np.array([((p - right) * x).sum() + 0.01 * (a - 1), (p - right).sum() + 0.01 * b])
+        w = n * np.maximum(p * (1 - p), 1e-9)
+        gradient = np.array([(n * (p - right) * x).sum() + 0.01 * (a - 1), (n * (p - right)).sum() + 0.01 * b])
         hessian = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
         step = np.linalg.solve(hessian, gradient)
         a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
     model.slope, model.offset = max(float(a), 0.0), float(b)
-    model.limits = np.full(len(model.languages), np.inf)
-    for i in range(len(model.languages)):
-        own = low[use][(best == i)[use]]
-        if len(own):
-            model.limits[i] = np.quantile(own, 1 - REJECT_SHARE)
+    model.limits = _limits(used, len(model.languages))
+
+
+def _limits(used: DataFrame, languages: int) -> np.ndarray:
+    """The entropy quantile of each language's answers (infinite without any): counts by bins
+    tell where it lies, and only the entropies of those bins are fetched."""
+    out, bins = np.full(languages, np.inf), {}
+    for r in used.groupBy("best", "bin").count().collect():
+        bins.setdefault(r.best, []).append((r.bin, r["count"]))
+    asked, before = [], {}
+    for best, own in bins.items():
+        at, n = np.array(sorted(own)).T
+        ends = np.cumsum(n)
+        rank = (ends[-1] - 1) * (1 - REJECT_SHARE)
+        lo, hi = np.searchsorted(ends, [int(rank), int(np.ceil(rank))], side="right")
+        before[best] = rank, int(ends[lo] - n[lo])
+        asked += [(best, int(k)) for k in {at[lo], at[hi]}]
+    if not asked:
+        return out
+    wanted = F.broadcast(used.sparkSession.createDataFrame(asked, "best long, bin long"))
+    values: dict[int, list] = {}
+    for r in used.join(wanted, ["best", "bin"]).groupBy("best", "low").count().orderBy("best", "low").collect():
+        values.setdefault(r.best, []).append((r.low, r["count"]))
+    for best, own in values.items():
+        low, n = np.array(own).T
+        rank, first = before[best]
+        ends = first + np.cumsum(n)
+        lo, hi = low[np.searchsorted(ends, [int(rank), int(np.ceil(rank))], side="right")]
+        out[best] = lo + (hi - lo) * (rank - int(rank))
+    return out
 
 
-def fit(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Model | TableModel | None:
+def fit(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Model | TableModel | None:
     """Models of the languages of ``docs`` outside the held-out fold; as tables if an order
     has more than ``max_grams`` (language, gram) rows."""
     ids = F.col("doc_id").cast("long")
@@ -384,9 +412,6 @@ def fit(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int = CAL
         model.floor = np.full(len(languages), -np.log2(len(model.levels[0].grams) + 1), np.float32)
     else:
         model = _tables(orders, languages)
-    order = F.xxhash64("doc_id")
-    keys = train.select("doc_id").where("doc_id is not null").orderBy(order, "doc_id").limit(calibration_rows).distinct()
-    chosen = train.join(F.broadcast(keys), "doc_id").select("lang", "text")
     held = docs.sparkSession.sparkContext.broadcast(model) if small else None
 
     def answers(batches):
@@ -396,13 +421,11 @@ def fit(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int = CAL
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(best, pa.int64()), pa.array(margin), pa.array(low)],
                                                  names=["lang", "best", "margin", "low"])
     if small:
-        answered = chosen.mapInArrow(answers, "lang string, best long, margin double, low double")
+        answered = train.select("lang", "text").mapInArrow(answers, "lang string, best long, margin double, low double")
     else:
-        some = written(chosen.limit(2 * calibration_rows).select("lang", "text", _text_key().alias("key")), "language-sample")
-        answered = some.join(model.answers(some.select("key", "text")), "key").select("lang", "best", "margin", "low")
-    sample = answered.limit(2 * calibration_rows).toPandas()
-    _calibrate(model, sample["best"].to_numpy(np.int64), sample["margin"].to_numpy(float), sample["low"].to_numpy(float),
-               np.array([languages.index(x) for x in sample["lang"]], np.int64))
+        keyed = train.select("lang", "text", _text_key().alias("key"))
+        answered = keyed.select("lang", "key").join(model.answers(keyed.select("key", "text")), "key").select("lang", "best", "margin", "low")
+    _calibrate(model, written(answered, "language-answered"))
     return model
 
 

@@ -84,3 +84,21 @@ def test_joined_tables_give_the_same_answers(spark):
     assert [(a, t, x.lang, x.rejected) for a, t, x in want] == [(a, t, x.lang, x.rejected) for a, t, x in got]
     for (_, _, x), (_, _, y) in zip(want, got):
         assert np.allclose([x.score, x.entropy or 0], [y.score, y.entropy or 0], atol=1e-4)
+
+
+def test_calibration_counts_every_training_text(spark):
+    """12,000 answers: the chance and the limits follow all of them, rows without id included."""
+    model = L.Model(["aa", "bb"], [], np.zeros(2))
+    rows = [("aa" if i % 5 else "bb", 0, float(i % 97), 2 + i / 6000) for i in range(12000)] + [("bb", 1, 40.0, 1.0), ("bb", -1, 0.0, 9.0)]
+    L._calibrate(model, spark.createDataFrame(rows, "lang string, best long, margin double, low double").repartition(3))
+    low = np.array([r[3] for r in rows if r[1] == 0])
+    assert np.allclose(model.limits, [np.quantile(low, 1 - L.REJECT_SHARE), 1.0], rtol=0, atol=1e-12)
+    chance = 1 / (1 + np.exp(-(model.slope * np.log1p(50.0) + model.offset)))
+    assert abs(chance - 0.8) < 0.02
+
+
+def test_texts_without_an_id_are_learned_and_calibrated(spark):
+    prepare(spark)
+    rows = [(None, "aa" if i % 2 else "bb", "banana bandana" if i % 2 else "zebra quiz") for i in range(40)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert np.isfinite(model.limits).all() and model.slope * np.log1p(20) + model.offset > 0
