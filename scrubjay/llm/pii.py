@@ -7,15 +7,16 @@ their check are dropped) and are always redacted.
 e-mail addresses spelled with "at" and "dot", numbers grouped like cards, phones or IP
 addresses in other ways.  Boosted trees score them by format and context features.
 
-*Training examples* are constructed, so that a label never comes from a feature.  A bounded
-sample of the corpus's base spans (``SAMPLE_SPANS`` a kind, the smallest by a hash of row,
-place and kind) gives positives: each span rewritten in formats the base patterns do not
+*Training examples* are constructed, so that a label never comes from a feature.  Every base
+span of the corpus (up to ``LONGEST`` code points) gives positives: the span rewritten in
+formats the base patterns do not
 know, after its own preceding text and after a neutral word of its surroundings.  Negatives
 are look-alikes made beside the same spans: prose with "at", numbers that fail the card
 check, lists, amounts, dates, counts, parts above 255.  A candidate of another kind over an
 example is negative too.  Candidates found in the corpus are never learned from.  One span
 in four, with all made from it, calibrates: each kind's threshold is the lowest score that
-keeps ``PRECISION`` there.  Candidates that reach it and overlap no base span are added.
+keeps ``PRECISION`` there.  Equal examples are counted, so the trees learn from rows of
+distinct features with weights.  Candidates that reach it and overlap no base span are added.
 
 Patterns use possessive or bounded repetition and start only at the beginning of a run,
 so a text of any length is scanned in linear time with constant stack.
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from scrubjay.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_SPANS = 250    # base spans a kind that examples are made from
-LONGEST = 128           # code points of such a span
+LONGEST = 128           # code points of a base span that examples are made from
+PIECE = 4096            # code points of the pieces its surroundings are cut from
 PRECISION = 0.98
 
 # Fixed patterns.  Each is the plain pattern in its docstring form, made linear:
@@ -217,9 +218,9 @@ LOOKALIKE = {
 
 
 def examples(known: DataFrame) -> DataFrame:
-    """(kind, label, calibrates, f) made from base spans: ``known`` has kind, m (the
-    span), before (the text before it) and around (text about it)."""
-    rows = known.withColumn("d", digits(F.col("m"))).selectExpr(
+    """(kind, label, calibrates, f, n) made from base spans, equal ones counted: ``known`` has
+    kind, m (the span), before (the text before it), around (text about it) and their count n."""
+    rows = known.withColumnRenamed("n", "n_spans").withColumn("d", digits(F.col("m"))).selectExpr(
         "*", "substring_index(m, '@', 1) as l", "substring_index(m, '@', -1) as h", "right(d, 10) as n", "trim(regexp_replace(d, '(.{4})', '$1 ')) as g",
         "concat(left(d, length(d) - 1), pmod(try_cast(right(d, 1) as int) + 1, 10)) as x", "trim(regexp_replace(x, '(.{4})', '$1 ')) as q",
         "concat('4', translate(sha2(concat(m, around), 256), 'abcdef', '')) as z", "regexp_extract_all(around, '[A-Za-z]{2,12}', 0) as u",
@@ -230,61 +231,79 @@ def examples(known: DataFrame) -> DataFrame:
         parts = [f"struct({c} as ctx, {r} as r, 1.0D as label)" for r in REWRITTEN[kind] for c in ("before", "neutral")]
         return ", ".join(parts + [f"struct(neutral as ctx, {r} as r, 0.0D as label)" for r in LOOKALIKE[kind]])
     cases = " ".join(f"when {i} then array({made(kind)})" for i, kind in enumerate(KINDS))
-    one = rows.select("kind", "calibrates", "w", F.explode(F.expr(f"case kind {cases} end")).alias("e")).select(
-        "kind", "calibrates", F.col("e.label").alias("label"), F.length("e.ctx").alias("lo"), (F.length("e.ctx") + F.length("e.r")).alias("hi"),
+    one = rows.select("kind", "calibrates", "n_spans", "w", F.explode(F.expr(f"case kind {cases} end")).alias("e")).select(
+        "kind", "calibrates", "n_spans", F.col("e.label").alias("label"), F.length("e.ctx").alias("lo"), (F.length("e.ctx") + F.length("e.r")).alias("hi"),
         F.concat(F.col("e.ctx"), F.col("e.r"), F.lit(" "), F.col("w")[1]).alias("t"))
     hit = one.withColumn("c", F.explode(candidates(F.col("t")))).where("c.start < hi and lo < c.end")
-    return hit.select(F.col("c.kind").alias("kind"), F.expr("if(c.kind = kind, label, 0.0D)").alias("label"), "calibrates", F.col("c.f").alias("f"))
+    return hit.select(F.col("c.kind").alias("kind"), F.expr("if(c.kind = kind, label, 0.0D)").alias("label"), "calibrates", F.col("c.f").alias("f"), "n_spans") \
+        .groupBy("kind", "label", "calibrates", "f").agg(F.sum("n_spans").alias("n"))
 
 
 def _thresholds(scored: DataFrame) -> dict[int, float]:
     """Lowest score a kind may be accepted at; kinds that never reach ``PRECISION`` accept nothing."""
     out = {}
-    rows = scored.orderBy("kind", F.desc("p")).collect()  # part of the bounded sample
+    # the trees have few leaves, so few scores
+    rows = scored.groupBy("kind", "p", "label").agg(F.sum("n").alias("n")).orderBy("kind", F.desc("p"), "label").collect()
     for kind in range(len(KINDS)):
         right = total = 0
         own = [r for r in rows if r.kind == kind]
         for j, r in enumerate(own):
-            right, total = right + int(r.label), total + 1
+            right, total = right + int(r.label) * r.n, total + r.n
             if (j + 1 == len(own) or own[j + 1].p < r.p) and total >= 5 and right >= PRECISION * total:
                 out[kind] = max(r.p, 0.5)
     return out
 
 
-def _known(rows: DataFrame, marked: DataFrame, sample_spans: int) -> DataFrame:
-    """The sampled base spans with their texts' surroundings."""
-    spans = marked.where(F.size("base") > 0).select("doc_id", "version", F.explode("base").alias("b")).where(
-        f"b.end - b.start <= {LONGEST}").select("doc_id", "version", "b.*", F.xxhash64("doc_id", "version", "b.start", "b.kind").alias("draw"))
-    picked = None
-    for kind in range(len(KINDS)):
-        own = spans.where(F.col("kind") == kind).orderBy("draw", "doc_id", "version", "start").limit(sample_spans)
-        picked = own if picked is None else picked.unionAll(own)
-    picked = written(picked.distinct(), "pii-sampled").toDF("id", "v", "kind", "start", "end", "draw")
-    # at most sample_spans rows a kind, so broadcasting them is bounded by a parameter
-    own = rows.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("v")))
-    cut = own.select("kind", "draw", F.expr("substring(text, start + 1, end - start)").alias("m"),
-                     F.expr("substring(text, greatest(start - 23, 1), least(start, 24))").alias("before"),
-                     F.expr("concat(substring(text, greatest(start - 199, 1), least(start, 200)), ' ', substring(text, end + 1, 200))").alias("around"))
-    return cut.distinct()
-
-
-def find(docs: DataFrame, sample_spans: int = SAMPLE_SPANS) -> DataFrame:
-    """Per row of ``docs``: doc_id, ``base`` and ``spans`` (base and added), both
-    array<struct(kind, start, end)> in order of kind, then start."""
+def _surroundings(text: Column, base: Column) -> Column:
+    """array<struct(kind, m, before, around)> of the base spans.  They are cut from pieces of
+    ``PIECE`` code points and what a span needs beyond, so a text with very many spans
+    is not scanned to its end for each."""
+    pieces = F.transform(F.sequence(F.lit(0), F.length(text), F.lit(PIECE)), lambda lo: F.substring(text, lo + 1, F.lit(PIECE + LONGEST + 400)))
+    short = F.filter(base, lambda b: b["end"] - b["start"] <= LONGEST)
+
+    def cut(part: Column, s: Column, b: Column) -> Column:
+        e = s + b["end"] - b["start"]
+        around = F.concat(F.substring(part, F.greatest(s - 199, F.lit(1)), F.least(s, F.lit(200))), F.lit(" "), F.substring(part, e + 1, F.lit(200)))
+        return F.struct(b["kind"].alias("kind"), F.substring(part, s + 1, e - s).alias("m"),
+                        F.substring(part, F.greatest(s - 23, F.lit(1)), F.least(s, F.lit(24))).alias("before"), around.alias("around"))
+
+    def rows(held: Column) -> Column:
+        def row(b: Column) -> Column:
+            at = F.floor(F.greatest(b["start"] - 200, F.lit(0)) / PIECE).cast("int")
+            return _let(F.get(held, at), lambda part: cut(part, b["start"] - at * PIECE, b))
+        return F.transform(short, row)
+    return F.when(F.size(short) > 0, _let(pieces, rows))
+
+
+def _known(marked: DataFrame) -> DataFrame:
+    """(kind, m, before, around, n) of all base spans of up to ``LONGEST`` code points."""
+    return marked.where("known is not null").select(F.explode("known").alias("k")).groupBy("k").agg(F.count("*").alias("n")).select("k.*", "n")
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, base spans, their surroundings (``known``), proposed spans, and a row number."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    marked = written(rows.select("doc_id", F.xxhash64("text").alias("version"), base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("proposed"))
-                     .withColumn("row", F.monotonically_increasing_id()), "pii-spans")
-    made = examples(written(_known(rows, marked, sample_spans), "pii-known").repartition(8))
-    # in one order and one piece (the sample is bounded), so that sums of doubles do not depend on the split
+    spans = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
+    return written(spans.select("doc_id", "base", _surroundings(F.col("text"), F.col("base")).alias("known"), candidates(F.col("text")).alias("proposed"))
+                   .withColumn("row", F.monotonically_increasing_id()), "pii-spans")
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, ``base`` and ``spans`` (base and added), both
+    array<struct(kind, start, end)> in order of kind, then start."""
+    marked = _marked(docs)
+    known = written(_known(marked), "pii-known")
+    # in one order and one piece (distinct features only), so that sums of doubles do not depend on the split
+    made = examples(known.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     sample = written(made.repartition(1).sortWithinPartitions("kind", "label", "calibrates", "f").select(
-        "kind", "label", "calibrates", array_to_vector("f").alias("features")), "pii-sample")
+        "kind", "label", "calibrates", F.col("n").cast("double").alias("n"), array_to_vector("f").alias("features")), "pii-examples")
     classes = {(r.calibrates, r.label) for r in sample.groupBy("calibrates", "label").count().collect()}
     added = None
     if {(False, 0.0), (False, 1.0), (True, 1.0)} <= classes:
-        trees = GBTClassifier(maxIter=15, maxDepth=4, stepSize=0.2, seed=3, minInstancesPerNode=3).fit(sample.where("not calibrates"))
+        trees = GBTClassifier(maxIter=15, maxDepth=4, stepSize=0.2, seed=3, minInstancesPerNode=3, weightCol="n").fit(sample.where("not calibrates"))
         score = lambda df: trees.transform(df).withColumn("p", vector_to_array("probability")[1])
-        limits = _thresholds(score(sample.where("calibrates")).select("kind", "label", "p"))
+        limits = _thresholds(score(sample.where("calibrates")).select("kind", "label", "p", "n"))
         if limits:
             least = F.element_at(F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
             free = marked.where(F.size("proposed") > 0).select("row", "base", F.explode("proposed").alias("c")).where(

@@ -127,3 +127,20 @@ def test_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     plain = spark.createDataFrame([(1, "nothing here"), (1, "nothing here"), (None, None)], "doc_id long, text string")
     assert [len(r.spans) for r in pii.find(plain).collect()] == [0, 0, 0]
+
+
+def test_every_base_span_is_learned_from(spark):
+    """More spans than any sample held, some of them copies, one at the joint of two pieces."""
+    prepare(spark)
+    rows = [f"write to user{i % 350}@mail{i % 350}.example.com today" for i in range(400)] + ["word " * 900 + f"x{'y' * k} 10.1.2.{k} z" for k in range(40)]
+    marked = pii._marked(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    known = pii._known(marked).collect()
+    assert sum(r.n for r in known if r.kind == 0) == 400 and sum(r.n for r in known if r.kind == 1) == 40
+    assert {(r.m, r.before) for r in known if r.kind == 0} == {(f"user{i}@mail{i}.example.com", "write to ") for i in range(350)}
+    for r in known:
+        if r.kind == 1:
+            text = next(t for t in rows if f" {r.m} z" in t)
+            at = text.index(r.m)
+            assert r.before == text[at - 24:at] and r.around == text[at - 200:at] + "  z"
+    seen = pii.examples(pii._known(marked)).where("kind = 0 and label = 1").agg(F.sum("n")).first()[0]
+    assert seen >= 400
