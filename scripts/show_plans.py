@@ -35,8 +35,8 @@ def main():
             .filter(F.col("n") > 1),
         "checkpoint groups": C.checkpoint_groups(C.annotate(obs_checkpoints(spark, sf))),
         "monitor snapshot": M.snapshot(obs_checkpoints(spark, sf), "2024-01-31 00:00:00"),
-        "similarity join: prefix + positional filter (t=0.60)":
-            CA.candidate_pairs(CA.representatives(rows), DedupConfig(similarity_threshold=0.6)),
+        "similarity join: shared rare words, counted (t=0.60)":
+            CA.candidate_pairs(CA.texts_of(rows), DedupConfig(similarity_threshold=0.6)),
         "similarity join: segments within 13 % of edits (t=0.50)": edit_candidates(CA.representatives(rows).select("v", "norm", "nc"), 0.13),
         "semantic search: merge of the partial lists": SE.nearest(spark.read.parquet(f"{sf}/embeddings.parquet"),
                                                                   spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0")),

@@ -15,7 +15,7 @@ from scrubjay.config import DedupConfig, Weights
 from scrubjay.functions import similarity as S
 from scrubjay.operators import dedup as D
 from scrubjay.plans import candidates as CA
-from scrubjay.plans import edit_join, grouping
+from scrubjay.plans import edit_join, grouping, set_join
 from scrubjay.plans.components import component_labels
 from scrubjay.sources.observations import obs_documents
 
@@ -206,3 +206,45 @@ def test_fewer_pairs_reach_python_and_ratios_are_difflib(spark):
         a, b = texts[tuple(r.u)], texts[tuple(r.v)]
         assert r.sequence_similarity == SequenceMatcher(None, a, b).ratio()
         assert r.levenshtein_similarity == 1.0 - lev_dp(a, b) / max(len(a), len(b)) if len(a) < 900 else True
+
+
+def _word_texts(seed, n=260):
+    """Texts of one to 60 words from a small vocabulary, many of them edited copies."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(n):
+        if out and rnd.random() < 0.6:
+            words = [w for w in rnd.choice(out) if rnd.random() < 0.85] + [rnd.choice("pqrst") * rnd.randrange(1, 5) for _ in range(rnd.randrange(4))]
+        else:
+            words = [f"w{min(int(rnd.expovariate(0.02)), 400)}" for _ in range(rnd.choice([1, 2, 5, 20, 40, 60]))]
+        out.append(words or ["one"])
+    return list(dict.fromkeys(" ".join(w) for w in out))
+
+
+@pytest.mark.parametrize("tau,entries", [(0.2, 300), (0.5, 8_000_000), (0.5, 300), (0.72, 60)])
+def test_counting_join_loses_no_pair(spark, monkeypatch, tau, entries):
+    monkeypatch.setattr(set_join, "BLOCK_ENTRIES", entries)
+    monkeypatch.setattr(set_join, "PART_ROWS", 50)
+    texts = _word_texts(int(tau * 100))
+    sets = [set(t.split()) for t in texts]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(900 + i, t) for i, t in enumerate(texts[:40])], "i long, norm string")
+    rows = rows.select(F.struct(F.lit(0).cast("long").alias("t"), "i").alias("sk"), "norm", D.norm_key(F.col("norm")).alias("key")).repartition(5)
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in range(len(sets)) for a in range(b)}
+    got = [(r.u.i, r.v.i, r.jaccard) for r in CA.jaccard_pairs(rows, tau).collect()]
+    assert len(got) == len(set(got)) and {(a, b): j for a, b, j in got} == {k: j for k, j in want.items() if j >= tau}
+    assert len(got) > 50
+
+
+def test_texts_that_share_words_by_chance_make_no_rows(spark):
+    """Every text holds the same few rare words; a row per text and shared word would be 400 * 400 * 3 / 2."""
+    texts = [" ".join([f"r{k}" for k in range(3)] + [f"t{i}x{k}" for k in range(12)] + ["the"]) for i in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "v long, norm string").select(
+        "v", "norm", F.length("norm").alias("nc"), D.norm_key(F.col("norm")).alias("key"))
+    assert set_join.set_candidates(rows, 0.5).count() == 0
+
+
+def test_segments_are_not_broadcast(spark):
+    """Rows of segments grow far beyond the bytes of the texts, so no side goes through the driver."""
+    path = session.cut_lineage(spark.range(2000).select(F.col("id").alias("v"), F.concat(F.lit("http://a.example/"), F.col("id").cast("string")).alias("norm"))
+                               .withColumn("nc", F.length("norm")))
+    assert "Broadcast" not in edit_join.edit_candidates(path, 0.15)._jdf.queryExecution().executedPlan().toString()
