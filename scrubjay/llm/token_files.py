@@ -17,17 +17,22 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scrubjay.llm.textkernel import text_slices
+
 MAGIC = b"DAC1"
 RANK_BITS = 512
 SEGMENT_TOKENS, SEGMENT_DOCS = 1 << 20, 8192
 CACHE_PIECES = 500_000
+JOINED_PIECES = 256  # pieces that the tokenizer gets as one text
 END_ID = 0
 
 SEGMENT_SCHEMA = ("shard int, segment int, first_token long, n_tokens long, "
@@ -103,22 +108,49 @@ class Reader:
 
 
 # The byte-level pattern begins a pre-token at every single space and line end that has
-# no other white space beside it, and at the white space or character after it.  So where
-# no white space but those occurs, the pieces between such places encode independently.
+# no other white space beside it, at the white space or character after it, and at a sign
+# after a letter or digit.  So where no white space but those occurs, the pieces between
+# such places encode independently.
 _OTHER_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff\\0]")
+_MAYBE_SPACE = np.zeros(256, bool)  # bytes that begin one of those
+_MAYBE_SPACE[[*b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\0", 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+
+
+def _whole(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Documents of a slice that have to be encoded whole."""
+    space = (data == 0x20) | (data == 0x0A)
+    pair = np.flatnonzero((space[:-1] & space[1:]) | ((data[:-1] == 0x3C) & (data[1:] == 0x7C)))  # 3C 7C: <|
+    doc = np.searchsorted(offsets, pair, "right") - 1
+    whole = np.zeros(len(offsets) - 1, bool)
+    whole[doc[pair + 1 < offsets[doc + 1]]] = True
+    maybe = np.unique(np.searchsorted(offsets, np.flatnonzero(_MAYBE_SPACE[data]), "right") - 1)
+    for d in maybe[~whole[maybe]].tolist():
+        whole[d] = _OTHER_SPACE.search(data[offsets[d]:offsets[d + 1]].tobytes().decode()) is not None
+    return whole
 
 
-def _pieces(text: str) -> list[str] | None:
-    """Independent pieces of a text, or None if it has to be encoded whole."""
-    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "<|" in text or _OTHER_SPACE.search(text):
-        return None
-    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+_WORD, _SIGN = np.zeros(256, bool), np.zeros(256, bool)  # ASCII only; other letters stay with what follows
+_WORD[[c for c in range(128) if chr(c).isalnum()]] = True
+_SIGN[0x21:0x7F] = ~_WORD[0x21:0x7F]
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where the independent pieces of a slice begin; a whole document is one piece."""
+    line = data == 0x0A
+    first = line | (data == 0x20)
+    first[1:] |= line[:-1] | (_WORD[data[:-1]] & _SIGN[data[1:]])
+    for d in np.flatnonzero(whole).tolist():
+        first[offsets[d]:offsets[d + 1]] = False
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(first)
 
 
 class _Encoder:
-    """Texts to ids.  Pieces repeat a lot; each distinct one is encoded once per worker
-    (the store of pieces is emptied when full), and many at a time: pieces that begin
-    with a space are joined to one text and told apart by the byte lengths of the ids."""
+    """Texts to ids.  Pieces repeat a lot: a slice of texts is cut into pieces and these
+    are numbered by Arrow, each distinct one is encoded once per worker (the store of
+    pieces is emptied when full), and the ids of a slice are gathered in one step.  New
+    pieces are encoded many at a time, joined to one text (a line end goes before a piece
+    that does not begin with a space) and told apart by the byte lengths of the ids."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
@@ -128,49 +160,65 @@ class _Encoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a byte-level token has one character a byte
             self.bytes[i] = len(token)
-        self.pieces: dict[str, bytes] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        alone = [self._ids(" "), self._ids("\n")]
+        self.pieces: dict[str, int] = {" ": 0, "\n": 1}
+        self.ids, self.counts = np.concatenate(alone), np.array([len(x) for x in alone])
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _learn(self, new: list[str]) -> None:
-        pieces, plain, tailed = self.pieces, [], []
-        for p in new:
-            # a comma or full stop after a letter or digit is a pre-token of its own
-            if len(p) > 2 and p[-1] in ",." and p[-2].isalnum():
-                tailed.append(p)
-                p = p[:-1]
-                if p in pieces:
-                    continue
-                pieces[p] = b""  # asked for; filled in below
-            if len(p) > 1 and p[0] == " ":
-                plain.append(p)
-            else:
-                pieces[p] = self._ids(p).tobytes()
-        plain = list(dict.fromkeys(plain))
-        for lo in range(0, len(plain), 4000):
-            some = plain[lo:lo + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in some])
-            at = np.cumsum(self.bytes[ids])
-            cut = np.searchsorted(at, ends)
-            if not np.array_equal(at[cut], ends):
-                raise ValueError("pieces do not encode independently; this is not the byte-level pattern")
-            raw, begin = ids.tobytes(), 0
-            for p, end in zip(some, (cut + 1).tolist()):
-                pieces[p] = raw[4 * begin:4 * end]
-                begin = end
-        for p in tailed:
-            pieces[p] = pieces[p[:-1]] + self.tail[p[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_pieces(t) for t in texts]
-        if len(self.pieces) > CACHE_PIECES or not self.pieces:
-            self.pieces = {"": b""}
-            self.tail = {c: self._ids(c).tobytes() for c in ",."}
-        pieces = self.pieces
-        self._learn([p for p in set().union(*filter(None, cut)) if p not in pieces])
-        return [self._ids(t).tobytes() if c is None else b"".join([pieces[p] for p in c]) for t, c in zip(texts, cut)]
+    def _joined(self, some: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of ``size`` bytes and how many each has."""
+        lined = np.array([p[0] != " " for p in some])
+        text = "".join([p if p[0] == " " else "\n" + p for p in some])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        at, ends = np.cumsum(self.bytes[ids]), np.cumsum(size + lined)
+        cut = np.searchsorted(at, ends) + 1
+        begin = np.append(0, cut[:-1])
+        if not np.array_equal(at[cut - 1], ends) or (self.bytes[ids[begin[lined]]] != 1).any():
+            raise ValueError("pieces do not encode independently; this is not the byte-level pattern")
+        return np.delete(ids, begin[lined]), cut - begin - lined
+
+    def _encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        whole = _whole(data, offsets)
+        start = _pieces(data, offsets, whole)
+        bounds = np.searchsorted(start, offsets)
+        every = pa.StringArray.from_buffers(
+            len(start), pa.py_buffer(np.append(start, len(data)).astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        index, distinct = every.indices.to_numpy(), every.dictionary.to_numpy(zero_copy_only=False)
+        if len(self.pieces) > CACHE_PIECES:
+            self._empty()
+        number = np.fromiter(map(self.pieces.get, distinct, repeat(-1)), np.int64, len(distinct))
+        alone = np.unique(index[bounds[:-1][whole & (np.diff(offsets) > 0)]])
+        number[alone] = -2
+        new = np.flatnonzero(number == -1)
+        size = pc.binary_length(every.dictionary).to_numpy()
+        parts = [new[lo:lo + JOINED_PIECES] for lo in range(0, len(new), JOINED_PIECES)]
+        got = [self._joined(distinct[part].tolist(), size[part]) for part in parts]
+        if got:
+            number[new] = np.arange(len(self.counts), len(self.counts) + len(new))
+            self.pieces.update(zip(distinct[new].tolist(), number[new].tolist()))
+            self.ids, self.counts = (np.concatenate((x, *y)) for x, y in zip((self.ids, self.counts), zip(*got)))
+        ids, counts = self.ids, self.counts
+        if len(alone):  # whole documents are not kept
+            got = [self._ids(text) for text in distinct[alone].tolist()]
+            number[alone] = np.arange(len(counts), len(counts) + len(alone))
+            ids, counts = np.concatenate((ids, *got)), np.append(counts, [len(x) for x in got])
+        # gathered in the order of the pieces
+        own = number[index]
+        first, n = (np.cumsum(counts) - counts)[own], counts[own]
+        end = np.cumsum(n)
+        raw = ids[np.arange(int(n.sum())) + np.repeat(first - end + n, n)].tobytes()
+        edge = (4 * np.append(0, end)[bounds]).tolist()
+        return [raw[a:b] for a, b in zip(edge, edge[1:])]
+
+    def encode(self, texts: pa.Array) -> Iterator[list[bytes]]:
+        """Ids of the texts as bytes, some texts at a time."""
+        for _, _, data, offsets in text_slices(texts):
+            yield self._encode_slice(data, offsets)
 
 
 _encoder: tuple[int, _Encoder] | None = None
@@ -205,11 +253,10 @@ def _segments(tokenizer_json, end_id: int):
 
         size = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                some = batch.slice(lo, 200)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc_id, raw in zip(some.column(0).to_pylist(), encoder.encode(texts)):
-                    ids.append(doc_id)
+            doc_ids = iter(batch.column(0).to_pylist())
+            for some in encoder.encode(batch.column(1)):
+                for raw in some:
+                    ids.append(next(doc_ids))
                     parts.append(raw + end)
                     size += len(raw) // 4 + 1
                     if size >= SEGMENT_TOKENS or len(ids) >= SEGMENT_DOCS:
@@ -268,9 +315,10 @@ def _read_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for row in batch.to_pylist():
             reader, at, starts, crcs = Reader(row["payload"]), 0, [], []
+            raw = memoryview(reader.range(0, reader.n).astype("<u4").tobytes())
             for n in row["doc_tokens"]:
                 starts.append(row["base"] + row["first_token"] + at)
-                crcs.append(zlib.crc32(reader.range(at, at + n).astype("<u4").tobytes()))
+                crcs.append(zlib.crc32(raw[4 * at:4 * (at + n)]))
                 at += n
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()),

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,24 @@ def test_empty(spark):
     path = scratch(spark, "t")
     T.write_token_files(spark.createDataFrame([], "doc_id long, text string"), JSON, path)
     assert T.token_digests(spark, path).collect() == []
+
+
+def test_pieces_encode_as_whole_texts(monkeypatch):
+    """Pieces cut at spaces, line ends and signs give the ids of the whole text, are encoded
+    once whatever sign follows them, and texts that are encoded whole are not kept."""
+    from tokenizers import Tokenizer
+
+    with open(JSON, encoding="utf-8") as f:
+        encoder, t = T._Encoder(f.read()), Tokenizer.from_file(JSON)
+    plain = ["word, word. word!! word", "word\nword, end", " ", "\n", "it's O'Neill's x'tyz 'quoted' ''s", "a.b@c-d.org 3.14,15 n°5 x²,",
+             "été, élan. «oui» don’t", "日本。 ok, ", "a\u0301,b ,\u0301 _x_ $5%"]
+    whole = ["two  spaces", "\n\n", "x \n y", "a\tb", "nbsp\u00a0x", "<|endoftext|> y", "thin\u2009x"]
+    texts = [None, "", *plain, *whole, "", whole[0], *plain]
+    for _ in range(2):
+        got = [raw for some in encoder.encode(pa.array(texts).slice(1)) for raw in some]
+        assert got == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts[1:]]
+        assert "word" in encoder.pieces and "word," not in encoder.pieces and not set(whole) & set(encoder.pieces)
+    monkeypatch.setattr(T, "CACHE_PIECES", 3)
+    list(encoder.encode(pa.array(["new one"])))
+    assert set(encoder.pieces) == {" ", "\n", "new", " one"}
+    assert list(encoder.encode(pa.array([], pa.string()))) == [] and list(encoder.encode(pa.array(["", None], pa.string()))) == [[b"", b""]]
