@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubjay.llm.common import written
-from scrubjay.llm.token_files import _Encoder, _pieces
+from scrubjay.llm.token_files import _Encoder, text_pieces
 from scrubjay.plans.skew import join_classes
 
 BROADCAST_PAIRS = 1_000_000
@@ -123,8 +123,8 @@ class Tokenizers:
         """(ids of A, ids of B) of each text as little-endian 32-bit integers, for A with a
         space in front; None for a text that does not come back from both."""
         spaced = [" " + t for t in texts]
-        ids_a = self.a.encode(spaced)
-        cut = [_pieces(t) if self.apart else None for t in spaced]
+        ids_a = [a for some in self.a.encode(pa.array(spaced, pa.string())) for a in some]
+        cut = [text_pieces(t) if self.apart else None for t in spaced]
         if len(self.pieces) > CACHE_PIECES:
             self.pieces = {}
         pieces = self.pieces

@@ -129,6 +129,13 @@ def _whole(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return whole
 
 
+def text_pieces(text: str) -> list[str] | None:
+    """Pieces of a text at spaces and line ends only, or None if it has to be encoded whole."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "<|" in text or _OTHER_SPACE.search(text):
+        return None
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+
 _WORD, _SIGN = np.zeros(256, bool), np.zeros(256, bool)  # ASCII only; other letters stay with what follows
 _WORD[[c for c in range(128) if chr(c).isalnum()]] = True
 _SIGN[0x21:0x7F] = ~_WORD[0x21:0x7F]
