@@ -13,7 +13,10 @@ and, if it can link into the band below, under that band too.
 two hashes or more) than a set can differ in, by a margin; index rows are the cost.  The
 surplus is used twice.  A linked pair agrees on at least that many subsets, so a set that
 meets others on fewer is dropped (count filter).  And subsets on long posting lists are
-skipped while some surplus is left.  Only sets without it get
+skipped while some surplus is left.  Sets without it are the only ones for which long
+lists matter: two of them are compared with one centre a list and contracted, and a list
+is then used like a short one if few of them lie outside its largest component, as in a
+family of near copies of any size.  Only sets that still skip too many lists get
 the dearer one-deletion neighbourhoods: about ``H/2`` larger segments, each indexed by
 its subset and by every subset with one hash removed, so that segments which differ once
 still meet.  These lists are used at any length.
@@ -46,6 +49,7 @@ from scrubjay.llm.textkernel import HASH_BITS, U64, mix, shingle_sets, text_slic
 BUCKET_ROWS = 1_000_000     # index rows per reduce bucket (sizing only)
 FLUSH_ROWS = 1_000_000     # index rows a map task holds before it emits blocks
 LONG_LIST = 32             # posting lists above this are skipped at the first level
+OUTSIDE = 1024              # members outside its largest component up to which a long list costs less than deletions
 STAR_TURNS = 1             # rounds against one centre a list before the pairs that remain
 CHUNK = 2048               # members of a list that one group holds in the last round
 SKETCH_BYTES = 128         # parity bitmap: its Hamming distance bounds the difference from below
@@ -232,10 +236,11 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Bucket:
-    """Posting lists of one bucket.  Of lists that outgrow ``LONG_LIST`` only counts per
-    entry are kept, so what is held does not grow with the commonest subsets.  Rows out:
-    members of short lists (kind 0), and per entry how many of its subsets lie on long
-    (kind 1) and on short lists of two or more (kind 2), the number in ``list_id``."""
+    """Posting lists of one bucket.  Members of lists that outgrow ``LONG_LIST`` are
+    passed on at once, so what is held does not grow with the commonest subsets.  Rows out:
+    members of short (kind 0) and of long lists (kind 3), and per entry how many of its
+    subsets lie on long (kind 1) and on short lists of two or more (kind 2), the number in
+    ``list_id``."""
 
     def __init__(self, number: int):
         self.number, self.parts, self.rows, self.limit = number, [], 0, 2 * BUCKET_ROWS
@@ -256,18 +261,19 @@ class _Bucket:
         self.parts.append(part)
         self.rows += len(part[0])
         if self.rows < self.limit:
-            return None
+            return
         sig, entry, start, count = self._sorted()
         long = np.repeat((count > LONG_LIST) | np.isin(sig[start], self.long), count)
         self.long = np.union1d(self.long, sig[long])
         self.parts, self.rows = [(sig[~long], entry[~long])], int((~long).sum())
         self.limit = max(2 * BUCKET_ROWS, 2 * self.rows)
-        return self._skipped(entry[long])
+        yield from self._skipped(sig[long], entry[long])
 
-    def _skipped(self, entry: np.ndarray) -> pa.RecordBatch:
-        """How many subsets of each entry lie on long lists (kind 1)."""
+    def _skipped(self, sig: np.ndarray, entry: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """How many subsets of each entry lie on long lists (kind 1) and which (kind 3)."""
         own, times = np.unique(entry, return_counts=True)
-        return self._rows(1, times.astype(U64), own)
+        yield self._rows(1, times.astype(U64), own)
+        yield self._rows(3, mix(sig | U64(self.number << 40)), entry)
 
     def _rows(self, kind: int, lists: np.ndarray, entry: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([
@@ -277,7 +283,8 @@ class _Bucket:
     def close(self):
         sig, entry, start, count = self._sorted()
         long = (count > LONG_LIST) | np.isin(sig[start], self.long)
-        yield self._skipped(entry[np.repeat(long, count)])
+        at = np.repeat(long, count)
+        yield from self._skipped(sig[at], entry[at])
         own, times = np.unique(entry[np.repeat((count >= 2) & ~long, count)], return_counts=True)
         yield self._rows(2, times.astype(U64), own)
         # equal lists of several subsets are one list, named by its members
@@ -298,8 +305,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if bucket is not None:
                     yield from bucket.close()
                 bucket = _Bucket(number)
-            if (out := bucket.add(block.as_py())) is not None:
-                yield out
+            yield from bucket.add(block.as_py())
     if bucket is not None:
         yield from bucket.close()
 
@@ -478,32 +484,19 @@ def link_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5)
         F.struct(F.lit(1).alias("slot"), F.col("spare1").alias("spare")))).alias("e")).where("e.spare is not null") \
         .select("key", "id", F.col("e.slot").alias("slot"), F.col("e.spare").alias("spare"),
                 F.col("key").bitwiseOR(F.col("e.slot").cast("long")).alias("entry"))
-    met = posted.where("kind > 0").groupBy("entry").agg(
+    met = posted.where("kind in (1, 2)").groupBy("entry").agg(
         F.sum("list_id").alias("met"), F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("list_id"))), F.lit(0)).alias("skipped"))
     # count filter: a linked pair agrees on ``spare`` subsets or more, so an entry that meets
     # others on fewer has no link under its scheme
     hopeful = written(entries.join(met, "entry", "left").select(
         "entry", "key", "id", "slot", "spare", F.coalesce("met", F.lit(0)).alias("met"), F.coalesce("skipped", F.lit(0)).alias("skipped"))
         .where("met >= spare"), "join-entries")
-    # usable subsets on short lists must exceed the differences, or the dearer index is used
-    needy = hopeful.where("spare - skipped <= 0").groupBy("id", "key").agg(
-        F.expr("cast(bit_or(shiftleft(1, slot)) as int)").alias("slots"))
+    # usable subsets on short lists must exceed the differences, or long lists are needed too
+    needy = hopeful.where("spare - skipped <= 0").select("entry", "id", "key", "slot", "spare")
     # the texts that anything below reads are dealt out once, alike at every size
     wanted = hopeful.select("id", "key").distinct()
     texts = written(rows.join(wanted.hint("merge"), rows.doc_id == wanted.id).select("id", "key", "text"), "join-texts")
-    near = written(texts.join(needy, ["id", "key"]).select("text", "slots", "key", "id").mapInArrow(
-        _deletions(scheme, k), "list_id long, key long, id long, cut int, cell long, spare int").distinct(), "join-deletions")
-    by_list, by_cut = Window.partitionBy("list_id"), Window.partitionBy("id", "key", "cut")
-    meeting = near.withColumn("low", F.min("key").over(by_list)).withColumn("high", F.max("key").over(by_list)).where("low < high")
-    # the count filter again; a set has no more cells than hashes
-    meeting = meeting.withColumn("cells", F.size(F.collect_set("cell").over(by_cut))).where("cells >= spare")
-    # equal lists are named without slots, so a kept list stands for those of its classes' other slots
-    members = posted.where("kind = 0").select("list_id", F.col("entry").bitwiseAND(F.lit(-2)).alias("key")) \
-        .join(wanted, "key").select("list_id", "id", "key").unionByName(
-        meeting.select("list_id", "id", "key")).distinct()
-    lists = written(members, "join-members")
-
-    info = classes.select("id", "n_shingles", "sketch").join(lists.select("id").distinct(), "id", "left_semi")
+    info = classes.select("id", "n_shingles", "sketch").join(wanted.select("id").distinct(), "id", "left_semi")
 
     def linked(pairs: DataFrame, name: str, checked: bool) -> DataFrame:
         x, y = info.toDF("a", "n_a", "s_a"), info.toDF("b", "n_b", "s_b")
@@ -518,9 +511,42 @@ def link_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5)
             .repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
         return written(sorted_rows.mapInArrow(_verify(scheme, k), "a long, b long").distinct(), f"{name}-links")
 
-    links, component, tested, open_lists = None, None, None, lists.select("list_id", "id")
+    def star(current: DataFrame, order) -> DataFrame:
+        centre = current.groupBy("list_id").agg(F.min_by("id", order).alias("c"), F.min_by("component_id", order).alias("cc"))
+        return current.join(centre, "list_id").where("component_id <> cc").select(*_pairs_of(F.col("id"), F.col("c"))).distinct()
+
+    links, component, tested, usable = None, None, None, None
+    # a linked pair that meets on no short list consists of two needy entries, on long ones
+    held = written(posted.where("kind = 3").select("list_id", "entry")
+                   .join(needy.select("entry", "id", "key"), "entry").distinct(), "join-long")
+    if not held.isEmpty():
+        tested = written(star(held.withColumn("component_id", F.col("id")), F.col("id")), "join-long-star")
+        links = linked(tested, "join-long", checked=False)
+        outside = written(held.join(graph.components(links), "id", "left")
+                          .groupBy("list_id", F.coalesce("component_id", "id").alias("component_id")).agg(F.count("*").alias("c"))
+                          .groupBy("list_id").agg((F.sum("c") - F.max("c")).alias("outside")), "join-long-outside")
+        usable = held.join(outside.where(F.col("outside").between(1, OUTSIDE)), "list_id").select("list_id", "id", "key")
+        dear = held.join(outside.where(F.col("outside") > OUTSIDE), "list_id").groupBy("entry").agg(F.count("*").alias("dear"))
+        needy = needy.join(dear, "entry", "left").where("spare <= coalesce(dear, 0)")
+    slots = needy.groupBy("id", "key").agg(F.expr("cast(bit_or(shiftleft(1, slot)) as int)").alias("slots"))
+    near = written(texts.join(slots, ["id", "key"]).select("text", "slots", "key", "id").mapInArrow(
+        _deletions(scheme, k), "list_id long, key long, id long, cut int, cell long, spare int").distinct(), "join-deletions")
+    by_list, by_cut = Window.partitionBy("list_id"), Window.partitionBy("id", "key", "cut")
+    meeting = near.withColumn("low", F.min("key").over(by_list)).withColumn("high", F.max("key").over(by_list)).where("low < high")
+    # the count filter again; a set has no more cells than hashes
+    meeting = meeting.withColumn("cells", F.size(F.collect_set("cell").over(by_cut))).where("cells >= spare")
+    # equal lists are named without slots, so a kept list stands for those of its classes' other slots
+    members = posted.where("kind = 0").select("list_id", F.col("entry").bitwiseAND(F.lit(-2)).alias("key")) \
+        .join(wanted, "key").select("list_id", "id", "key").unionByName(
+        meeting.select("list_id", "id", "key"))
+    if usable is not None:
+        members = members.unionByName(usable)
+    members = members.distinct()
+    lists = written(members, "join-members")
+
+    open_lists = lists.select("list_id", "id")
     for turn in range(STAR_TURNS + 1):
-        if component is None:
+        if turn == 0:
             current = open_lists.withColumn("component_id", F.col("id"))
         else:
             current = open_lists.join(component, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
@@ -533,8 +559,7 @@ def link_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5)
             open_lists = current.select("list_id", "id")
         if turn < STAR_TURNS:
             order = F.col("id") if turn == 0 else F.xxhash64(F.col("id"), F.lit(turn))
-            centre = current.groupBy("list_id").agg(F.min_by("id", order).alias("c"), F.min_by("component_id", order).alias("cc"))
-            pairs = current.join(centre, "list_id").where("component_id <> cc").select(*_pairs_of(F.col("id"), F.col("c"))).distinct()
+            pairs = star(current, order)
         else:
             per = current.groupBy("list_id", "component_id").agg(F.count("*").alias("c")).groupBy("list_id").agg(
                 F.max_by("component_id", "c").alias("main"), F.ceil(F.sum("c") / CHUNK).alias("chunks"))

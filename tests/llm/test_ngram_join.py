@@ -75,6 +75,46 @@ def test_long_lists_use_deletions(spark, monkeypatch):
     check(spark, fixture(2, 14))
 
 
+def family(copies):
+    """Near copies of one text, texts that share a long passage of it, and one link outside."""
+    rng = random.Random(copies)
+    base = [f"b{i}" for i in range(120)]
+    texts = [base]
+    for i in range(copies):
+        t = list(base)
+        t[rng.randrange(120)] = f"x{i}"
+        texts.append(t)
+    texts += [base[:70] + [f"o{i}w{j}" for j in range(50)] for i in range(40)]
+    texts.append(base[:70] + [f"o7w{j}" for j in range(48)])
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_no_deletions_for_a_hot_family(spark, monkeypatch):
+    """However many near copies a text has, they are contracted, and only texts without
+    any surplus are indexed by deletions."""
+    prepare(spark)
+    made, written = {}, ngram_join.written
+
+    def counted(df, name):
+        made[name] = written(df, name)
+        return made[name]
+    monkeypatch.setattr(ngram_join, "written", counted)
+    for copies in (60, 240):
+        check(spark, family(copies))
+        assert made["join-long"].count() > 10 * copies
+        no_surplus = made["join-entries"].where("spare <= 0").select("id")
+        assert made["join-deletions"].join(no_surplus, "id", "left_anti").count() == 0
+
+
+def test_long_lists_with_many_outside(spark, monkeypatch):
+    """Long lists that are too dear to use are left to the deletions: all, or some of them."""
+    prepare(spark)
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 1)
+    for outside in (-1, 1):
+        monkeypatch.setattr(ngram_join, "OUTSIDE", outside)
+        check(spark, fixture(2, 14) + [(200000 + i, t) for i, t in family(45)])
+
+
 def test_pigeonhole_is_lossless():
     """Driver-side: any linked pair shares an exact subset, or lacks slack and shares a deletion."""
     scheme, rng = ngram_join.Scheme(), random.Random(5)
