@@ -43,15 +43,21 @@ PROCESSED_SUBSTRINGS = ["[CONSOLIDATED]", "[ARCHIVED", "[MERGED", "[DUPLICATE"]
 STRIP_REGEX = rf"\A[{SPACE_ITEMS}]+|[{SPACE_ITEMS}]+\z"
 SPACE_RUN_REGEX = portable_regex(r"\s+")
 PUNCT_REGEX = portable_regex(r"[^\w\s]")
+#: Java passes over the commonest characters by a bit set before it asks for Unicode classes.
+UNCOMMON = "(?=[^ abcdefghijklmnopqrstuvwxyz])"
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: The characters of ``SPACE_ITEMS``, one by one.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def py_strip(c) -> Column:
     """``str.strip()``: trims every Unicode whitespace character, not just spaces."""
-    return F.regexp_replace(_col(c), STRIP_REGEX, "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def normalize_text(c) -> Column:
@@ -63,7 +69,7 @@ def normalize_text(c) -> Column:
     for p in NORMALIZE_DROP_PATTERNS:
         x = F.regexp_replace(x, portable_regex(p), "")
     x = F.regexp_replace(x, SPACE_RUN_REGEX, " ")
-    x = F.regexp_replace(x, PUNCT_REGEX, "")
+    x = F.regexp_replace(x, UNCOMMON + PUNCT_REGEX, "")
     return py_strip(x)
 
 
