@@ -248,3 +248,27 @@ def test_segments_are_not_broadcast(spark):
     path = session.cut_lineage(spark.range(2000).select(F.col("id").alias("v"), F.concat(F.lit("http://a.example/"), F.col("id").cast("string")).alias("norm"))
                                .withColumn("nc", F.length("norm")))
     assert "Broadcast" not in edit_join.edit_candidates(path, 0.15)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counting_join_compares_whole_sets(spark):
+    """Sets that share their first words but too few others bring no candidate row: all words
+    are compared where the index lies, so that no text moves for such pairs."""
+    import random
+
+    from scrubjay.plans import set_join
+    from scrubjay.plans.candidates import texts_of
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(300)]
+    rows, want = [], set()
+    for i in range(120):
+        # rare words shared by four texts each, the rest drawn from few common ones
+        words = [f"r{i // 4}x{k}" for k in range(12)] + rng.sample(common, 60)
+        rows.append((f"k{i:03d}", (i, i), " ".join(words), set(words)))
+    for a in range(120):
+        for b in range(a):
+            x, y = rows[a][3], rows[b][3]
+            if len(x & y) / len(x | y) >= 0.3:
+                want.add((b, a))
+    df = spark.createDataFrame([r[:3] for r in rows], "key string, sk struct<t:long,i:long>, norm string")
+    got = {(r.u.i, r.v.i) for r in set_join.set_candidates(texts_of(df), 0.3).collect()}
+    assert got == want and len(want) < 120 * 3 / 2
