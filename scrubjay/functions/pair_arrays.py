@@ -104,8 +104,8 @@ def _batches(order: np.ndarray, points: np.ndarray, chars: np.ndarray):
 
 
 def _furthest(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
-    """Distances up to ``most`` of each pair; -1 for larger ones and some that would take
-    nearly as many edits."""
+    """Distances up to ``most`` of each pair; -1 for larger ones, -2 where the first edits
+    tell that it may be larger."""
     x, y, _ = _encoded(pairs)
     xw, yw, per = x.words(), y.words(), x.per
     n, m, x0, y0 = x.length, y.length, x.start, y.start
@@ -147,10 +147,13 @@ def _furthest(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
         far[:, lo:hi] = t
         at = np.clip(delta[here], -e, e) + e
         done = (np.abs(delta[here]) <= e) & (t[np.arange(len(here)), at] >= n[here])
-        out[here[done & (out[here] < 0)]] = e
+        out[here[done & (out[here] == -1)]] = e
         gone = done | (most[here] <= e)
         if e >= 16 and e & (e - 1) == 0:  # where the edits made reach too little of the text
-            gone |= e * (n[here] + m[here]) > 2 * most[here] * (2 * t - ks[lo:hi]).max(1)
+            slow = ~gone & (e * (n[here] + m[here]) > 2 * most[here] * (2 * t - ks[lo:hi]).max(1))
+            out[here[slow]] = -2
+            most[here[slow]] = -1
+            gone |= slow
         if gone.all():
             return out
         if gone.mean() > 0.15:
@@ -176,7 +179,7 @@ def levenshtein_many(pairs: list[tuple[str, str]], most: np.ndarray | None = Non
     for some in _batches(order, np.minimum(np.minimum(worth, cap), big // 8 + 8)[:] * 2, n + m):
         out[some] = _furthest([pairs[k] for k in some.tolist()], np.minimum(worth, cap)[some])
     rest = np.ones(len(pairs), bool)
-    rest[near] = cap[near] > worth[near]
+    rest[near] = (cap[near] > worth[near]) | (out[near] == -2)
     for k in np.flatnonzero(rest & (out < 0) & (cap >= big - small)).tolist():
         out[k] = levenshtein_distance(*pairs[k])
     return out

@@ -53,6 +53,20 @@ def test_distances_of_many_pairs():
         assert got == want if want <= limit else got in (-1, want)
 
 
+def test_edits_that_all_lie_at_the_begin():
+    """The first edits reach little of the text, though the distance is within the limit."""
+    rng, letters = random.Random(12), "abcdefghijklmnopqrstuvwxyz "
+    pairs = []
+    for k in range(40):
+        text = "".join(rng.choice(letters) for _ in range(900))
+        pairs.append(("".join(rng.choice(letters) for _ in range(60 + k)) + text[60 + k:], text))
+    want = [levenshtein_distance(*p) for p in pairs]
+    for limit in (100, 120, 900):
+        got = P.levenshtein_many(pairs, np.full(len(pairs), limit)).tolist()
+        assert all(g == w if w <= limit else g in (-1, w) for g, w in zip(got, want))
+    assert P.levenshtein_many(pairs).tolist() == want
+
+
 def test_ratios_of_many_pairs_are_difflibs(monkeypatch):
     pairs = _pairs(4, 400, [0, 1, 2, 5, 20, 60, 199, 200, 201, 400, 900])
     for autojunk in (True, False):
